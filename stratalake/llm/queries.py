@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, mpeg, quality, urls
+from . import bpe, jaccard, licenses, mixing, mpeg, quality, urls
 
 # The rules of the url query, as host, path and verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+#: The vocabulary of the BPE query, a file of the installed package of public tokenizers.
+BPE_FILE = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,8 +42,17 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary_path(BPE_FILE))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scan, op4_source_mixing, op5_mpeg_audio, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scan, op4_source_mixing, op5_mpeg_audio, op6_bpe_round_trip, op7_ngram_jaccard, op10_quality_rules)}
