@@ -67,9 +67,7 @@ class Fingerprints:
 
     def grams(self, size: int) -> np.ndarray:
         """Of every span of `size` bytes, by its start."""
-        n = len(self.sums) - size
-        if n <= 0:
-            return np.zeros(0, U64)
+        n = max(0, len(self.sums) - size)
         return mix((self.sums[size:] - self.sums[:n]) * self.inverse[:n])
 
 
