@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, mixing, mpeg, quality, urls
+from . import bpe, jaccard, lattice, licenses, mixing, mpeg, quality, repeats, sharding, urls
 
 # The rules of the url query, as host, path and verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
-#: The vocabulary of the BPE query, a file of the installed package of public tokenizers.
-BPE_FILE = "word_bpe_49k.json"
+#: The vocabularies of the BPE and the scoring query, files of the installed package of public tokenizers.
+BPE_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
+SHARDS = 8
 
 
 def vocabulary_path(name: str) -> str:
@@ -33,6 +34,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(table(spark, sf_dir, "documents"), vocabulary_path(PIECE_FILE))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,8 +56,23 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("digest")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scan, op4_source_mixing, op5_mpeg_audio, op6_bpe_round_trip, op7_ngram_jaccard, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_license_scan, op3_lattice_score, op4_source_mixing, op5_mpeg_audio,
+        op6_bpe_round_trip, op7_ngram_jaccard, op8_kd_shards, op9_repeated_spans, op10_quality_rules,
+    )
+}
