@@ -356,3 +356,10 @@ def join_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     linked = headed.join(classes, F.col("head") == F.col("node"), "left").select("doc", "n", F.coalesce("class", "head").alias("component_id"))
     alone = sized.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
     return linked.union(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, without those that link to a smaller id; of each group the document with its smallest id stays."""
+    joined = join_documents(docs, size, percent, id_col, text_col)
+    gone = checkpoint(joined.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == F.col("__gone"), "left_anti")

@@ -106,6 +106,55 @@ def _cut(ranked: DataFrame, key: str) -> DataFrame:
     )
 
 
+class Mix:
+    """What a mix decides: the certain copies of each source's documents and how far down their order the rest goes."""
+
+    def __init__(self, narrow: DataFrame, weights: Sequence[int], cap: int):
+        """narrow: source_key, source, size, level, u."""
+        levels = checkpoint(narrow.groupBy("source_key", "source", "level").agg(F.sum("size").alias("level_size")))
+        targets = source_targets(levels.groupBy("source_key", "source").agg(F.sum("level_size").alias("source_size")), weights, cap)
+        plan = _expected_copies(levels.drop("source").join(targets, "source_key"), cap).select(
+            "source_key", "level", "source_size", "target", "level_size", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("p")
+        )
+        certain = F.sum(F.col("whole") * F.col("level_size")).over(Window.partitionBy("source_key"))
+        self.plan = _small(checkpoint(plan.withColumn("rest", F.col("target") - certain).drop("level_size")))
+
+        eligible = self._ranked(narrow).where("p > 0").select("source_key", "v", "bin", "fine", "size", "rest")
+        self.coarse = _small(checkpoint(_cut(eligible.withColumn("start", F.lit(0).cast("long")), "bin").withColumnRenamed("cut", "cut_bin")))
+        within = eligible.join(self.coarse, "source_key").where("bin = cut_bin")
+        self.fine = _small(checkpoint(_cut(within, "fine").withColumnRenamed("cut", "cut_fine")))
+        last = within.drop("start").join(self.fine, "source_key").where("fine = cut_fine")
+        last = last.groupBy("source_key", "v", "start", "rest").agg(F.sum("size").alias("size"))
+        upto = F.sum("size").over(Window.partitionBy("source_key").orderBy("v")) + F.col("start")
+        last = last.select("source_key", "v", "size", "rest", upto.alias("upto")).where("2 * upto - size <= 2 * rest")
+        self.edge = _small(checkpoint(last.groupBy("source_key").agg(F.max("v").alias("last_v"))))
+
+    def _ranked(self, rows: DataFrame) -> DataFrame:
+        u, p = F.col("u"), F.col("p")
+        odds = (u / (1 - u)) / (p / (1 - p))
+        ranked = rows.join(self.plan, ["source_key", "level"]).withColumn("v", F.when(p > 0, odds / (1 + odds)))
+        scaled = F.col("v") * BINS
+        return ranked.withColumn("bin", F.floor(scaled)).withColumn("fine", F.floor((scaled - F.floor(scaled)) * BINS))
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """rows (source_key, level, u and more) with source_size, target and copies."""
+        chosen = self._ranked(rows)
+        for table in (self.coarse.drop("start"), self.fine.drop("start"), self.edge):
+            chosen = chosen.join(table, "source_key", "left")
+        bin_, fine = F.col("bin"), F.col("fine")
+        in_fine = (fine < F.col("cut_fine")) | ((fine == F.col("cut_fine")) & (F.col("v") <= F.col("last_v")))
+        taken = F.col("cut_bin").isNull() | (bin_ < F.col("cut_bin")) | ((bin_ == F.col("cut_bin")) & in_fine)
+        copies = F.col("whole") + F.coalesce((F.col("p") > 0) & taken, F.lit(False)).cast("long")
+        return chosen.withColumn("copies", copies).drop("whole", "p", "rest", "v", "bin", "fine", "cut_bin", "cut_fine", "last_v")
+
+
+def _narrow(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    source, text = docs[f"`{source_col}`"], docs[f"`{text_col}`"]
+    key = F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
+    rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), source.alias("source"), key.alias("source_key"), words(text).alias("size"), *more)
+    return rows.select("*", length_weight(F.col("size")).alias("level"), uniform(F.col("doc_id"), seed).alias("u"))
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: str = "mix-1",
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -114,42 +163,17 @@ def mix_sources(
 
     `weights` go to the sources in code point order, null last, repeating.
     """
-    source = F.col("source")
-    narrow = pick(docs, doc_id=id_col, source=source_col, text=text_col).select(
-        "doc_id", "source", F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("source_key"), words(F.col("text")).alias("size")
-    )
-    narrow = narrow.select("*", length_weight(F.col("size")).alias("level"), uniform(F.col("doc_id"), seed).alias("u"))
-    narrow = checkpoint(narrow)
+    narrow = checkpoint(_narrow(docs, seed, id_col, text_col, source_col))
+    mixed = Mix(narrow, weights, cap).apply(narrow)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
-    levels = checkpoint(narrow.groupBy("source_key", "source", "level").agg(F.sum("size").alias("level_size")))
-    targets = source_targets(levels.groupBy("source_key", "source").agg(F.sum("level_size").alias("source_size")), weights, cap)
-    plan = _expected_copies(levels.drop("source").join(targets, "source_key"), cap).select(
-        "source_key", "level", "source_size", "target", "level_size", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("p")
-    )
-    certain = F.sum(F.col("whole") * F.col("level_size")).over(Window.partitionBy("source_key"))
-    plan = checkpoint(plan.withColumn("rest", F.col("target") - certain))
-
-    u, p = F.col("u"), F.col("p")
-    odds = (u / (1 - u)) / (p / (1 - p))
-    ranked = narrow.join(_small(plan), ["source_key", "level"]).withColumn("v", F.when(p > 0, odds / (1 + odds)))
-    scaled = F.col("v") * BINS
-    ranked = ranked.withColumn("bin", F.floor(scaled)).withColumn("fine", F.floor((scaled - F.floor(scaled)) * BINS))
-    eligible = ranked.where("p > 0").select("source_key", "v", "bin", "fine", "size", "rest")
-
-    coarse = _small(checkpoint(_cut(eligible.withColumn("start", F.lit(0).cast("long")), "bin").withColumnRenamed("cut", "cut_bin")))
-    within = eligible.join(coarse, "source_key").where("bin = cut_bin")
-    fine = _small(checkpoint(_cut(within, "fine").withColumnRenamed("cut", "cut_fine")))
-    last = within.drop("start").join(fine, "source_key").where("fine = cut_fine")
-    last = last.groupBy("source_key", "v", "start", "rest").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("source_key").orderBy("v")) + F.col("start")
-    last = last.select("source_key", "v", "size", "rest", upto.alias("upto")).where("2 * upto - size <= 2 * rest")
-    edge = _small(checkpoint(last.groupBy("source_key").agg(F.max("v").alias("last_v"))))
-
-    chosen = ranked.join(coarse.drop("start"), "source_key", "left").join(fine.drop("start"), "source_key", "left").join(edge, "source_key", "left")
-    taken = F.coalesce(
-        (p > 0)
-        & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & ((F.col("fine") < F.col("cut_fine")) | ((F.col("fine") == F.col("cut_fine")) & (F.col("v") <= F.col("last_v")))))),
-        F.lit(False),
-    )
-    copies = F.col("whole") + taken.cast("long")
-    return chosen.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+def take_mix(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: str = "mix-1",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The rows of `docs`, with all their columns, as often as the mix takes them; decided row by row, so no row is shuffled with its text."""
+    narrow = checkpoint(_narrow(docs, seed, id_col, text_col, source_col))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    mixed = Mix(narrow, weights, cap).apply(_narrow(docs, seed, id_col, text_col, source_col, row))
+    return mixed.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")

@@ -127,6 +127,10 @@ def host_key(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
 
 
+def _worst_rate(rules: Rules) -> Column:
+    return F.greatest(*[F.col(f"rate_{n}") for n in rules.failures()])
+
+
 def host_rates(measured: DataFrame, rules: Rules) -> DataFrame:
     """One row a host: key, rows, and for each rule failures_<rule> and the shrunk rate_<rule>."""
     names = list(rules.failures())
@@ -154,7 +158,32 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
     narrow = pick(docs, doc_id=id_col, host=host_col, text=text_col)
     measured = checkpoint(text_measures(narrow).withColumn("host_key", host_key(F.col("host"))))
     hosts = host_rates(measured, rules)
-    rate = F.greatest(*[F.col(f"rate_{n}") for n in rules.failures()])
-    judged = measured.join(hosts.select("host_key", rate.alias("host_rate")), "host_key")
+    judged = measured.join(hosts.select("host_key", _worst_rate(rules).alias("host_rate")), "host_key")
     base = rules.base()
     return judged.select("doc_id", "host", *MEASURES, base.alias("base_failed"), (~base & (F.col("host_rate") <= rules.host_limit)).alias("kept"), "host_rate")
+
+
+#: Rejected hosts are broadcast up to so many, of under 300 bytes each.
+BROADCAST_HOSTS = 20_000
+
+
+def _failing_batches(rules: Rules):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in T.slices(batches, "__text"):
+            m = measure(data, offsets)
+            failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
+            kept = batch.filter(pa.array(~failed))
+            yield kept.select([n for n in kept.schema.names if n != "__text"])
+
+    return run
+
+
+def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of `docs`, with all their columns, that `judge` keeps; judged row by row, so no row is shuffled with its text."""
+    narrow = pick(docs, host=host_col, text=text_col)
+    measured = text_measures(narrow).withColumn("host_key", host_key(F.col("host")))
+    rejected = checkpoint(host_rates(measured, rules).where(_worst_rate(rules) > rules.host_limit).select(F.col("host_key").alias("__host")))
+    passing = docs.withColumn("__text", docs[f"`{text_col}`"]).mapInArrow(_failing_batches(rules), docs.schema)
+    if rejected.count() <= BROADCAST_HOSTS:
+        rejected = F.broadcast(rejected)
+    return passing.join(rejected, host_key(passing[f"`{host_col}`"]) == F.col("__host"), "left_anti")

@@ -62,7 +62,7 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("digest")
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

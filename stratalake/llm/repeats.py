@@ -105,7 +105,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         missing = ~np.asarray(ids.is_valid())
         keys = np.where(missing, NO_ID, np.asarray(ids.fill_null(0)).astype(np.int64))
         shas = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets, offsets[1:], strict=False)]
-        digests = np.array([int.from_bytes(s[:8], "little") for s in shas], np.uint64)
+        digests = np.array([int.from_bytes(s[:8], "big") for s in shas], np.uint64)
         yield keys, missing, digests, shas, data, offsets
 
 
@@ -397,19 +397,45 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return narrow, spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, digest, and with_text the kept bytes as text.
+def _redeal(count: int):
+    def run(batches):
+        for (packed,) in K.rows_of(batches, "packed"):
+            columns = K.unpack(packed)
+            if len(columns[0]):
+                yield _dealt(SPANS, _by_doc(columns[0], count), count, *columns)
 
-    `digest` is the sha256 of the whole text (binary).  The kept text is the
-    remaining bytes as UTF-8; what a cut leaves of a character becomes U+FFFD.
-    With with_text, kept is null where nothing was removed.
-    """
+    return run
+
+
+def _gather_spans(spans: DataFrame, count: int) -> DataFrame:
+    """(key, digest, firsts, lasts), one row a document that has spans."""
+
+    def run(batches):
+        where = _spans_by_doc([packed for (packed,) in K.rows_of(batches, "packed")])
+        items = list(where.items())
+        for first in range(0, len(items), 5000):
+            part = items[first : first + 5000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for (k, _), _ in part], pa.int64()), pa.array(np.array([d for (_, d), _ in part], np.uint64).view(np.int64)), pa.array([a for _, (a, _) in part], pa.list_(pa.int64())), pa.array([b for _, (_, b) in part], pa.list_(pa.int64()))],
+                names=["key", "digest", "firsts", "lasts"],
+            )
+
+    return K.deal(spans.mapInArrow(_redeal(count), ROW), count=count).mapInArrow(run, "key long, digest long, firsts array<long>, lasts array<long>")
+
+
+def _rest(data: np.ndarray, firsts, lasts) -> tuple[bytes, int]:
+    keep = np.ones(len(data), bool)
+    for first, last in zip(firsts, lasts, strict=True):
+        keep[first:last] = False
+    return data[keep].tobytes(), int((~keep).sum())
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes)."""
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     count = partitions(docs.sparkSession)
     narrow, spans = repeated_spans(docs, length)
     texts = docs.mapInArrow(_send_texts(count, _slots_of(spans)), ROW)
-    # Spans are dealt by document from here on.
-    by_doc = spans.mapInArrow(_redeal(count), ROW)
 
     def apply(batches):
         held, bodies = [], []
@@ -422,36 +448,59 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             at = np.concatenate([[0], np.cumsum(sizes)])
             for k, d, a, b in zip(keys, digests, at, at[1:], strict=False):
                 if own := where.pop((int(k), int(d)), None):
-                    raw, keep = data[a:b], np.ones(b - a, bool)
-                    for first, last in zip(*own, strict=True):
-                        keep[first:last] = False
-                    kept = raw[keep].tobytes()
-                    out.append((int(k), int(d.view(np.int64)), int((~keep).sum()), len(own[0]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["key", "digest", "n_removed", "n_spans", "kept_sha256", "kept"])
-                out = []
-
-    results = K.deal(by_doc.union(texts), count=count).mapInArrow(apply, "key long, digest long, n_removed long, n_spans long, kept_sha256 string, kept string")
+                    kept, removed = _rest(data[a:b], *own)
+                    out.append((int(k), int(d.view(np.int64)), removed, len(own[0]), hashlib.sha256(kept).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["r_key", "r_digest", "n_removed", "n_spans", "kept_sha256"])
+
+    spread = spans.mapInArrow(_redeal(count), ROW).union(texts)
+    results = K.deal(spread, count=count).mapInArrow(apply, "r_key long, r_digest long, n_removed long, n_spans long, kept_sha256 string")
     heads = narrow.groupBy("sha").agg(F.min("key").alias("head"))
-    joined = narrow.join(heads, "sha").join(results.withColumnsRenamed({"key": "r_key", "digest": "r_digest"}), (F.col("key") == F.col("r_key")) & (F.col("digest") == F.col("r_digest")), "left")
+    joined = narrow.join(heads, "sha").join(results, (F.col("key") == F.col("r_key")) & (F.col("digest") == F.col("r_digest")), "left")
     copy = (F.col("key") != F.col("head")) & (F.col("n") >= length)
-    out = joined.select(
+    return joined.select(
         F.when(~F.col("missing"), F.col("key")).alias("doc_id"),
         F.col("n").alias("n_bytes"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
-        F.col("sha").alias("digest"),
-        F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"),
     )
-    return out if with_text else out.drop("kept")
 
 
-def _redeal(count: int):
-    def run(batches):
-        for (packed,) in K.rows_of(batches, "packed"):
-            columns = K.unpack(packed)
-            if len(columns[0]):
-                yield _dealt(SPANS, _by_doc(columns[0], count), count, *columns)
+def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows of `docs`, with all their columns, and the repeats cut out of their text.
 
-    return run
+    What a cut leaves of a character goes too.  A column `chars_col` is set to
+    the new length where a text was cut.  A null text stays null.
+    """
+    count = partitions(docs.sparkSession)
+    narrow, spans = repeated_spans(pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), length)
+    heads = narrow.groupBy("sha").agg(F.min("key").alias("head"))
+    copies = narrow.where(F.col("n") >= length).join(heads, "sha").where("key <> head")
+    copies = copies.select("key", "digest", F.array(F.lit(0).cast("long")).alias("firsts"), F.array("n").alias("lasts")).distinct()
+    cuts = checkpoint(_gather_spans(spans, count).union(copies)).withColumnsRenamed({"key": "__key", "digest": "__digest", "firsts": "__firsts", "lasts": "__lasts"})
+    text, key = docs[f"`{text_col}`"], F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(int(NO_ID)))
+    digest = F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 16), 16, -10).cast("long")
+    joined = docs.join(cuts, (key == F.col("__key")) & (digest == F.col("__digest")), "left")
+    names, at = docs.columns, docs.columns.index(text_col)
+    chars = names.index(chars_col) if chars_col in names else None
+
+    def apply(batches):
+        for batch, data, offsets in T.slices(batches, text_col):
+            firsts, lasts = (batch.column(batch.schema.get_field_index(c)) for c in ("__firsts", "__lasts"))
+            columns = [batch.column(i) for i in range(len(names))]
+            hit = np.flatnonzero(np.asarray(firsts.is_valid()))
+            if len(hit):
+                texts, lengths = columns[at].to_pylist(), columns[chars].to_pylist() if chars is not None else None
+                for row in hit:
+                    kept, _ = _rest(data[offsets[row] : offsets[row + 1]], firsts[row].as_py(), lasts[row].as_py())
+                    texts[row] = kept.decode("utf-8", "ignore")
+                    if lengths:
+                        lengths[row] = len(texts[row])
+                columns[at] = pa.array(texts, columns[at].type)
+                if lengths:
+                    columns[chars] = pa.array(lengths, columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(apply, docs.schema)
