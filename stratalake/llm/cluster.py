@@ -36,6 +36,10 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select([df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
+#: Edges of a component search for each task; small searches run in few tasks and leave few files.
+EDGES_PER_TASK = 20_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes that occur in `edges` (a, b); component is the smallest node that links reach.
 
@@ -46,15 +50,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges = checkpoint(edges)
-    before = None
+    tasks = min(partitions(edges.sparkSession), 4 + edges.count() // EDGES_PER_TASK)
+    edges, before = edges.coalesce(tasks), None
     for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpoint(large.where("u > v").distinct())
+        large = checkpoint(large.where("u > v").coalesce(tasks).distinct().coalesce(tasks))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = checkpoint(small.where("u > v").distinct())
+        edges = checkpoint(small.where("u > v").coalesce(tasks).distinct().coalesce(tasks))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

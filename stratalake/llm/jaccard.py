@@ -155,6 +155,24 @@ def _is_frequent(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """As few of the pairs as connect what all of them connect."""
+    above: dict[int, int] = {}
+
+    def top(x):
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    keep = []
+    for a, b in pairs.tolist():
+        a, b = top(a), top(b)
+        keep.append(a != b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    return pairs[np.array(keep, bool)] if len(pairs) else pairs
+
+
 def _candidates(docs: DataFrame, size: int, percent: int, bits: np.ndarray) -> DataFrame:
     """Rows of two kinds: digest set: document a with n columns; digest null: candidate link of documents a and b."""
     scheme, count = Scheme(percent), partitions(docs.sparkSession)
@@ -210,7 +228,7 @@ def _candidates(docs: DataFrame, size: int, percent: int, bits: np.ndarray) -> D
         first = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
         leader = np.repeat(docs_of[first], np.diff(np.append(first, len(signs))))
         other = leader != docs_of
-        pairs = np.unique(np.stack([leader[other], docs_of[other]], axis=1), axis=0)
+        pairs = _forest(np.unique(np.stack([leader[other], docs_of[other]], axis=1), axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], names=["a", "b", "digest"])
 
     signed = docs.mapInArrow(sign, "target int, packed binary")
