@@ -33,7 +33,7 @@ def amplitude_sigma(sa: Column, sb: Column) -> Column:
 
 
 def phase_sigma(sine: Column, cosine: Column, s_sine: Column, s_cosine: Column) -> Column:
-    return (s_cosine * F.abs(sine) + s_sine * F.abs(cosine)) / (s_cosine * s_cosine + s_sine * s_sine)
+    return F.try_divide(s_cosine * F.abs(sine) + s_sine * F.abs(cosine), s_cosine * s_cosine + s_sine * s_sine)
 
 
 def rotate(re: Column, im: Column, angle: Column) -> tuple[Column, Column]:

@@ -80,7 +80,7 @@ def correlation_to_displacement(offsets: DataFrame, first: str, value: str, reso
 def cutfile_weight(grid: DataFrame) -> DataFrame:
     """(grad / max 0.5 + 1 / (std + 1e-5) / 20) max, max being the largest gradient."""
     most = grid.agg(F.max("grad")).first()[0]
-    return grid.withColumn("weight", (F.col("grad") / F.lit(most) * 0.5 + 1 / (F.col("std") + 1e-5) / 20) * F.lit(most))
+    return grid.withColumn("weight", (F.coalesce(F.try_divide(F.col("grad"), F.lit(most)), F.lit(0.0)) * 0.5 + 1 / (F.col("std") + 1e-5) / 20) * F.lit(most))
 
 
 def zenith_to_los(delays: DataFrame, factor: float) -> DataFrame:

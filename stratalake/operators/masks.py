@@ -129,7 +129,7 @@ def reference_in_space(cube: DataFrame, zone: Column, value: str, by: Sequence[s
     if trim:
         inside = with_bounds(inside, value, *trim, by=by).where(F.col(value).between(F.col("lo"), F.col("hi")))
     w = weight if weight is not None else F.lit(1.0)
-    mean = inside.groupBy(*by).agg((F.sum(F.col(value) * w) / F.sum(w)).alias("zone_mean"))
+    mean = inside.groupBy(*by).agg(F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias("zone_mean"))
     joined = cube.join(mean, list(by), "left")
     return joined.withColumn(value, F.col(value) - F.coalesce("zone_mean", F.lit(0.0))).drop("zone_mean")
 
@@ -212,7 +212,7 @@ def component_quality(cells_: DataFrame) -> DataFrame:
     s98 = cells_.agg(F.percentile(valid("sigma"), 0.98)).first()[0]
     lo, hi = percentile_bounds(cells_, "value", 0.2, 99.8).first()
     s, d = F.col("sigma"), F.col("value")
-    bad = (s > F.lit(s98)) | (s / F.abs(d) > 3) | (d < F.lit(lo)) | (d > F.lit(hi))
+    bad = (s > F.lit(s98)) | F.coalesce(F.try_divide(s, F.abs(d)) > 3, s > 0) | (d < F.lit(lo)) | (d > F.lit(hi))
     return cells_.withColumn("value", F.when(~F.coalesce(bad, F.lit(False)), d))
 
 

@@ -87,10 +87,10 @@ def weights_from_sigma(pairs: DataFrame, sigmas: DataFrame) -> DataFrame:
 
 
 def weights_from_baselines(pairs: DataFrame, nodes: DataFrame, critical_years: float, critical_perp: float) -> DataFrame:
-    """Half the sum of exp(-critical / baseline) in time and across track; the longer, the heavier."""
+    """Half the sum of exp(-critical / baseline) in time and across track; the longer, the heavier, and 0 for none."""
     found = with_baselines(pairs, nodes, "dec", "bperp")
-    time = F.exp(-F.lit(critical_years) / F.abs(temporal_baseline()))
-    perp = F.exp(-F.lit(critical_perp) / F.abs(F.col("bperp2") - F.col("bperp1")))
+    time = F.coalesce(F.exp(-F.try_divide(F.lit(critical_years), F.abs(temporal_baseline()))), F.lit(0.0))
+    perp = F.coalesce(F.exp(-F.try_divide(F.lit(critical_perp), F.abs(F.col("bperp2") - F.col("bperp1")))), F.lit(0.0))
     return found.withColumn("weight", (perp + time) / 2)
 
 
@@ -101,7 +101,7 @@ def succeeded(pairs: DataFrame, flag: str = "success") -> DataFrame:
 
 def correction_weights(stats: DataFrame) -> DataFrame:
     """(corr + 1 - std / largest std) / 2 for each pair."""
-    return stats.withColumn("weight", (F.col("corr") + 1 - F.col("std") / F.max("std").over(Window.partitionBy())) / 2)
+    return stats.withColumn("weight", (F.col("corr") + 1 - F.try_divide(F.col("std"), F.max("std").over(Window.partitionBy()))) / 2)
 
 
 def consecutive(nodes: DataFrame, *order: str) -> DataFrame:

@@ -24,7 +24,7 @@ def gram(df: DataFrame, y: Column, terms: Sequence[Term], by: Sequence[str], sig
     used = df.select(*by, y.cast("double").alias("_y"), *[t.value.cast("double").alias(f"_t{i}") for i, t in enumerate(terms)], *([sigma.cast("double").alias("_s")] if sigma is not None else []))
     used = used.dropna(subset=[c for c in used.columns if c.startswith("_")])
     columns = [F.col(f"_t{i}") for i in range(len(terms))] + [F.col("_y")]
-    w = 1 / (F.col("_s") * F.col("_s")) if sigma is not None else F.lit(1.0)
+    w = F.try_divide(F.lit(1.0), F.col("_s") * F.col("_s")) if sigma is not None else F.lit(1.0)
     products = [columns[i] * columns[j] for i in range(len(columns)) for j in range(i, len(columns))]
     weighted = F.array(*[F.sum(w * p) for p in products])
     plain = F.array(*[F.sum(p) for p in products]) if sigma is not None else weighted

@@ -21,7 +21,7 @@ def window_lookup(points: DataFrame, grid: DataFrame, half: int, *, key: str = "
     reach = reach.select(key, "line", F.explode(F.transform(near, lambda d: F.col("col") + d)).alias("col"))
     found = reach.join(grid.where(valid(value).isNotNull()), ["line", "col"])
     w = F.col(weight) if weight else F.lit(1.0)
-    return found.groupBy(key).agg((F.sum(F.col(value) * w) / F.sum(w)).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("n"))
+    return found.groupBy(key).agg(F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("n"))
 
 
 def growing_lookup(points: DataFrame, grid: DataFrame, sizes: Sequence[int], *, key: str = "station", value: str = "value") -> DataFrame:
@@ -69,7 +69,7 @@ def rasterise(points: DataFrame, x0: float, dx: float, y0: float, dy: float, val
     fx, fy = (F.col("lon") - x0) / dx, (F.col("lat") - y0) / dy
     inside = (fx != F.floor(fx)) & (fy != F.floor(fy))
     placed = points.where(inside).select(F.floor(fy).alias("line"), F.floor(fx).alias("col"), value, coherence)
-    return placed.groupBy("line", "col").agg((F.sum(F.col(value) * F.col(coherence)) / F.sum(coherence)).alias("value"), F.count("*").alias("n"))
+    return placed.groupBy("line", "col").agg(F.try_divide(F.sum(F.col(value) * F.col(coherence)), F.sum(coherence)).alias("value"), F.count("*").alias("n"))
 
 
 def profile(grid: DataFrame, x0: float, y0: float, strike: float, length: float, width: float) -> DataFrame:
@@ -105,7 +105,7 @@ def bilinear_zoom(grid: DataFrame, lines: int, cols: int, factor: int) -> DataFr
     wx = 1 - F.abs(F.col("x") - F.col("c0") - F.col("d.j"))
     source = grid.select(F.col("line").alias("sl"), F.col("col").alias("sc"), "value")
     joined = spread.withColumns({"sl": F.col("l0") + F.col("d.i"), "sc": F.col("c0") + F.col("d.j"), "w": wy * wx}).join(source, ["sl", "sc"])
-    return joined.groupBy("line", "col").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+    return joined.groupBy("line", "col").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"))
 
 
 def window_median_difference(cube: DataFrame, points: DataFrame, half: int, reference: tuple[int, int], key: str = "station") -> DataFrame:

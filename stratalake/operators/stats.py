@@ -73,7 +73,7 @@ def rms_per_pixel(df: DataFrame, residual: str, dates: int, key: str = "pixel")
 
 def explained_variance(df: DataFrame, value: str, model: str, by: Sequence[str] = ()) -> DataFrame:
     """Percent of the variance that a model explains."""
-    return df.groupBy(*by).agg((100 * (1 - F.var_pop(F.col(value) - F.col(model)) / F.var_pop(value))).alias("explained"))
+    return df.groupBy(*by).agg((100 * (1 - F.try_divide(F.var_pop(F.col(value) - F.col(model)), F.var_pop(value)))).alias("explained"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -87,7 +87,7 @@ def phase_gradient(df: DataFrame, model: str, value: str, by: Sequence[str]) ->
     """Per group the slope of phase over model, the correlation of rows inside the 0.5 to 99.5 percentiles, and by how many percent the correction lowers the deviation."""
     kept = with_bounds(df, value, 0.5, 99.5, by).where(F.col(value).between(F.col("lo"), F.col("hi")))
     std, rest = F.stddev_pop(value), F.stddev_pop(F.col(value) - F.col(model))
-    return kept.groupBy(*by).agg(F.regr_slope(value, model).alias("gradient"), F.corr(value, model).alias("corr"), std.alias("std"), (100 * (std - rest) / std).alias("std_reduction"))
+    return kept.groupBy(*by).agg(F.regr_slope(value, model).alias("gradient"), F.corr(value, model).alias("corr"), std.alias("std"), (100 * F.try_divide(std - rest, std)).alias("std_reduction"))
 
 
 def zonal_mean(grid: DataFrame, box: Column, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -102,7 +102,7 @@ def stack_pairs(pixels: DataFrame, keys: Sequence[str] = ("line", "col"), value:
 def stack_amplitude(df: DataFrame, keys: Sequence[str], amp: str) -> DataFrame:
     """Mean amplitude over dates of non-zero weight, and the mean over the deviation."""
     a = P.null_where(F.col(amp), 0.0)
-    return df.groupBy(*keys).agg(F.avg(a).alias("mean"), (1 / F.stddev_pop(a)).alias("inverse_std"))
+    return df.groupBy(*keys).agg(F.avg(a).alias("mean"), F.try_divide(F.lit(1.0), F.stddev_pop(a)).alias("inverse_std"))
 
 
 def multilook(grid: DataFrame, lines: int, cols: int, *values: str, by: Sequence[str] = ()) -> DataFrame:
