@@ -28,7 +28,7 @@ def fit_ramps(rows: DataFrame, by: Sequence[str], flat: int, ivar: int = 0, nfit
     terms = ramp_terms(flat, ivar, nfit, elevation, pair)
     if not terms:
         return rows.select(*by).distinct()
-    found = solve.fit(rows, F.col(value), terms, by, sigma)
+    found = solve.fit(rows, F.col(value), terms, by, sigma, cond=1e-7)
     return found.select(*by, F.col("n").alias("n_rows"), *[F.col(f"m_{t.name}").alias(t.name) for t in terms])
 
 
