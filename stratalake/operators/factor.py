@@ -53,12 +53,12 @@ def project(wide: DataFrame, mean: np.ndarray, vectors: np.ndarray, key: str = "
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = batch.column(1).to_pylist()
             whole = [i for i, r in enumerate(rows) if r is not None and all(v is not None and v == v for v in r)]
             if whole:
                 scores = (np.array([rows[i] for i in whole], float) - mean) @ vectors.T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in whole for _ in range(size)]), pa.array(np.tile(np.arange(size, dtype=np.int32), len(whole))), pa.array(scores.ravel())],
+                    [batch.column(0).take(pa.array(np.repeat(whole, size))), pa.array(np.tile(np.arange(size, dtype=np.int32), len(whole))), pa.array(scores.ravel())],
                     names=[key, "component", "value"],
                 )
 

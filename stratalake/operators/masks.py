@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NULL = F.lit(None).cast("double")
 
 
 def valid(column: str | Column) -> Column:
