@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import partitions
+from .cluster import arrow, partitions
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -79,7 +79,7 @@ def sum_counters(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.n
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(s) for s in sums.values()], pa.binary())], names=["target", "packed"])
 
-    parts = deal(df.mapInArrow(partial, "target int, packed binary"), count=pieces).mapInArrow(add, "target int, packed binary").collect()
+    parts = deal(df.transform(arrow, partial, "target int, packed binary"), count=pieces).transform(arrow, add, "target int, packed binary").collect()
     out = np.zeros(size, np.int64)
     for k, packed in parts:
         (part,) = unpack(bytes(packed))

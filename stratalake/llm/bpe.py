@@ -31,9 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import textkit as T
-from .cluster import pick
+from .cluster import arrow, pick
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 NEVER = np.int32(2**31 - 1)
 # Fixed value: the Unicode white space that separates words; the five control characters that Python's split() adds aren't in it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -314,4 +314,4 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(bounds)), held, encoder.decode(ids, bounds)], names=["doc_id", *keep, "n_tokens", "ids", "decoded"])
 
     kept = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in ("doc_id", *keep))
-    return narrow.mapInArrow(run, f"{kept}, n_tokens long, ids {'array<int>' if as_array else 'string'}, decoded string")
+    return narrow.transform(arrow, run, f"{kept}, n_tokens long, ids {'array<int>' if as_array else 'string'}, decoded string")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as K
 from . import textkit as T
-from .cluster import checkpoint, connected_components, partitions, pick
+from .cluster import arrow, checkpoint, connected_components, partitions, pick
 
 COUNTERS = 1 << 22
 #: Rows, and n-grams, of a row block.
@@ -231,9 +231,9 @@ def _candidates(docs: DataFrame, size: int, percent: int, bits: np.ndarray) -> D
         pairs = _forest(np.unique(np.stack([leader[other], docs_of[other]], axis=1), axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], names=["a", "b", "digest"])
 
-    signed = docs.mapInArrow(sign, "target int, packed binary")
+    signed = docs.transform(arrow, sign, "target int, packed binary")
     dealt = signed.select(F.when(F.col("target") < 0, -1 - F.col("target")).otherwise(F.col("target")).alias("target"), F.col("target").alias("kind"), "packed")
-    return K.deal(dealt, count=count).mapInArrow(meet, "a long, b long, digest binary")
+    return K.deal(dealt, count=count).transform(arrow, meet, "a long, b long, digest binary")
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -300,7 +300,7 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
 
     keys = ["component", "block_a", "block_b"]
     dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.transform(arrow, run, "a long, b long")
 
 
 def _block(column: str, count: str) -> F.Column:
@@ -344,7 +344,7 @@ def join_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     sized = found.where("digest is not null").select(F.col("a").alias("doc"), F.col("b").alias("n"), "digest")
     near = found.where("digest is null").select("a", "b")
     linkable = sized.where("n > 0 and doc is not null")
-    heads = linkable.groupBy("digest").agg(F.min("doc").alias("head"))
+    heads = checkpoint(linkable.groupBy("digest").agg(F.min("doc").alias("head")))
     headed = checkpoint(linkable.join(heads, "digest"))
     copies = headed.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
 
@@ -366,7 +366,7 @@ def join_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
                     names=["doc", "digest", "n", "grams"],
                 )
 
-    held = narrow.mapInArrow(sets, "doc long, digest binary, n long, grams binary").join(members, ["doc", "digest"])
+    held = narrow.transform(arrow, sets, "doc long, digest binary, n long, grams binary").join(members, ["doc", "digest"])
     held = held.dropDuplicates(["doc", "digest"]).select("component", "doc", "n", "grams")
     links = checkpoint(_product(held, percent))
     classes = connected_components(links).withColumnRenamed("component", "class")

@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import blocks as K
 from . import textkit as T
-from .cluster import checkpoint, partitions, pick
+from .cluster import arrow, checkpoint, partitions, pick
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 ROW = "target int, kind int, packed binary"
 DOCS, WORDS, TRAINED, VOCABULARY, SCORED = range(5)
 WORD_MARK = "▁"
@@ -276,7 +276,7 @@ def _answer(lattice_of: Callable[[], Lattice], count: int):
             first = 0
             while first < len(size):
                 base = ends[first] - size[first]
-                last = max(first + 1, int(np.searchsorted(ends, base + T.SLICE_BYTES // 4, "right")))
+                last = max(first + 1, int(np.searchsorted(ends, base + T.SLICE_BYTES // 2, "right")))
                 scores[first:last] = lattice.many(text[base : ends[last - 1]], ends[first:last] - size[first:last] - base, size[first:last])
                 first = last
             at, out = 0, []
@@ -345,13 +345,13 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     """One row a document: OUT. score is the log10 probability of the text, base_score that under smoothed word counts; both learn from the documents not held out."""
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     count, pieces = partitions(docs.sparkSession), Pieces(vocabulary_path)
-    spread = checkpoint(docs.mapInArrow(_spread(count, held_out), ROW))
+    spread = checkpoint(docs.transform(arrow, _spread(count, held_out), ROW))
     ends = spread.where(f"kind = {TRAINED}").agg(F.coalesce(F.sum("target"), F.lit(0))).first()[0]
-    owned = checkpoint(K.deal(spread.where(f"kind = {WORDS}"), count=count).select("packed").mapInArrow(_own, ROW))
+    owned = checkpoint(K.deal(spread.where(f"kind = {WORDS}"), count=count).select("packed").transform(arrow, _own, ROW))
     totals = K.sum_counters(owned.select("packed"), _count_pieces(pieces), pieces.size + 2)
     counts, tokens, distinct = totals[:-2].astype(float), int(totals[-2]) + ends, int(totals[-1]) + (ends > 0)
     counts[pieces.end] += ends
     log_p = probabilities(counts, pieces)
-    answers = owned.select("packed").mapInArrow(_answer(lambda: Lattice(pieces, log_p), count), ROW)
+    answers = owned.select("packed").transform(arrow, _answer(lambda: Lattice(pieces, log_p), count), ROW)
     met = K.deal(answers.union(spread.where(f"kind = {DOCS}")), count=count)
-    return met.mapInArrow(_finish(tokens, distinct, ends, float(log_p[pieces.end])), OUT)
+    return met.transform(arrow, _finish(tokens, distinct, ends, float(log_p[pieces.end])), OUT)

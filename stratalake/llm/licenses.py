@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import textkit as T
-from .cluster import pick
+from .cluster import arrow, pick
 
 
 @dataclass(frozen=True)
@@ -196,4 +196,4 @@ def scan_licenses(docs: DataFrame, notices: Sequence[Notice] = NOTICES, id_col:
             arrays = [pa.array(c, kind) for c, kind in zip(columns, [k for _, k in kinds] + [match], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *[n for n, _ in kinds], "matches"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+    return narrow.transform(arrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")

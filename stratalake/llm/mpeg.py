@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkit as T
-from .cluster import pick
+from .cluster import arrow, pick
 
 UNIT = 192
 # The standard's tables of bit rates (kbit/s, layer III of MPEG-1, then of MPEG-2), rates (Hz) and samples.
@@ -270,7 +270,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             texts = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array([encode(pad(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return narrow.transform(arrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 READ = "duration_s double, frames long, sample_rate int, crc_errors long, skipped_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -295,4 +295,4 @@ def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
             yield pa.RecordBatch.from_arrays(kept + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] + more, names=["doc_id", *keep, *names] + ["seek_offsets"] * offsets)
 
     kept = ", ".join(f"{k} {narrow.schema[k].dataType.simpleString()}" for k in ("doc_id", *keep))
-    return narrow.mapInArrow(run, f"{kept}, {READ}" + ", seek_offsets array<long>" * offsets)
+    return narrow.transform(arrow, run, f"{kept}, {READ}" + ", seek_offsets array<long>" * offsets)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .cluster import checkpoint, pick
+from .cluster import arrow, checkpoint, pick
 
 SYMBOLS = T.table(b"#*$%&|<>")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -86,7 +86,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def text_measures(docs: DataFrame) -> DataFrame:
     """MEASURES instead of the column `text`; the other columns stay."""
     keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(_measure_batches, f"{keep}, " + ", ".join(f"{name} long" for name in MEASURES))
+    return docs.transform(arrow, _measure_batches, f"{keep}, " + ", ".join(f"{name} long" for name in MEASURES))
 
 
 @dataclass(frozen=True)
@@ -183,7 +183,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", h
     narrow = pick(docs, host=host_col, text=text_col)
     measured = text_measures(narrow).withColumn("host_key", host_key(F.col("host")))
     rejected = checkpoint(host_rates(measured, rules).where(_worst_rate(rules) > rules.host_limit).select(F.col("host_key").alias("__host")))
-    passing = docs.withColumn("__text", docs[f"`{text_col}`"]).mapInArrow(_failing_batches(rules), docs.schema)
+    passing = docs.withColumn("__text", docs[f"`{text_col}`"]).transform(arrow, _failing_batches(rules), docs.schema)
     if rejected.count() <= BROADCAST_HOSTS:
         rejected = F.broadcast(rejected)
     return passing.join(rejected, host_key(passing[f"`{host_col}`"]) == F.col("__host"), "left_anti")

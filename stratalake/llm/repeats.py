@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as K
 from . import textkit as T
-from .cluster import checkpoint, partitions, pick
+from .cluster import arrow, checkpoint, partitions, pick
 
 GRAM = 24
 NO_ID = np.iinfo(np.int64).max
@@ -49,7 +49,7 @@ SLOTS = 1 << 20
 ROW = "target int, kind int, packed binary"
 NARROW, ANCHORS, REPEATED, TEXTS, SLICES, SPANS = range(6)
 #: Bytes of neighbourhoods refined at a time, and of texts or entries collected before they are sent.
-REFINE_BYTES, SEND_BYTES, SEND_ROWS = 4 << 20, 4 << 20, 300_000
+REFINE_BYTES, SEND_BYTES, SEND_ROWS = 2 << 20, 4 << 20, 300_000
 _PLACE = np.uint64(0xFFFFFF)
 
 
@@ -377,7 +377,7 @@ def _spans_by_doc(packed: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray
 def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(narrow, spans) of docs (doc_id long, text): narrow has a row a document (key, missing, n, digest, sha); spans packed rows of kind SPANS."""
     count = partitions(docs.sparkSession)
-    found = K.deal(docs.mapInArrow(_find_anchors(count, length), ROW), count=count).mapInArrow(_meet(count), ROW)
+    found = K.deal(docs.transform(arrow, _find_anchors(count, length), ROW), count=count).transform(arrow, _meet(count), ROW)
     found = checkpoint(found)
 
     def unpack(batches):
@@ -389,11 +389,11 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                 names=["key", "missing", "n", "digest", "sha"],
             )
 
-    narrow = found.where(f"kind = {NARROW}").select("packed").mapInArrow(unpack, "key long, missing boolean, n long, digest long, sha binary")
+    narrow = found.where(f"kind = {NARROW}").select("packed").transform(arrow, unpack, "key long, missing boolean, n long, digest long, sha binary")
     repeated = found.where(f"kind = {REPEATED}")
-    texts = docs.mapInArrow(_send_texts(count, _slots_of(repeated)), ROW)
-    cut = K.deal(repeated.union(texts), count=count).mapInArrow(_cut(count, length), ROW)
-    spans = checkpoint(K.deal(cut, count=count).mapInArrow(_refine(count, length), ROW))
+    texts = docs.transform(arrow, _send_texts(count, _slots_of(repeated)), ROW)
+    cut = K.deal(repeated.union(texts), count=count).transform(arrow, _cut(count, length), ROW)
+    spans = checkpoint(K.deal(cut, count=count).transform(arrow, _refine(count, length), ROW))
     return narrow, spans
 
 
@@ -420,7 +420,7 @@ def _gather_spans(spans: DataFrame, count: int) -> DataFrame:
                 names=["key", "digest", "firsts", "lasts"],
             )
 
-    return K.deal(spans.mapInArrow(_redeal(count), ROW), count=count).mapInArrow(run, "key long, digest long, firsts array<long>, lasts array<long>")
+    return K.deal(spans.transform(arrow, _redeal(count), ROW), count=count).transform(arrow, run, "key long, digest long, firsts array<long>, lasts array<long>")
 
 
 def _rest(data: np.ndarray, firsts, lasts) -> tuple[bytes, int]:
@@ -435,7 +435,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     count = partitions(docs.sparkSession)
     narrow, spans = repeated_spans(docs, length)
-    texts = docs.mapInArrow(_send_texts(count, _slots_of(spans)), ROW)
+    texts = docs.transform(arrow, _send_texts(count, _slots_of(spans)), ROW)
 
     def apply(batches):
         held, bodies = [], []
@@ -454,9 +454,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["r_key", "r_digest", "n_removed", "n_spans", "kept_sha256"])
 
-    spread = spans.mapInArrow(_redeal(count), ROW).union(texts)
-    results = K.deal(spread, count=count).mapInArrow(apply, "r_key long, r_digest long, n_removed long, n_spans long, kept_sha256 string")
-    heads = narrow.groupBy("sha").agg(F.min("key").alias("head"))
+    spread = spans.transform(arrow, _redeal(count), ROW).union(texts)
+    results = K.deal(spread, count=count).transform(arrow, apply, "r_key long, r_digest long, n_removed long, n_spans long, kept_sha256 string")
+    heads = checkpoint(narrow.groupBy("sha").agg(F.min("key").alias("head")))
     joined = narrow.join(heads, "sha").join(results, (F.col("key") == F.col("r_key")) & (F.col("digest") == F.col("r_digest")), "left")
     copy = (F.col("key") != F.col("head")) & (F.col("n") >= length)
     return joined.select(
@@ -476,7 +476,7 @@ def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     """
     count = partitions(docs.sparkSession)
     narrow, spans = repeated_spans(pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), length)
-    heads = narrow.groupBy("sha").agg(F.min("key").alias("head"))
+    heads = checkpoint(narrow.groupBy("sha").agg(F.min("key").alias("head")))
     copies = narrow.where(F.col("n") >= length).join(heads, "sha").where("key <> head")
     copies = copies.select("key", "digest", F.array(F.lit(0).cast("long")).alias("firsts"), F.array("n").alias("lasts")).distinct()
     cuts = checkpoint(_gather_spans(spans, count).union(copies)).withColumnsRenamed({"key": "__key", "digest": "__digest", "firsts": "__firsts", "lasts": "__lasts"})
@@ -503,4 +503,4 @@ def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
                     columns[chars] = pa.array(lengths, columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(apply, docs.schema)
+    return joined.transform(arrow, apply, docs.schema)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -47,7 +47,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
             known[have : have + more] = known[:more] * U64(step)
             step = step * step % (1 << 64)
             have += more
-        if size <= 4 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[name] = known
     return known
 
