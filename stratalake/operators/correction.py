@@ -35,8 +35,13 @@ def fit_ramps(rows: DataFrame, by: Sequence[str], flat: int, ivar: int = 0, nfit
 def remove_ramps(rows: DataFrame, coefficients: DataFrame, by: Sequence[str], *, elevation: bool = False, value: str = "value") -> DataFrame:
     """Cells less their group's ramp, with coordinates counted from the same origin as in the fit."""
     names = [c for c in coefficients.columns if c in ramps.PAIR_SLOTS]
-    joined = rows.join(coefficients.select(*by, *[F.col(n).alias(f"_{n}") for n in names]), list(by), "left") if by else rows.crossJoin(F.broadcast(coefficients.select(*[F.col(n).alias(f"_{n}") for n in names]).limit(1)))
-    ramp = ramps.apply({n: F.col(f"_{n}") for n in names}, F.col("col"), F.col("line"), F.col("elev") if elevation else None)
+    z = F.col("elev") if elevation else None
+    if not by:  # one fit over all rows: its numbers go into the plan
+        row = coefficients.first()
+        ramp = ramps.apply({n: F.lit(row[n] if row else None).cast("double") for n in names}, F.col("col"), F.col("line"), z)
+        return rows.withColumn("ramp", ramp).withColumn(value, F.col(value) - F.col("ramp"))
+    joined = rows.join(coefficients.select(*by, *[F.col(n).alias(f"_{n}") for n in names]), list(by), "left")
+    ramp = ramps.apply({n: F.col(f"_{n}") for n in names}, F.col("col"), F.col("line"), z)
     return joined.withColumn("ramp", ramp).withColumn(value, F.col(value) - F.col("ramp")).drop(*[f"_{n}" for n in names])
 
 
