@@ -335,7 +335,7 @@ def _(t):
 @register("k06_text_round_trip", "pairs", "SELECT date1, date2, round(rms, 6) AS rms FROM pairs")
 def _(t):
     path = _export(t, "text")
-    sinks.write_text_table(t.pairs.select("date1", "date2", "rms"), path)
+    sinks.write_text_table(t.pairs.select("date1", "date2", "rms"), path, 12)
     read = t.spark.read.option("sep", " ").schema("date1 int, date2 int, rms double").csv(path)
     return rounded(read)
 

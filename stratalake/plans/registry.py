@@ -26,9 +26,9 @@ def register(name: str, views: str = "", sql: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Doubles to a number of digits at which summation order no longer shows; all doubles if none are named."""
+    """Doubles to a number of digits at which summation order no longer shows, without negative zeros; all doubles if none are named."""
     chosen = columns or [c for c, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.round(c, digits) for c in chosen})
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in chosen})
 
 
 def gram_sql(source: str, by: list[str], y: str, terms: dict[str, str], weight: str = "1e0", where: str = "") -> str:
