@@ -18,6 +18,7 @@ one; other input columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from . import textkit as T
 from .cluster import arrow, pick
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 NEVER = np.int32(2**31 - 1)
 # Fixed value: the Unicode white space that separates words; the five control characters that Python's split() adds aren't in it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -213,7 +214,7 @@ class Encoder:
         self.id_strings = pa.array([str(i) for i in range(self.v.size)])
 
     def __reduce__(self):
-        return Encoder, (self.content,)
+        return encoder_of, (self.content,)
 
     def words(self, text: str) -> list[str]:
         """The normalised text between white space; special tokens behind SPECIAL_MARK."""
@@ -291,6 +292,12 @@ class Encoder:
         return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(content: str) -> Encoder:
+    """One encoder a worker process and vocabulary."""
+    return Encoder(content)
+
+
 def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), as_array: bool = False) -> DataFrame:
     """One row a document: doc_id, the columns in `keep`, n_tokens, ids and decoded.
 
@@ -299,7 +306,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     the driver, and travels with the function (a few MB, fixed by the file).
     """
     with open(vocabulary_path, encoding="utf-8") as file:
-        encoder = Encoder(file.read())
+        encoder = encoder_of(file.read())
     narrow = pick(docs, **{"doc_id": id_col, "text": text_col}, **{k: k for k in keep})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,8 +67,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes that occur in `edges` (a, b); component is the smallest node that links reach.
 
     Alternates large-star and small-star rounds, each of them an aggregation
-    with partial sums and a join that AQE may split, so a node with very many
-    links meets in no single task.  Every round is checkpointed.  Self-links
+    with partial sums and a join of narrow rows.  Every round is checkpointed.  Self-links
     and null ends are left out; an empty table gives an empty one.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()

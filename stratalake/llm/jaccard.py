@@ -5,13 +5,15 @@ each n-gram.  Its product with its own transpose holds the overlaps of all
 pairs; two rows link when 100 * overlap >= percent * union.
 
 Column blocks discard pairs.  Rows of sizes m <= n that link differ in at most
-D = m (100 - percent) / percent columns.  With the columns dealt into P > D
-blocks by their hash, at least P - D blocks are equal in both rows, so linked
-rows share the fingerprint of a whole block.  P goes by size class, and a row
-leaves out as many of its poorest blocks as that count allows (those with the
-fewest rare n-grams), so that n-grams of very many documents bring nobody
-together.  Which n-grams are frequent is told by a table of counters of fixed
-size over all documents; it steers the work, never the result.
+D = m (100 - percent) / percent columns.  Columns are dealt by their hash into
+groups, more than D / 2 of them, so some groups hold one difference at most;
+with a group's columns dealt into a few blocks, all blocks but one are then
+equal in both rows, and linked rows share the fingerprint of such a group
+without a block.  Groups go by size class, and a row leaves out as many of its
+poorest groups as the count allows (those with the fewest rare n-grams), so
+that n-grams of very many documents bring nobody together.  Which n-grams are
+frequent is told by a table of counters of fixed size over all documents; it
+steers the work, never the result.
 
 Row blocks then get the product itself.  Rows that shared fingerprints, directly
 or over others, form a component; a component's rows meet in blocks of bounded
@@ -84,12 +86,14 @@ def set_digest(grams: np.ndarray) -> bytes:
 
 
 class Scheme:
-    """Size classes and the column blocks of each."""
+    """Size classes, and for each the groups of column blocks whose fingerprints rows share."""
 
-    RATIO = 1.5
+    RATIO, DEALINGS = 1.5, 8
 
     def __init__(self, percent: int):
         self.percent = percent
+        # Blocks in a group. A fingerprint is that of a group without one block: more blocks make it say more, and are more fingerprints.
+        self.ways = 2 if percent >= 85 else 3
         edges = [1]
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 1, int(edges[-1] * self.RATIO)))
@@ -103,38 +107,54 @@ class Scheme:
         """Those in which a row of n columns meets rows as large or smaller, and those in which it is the smaller one."""
         return range(self.class_of(max(1, -(-n * self.percent // 100))), self.class_of(n) + 1)
 
-    def blocks(self, k: int) -> int:
-        differ = self.most[k]
-        return differ + 1 + max(1, differ // 5)
+    def groups(self, k: int) -> tuple[int, int]:
+        """The number of groups, and how many of them at least differ in one column at most."""
+        crowded = self.most[k] // 2
+        spare = 1 + max(1, self.most[k] // 8)
+        return crowded + spare, spare
 
     def signatures(self, grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """Block fingerprints of one row, over its classes; frequent tells which of its n-grams many documents have."""
+        """Fingerprints of one row, over its classes; frequent tells which of its n-grams many documents have.
+
+        A dealing in which too many groups have an empty fingerprint is no
+        guarantee for the row.  Such a row goes on to another dealing, and so
+        does each like it: of two linked rows, the first dealing that serves
+        one of them is one that both take part in.
+        """
         found, mixed = [], T.mix(grams)
         for k in self.classes(len(grams)):
             if not self.most[k]:
                 continue  # in this class only equal sets link
-            count = self.blocks(k)
-            block = ((grams >> T.U64(32)) * T.U64(count) >> T.U64(32)).astype(np.int64)
-            begins = np.flatnonzero(np.diff(block, prepend=-1))
-            sums = np.add.reduceat(mixed, begins)
-            held = np.diff(np.append(begins, len(grams)))
-            rare = held - np.add.reduceat(frequent.astype(np.int64), begins)
-            # A level by a block's content alone: equal blocks have equal levels in both rows.
-            level = np.minimum(rare, 3) * 4 + np.minimum(held, 3)
-            may_drop = count - self.most[k] - 1
-            empty = count - len(begins)
-            lowest = 0
-            if may_drop >= empty:
-                levels = np.sort(level)
-                spare = may_drop - empty
-                lowest = levels[spare] if spare < len(levels) else levels[-1]
-            keep = level >= lowest
-            own = T.mix(sums[keep] + block[begins[keep]].astype(np.uint64) * T.U64(0x9E3779B97F4A7C15) + T.U64((k + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)))
-            found.append(own)
-            if may_drop < empty:  # too few filled blocks to be sure of a shared one: such rows also meet by their emptiness
+            for dealing in range(self.DEALINGS):
+                own, sure = self._dealt(k, dealing, grams, mixed, frequent)
+                found.append(own)
+                if sure:
+                    break
+            else:  # what no dealing serves meets by that
                 found.append(T.mix(np.array([k + 1], np.uint64) * T.U64(0xD6E8FEB86659FD93)))
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
+    def _dealt(self, k: int, dealing: int, grams: np.ndarray, mixed: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Fingerprints of one dealing of the columns into blocks, and whether linked rows are sure to share one."""
+        (count, sure), ways = self.groups(k), self.ways
+        place = grams if not dealing else T.mix(grams ^ T.U64(dealing * 0x8CB92BA72F3D8DD7 % (1 << 64)))
+        if dealing:
+            order = np.argsort(place)
+            place, mixed, frequent = place[order], mixed[order], frequent[order]
+        block = ((place >> T.U64(32)) * T.U64(count * ways) >> T.U64(32)).astype(np.int64)
+        begins = np.flatnonzero(np.diff(block, prepend=-1))
+        sums, held, rare = np.zeros(count * ways, np.uint64), np.zeros(count * ways, np.int64), np.zeros(count * ways, np.int64)
+        sums[block[begins]] = np.add.reduceat(mixed, begins)
+        held[block[begins]] = np.diff(np.append(begins, len(grams)))
+        rare[block[begins]] = held[block[begins]] - np.add.reduceat(frequent.astype(np.int64), begins)
+        without = lambda x: x.reshape(count, ways).sum(axis=1, keepdims=True, dtype=x.dtype) - x.reshape(count, ways)
+        # A level by content alone, so that equal fingerprints have equal levels in both rows; 0 for an empty one.
+        level = np.minimum(without(rare), 7) * 8 + np.minimum(without(held), 7)
+        lowest = int(np.sort(level.min(axis=1))[sure - 1])
+        keep = level >= max(lowest, 1)
+        which = np.arange(count * ways, dtype=np.uint64).reshape(count, ways) + T.U64((k * self.DEALINGS + dealing + 1) << 32)
+        return T.mix(without(sums)[keep] + T.mix(which[keep])), lowest > 0
+
 
 def frequent_grams(docs: DataFrame, size: int) -> np.ndarray:
     """Packed bits, one for each counter: whether it stands well above the mean."""
@@ -182,9 +202,13 @@ def _candidates(docs: DataFrame, size: int, percent: int, bits: np.ndarray) -> D
 
         def sent():
             signs, docs_of = (np.concatenate(x) for x in zip(*held, strict=True))
-            parts = list(K.split_by((signs % T.U64(count)).astype(np.int64), count, signs, docs_of))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([K.pack(*p) for _, p in parts], pa.binary())], names=["target", "packed"])
+            out = []
+            for k, (own, whose) in K.split_by((signs % T.U64(count)).astype(np.int64), count, signs, docs_of):
+                # Five bytes of a fingerprint tell apart what meets in one task; a false meeting is found out later.
+                begins = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
+                out.append((k, K.pack((own >> T.U64(32)).astype(np.uint32), (own >> T.U64(24)).astype(np.uint8), whose[begins], np.diff(np.append(begins, len(whose))).astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["target", "packed"])
 
         for batch, data, offsets in T.slices(batches, "text"):
             grams, bounds = gram_sets(data, offsets, size)
@@ -218,8 +242,9 @@ def _candidates(docs: DataFrame, size: int, percent: int, bits: np.ndarray) -> D
                     [pa.array(ids, mask=missing), pa.array(sizes), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())], names=["a", "b", "digest"]
                 )
             else:
-                signs.append(arrays[0])
-                docs_of.append(arrays[1])
+                high, low, whose, lengths = arrays
+                signs.append(high.astype(np.uint64) << T.U64(8) | low)
+                docs_of.append(np.repeat(whose, lengths))
         if not signs:
             return
         signs, docs_of = np.concatenate(signs), np.concatenate(docs_of)

@@ -18,6 +18,7 @@ priors; an empty table gives an empty one; other input columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Callable
 
@@ -42,12 +43,11 @@ LONG_WORD = 128
 class Pieces:
     """A vocabulary: the pieces' bytes, whether they begin a word, and prior weights that sum to 1."""
 
-    def __init__(self, path: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        with open(path, "rb") as file:
-            self.model = file.read()
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+        self.model = model
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         p = self.processor
         n = p.get_piece_size()
         self.size, self.end = n, p.eos_id()
@@ -73,20 +73,18 @@ class Pieces:
         self.prior = prior / prior.sum()
 
     def __reduce__(self):
-        return _pieces_from, (self.model,)
+        return pieces_of, (self.model,)
 
+    @staticmethod
+    def read(path: str) -> Pieces:
+        with open(path, "rb") as file:
+            return pieces_of(file.read())
 
-def _pieces_from(model: bytes) -> Pieces:
-    import os
-    import tempfile
 
-    # The library's object isn't kept between processes; it is made anew from the model's bytes.
-    with tempfile.NamedTemporaryFile(delete=False) as file:
-        file.write(model)
-    try:
-        return Pieces(file.name)
-    finally:
-        os.unlink(file.name)
+@functools.lru_cache(maxsize=2)
+def pieces_of(model: bytes) -> Pieces:
+    """One vocabulary a worker process; the library's object is made anew from the model's bytes there."""
+    return Pieces(model)
 
 
 def probabilities(counts: np.ndarray, pieces: Pieces, strength: float = 1000.0) -> np.ndarray:
@@ -344,7 +342,7 @@ def _finish(tokens: int, distinct: int, ends: int, end_log: float):
 def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", held_out: Callable[[list], np.ndarray] = held_out_ids) -> DataFrame:
     """One row a document: OUT. score is the log10 probability of the text, base_score that under smoothed word counts; both learn from the documents not held out."""
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    count, pieces = partitions(docs.sparkSession), Pieces(vocabulary_path)
+    count, pieces = partitions(docs.sparkSession), Pieces.read(vocabulary_path)
     spread = checkpoint(docs.transform(arrow, _spread(count, held_out), ROW))
     ends = spread.where(f"kind = {TRAINED}").agg(F.coalesce(F.sum("target"), F.lit(0))).first()[0]
     owned = checkpoint(K.deal(spread.where(f"kind = {WORDS}"), count=count).select("packed").transform(arrow, _own, ROW))

@@ -191,7 +191,7 @@ def test_lattice_tokens_and_base_scores(spark, sf_dir):
 
 
 def test_lattice_sums_all_segmentations():
-    pieces = lattice.Pieces(PIECES)
+    pieces = lattice.Pieces.read(PIECES)
     model = lattice.Lattice(pieces, lattice.probabilities(np.zeros(pieces.size), pieces))
     words = [b"the", b"x", "été".encode(), b"hello", b"\xff", b"a" * 140]
 
