@@ -233,16 +233,11 @@ def _candidates(docs: DataFrame, size: int, percent: int, bits: np.ndarray) -> D
 
     def meet(batches):
         signs, docs_of = [], []
-        for target, packed in K.rows_of(batches, "kind", "packed"):
-            arrays = K.unpack(packed)
-            if target < 0:
-                ids, missing, sizes, digests = arrays
-                raw = digests.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=missing), pa.array(sizes), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())], names=["a", "b", "digest"]
-                )
+        for target, kind, packed in K.rows_of(batches, "target", "kind", "packed"):
+            if kind < 0:
+                yield _packed([(target, kind, packed)])
             else:
-                high, low, whose, lengths = arrays
+                high, low, whose, lengths = K.unpack(packed)
                 signs.append(high.astype(np.uint64) << T.U64(8) | low)
                 docs_of.append(np.repeat(whose, lengths))
         if not signs:
@@ -254,11 +249,35 @@ def _candidates(docs: DataFrame, size: int, percent: int, bits: np.ndarray) -> D
         leader = np.repeat(docs_of[first], np.diff(np.append(first, len(signs))))
         other = leader != docs_of
         pairs = _forest(np.unique(np.stack([leader[other], docs_of[other]], axis=1), axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], names=["a", "b", "digest"])
+        home = (T.mix(pairs[:, 0].astype(np.int64).view(np.uint64)) % T.U64(count)).astype(np.int64)
+        yield _packed([(k, 0, K.pack(*held)) for k, held in K.split_by(home, count, pairs[:, 0].copy(), pairs[:, 1].copy())])
 
+    def settle(batches):
+        """Two documents share many fingerprints, found in many tasks: their link is kept once."""
+        held = []
+        for kind, packed in K.rows_of(batches, "kind", "packed"):
+            arrays = K.unpack(packed)
+            if kind < 0:
+                ids, missing, sizes, digests = arrays
+                raw = digests.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, mask=missing), pa.array(sizes), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())], names=["a", "b", "digest"]
+                )
+            else:
+                held.append(np.stack(arrays, axis=1))
+        if held:
+            pairs = _forest(np.unique(np.concatenate(held), axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.binary())], names=["a", "b", "digest"])
+
+    schema = "target int, kind int, packed binary"
     signed = docs.transform(arrow, sign, "target int, packed binary")
     dealt = signed.select(F.when(F.col("target") < 0, -1 - F.col("target")).otherwise(F.col("target")).alias("target"), F.col("target").alias("kind"), "packed")
-    return K.deal(dealt, count=count).transform(arrow, meet, "a long, b long, digest binary")
+    met = K.deal(dealt, count=count).transform(arrow, meet, schema)
+    return K.deal(met, count=count).transform(arrow, settle, "a long, b long, digest binary")
+
+
+def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["target", "kind", "packed"])
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
