@@ -44,7 +44,7 @@ from .cluster import arrow, checkpoint, connected_components, partitions, pick
 
 COUNTERS = 1 << 22
 #: Rows, and n-grams, of a row block.
-BLOCK_ROWS, BLOCK_GRAMS = 64, 400_000
+BLOCK_ROWS, BLOCK_GRAMS = 256, 400_000
 LEADERS = 4
 #: Slots of the table that tells whose sets are needed; more documents make more false hits, not wrong ones.
 MEMBER_SLOTS = 1 << 20

@@ -343,8 +343,10 @@ def near_copies() -> list[tuple]:
     return [(i, t, None, None, None) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (1, 70)])
-def test_jaccard_classes_are_exact(spark, size, percent):
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 256), (5, 80, 16), (1, 70, 40)])
+def test_jaccard_classes_are_exact(spark, monkeypatch, size, percent, block):
+    """Also where components are much larger than a block."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     rows = near_copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(frame(spark, rows), size, percent).collect()}
     assert got == plain.jaccard_classes([r[:2] for r in rows], size, percent)
