@@ -11,6 +11,7 @@ table gives an empty one; other input columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from .cluster import arrow, checkpoint, pick
 
 SYMBOLS = T.table(b"#*$%&|<>")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: What rules read besides the measures that are returned.
+INNER = ("n_lines",)
 WINDOW = 3
 
 
@@ -70,6 +73,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_symbols": symbols,
         "n_dup_lines": T.sum_by_row(later, line_bounds),
         "n_repeat_words": T.sum_by_row(covered, bounds),
+        "n_lines": np.diff(line_bounds),
     }
 
 
@@ -78,26 +82,34 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         found = measure(data, offsets)
         keep = [name for name in batch.schema.names if name != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index(name)) for name in keep] + [pa.array(found[name].astype(np.int64)) for name in MEASURES],
-            names=keep + list(MEASURES),
+            [batch.column(batch.schema.get_field_index(name)) for name in keep] + [pa.array(found[name].astype(np.int64)) for name in MEASURES + INNER],
+            names=keep + [*MEASURES, *INNER],
         )
 
 
 def text_measures(docs: DataFrame) -> DataFrame:
-    """MEASURES instead of the column `text`; the other columns stay."""
+    """MEASURES and INNER instead of the column `text`; the other columns stay."""
     keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.transform(arrow, _measure_batches, f"{keep}, " + ", ".join(f"{name} long" for name in MEASURES))
+    return docs.transform(arrow, _measure_batches, f"{keep}, " + ", ".join(f"{name} long" for name in MEASURES + INNER))
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the rules. A host is rejected when one of its shrunk rates is above `host_limit`."""
+    """Limits of the rules.
+
+    A host is rejected when the shrunk rate of one rule is above `host_limit`, or
+    that of documents failing any rule is above `any_limit`. With `own_rules` a
+    document also goes when it fails the rules `symbols` or `lines` itself.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbols_percent: int = 100
     max_dup_lines: int = 1000
     host_limit: float = 0.9
+    max_dup_percent: int = 100
+    any_limit: float = 1.0
+    own_rules: bool = False
 
     def failures(self) -> dict[str, Column]:
         words = F.col("n_words")
@@ -105,13 +117,33 @@ class Rules:
             "short": words < self.min_words,
             "repeats": 100 * F.col("n_repeat_words") > self.max_repeat_percent * words,
             "symbols": 100 * F.col("n_symbols") > self.max_symbols_percent * words,
-            "lines": F.col("n_dup_lines") > self.max_dup_lines,
+            "lines": (F.col("n_dup_lines") > self.max_dup_lines) | (100 * F.col("n_dup_lines") > self.max_dup_percent * F.col("n_lines")),
         }
 
     def base(self) -> Column:
         found = self.failures()
         return found["short"] | found["repeats"]
 
+    def own(self) -> Column:
+        found = self.failures()
+        return self.base() | found["symbols"] | found["lines"] if self.own_rules else self.base()
+
+    def own_of(self, m: dict[str, np.ndarray]) -> np.ndarray:
+        """`own` of measures in arrays."""
+        failed = (m["n_words"] < self.min_words) | (100 * m["n_repeat_words"] > self.max_repeat_percent * m["n_words"])
+        if self.own_rules:
+            failed = failed | (100 * m["n_symbols"] > self.max_symbols_percent * m["n_words"])
+            failed = failed | (m["n_dup_lines"] > self.max_dup_lines) | (100 * m["n_dup_lines"] > self.max_dup_percent * m["n_lines"])
+        return failed
+
+    def rejected(self) -> Column:
+        """Of a row of `host_rates`."""
+        return (_worst_rate(self) > self.host_limit) | (F.col("rate_any") > self.any_limit)
+
+
+#: Limits that hosts reach: most documents fail, by one rule or another; a document also goes by its own symbols and lines.
+STRICT = Rules(max_dup_percent=30, host_limit=0.5, any_limit=0.5, own_rules=True)
+
 
 def beta_prior(hosts: float, mean: float | None, variance: float | None) -> tuple[float, float]:
     """Parameters of a beta distribution with the moments of the hosts' rates; total weight between 2 and 1000."""
@@ -132,11 +164,13 @@ def _worst_rate(rules: Rules) -> Column:
 
 
 def host_rates(measured: DataFrame, rules: Rules) -> DataFrame:
-    """One row a host: key, rows, and for each rule failures_<rule> and the shrunk rate_<rule>."""
-    names = list(rules.failures())
+    """One row a host: key, rows, and for each rule, and for `any` of them, failures_<rule> and the shrunk rate_<rule>."""
+    found = rules.failures()
+    found["any"] = functools.reduce(Column.__or__, found.values())
+    names = list(found)
     hosts = checkpoint(
         measured.groupBy("host_key").agg(
-            F.count("*").alias("n_rows"), *[F.sum(failed.cast("long")).alias(f"failures_{name}") for name, failed in rules.failures().items()]
+            F.count("*").alias("n_rows"), *[F.sum(failed.cast("long")).alias(f"failures_{name}") for name, failed in found.items()]
         )
     )
     moments = hosts.agg(
@@ -152,15 +186,14 @@ def host_rates(measured: DataFrame, rules: Rules) -> DataFrame:
 def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row a document: id, host, MEASURES, base_failed, kept, host_rate (the highest shrunk rate of its host).
 
-    Only hosts whose shrunk failure rate is above the limit lose the documents
+    Only hosts whose shrunk failure rate is above a limit lose the documents
     that pass by themselves, so a clean document on an ordinary host stays.
     """
     narrow = pick(docs, doc_id=id_col, host=host_col, text=text_col)
     measured = checkpoint(text_measures(narrow).withColumn("host_key", host_key(F.col("host"))))
     hosts = host_rates(measured, rules)
-    judged = measured.join(hosts.select("host_key", _worst_rate(rules).alias("host_rate")), "host_key")
-    base = rules.base()
-    return judged.select("doc_id", "host", *MEASURES, base.alias("base_failed"), (~base & (F.col("host_rate") <= rules.host_limit)).alias("kept"), "host_rate")
+    judged = measured.join(hosts.select("host_key", _worst_rate(rules).alias("host_rate"), rules.rejected().alias("host_rejected")), "host_key")
+    return judged.select("doc_id", "host", *MEASURES, rules.base().alias("base_failed"), (~rules.own() & ~F.col("host_rejected")).alias("kept"), "host_rate")
 
 
 #: Rejected hosts are broadcast up to so many, of under 300 bytes each.
@@ -170,9 +203,7 @@ BROADCAST_HOSTS = 20_000
 def _failing_batches(rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in T.slices(batches, "__text"):
-            m = measure(data, offsets)
-            failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
-            kept = batch.filter(pa.array(~failed))
+            kept = batch.filter(pa.array(~rules.own_of(measure(data, offsets))))
             yield kept.select([n for n in kept.schema.names if n != "__text"])
 
     return run
@@ -182,7 +213,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", h
     """The rows of `docs`, with all their columns, that `judge` keeps; judged row by row, so no row is shuffled with its text."""
     narrow = pick(docs, host=host_col, text=text_col)
     measured = text_measures(narrow).withColumn("host_key", host_key(F.col("host")))
-    rejected = checkpoint(host_rates(measured, rules).where(_worst_rate(rules) > rules.host_limit).select(F.col("host_key").alias("__host")))
+    rejected = checkpoint(host_rates(measured, rules).where(rules.rejected()).select(F.col("host_key").alias("__host")))
     passing = docs.withColumn("__text", docs[f"`{text_col}`"]).transform(arrow, _failing_batches(rules), docs.schema)
     if rejected.count() <= BROADCAST_HOSTS:
         rejected = F.broadcast(rejected)

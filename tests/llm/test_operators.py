@@ -480,6 +480,21 @@ def test_a_bad_host_loses_its_documents_and_others_do_not(spark):
     assert sorted(r["doc_id"] for r in quality.keep_good(frame(spark, rows)).collect()) == sorted(i for i, k in got.items() if k)
 
 
+def test_strict_rules_judge_hosts_by_any_failure_and_documents_by_their_own(spark):
+    """A host whose documents fail a third each by three rules goes; elsewhere only documents that fail by themselves do."""
+    junk = ["short", prose(80, 500) + " $$$" * 60, "\n".join(f"line {i % 30} " + f"v{i % 30} u{i % 30}" for i in range(60))]
+    rows = [(i, junk[i % 3] if i % 4 else prose(80, 500), "en", "farm", 3) for i in range(120)]
+    rows += [(1000 + i, prose(80, 500), "en", f"good{i % 5}", 3) for i in range(200)]
+    rows += [(2000 + i, junk[1 + i % 2], "en", f"good{i % 5}", 3) for i in range(10)]
+    rows += [(3000, prose(30, 500) + "\n" + "\n".join(["same"] * 3 + [prose(1, 500) + f" a{i}" for i in range(30)]), "en", "good1", 3)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows), quality.STRICT).collect()}
+    assert not any(got[i] for i in range(120)) and not any(got[2000 + i] for i in range(10))
+    assert all(got[1000 + i] for i in range(200)) and got[3000]
+    assert sorted(r["doc_id"] for r in quality.keep_good(frame(spark, rows), quality.STRICT).collect()) == sorted(i for i, k in got.items() if k)
+    loose = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows)).collect()}
+    assert any(loose[i] for i in range(120))
+
+
 # Queries and the pipeline.
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_matches_sql(spark, sf_dir, name):
