@@ -21,6 +21,10 @@ size, overlaps are accumulated from the columns' postings, and pairs outside
 the size bounds, or already connected, are passed over.  A component larger
 than a block first meets its leaders; only what these leave apart meets in
 pairs of blocks.  All linked documents end up connected; nothing is capped.
+That is enough for classes alone (`keep_one`).  Where links are counted
+(`join_documents`), all blocks of a component meet in pairs and every pair of
+rows within the size bounds is looked at; copies count by their number and are
+not expanded.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing; so does a row without an id, whose component is null;
@@ -46,6 +50,8 @@ COUNTERS = 1 << 22
 #: Rows, and n-grams, of a row block.
 BLOCK_ROWS, BLOCK_GRAMS = 256, 400_000
 LEADERS = 4
+#: Row blocks of the product that counts links hold so many times as many rows, since all of a component meet.
+COUNT_BLOCKS = 4
 #: Slots of the table that tells whose sets are needed; more documents make more false hits, not wrong ones.
 MEMBER_SLOTS = 1 << 20
 
@@ -327,6 +333,70 @@ def link_rows(ids: list[int], sets: list[np.ndarray], sides: list[int], percent:
     return links
 
 
+def count_links(sets: list[np.ndarray], copies: list[int], sides: list[int], percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each row the documents of the rows it links with, and links by position that connect what links.
+
+    sides: rows of two sides meet only those of the other one; rows of one side
+    all meet.
+    """
+    sizes, copies, side = np.array([len(s) for s in sets]), np.array(copies, np.int64), np.array(sides)
+    both = side.min() != side.max()
+    columns, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    row_of = np.repeat(np.arange(len(sets)), sizes)
+    held = side[row_of] == 1 if both else np.ones(len(row_of), bool)
+    posting = np.flatnonzero(held)[np.argsort(inverse[held], kind="stable")]
+    posting_rows = row_of[posting]
+    edges = np.searchsorted(inverse[posting], np.arange(len(columns) + 1))
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    root, links, degrees = np.arange(len(sets)), [], np.zeros(len(sets), np.int64)
+    for i in np.flatnonzero(side == 0) if both else range(1, len(sets)):
+        near = (sizes * 100 >= percent * sizes[i]) & (sizes[i] * 100 >= percent * sizes)
+        near = np.flatnonzero(near & (side == 1) if both else near[:i])
+        if not len(near):
+            continue
+        own = inverse[begins[i] : begins[i + 1]]
+        lengths = edges[own + 1] - edges[own]
+        starts = np.repeat(edges[own] - np.concatenate([[0], np.cumsum(lengths[:-1])]), lengths)
+        overlap = np.bincount(posting_rows[starts + np.arange(int(lengths.sum()))], minlength=len(sets))[near]
+        linked = near[100 * overlap >= percent * (sizes[i] + sizes[near] - overlap)]
+        degrees[i] += copies[linked].sum()
+        degrees[linked] += copies[i]
+        for j in linked[root[linked] != root[i]]:
+            if root[i] != root[j]:
+                links.append((int(j), int(i)))
+                root[root == root[j]] = root[i]
+    return degrees, links
+
+
+def _counted(members: DataFrame, percent: int) -> DataFrame:
+    """members: component, doc, digest, copies, n, grams -> rows of two kinds: digest set: so many links n of its; digest null: link (a, b), enough of them to connect all linked documents."""
+    shape = members.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("columns"))
+    shape = shape.where("rows > 1").select("component", F.greatest(F.ceil(F.col("rows") / (BLOCK_ROWS * COUNT_BLOCKS)), F.ceil(F.col("columns") / BLOCK_GRAMS)).alias("blocks"))
+    met = members.join(shape, "component").withColumn("block", _block("digest", "blocks"))
+    met = met.select("*", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
+    met = met.select(
+        "component", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "doc", "digest", "copies", "grams"
+    )
+
+    def run(batches):
+        for _, held in K.grouped(batches, ("component", "block_a", "block_b"), ("doc", "digest", "copies", "side", "grams")):
+            docs, digests, copies, sides, packed = zip(*held, strict=True)
+            degrees, links = count_links([K.unpack(x)[0] for x in packed], list(copies), list(sides), percent)
+            some = np.flatnonzero(degrees)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([None] * len(some) + [docs[a] for a, _ in links], pa.int64()),
+                    pa.array([None] * len(some) + [docs[b] for _, b in links], pa.int64()),
+                    pa.array([digests[k] for k in some] + [None] * len(links), pa.binary()),
+                    pa.array([*degrees[some].tolist(), *[None] * len(links)], pa.int64()),
+                ],
+                names=["a", "b", "digest", "n"],
+            )
+
+    keys = ["component", "block_a", "block_b"]
+    return met.repartition(partitions(met.sparkSession), *keys).sortWithinPartitions(*keys).transform(arrow, run, "a long, b long, digest binary, n long")
+
+
 def _links(rows: DataFrame, percent: int) -> DataFrame:
     """rows: component, block_a, block_b, doc, side, grams -> (a, b)."""
 
@@ -381,20 +451,30 @@ def _product(members: DataFrame, percent: int) -> DataFrame:
 
 
 def join_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles (its set's size) and component_id (the smallest id that links reach, its own included)."""
+    """One row a document: doc_id, n_shingles (its set's size), component_id (the smallest id that links reach, its own included) and n_links.
+
+    n_links is the number of other documents that link with this one, copies
+    included; half its sum over a class is the number of links of the class.  An
+    id with different texts counts once for each.
+    """
+    return _joined(docs, size, percent, id_col, text_col, counted=True)
+
+
+def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, counted: bool) -> DataFrame:
+    """`join_documents`; n_links only if counted."""
     narrow = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     bits = frequent_grams(narrow.select("text"), size)
     found = checkpoint(_candidates(narrow, size, percent, bits))
     sized = found.where("digest is not null").select(F.col("a").alias("doc"), F.col("b").alias("n"), "digest")
     near = found.where("digest is null").select("a", "b")
     linkable = sized.where("n > 0 and doc is not null")
-    heads = checkpoint(linkable.groupBy("digest").agg(F.min("doc").alias("head")))
+    heads = checkpoint(linkable.groupBy("digest").agg(F.min("doc").alias("head"), F.count_distinct("doc").alias("copies")))
     headed = checkpoint(linkable.join(heads, "digest"))
     copies = headed.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
 
     groups = connected_components(near.union(copies))
-    own = headed.where("doc = head").select("doc", "digest").distinct()
-    members = checkpoint(groups.withColumnRenamed("node", "doc").join(own, "doc").select("doc", "component", "digest"))
+    own = heads.select(F.col("head").alias("doc"), "digest", "copies")
+    members = checkpoint(groups.withColumnRenamed("node", "doc").join(own, "doc").select("doc", "component", "digest", "copies"))
     wanted = _member_slots(members)
 
     def sets(batches):
@@ -411,10 +491,20 @@ def join_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
                 )
 
     held = narrow.transform(arrow, sets, "doc long, digest binary, n long, grams binary").join(members, ["doc", "digest"])
-    held = held.dropDuplicates(["doc", "digest"]).select("component", "doc", "n", "grams")
-    links = checkpoint(_product(held, percent))
+    held = held.dropDuplicates(["doc", "digest"])
+    if counted:
+        product = checkpoint(_counted(held, percent))
+        links, degrees = product.where("digest is null").select("a", "b"), product.where("digest is not null").groupBy("digest").agg(F.sum("n").alias("links"))
+    else:
+        links = checkpoint(_product(held.select("component", "doc", "n", "grams"), percent))
     classes = connected_components(links).withColumnRenamed("component", "class")
 
+    if counted:
+        told = heads.join(classes, F.col("head") == F.col("node"), "left").join(degrees, "digest", "left")
+        told = told.select("digest", F.coalesce("class", "head").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        alone = sized.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        out = linkable.join(told, "digest").select("doc", "n", "component_id", "n_links").union(alone)
+        return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")
     linked = headed.join(classes, F.col("head") == F.col("node"), "left").select("doc", "n", F.coalesce("class", "head").alias("component_id"))
     alone = sized.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
     return linked.union(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
@@ -422,6 +512,6 @@ def join_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, without those that link to a smaller id; of each group the document with its smallest id stays."""
-    joined = join_documents(docs, size, percent, id_col, text_col)
+    joined = _joined(docs, size, percent, id_col, text_col, counted=False)
     gone = checkpoint(joined.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs[f"`{id_col}`"].cast("long") == F.col("__gone"), "left_anti")

@@ -358,6 +358,27 @@ def test_jaccard_on_documents(spark, sf_dir):
     assert got == plain.jaccard_classes([r[:2] for r in rows], 3, 90)
 
 
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 256), (5, 80, 4), (1, 70, 10)])
+def test_jaccard_counts_all_links(spark, monkeypatch, size, percent, block):
+    """Also those that classes don't need, those between copies and those between blocks; an id that is there twice counts once."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    rows = near_copies()
+    rows += [(2000 + i, rows[7 * i % 50][1], None, None, None) for i in range(60)] + [(3000, None, None, None, None)]
+    sets = {r[0]: plain.shingles(r[1], size) for r in rows}
+    want = {i: sum(i != j and bool(a) and 100 * len(a & b) >= percent * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    got = [(r["doc_id"], r["n_links"]) for r in jaccard.join_documents(frame(spark, rows + rows[:20]), size, percent).collect()]
+    assert len(got) == len(rows) + 20 and dict(got) == want and max(want.values()) > 50
+    assert all(n == want[i] for i, n in got)
+
+
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 256), (5, 80, 16), (1, 70, 40)])
+def test_classes_without_counting_are_exact(spark, monkeypatch, size, percent, block):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    rows = near_copies()
+    classes = plain.jaccard_classes([r[:2] for r in rows], size, percent)
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(frame(spark, rows), size, percent).collect()) == sorted({c for _, c in classes.values()})
+
+
 def test_keep_one_of_each_class(spark):
     rows = near_copies()
     classes = plain.jaccard_classes([r[:2] for r in rows], 5, 80)
