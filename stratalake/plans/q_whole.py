@@ -1,0 +1,17 @@
+"""Queries over whole tables, beside those of the same name whose SQL reads a part; tests hold them against plain versions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import basis as B
+from ..operators import algebra as A
+from .registry import register, rounded
+
+
+@register("r08_dense_model_all")
+def _(t):
+    time = F.col("t")
+    terms = {"reference": F.lit(1.0), "linear": B.linear(time, 1995.0), "seasonal_sin": B.harmonic(time, 1995.0, 1.0), "seasonal_cos": B.harmonic(time, 1995.0, 1.0, True)}
+    found = A.dense_model(t.coefs, terms, 1995.0, 8.0, 100).select("pixel", "k", "t", "model")
+    return rounded(rounded(found, "model", digits=5), "t")

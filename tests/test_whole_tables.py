@@ -1,0 +1,18 @@
+"""Queries over whole tables against plain versions in memory."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from stratalake.plans import queries
+from stratalake.plans.tables import Tables
+
+
+def test_dense_model_of_every_pixel(spark, sf_dir):
+    coefs = Tables(spark, sf_dir).coefs.toPandas().set_index("pixel")
+    got = queries.QUERIES["r08_dense_model_all"](spark, sf_dir).toPandas()
+    assert len(got) == 100 * len(coefs) and set(got["pixel"]) == set(coefs.index)
+    assert set(map(tuple, got[["pixel", "k"]].to_numpy().tolist())) == {(p, k) for p in coefs.index for k in range(100)}
+    c, years = coefs.loc[got["pixel"]], 8 / 99 * got["k"].to_numpy()
+    want = c["reference"] + c["linear"] * years + c["seasonal_sin"] * np.sin(2 * np.pi * years) + c["seasonal_cos"] * np.cos(2 * np.pi * years)
+    assert np.allclose(got["t"], 1995 + years, atol=1e-6) and np.allclose(got["model"], want, atol=2e-5)
