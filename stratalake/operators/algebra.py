@@ -96,11 +96,11 @@ def pair_difference(pairs: DataFrame, maps: DataFrame, value: str, keys: Sequenc
     return joined.select("date1", "date2", *keys, (F.col("v2") - F.col("v1")).alias(value))
 
 
-def loop_bias(pixels: DataFrame, loops: DataFrame) -> DataFrame:
-    """Loops (loop, date1, date2, sign: 1 for the short pairs, -1 for the long one): the signed sum of phases per cell, less its mean over the loop."""
+def loop_bias(pixels: DataFrame, loops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Loops (loop, date1, date2, sign: 1 for the short pairs, -1 for the long one): the signed sum of phases per cell, less its mean over the loop, for each key `by`."""
     closed = loops.join(pixels, ["date1", "date2"])
-    need = Window.partitionBy("loop")
-    sums = closed.groupBy("loop", *CELL).agg(F.sum(F.col("sign") * F.col("phase")).alias("bias"), F.count("phase").alias("n"))
+    need = Window.partitionBy("loop", *by)
+    sums = closed.groupBy("loop", *by, *CELL).agg(F.sum(F.col("sign") * F.col("phase")).alias("bias"), F.count("phase").alias("n"))
     sizes = loops.groupBy("loop").agg(F.count("*").alias("need"))
     whole = sums.join(sizes, "loop").where("n = need")
     return whole.withColumn("bias", F.col("bias") - F.avg("bias").over(need)).drop("n", "need")

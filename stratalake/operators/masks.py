@@ -133,14 +133,14 @@ def reference_in_space(cube: DataFrame, zone: Column, value: str, by: Sequence[s
     return joined.withColumn(value, F.col(value) - F.coalesce("zone_mean", F.lit(0.0))).drop("zone_mean")
 
 
-def clean_cube(cube: DataFrame, *, percent: float, mask_below: float, crop: Column | None = None, zone: Column, demerr: bool = False, bperp_reference: float = 0.0) -> DataFrame:
-    """Per date: values outside the percentiles, on masked cells or outside the region become null, then the zone's mean goes, then a DEM-error term dem (b - b_ref) / 100."""
-    found = with_bounds(cube, "value", 100 - percent, percent, ("date",))
+def clean_cube(cube: DataFrame, *, percent: float, mask_below: float, crop: Column | None = None, zone: Column, demerr: bool = False, bperp_reference: float = 0.0, by: Sequence[str] = ("date",)) -> DataFrame:
+    """Per date, or another key: values outside the percentiles, on masked cells or outside the region become null, then the zone's mean goes, then a DEM-error term dem (b - b_ref) / 100."""
+    found = with_bounds(cube, "value", 100 - percent, percent, by)
     keep = F.col("value").between(F.col("lo"), F.col("hi")) & (F.col("mask") <= mask_below)
     if crop is not None:
         keep &= crop
     cleaned = found.withColumn("value", F.when(keep, F.col("value"))).drop("lo", "hi")
-    cleaned = reference_in_space(cleaned, zone, "value", ("date",))
+    cleaned = reference_in_space(cleaned, zone, "value", by)
     if demerr:
         cleaned = cleaned.withColumn("value", F.col("value") - F.col("dem") * (F.col("bperp") - bperp_reference) / 100)
     return cleaned

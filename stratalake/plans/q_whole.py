@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import basis as B
+from ..functions.basis import Term
 from ..operators import algebra as A
+from ..operators import correction, solve
+from ..operators import masks as M
 from .registry import register, rounded
 
 
@@ -15,3 +18,74 @@ def _(t):
     terms = {"reference": F.lit(1.0), "linear": B.linear(time, 1995.0), "seasonal_sin": B.harmonic(time, 1995.0, 1.0), "seasonal_cos": B.harmonic(time, 1995.0, 1.0, True)}
     found = A.dense_model(t.coefs, terms, 1995.0, 8.0, 100).select("pixel", "k", "t", "model")
     return rounded(rounded(found, "model", digits=5), "t")
+
+
+def _coefs(df, by, names):
+    return rounded(df.select(*by, "n", *[f"m_{n}" for n in names]), digits=5)
+
+
+def _wrapped(cells):
+    return cells.withColumns({"line": F.col("line") % 10, "col": F.col("col") % 10})
+
+
+# Ramps of every order with its topographic form, by frame and date.
+for _flat, _ivar, _nfit in [(0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 0, 0), (4, 1, 0), (5, 0, 0), (6, 0, 0), (7, 0, 0), (8, 0, 0), (9, 0, 0)]:
+
+    @register(f"v07_ramp_{_flat}{_ivar}{_nfit}_all")
+    def _(t, flat=_flat, ivar=_ivar, nfit=_nfit):
+        rows, by = _wrapped(t.dates_px), ["frame", "date"]
+        fitted = correction.fit_ramps(rows, by, flat, ivar, nfit, elevation=True)
+        back = correction.remove_ramps(rows, fitted, by, elevation=True)
+        return rounded(back.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("value") ** 2)).alias("rms"), F.avg("ramp").alias("mean_ramp")), digits=4)
+
+
+@register("v07b_pair_ramp_all")
+def _(t):
+    terms = correction.ramp_terms(3, elevation=True, pair=True)
+    return _coefs(solve.fit(t.px.where("phase <> 0"), F.col("phase"), terms, ["date1"], F.col("coh")), ["date1"], [x.name for x in terms])
+
+
+for _mode in ("cst", "lin", "fit", "fit+quad"):
+
+    @register(f"v16_model_correction_{_mode.replace('+', '_')}_all")
+    def _(t, mode=_mode):
+        found = correction.model_correction(_wrapped(t.dates_px), mode, ["frame", "date"])
+        return rounded(found.groupBy("frame", "date").agg(F.count("*").alias("n"), F.stddev_pop("corrected").alias("std")), digits=4)
+
+
+@register("v17_weighted_model_ramp_all")
+def _(t):
+    return _coefs(correction.weighted_model_ramp(t.px, ["date1"]), ["date1"], ["r", "a", "cst"])
+
+
+@register("v18_stratified_phase_all")
+def _(t):
+    return _coefs(correction.stratified_phase(t.px, 1, 950.0, ["date1"], value="phase"), ["date1"], ["z0", "z1"])
+
+
+@register("j01_pair_pipeline_all")
+def _(t):
+    many = t.px.groupBy("date1", "date2").agg(F.count("*").alias("k")).where("k > 6")
+    cells = t.px.join(many, ["date1", "date2"], "left_semi")
+    rows = M.with_bounds(cells, "phase", 5, 95, ("date1", "date2")).where("phase <> 0 and phase > lo and phase < hi")
+    fitted = correction.fit_ramps(rows, ["date1"], 0, elevation=True, pair=True, value="phase")
+    done = correction.remove_ramps(cells, fitted, ["date1"], elevation=True, value="phase")
+    return rounded(done.select("date1", "date2", "line", "col", "phase"), digits=4)
+
+
+@register("f08_clean_cube_all")
+def _(t):
+    rows = t.dates_px.select("frame", "date", "line", "col", "value", F.col("rms").alias("mask"), F.col("elev").alias("dem"), F.col("date").cast("double").alias("bperp"))
+    found = M.clean_cube(rows, percent=98, mask_below=40, zone=F.col("line") < 5, demerr=True, bperp_reference=1997.0, by=("frame", "date"))
+    return rounded(found.select("frame", "date", "line", "col", "value"))
+
+
+@register("r18_loop_bias_all")
+def _(t):
+    years = [r["date"] for r in t.dates_px.select("date").distinct().orderBy("date").collect()]  # one row a year
+    triples = [(a, b, c) for a, b, c in zip(years, years[1:], years[2:], strict=False)]
+    pairs = t.spark.createDataFrame(sorted({p for a, b, c in triples for p in ((a, b), (b, c), (a, c))}), "date1 int, date2 int")
+    cells = A.pair_difference(pairs, t.dates_px.select("frame", "date", "line", "col", "value"), "value", ("frame", "line", "col"))
+    cells = cells.withColumn("phase", F.col("value") * F.when((F.col("date1") == 1996) & (F.col("date2") == 1997), 1.1).otherwise(1.0))
+    loops = t.spark.createDataFrame([x for i, (a, b, c) in enumerate(triples) for x in ((i, a, b, 1), (i, b, c, 1), (i, a, c, -1))], "loop int, date1 int, date2 int, sign int")
+    return rounded(A.loop_bias(cells.select("frame", "date1", "date2", "line", "col", "phase"), loops, ("frame",)))

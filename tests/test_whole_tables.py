@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
+import pandas as pd
+import pytest
 
+from stratalake.functions import ramps
 from stratalake.plans import queries
 from stratalake.plans.tables import Tables
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    """The next larger tables: groups of the smallest have too few rows to compare fits."""
+    return f"{os.path.dirname(os.environ.get('TEST_SF_DIR', '/root/testdata/sf0.001').rstrip('/'))}/sf0.01"
+
+
 def test_dense_model_of_every_pixel(spark, sf_dir):
     coefs = Tables(spark, sf_dir).coefs.toPandas().set_index("pixel")
     got = queries.QUERIES["r08_dense_model_all"](spark, sf_dir).toPandas()
@@ -16,3 +27,117 @@ def test_dense_model_of_every_pixel(spark, sf_dir):
     c, years = coefs.loc[got["pixel"]], 8 / 99 * got["k"].to_numpy()
     want = c["reference"] + c["linear"] * years + c["seasonal_sin"] * np.sin(2 * np.pi * years) + c["seasonal_cos"] * np.cos(2 * np.pi * years)
     assert np.allclose(got["t"], 1995 + years, atol=1e-6) and np.allclose(got["model"], want, atol=2e-5)
+
+
+ORDERS = [(0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 0, 0), (4, 1, 0), (5, 0, 0), (6, 0, 0), (7, 0, 0), (8, 0, 0), (9, 0, 0)]
+TERMS = {
+    "cst": lambda r, a, z: 1 + 0 * r, "r": lambda r, a, z: r, "r2": lambda r, a, z: r * r, "a": lambda r, a, z: a, "a2": lambda r, a, z: a * a, "a3": lambda r, a, z: a**3,
+    "ra": lambda r, a, z: r * a, "ra2": lambda r, a, z: (r * a) ** 2, "z": lambda r, a, z: z, "z2": lambda r, a, z: z * z, "az": lambda r, a, z: a * z,
+}
+
+
+def frame_of(spark, sf_dir, name):
+    return getattr(Tables(spark, sf_dir), name).toPandas().astype({c: float for c in ("line", "col")})
+
+
+def fitted(x, y, weight=1.0):
+    """Least squares by QR: coefficients and residuals."""
+    w = np.sqrt(weight + 0 * y)
+    m = np.linalg.lstsq(x * w[:, None], y * w, rcond=None)[0]
+    return m, y - x @ m
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_ramps_of_every_frame_and_date(spark, sf_dir, order):
+    rows = frame_of(spark, sf_dir, "dates_px")
+    got = queries.QUERIES["v07_ramp_{}{}{}_all".format(*order)](spark, sf_dir).toPandas().set_index(["frame", "date"])
+    groups = dict(list(rows.groupby(["frame", "date"])))
+    assert set(got.index) == set(groups) and got["n"].sum() == len(rows)
+    names = ramps.names(*order, True)
+    assert max(map(len, groups.values())) >= 100
+    for key, g in groups.items():
+        if len(g) < 100:
+            continue
+        place = g["col"].to_numpy() % 10, g["line"].to_numpy() % 10, g["elev"].to_numpy().astype(float)
+        _, rest = fitted(np.stack([TERMS[n](*place) for n in names], axis=1), g["value"].to_numpy().astype(float))
+        assert got.loc[key, "rms"] == pytest.approx(np.sqrt(np.mean(rest**2)), rel=1e-3)
+
+
+@pytest.mark.parametrize("mode", ["cst", "lin", "fit", "fit_quad"])
+def test_model_corrections_of_every_frame_and_date(spark, sf_dir, mode):
+    rows = frame_of(spark, sf_dir, "dates_px")
+    got = queries.QUERIES[f"v16_model_correction_{mode}_all"](spark, sf_dir).toPandas().set_index(["frame", "date"])
+    groups = dict(list(rows.groupby(["frame", "date"])))
+    assert set(got.index) == set(groups) and got["n"].sum() == len(rows)
+    names = {"cst": ["cst"], "lin": ["r", "a", "cst"], "fit": ["cst"], "fit_quad": ["r2", "a2", "ra", "r", "a", "cst"]}[mode]
+    for key, g in groups.items():
+        if len(g) < 100:
+            continue
+        value, model = (g[c].to_numpy().astype(float) for c in ("value", "model"))
+        x = np.stack([TERMS[n](g["col"].to_numpy() % 10, g["line"].to_numpy() % 10, model) for n in names] + [model] * mode.startswith("fit"), axis=1)
+        _, rest = fitted(x, value if mode.startswith("fit") else value - model)
+        assert got.loc[key, "std"] == pytest.approx(np.std(rest), rel=1e-3)
+
+
+def test_pair_fits_of_every_date(spark, sf_dir):
+    rows = frame_of(spark, sf_dir, "px")
+    cases = {
+        "v07b_pair_ramp_all": (rows[rows["phase"] != 0], ["r", "a", "cst", "z"], lambda g: g["phase"], lambda g: 1 / g["coh"] ** 2, 0),
+        "v17_weighted_model_ramp_all": (rows, ["r", "a", "cst"], lambda g: g["phase"] - g["model"], lambda g: 1 / g["coh"] ** 2, 0),
+        "v18_stratified_phase_all": (rows, ["cst", "z"], lambda g: g["phase"], lambda g: g["coh"] ** 2, 950),
+    }
+    for name, (used, terms, y, weight, shift) in cases.items():
+        got = queries.QUERIES[name](spark, sf_dir).toPandas().set_index("date1")
+        assert set(got.index) == set(used["date1"]) and got["n"].sum() == len(used)
+        assert used.groupby("date1").size().max() >= 40
+        for key, g in used.groupby("date1"):
+            if len(g) < 40:
+                continue
+            x = np.stack([TERMS[n](*(g[c].to_numpy().astype(float) for c in ("col", "line")), g["elev"].to_numpy().astype(float) - shift) for n in terms], axis=1)
+            m, _ = fitted(x, y(g).to_numpy().astype(float), weight(g).to_numpy().astype(float))
+            assert np.allclose(got.loc[key].to_numpy()[1:].astype(float), m, atol=1e-3, rtol=1e-3)
+
+
+def test_cleaned_cube_of_every_frame(spark, sf_dir):
+    rows = frame_of(spark, sf_dir, "dates_px").astype({c: float for c in ("value", "rms", "elev")})
+    by = rows.groupby(["frame", "date"])
+    inside = rows["value"].between(by["value"].transform(lambda v: v.quantile(0.02)), by["value"].transform(lambda v: v.quantile(0.98))) & (rows["rms"] <= 40)
+    rows["v"] = rows["value"].where(inside)
+    zone = rows["v"].where(rows["line"] < 5).groupby([rows["frame"], rows["date"]]).transform("mean").fillna(0)
+    rows["want"] = rows["v"] - zone - rows["elev"] * (rows["date"] - 1997) / 100
+    got = queries.QUERIES["f08_clean_cube_all"](spark, sf_dir).toPandas()
+    both = rows.merge(got.rename(columns={"value": "got"}), on=["frame", "date", "line", "col"])
+    assert len(both) == len(rows) == len(got) and np.allclose(both["got"].astype(float), both["want"], atol=1e-5, equal_nan=True)
+
+
+def test_loops_of_every_frame_and_year(spark, sf_dir):
+    rows = frame_of(spark, sf_dir, "dates_px").astype({"value": float})
+    years = sorted(rows["date"].unique())
+    want = []
+    for i, (a, b, c) in enumerate(zip(years, years[1:], years[2:], strict=False)):
+        x, y, z = (rows[rows["date"] == d].set_index(["frame", "line", "col"])["value"] for d in (a, b, c))
+        bias = ((y - x) * (1.1 if (a, b) == (1996, 1997) else 1) + (z - y) * (1.1 if (b, c) == (1996, 1997) else 1) - (z - x)).dropna()
+        bias = (bias - bias.groupby("frame").transform("mean")).rename("want").reset_index()
+        want.append(bias.assign(loop=i))
+    want = pd.concat(want)
+    got = queries.QUERIES["r18_loop_bias_all"](spark, sf_dir).toPandas()
+    both = want.merge(got, on=["loop", "frame", "line", "col"])
+    assert len(both) == len(want) == len(got) and np.allclose(both["bias"], both["want"], atol=1e-5)
+
+
+def test_pair_pipeline_of_every_date(spark, sf_dir):
+    rows = frame_of(spark, sf_dir, "px").astype({c: float for c in ("phase", "elev")})
+    rows = rows[rows.groupby(["date1", "date2"])["phase"].transform("size") > 6].copy()
+    by = rows.groupby(["date1", "date2"])["phase"]
+    lo, hi = (by.transform(lambda v, q=q: v.quantile(q)) for q in (0.05, 0.95))
+    used = rows[(rows["phase"] != 0) & (rows["phase"] > lo) & (rows["phase"] < hi)]
+    want = {}
+    for key, g in used.groupby("date1"):
+        if len(g) >= 20:
+            want[key] = fitted(np.stack([np.ones(len(g)), g["elev"]], axis=1), g["phase"].to_numpy())[0]
+    got = queries.QUERIES["j01_pair_pipeline_all"](spark, sf_dir).toPandas()
+    both = rows.merge(got.rename(columns={"phase": "got"}), on=["date1", "date2", "line", "col"])
+    assert len(both) == len(rows) == len(got)
+    both = both[both["date1"].isin(want)]
+    m = np.array([want[d] for d in both["date1"]])
+    assert len(both) and np.allclose(both["got"].astype(float), both["phase"] - m[:, 0] - m[:, 1] * both["elev"], atol=2e-3)
