@@ -8,6 +8,10 @@ of 1024 bins over a 40-bit code, the value along the node's dimension first and
 a hash of the text behind it, so ties are cut too; all nodes of a level go
 through the rounds together, and no node's groups meet in one task.
 
+A dimension of strings counts by the ranks of its distinct values in byte order,
+over the whole string.  Ranks are numbered in ranges of values, within each and
+behind what the ranges before it hold, so no task sees all values.
+
 Defined results: a null text counts as the empty one; a null value of a
 dimension lies below all others; repeated rows are placed with their group and
 each get a slot; a group larger than a shard stays whole, which the others make
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from .cluster import checkpoint, pick
+from .cluster import checkpoint, partitions, pick
 
 BITS, ROUND = 20, 10
 #: Tables with a row a node are broadcast up to so many shards (and nodes); each row is under 100 bytes.
@@ -32,14 +36,22 @@ BROADCAST_NODES = 20_000
 SLOT_PARTS = 1024
 
 
-def as_number(column: Column, kind: t.DataType) -> Column:
-    """A dimension's value as a double; strings by the order of their first six characters."""
-    if isinstance(kind, t.StringType):
-        letters = [F.ascii(F.substring(column, i, 1)).cast("double") / F.lit(float(256**i)) for i in range(1, 7)]
-        column = sum(letters[1:], letters[0])
+def as_number(column: Column) -> Column:
+    """A dimension's value, or its rank, as a double; null lies below all others."""
     return F.coalesce(column.cast("double"), F.lit(-1.0))
 
 
+def value_ranks(rows: DataFrame, column: str) -> DataFrame:
+    """(value, rank) of the distinct strings of a column, ranks from 0 in byte order."""
+    values = rows.select(F.col(column).alias("value")).where("value is not null").distinct()
+    ranged = checkpoint(values.repartitionByRange(partitions(rows.sparkSession), "value").withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))  # one row a range
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("value"))
+    return checkpoint(ranged.withColumn("own", own).join(F.broadcast(offsets), "range").select("value", (F.col("own") - 1 + F.col("offset")).alias("rank")))
+
+
 def _cut(coded: DataFrame, by_node) -> DataFrame:
     """coded: node, leaves, weight, total, code -> for each node the cut: codes up to `last` go left."""
     share = F.col("total") * F.floor(F.col("leaves") / 2) / F.col("leaves")
@@ -97,12 +109,19 @@ def shard_documents(
     narrow = pick(docs, doc_id=id_col, text=text_col, **{f"d{i}": d for i, d in enumerate(dimensions)})
     text = F.coalesce(F.col("text"), F.lit(""))
     names = [f"d{i}" for i in range(len(dimensions))] + ["bytes"]
+    spelled = [f"d{i}" for i, d in enumerate(dimensions) if isinstance(kinds[d], t.StringType)]
+    ranks = {d: value_ranks(narrow, d) for d in spelled}
     narrow = checkpoint(
         narrow.select(
             "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("key"),
-            *[as_number(F.col(f"d{i}"), kinds[d]).alias(f"d{i}") for i, d in enumerate(dimensions)], F.octet_length(text).cast("double").alias("bytes"),
+            *[(F.col(d) if d in ranks else as_number(F.col(d))).alias(d) for d in names[:-1]], F.octet_length(text).cast("double").alias("bytes"),
         )
     )
+    for d, ranked in ranks.items():
+        ranked = F.broadcast(ranked) if ranked.count() <= BROADCAST_NODES else ranked
+        narrow = narrow.join(ranked, F.col(d) == F.col("value"), "left").withColumn(d, as_number(F.col("rank"))).drop("value", "rank")
+    if ranks:
+        narrow = checkpoint(narrow)
     groups = narrow.groupBy("key").agg(F.sum("size").alias("weight"), *[F.min(d).alias(d) for d in names])
     groups = checkpoint(groups.withColumn("tie", F.pmod(F.xxhash64("key"), F.lit(1 << BITS)).cast("long")))
     if shards is None:

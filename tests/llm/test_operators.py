@@ -416,6 +416,24 @@ def test_any_number_of_shards(spark, shards):
     assert set(counts) == set(range(shards)) and max(counts.values()) - min(counts.values()) < 0.15 * 300 / shards + 3
 
 
+@pytest.mark.parametrize("start", ["https://www.example.org/", "ώ"])
+def test_strings_count_as_a_whole(spark, start):
+    """Sources that share a long beginning, or begin beyond U+00FF, are told apart: the first cut lies between them."""
+    rows = [(i, f"{i} " + prose(40), None, f"{start}{i % 8}", None) for i in range(400)]
+    got = sharding.shard_documents(frame(spark, rows), shards=8, dimensions=("source",)).collect()
+    held = collections.defaultdict(set)
+    for r in got:
+        held[r["doc_id"] % 8].add(r["shard"])
+    assert all(max(held[a]) <= 3 for a in (0, 1, 2)) and all(min(held[a]) >= 4 for a in (5, 6, 7))
+
+
+def test_ranks_of_strings(spark):
+    values = ["", "a", "aa", "common_crawl_a", "common_crawl_b", "é", "日本", "🙂", "Z", "https://a", "https://b"]
+    rows = spark.createDataFrame([(v,) for v in [*values, None] * 3], "s string").repartition(5)
+    got = sharding.value_ranks(rows, "s").collect()
+    assert {r["value"]: r["rank"] for r in got} == {v: k for k, v in enumerate(sorted(values, key=str.encode))} and len(got) == len(values)
+
+
 def test_one_group_with_most_bytes_stays_whole(spark):
     rows = [(i, "same text " * 50, None, None, None) for i in range(200)] + [(1000 + i, prose(20), None, None, None) for i in range(100)]
     got = sharding.shard_documents(frame(spark, rows), shards=8).collect()
