@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -17,11 +18,13 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; a folder of our own only where all of Spark is one process."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratalake-checkpoint-"))
 
 

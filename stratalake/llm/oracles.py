@@ -68,19 +68,23 @@ windows AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]
 often AS (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows),
 repeated AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM often WHERE n > 1) GROUP BY r),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
-dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n, count(*) AS lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 measured AS (
   SELECT doc_id, coalesce('=' || source, 'null') AS host, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
-         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(dup.lines, 0) AS n_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words
   FROM tokens LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r)),
 ruled AS (
-  SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 100 * n_symbols > 100 * n_words AS f3, n_dup_lines > 1000 AS f4 FROM measured),
-hosts AS (SELECT host, rule, count(*) AS n, sum(failed::INT) AS bad FROM (SELECT host, unnest([1, 2, 3, 4]) AS rule, unnest([f1, f2, f3, f4]) AS failed FROM ruled) GROUP BY ALL),
-moments AS (SELECT rule, greatest(1e-6, least(1 - 1e-6, avg(bad / n))) AS m, var_pop(bad / n) AS v FROM hosts GROUP BY rule),
-priors AS (SELECT rule, m, greatest(2, least(1000, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000 END)) AS k FROM moments),
-verdicts AS (SELECT host, max((bad + m * k) / (n + k)) <= 0.9 AS fine FROM hosts JOIN priors USING (rule) GROUP BY host)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND fine AS kept
-FROM ruled JOIN verdicts USING (host)
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base, 100 * n_symbols > 100 * n_words OR 100 * n_dup_lines > 30 * n_lines AS sign FROM measured),
+hosts AS (SELECT host, count(*)::DOUBLE AS n, sum((base OR sign)::INT)::DOUBLE AS bad FROM ruled GROUP BY host),
+sums AS (SELECT count(*) AS k, sum(n) AS n, sum(bad) AS bad, sum(n * n) AS squares, sum(bad * bad / n) AS ratios FROM hosts),
+moments AS (
+  SELECT greatest(1e-6, least(1 - 1e-6, bad / n)) AS m, CASE WHEN n - squares / n > 0 THEN (ratios - bad * bad / n - (k - 1) * greatest(1e-6, least(1 - 1e-6, bad / n)) * (1 - greatest(1e-6, least(1 - 1e-6, bad / n)))) / (n - squares / n) ELSE 0 END AS own
+  FROM sums),
+prior AS (SELECT m, greatest(2, least(1000, CASE WHEN own > 0 THEN m * (1 - m) / own - 1 ELSE 1000 END)) AS w FROM moments),
+rates AS (SELECT host, (bad + m * w) / (n + w) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
+       NOT (base OR rate > 0.5 OR (rate > 0.05 AND sign)) AS kept
+FROM ruled JOIN rates USING (host)
 """
 
 ORACLES = {"op1_url_filters": OP1, "op4_source_mixing": OP4, "op10_quality_rules": OP10}

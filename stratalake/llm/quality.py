@@ -2,7 +2,9 @@
 
 Every document is measured once (`text_measures`), rules turn the measures into
 failures, failures are summed by host, each host's failure rates are shrunk with
-a beta prior fitted to all hosts, and the host's verdict is joined back.
+a beta prior fitted to all hosts (`beta_prior`: the variance between hosts,
+without that of sampling), and the host's verdict is joined back to its
+documents, where it decides which rules count (`Rules`).
 
 Defined results: a null or empty text has no words and fails `min_words`; a null
 host is a host of its own; repeated rows are judged each on its own; an empty
@@ -97,19 +99,22 @@ def text_measures(docs: DataFrame) -> DataFrame:
 class Rules:
     """Limits of the rules.
 
-    A host is rejected when the shrunk rate of one rule is above `host_limit`, or
-    that of documents failing any rule is above `any_limit`. With `own_rules` a
-    document also goes when it fails the rules `symbols` or `lines` itself.
+    `short` and `repeats` are the base rules: whatever fails them goes.
+    `symbols` and `lines` are signs only, which prose about code or tables can
+    show too, so the host tells what they mean.  By the shrunk rate of its
+    documents that fail any rule a host is
+
+    * rejected, above `host_limit`: all its documents go;
+    * watched, above `watch_limit`: its documents that fail any rule go;
+    * trusted otherwise: only what fails the base rules goes.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbols_percent: int = 100
-    max_dup_lines: int = 1000
-    host_limit: float = 0.9
-    max_dup_percent: int = 100
-    any_limit: float = 1.0
-    own_rules: bool = False
+    max_dup_percent: int = 30
+    host_limit: float = 0.5
+    watch_limit: float = 0.05
 
     def failures(self) -> dict[str, Column]:
         words = F.col("n_words")
@@ -117,41 +122,47 @@ class Rules:
             "short": words < self.min_words,
             "repeats": 100 * F.col("n_repeat_words") > self.max_repeat_percent * words,
             "symbols": 100 * F.col("n_symbols") > self.max_symbols_percent * words,
-            "lines": (F.col("n_dup_lines") > self.max_dup_lines) | (100 * F.col("n_dup_lines") > self.max_dup_percent * F.col("n_lines")),
+            "lines": 100 * F.col("n_dup_lines") > self.max_dup_percent * F.col("n_lines"),
         }
 
     def base(self) -> Column:
         found = self.failures()
         return found["short"] | found["repeats"]
 
-    def own(self) -> Column:
-        found = self.failures()
-        return self.base() | found["symbols"] | found["lines"] if self.own_rules else self.base()
+    def any(self) -> Column:
+        return functools.reduce(Column.__or__, self.failures().values())
 
-    def own_of(self, m: dict[str, np.ndarray]) -> np.ndarray:
-        """`own` of measures in arrays."""
-        failed = (m["n_words"] < self.min_words) | (100 * m["n_repeat_words"] > self.max_repeat_percent * m["n_words"])
-        if self.own_rules:
-            failed = failed | (100 * m["n_symbols"] > self.max_symbols_percent * m["n_words"])
-            failed = failed | (m["n_dup_lines"] > self.max_dup_lines) | (100 * m["n_dup_lines"] > self.max_dup_percent * m["n_lines"])
-        return failed
+    def failed_of(self, m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """`base` and `any` of measures in arrays."""
+        base = (m["n_words"] < self.min_words) | (100 * m["n_repeat_words"] > self.max_repeat_percent * m["n_words"])
+        signs = (100 * m["n_symbols"] > self.max_symbols_percent * m["n_words"]) | (100 * m["n_dup_lines"] > self.max_dup_percent * m["n_lines"])
+        return base, base | signs
 
-    def rejected(self) -> Column:
+    def verdict(self) -> Column:
         """Of a row of `host_rates`."""
-        return (_worst_rate(self) > self.host_limit) | (F.col("rate_any") > self.any_limit)
+        return F.when(F.col("rate_any") > self.host_limit, REJECTED).when(F.col("rate_any") > self.watch_limit, WATCHED).otherwise(TRUSTED)
+
 
+TRUSTED, WATCHED, REJECTED = "trusted", "watched", "rejected"
+#: Documents that a prior weighs as much as, at least and at most; the most is what hosts get that differ by chance alone.
+PRIOR_WEIGHT = (2.0, 1000.0)
 
-#: Limits that hosts reach: most documents fail, by one rule or another; a document also goes by its own symbols and lines.
-STRICT = Rules(max_dup_percent=30, host_limit=0.5, any_limit=0.5, own_rules=True)
 
+def beta_prior(hosts: int, rows: float, bad: float, squares: float, ratios: float) -> tuple[float, float]:
+    """Parameters of the beta distribution of the hosts' rates, by moments, without the noise of sampling.
 
-def beta_prior(hosts: float, mean: float | None, variance: float | None) -> tuple[float, float]:
-    """Parameters of a beta distribution with the moments of the hosts' rates; total weight between 2 and 1000."""
-    if not hosts or mean is None:
+    rows, bad and squares sum the hosts' documents, failures and squared numbers
+    of documents; ratios sums failures squared by documents.  What the rates'
+    weighted squares exceed those of equal hosts by is the hosts' own variance.
+    """
+    if not hosts or not rows:
         return 1.0, 1.0
-    mean = min(max(mean, 1e-6), 1 - 1e-6)
-    weight = mean * (1 - mean) / variance - 1 if variance and variance > 0 else 1000.0
-    weight = min(max(weight, 2.0), 1000.0)
+    mean = min(max(bad / rows, 1e-6), 1 - 1e-6)
+    spread = ratios - bad * bad / rows
+    room = rows - squares / rows
+    own = (spread - (hosts - 1) * mean * (1 - mean)) / room if room > 0 else 0.0
+    weight = mean * (1 - mean) / own - 1 if own > 0 else PRIOR_WEIGHT[1]
+    weight = min(max(weight, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
     return mean * weight, (1 - mean) * weight
 
 
@@ -159,62 +170,75 @@ def host_key(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
 
 
-def _worst_rate(rules: Rules) -> Column:
-    return F.greatest(*[F.col(f"rate_{n}") for n in rules.failures()])
-
-
 def host_rates(measured: DataFrame, rules: Rules) -> DataFrame:
-    """One row a host: key, rows, and for each rule, and for `any` of them, failures_<rule> and the shrunk rate_<rule>."""
-    found = rules.failures()
-    found["any"] = functools.reduce(Column.__or__, found.values())
-    names = list(found)
+    """One row a host: key, rows, for each rule, and for `any` of them, failures_<rule> and the shrunk rate_<rule>, and the host's verdict."""
+    found = rules.failures() | {"any": rules.any()}
     hosts = checkpoint(
         measured.groupBy("host_key").agg(
             F.count("*").alias("n_rows"), *[F.sum(failed.cast("long")).alias(f"failures_{name}") for name, failed in found.items()]
         )
     )
-    moments = hosts.agg(
-        F.count("*").alias("hosts"),
-        *[x for n in names for x in (F.avg(F.col(f"failures_{n}") / F.col("n_rows")).alias(f"mean_{n}"), F.var_pop(F.col(f"failures_{n}") / F.col("n_rows")).alias(f"variance_{n}"))],
-    ).first()
-    for n in names:
-        a, b = beta_prior(moments["hosts"], moments[f"mean_{n}"], moments[f"variance_{n}"])
+    rows = F.col("n_rows").cast("double")
+    sums = hosts.agg(
+        F.count("*").alias("hosts"), F.sum(rows).alias("rows"), F.sum(rows * rows).alias("squares"),
+        *[x for n in found for x in (F.sum(F.col(f"failures_{n}").cast("double")).alias(f"bad_{n}"), F.sum(F.col(f"failures_{n}").cast("double") ** 2 / rows).alias(f"ratios_{n}"))],
+    ).first()
+    for n in found:
+        a, b = beta_prior(sums["hosts"], sums["rows"] or 0.0, sums[f"bad_{n}"] or 0.0, sums["squares"] or 0.0, sums[f"ratios_{n}"] or 0.0)
         hosts = hosts.withColumn(f"rate_{n}", (F.col(f"failures_{n}") + F.lit(a)) / (F.col("n_rows") + F.lit(a + b)))
-    return hosts
+    return hosts.withColumn("host_verdict", rules.verdict())
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row a document: id, host, MEASURES, base_failed, kept, host_rate (the highest shrunk rate of its host).
+#: Hosts are broadcast up to so many, of under 300 bytes each; beyond that a host's rows are salted.
+BROADCAST_HOSTS = 20_000
+SALT = 64
 
-    Only hosts whose shrunk failure rate is above a limit lose the documents
-    that pass by themselves, so a clean document on an ordinary host stays.
-    """
-    narrow = pick(docs, doc_id=id_col, host=host_col, text=text_col)
-    measured = checkpoint(text_measures(narrow).withColumn("host_key", host_key(F.col("host"))))
-    hosts = host_rates(measured, rules)
-    judged = measured.join(hosts.select("host_key", _worst_rate(rules).alias("host_rate"), rules.rejected().alias("host_rejected")), "host_key")
-    return judged.select("doc_id", "host", *MEASURES, rules.base().alias("base_failed"), (~rules.own() & ~F.col("host_rejected")).alias("kept"), "host_rate")
 
+def _with_hosts(rows: DataFrame, hosts: DataFrame, key: Column, how: str) -> DataFrame:
+    """rows joined with hosts (__host, ...) on the host's key; a host's rows go to SALT tasks where hosts are too many to broadcast."""
+    if hosts.count() <= BROADCAST_HOSTS:
+        return rows.join(F.broadcast(hosts), key == F.col("__host"), how).drop("__host")
+    spread = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("__own_salt", F.floor(F.rand(11) * SALT).cast("int"))
+    return salted.join(spread, (key == F.col("__host")) & (F.col("__own_salt") == F.col("__salt")), how).drop("__host", "__salt", "__own_salt")
 
-#: Rejected hosts are broadcast up to so many, of under 300 bytes each.
-BROADCAST_HOSTS = 20_000
 
+def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """One row a document: id, host, MEASURES, base_failed, kept, host_rate (the shrunk rate of failing documents) and host_verdict."""
+    narrow = pick(docs, doc_id=id_col, host=host_col, text=text_col)
+    measured = checkpoint(text_measures(narrow).withColumn("host_key", host_key(F.col("host"))))
+    hosts = checkpoint(host_rates(measured, rules).select(F.col("host_key").alias("__host"), F.col("rate_any").alias("host_rate"), "host_verdict"))
+    judged = _with_hosts(measured, hosts, F.col("host_key"), "inner")
+    gone = rules.base() | (F.col("host_verdict") == REJECTED) | ((F.col("host_verdict") == WATCHED) & rules.any())
+    return judged.select("doc_id", "host", *MEASURES, rules.base().alias("base_failed"), (~gone).alias("kept"), "host_rate", "host_verdict")
 
-def _failing_batches(rules: Rules):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in T.slices(batches, "__text"):
-            kept = batch.filter(pa.array(~rules.own_of(measure(data, offsets))))
-            yield kept.select([n for n in kept.schema.names if n != "__text"])
 
-    return run
+def _own(names: list[str], name: str) -> str:
+    """A column name that the caller's table lacks."""
+    while name in names:
+        name = f"_{name}"
+    return name
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of `docs`, with all their columns, that `judge` keeps; judged row by row, so no row is shuffled with its text."""
+    """The rows of `docs`, with all their columns, that `judge` keeps; judged row by row, so no row is shuffled with its text.
+
+    A null text fails `short`; a null host is a host of its own; every row is
+    judged by itself, repeated or not; an empty table stays empty.
+    """
+    names = docs.columns
     narrow = pick(docs, host=host_col, text=text_col)
     measured = text_measures(narrow).withColumn("host_key", host_key(F.col("host")))
-    rejected = checkpoint(host_rates(measured, rules).where(rules.rejected()).select(F.col("host_key").alias("__host")))
-    passing = docs.withColumn("__text", docs[f"`{text_col}`"]).transform(arrow, _failing_batches(rules), docs.schema)
-    if rejected.count() <= BROADCAST_HOSTS:
-        rejected = F.broadcast(rejected)
-    return passing.join(rejected, host_key(passing[f"`{host_col}`"]) == F.col("__host"), "left_anti")
+    verdict, text = _own(names, "host_verdict"), _own(names, "judged_text")
+    hosts = checkpoint(host_rates(measured, rules).select(F.col("host_key").alias("__host"), F.col("host_verdict").alias(verdict)))
+    told = _with_hosts(docs.withColumn(text, docs[f"`{text_col}`"]), hosts.where(F.col(verdict) != TRUSTED), host_key(docs[f"`{host_col}`"]), "left")
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in T.slices(batches, text):
+            base, failed = rules.failed_of(measure(data, offsets))
+            told = batch.column(batch.schema.get_field_index(verdict)).to_pylist()
+            rejected, watched = np.array([v == REJECTED for v in told], bool), np.array([v == WATCHED for v in told], bool)
+            kept = batch.filter(pa.array(~(base | rejected | watched & failed)))
+            yield kept.select(list(range(len(names))))
+
+    return told.select(*[told[f"`{n}`"] for n in names], verdict, text).transform(arrow, passing, docs.schema)

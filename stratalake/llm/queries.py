@@ -69,15 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-def op10_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), quality.STRICT).select("doc_id", *quality.MEASURES, "base_failed", "kept")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_license_scan, op3_lattice_score, op4_source_mixing, op5_mpeg_audio,
         op6_bpe_round_trip, op7_ngram_jaccard, op8_kd_shards, op9_repeated_spans, op10_quality_rules,
-        op10_quality_hosts,
     )
 }

@@ -34,6 +34,26 @@ def quality_measures(text: str | None) -> tuple:
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def good_rows(rows: list[tuple]) -> list[tuple]:
+    """Of (id, text, lang, source, ...) those that the quality rules keep, judged host by host."""
+    measured = []
+    for r in rows:
+        n, _, symbols, dup, repeat = quality_measures(r[1])
+        base = n < 50 or 100 * repeat > 50 * n
+        lines = sum(bool(WORD.search(x)) for x in (r[1] or "").split("\n"))
+        measured.append((r, base, symbols > n or 100 * dup > 30 * lines))
+    n, bad = collections.Counter(r[3] for r in rows), collections.Counter(m[0][3] for m in measured if m[1] or m[2])
+    total, failed = sum(n.values()), sum(bad.values())
+    mean = min(max(failed / total, 1e-6), 1 - 1e-6)
+    # The variance between hosts: weighted squares of the rates about the mean, less what chance gives equal hosts.
+    spread = sum(n[h] * (bad[h] / n[h] - failed / total) ** 2 for h in n)
+    room = total - sum(k * k for k in n.values()) / total
+    own = (spread - (len(n) - 1) * mean * (1 - mean)) / room if room > 0 else 0
+    weight = min(max(mean * (1 - mean) / own - 1 if own > 0 else 1000, 2), 1000)
+    rate = {h: (bad[h] + mean * weight) / (n[h] + weight) for h in n}
+    return [r for r, base, sign in measured if not (base or rate[r[3]] > 0.5 or rate[r[3]] > 0.05 and sign)]
+
+
 def shingles(text: str | None, size: int) -> set:
     words = WORD.findall(lower(text))
     if len(words) < size:

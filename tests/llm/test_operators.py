@@ -519,19 +519,49 @@ def test_a_bad_host_loses_its_documents_and_others_do_not(spark):
     assert sorted(r["doc_id"] for r in quality.keep_good(frame(spark, rows)).collect()) == sorted(i for i, k in got.items() if k)
 
 
-def test_strict_rules_judge_hosts_by_any_failure_and_documents_by_their_own(spark):
-    """A host whose documents fail a third each by three rules goes; elsewhere only documents that fail by themselves do."""
+def hosts_of_three_kinds() -> list[tuple]:
+    """A host of junk of three kinds, hosts with some of it, and one whose few symbols are its own way."""
     junk = ["short", prose(80, 500) + " $$$" * 60, "\n".join(f"line {i % 30} " + f"v{i % 30} u{i % 30}" for i in range(60))]
     rows = [(i, junk[i % 3] if i % 4 else prose(80, 500), "en", "farm", 3) for i in range(120)]
-    rows += [(1000 + i, prose(80, 500), "en", f"good{i % 5}", 3) for i in range(200)]
-    rows += [(2000 + i, junk[1 + i % 2], "en", f"good{i % 5}", 3) for i in range(10)]
-    rows += [(3000, prose(30, 500) + "\n" + "\n".join(["same"] * 3 + [prose(1, 500) + f" a{i}" for i in range(30)]), "en", "good1", 3)]
-    got = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows), quality.STRICT).collect()}
-    assert not any(got[i] for i in range(120)) and not any(got[2000 + i] for i in range(10))
-    assert all(got[1000 + i] for i in range(200)) and got[3000]
-    assert sorted(r["doc_id"] for r in quality.keep_good(frame(spark, rows), quality.STRICT).collect()) == sorted(i for i, k in got.items() if k)
-    loose = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows)).collect()}
-    assert any(loose[i] for i in range(120))
+    rows += [(1000 + i, prose(80, 500), "en", f"mixed{i % 5}", 3) for i in range(200)]
+    rows += [(2000 + i, junk[i % 3], "en", f"mixed{i % 5}", 3) for i in range(60)]
+    rows += [(3000, prose(30, 500) + "\n" + "\n".join(["same"] * 3 + [prose(1, 500) + f" a{i}" for i in range(30)]), "en", "mixed1", 3)]
+    return rows + [(4000 + i, prose(80, 500) + (" $$$" * 60 if i < 4 else ""), "en", "clean", 3) for i in range(2000)]
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 1])
+def test_the_host_decides_what_signs_mean(spark, monkeypatch, broadcast):
+    """The same symbols cost a document its place on a watched host and not on a trusted one; a rejected host loses all."""
+    monkeypatch.setattr(quality, "BROADCAST_HOSTS", broadcast)
+    rows = hosts_of_three_kinds()
+    df = frame(spark, rows).withColumnRenamed("lang", "host_verdict")
+    got = {r["doc_id"]: (r["kept"], r["host_verdict"]) for r in quality.judge(df).collect()}
+    assert {got[i] for i in range(120)} == {(False, "rejected")}
+    assert {got[i] for i in (*range(1000, 1200), 3000)} == {(True, "watched")} and {got[i] for i in range(2000, 2060)} == {(False, "watched")}
+    assert {got[i] for i in range(4000, 6000)} == {(True, "trusted")}
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (k, _) in got.items() if k)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_hosts_decide_on_the_given_tables(spark, sf):
+    """Without the hosts' verdicts more documents would stay; all that go show a failure of their own."""
+    judged = quality.judge(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    by = collections.Counter((r["base_failed"], r["kept"]) for r in judged.collect())
+    assert by[False, False] > 10 and by[False, True] > 0.9 * sum(by.values()) * 0.9 and by[True, True] == 0
+
+
+def test_prior_leaves_out_the_noise_of_sampling():
+    gen = np.random.default_rng(3)
+    n = np.full(400, 50.0)
+
+    def weight(rates):
+        bad = gen.binomial(50, rates).astype(float)
+        return sum(quality.beta_prior(len(n), n.sum(), bad.sum(), (n**2).sum(), (bad**2 / n).sum()))
+
+    assert weight(np.full(400, 0.2)) > 300  # equal hosts, told apart by chance alone
+    assert weight(gen.beta(2, 8, 400)) == pytest.approx(10, rel=0.4)
+    assert quality.beta_prior(0, 0.0, 0.0, 0.0, 0.0) == (1.0, 1.0)
 
 
 # Queries and the pipeline.
@@ -550,7 +580,8 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
     from tokenizers import Tokenizer
 
     rows = sample(spark, sf_dir)
-    good = [r for r in rows if (m := plain.quality_measures(r[1]))[0] >= 50 and 100 * m[4] <= 50 * m[0]]
+    good = plain.good_rows(rows)
+    assert len(good) < len([r for r in rows if (m := plain.quality_measures(r[1]))[0] >= 50 and 100 * m[4] <= 50 * m[0]])
     classes = plain.jaccard_classes([r[:2] for r in good], 5, 80)
     one = [r for r in good if classes[r[0]][1] == r[0]]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
