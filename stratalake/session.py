@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """The shared folder from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder from spark.checkpoint.dir; a folder of our own only where all of Spark is one process."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stratalake-"))
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratalake-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
