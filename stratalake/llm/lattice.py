@@ -1,10 +1,11 @@
 """Subword lattice likelihood of whole texts.
 
-Pieces and their prior scores come from an existing vocabulary file; training
-documents give the pieces their probabilities.  A word's likelihood is that of
-all its segmentations together: a forward recursion in log space over the
-lattice of pieces, where single bytes stand in for whatever no piece covers.
-A text is its words, each begun by the word mark, and one end.
+Pieces and their scores come from an existing vocabulary file, and these scores
+alone, normalised once, weigh the segmentations (`Pieces`).  A word's likelihood
+is that of all its segmentations together: a forward recursion in log space over
+the lattice of pieces, where single bytes stand in for whatever no piece covers.
+A text is its words, each begun by the word mark, and one end.  Training
+documents give the counts of the base score.
 
 Words travel once per slice of the corpus: a slice sends its distinct words to
 the tasks that own them, which count and score each word of the corpus once and
@@ -12,8 +13,9 @@ send counts and scores back to the slice's documents.
 
 Defined results: a null or empty text is its end alone; a null id is held out
 (its text form is empty); repeated rows are scored, and learned from, each on
-its own; without training tokens every token is unknown and pieces keep their
-priors; an empty table gives an empty one; other input columns are ignored.
+its own; ids may be of any type that has a text form; without training tokens
+every token is unknown; an empty table gives an empty one; other input columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from . import textkit as T
 from .cluster import arrow, checkpoint, partitions, pick
 
 SLICE_BYTES = 4 << 20
-ROW = "target int, kind int, packed binary"
+ROW = "target int, kind int, slice long, packed binary"
 DOCS, WORDS, TRAINED, VOCABULARY, SCORED = range(5)
 WORD_MARK = "▁"
 #: Words of more bytes are scored one by one.
@@ -41,36 +43,40 @@ LONG_WORD = 128
 
 
 class Pieces:
-    """A vocabulary: the pieces' bytes, whether they begin a word, and prior weights that sum to 1."""
+    """A vocabulary: the pieces' bytes, whether they begin a word, and natural logarithms of their probabilities, -inf for what is no piece of a text.
+
+    Scores of a unigram vocabulary are such logarithms.  A vocabulary of merges
+    has ranks instead, all whole numbers from 0 down; a piece of rank r then has
+    the weight 1 / (RANK_SHIFT + r), the usual law of frequencies by rank.  Bytes
+    that stand in for unknown text have no score of their own and get BYTE_WEIGHT
+    of the whole each.
+    """
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         self.model = model
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        p = self.processor
+        p = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = p.get_piece_size()
-        self.size, self.end = n, p.eos_id()
+        self.end = p.eos_id()
         self.content: list[bytes | None] = []
         self.begins = np.zeros(n, bool)
-        prior = np.zeros(n)
+        scores, stands_in = np.full(n, -np.inf), np.zeros(n, bool)
         for i in range(n):
             piece, score = p.id_to_piece(i), p.get_score(i)
-            # File scores fall with the piece's rank; a weight inverse to the rank is the usual form of such a law.
-            prior[i] = 1 / (10 + abs(score)) if score > -1e8 else 0.0
             if p.is_byte(i):
                 self.content.append(bytes([int(piece[3:5], 16)]))
-                prior[i] = 1e-5
+                stands_in[i] = True
             elif p.is_control(i) or p.is_unknown(i) or p.is_unused(i):
                 self.content.append(None)
-                prior[i] = 1e-5 if i == self.end else 0.0
+                scores[i] = score if i == self.end else -np.inf
             else:
                 self.begins[i] = piece.startswith(WORD_MARK)
                 rest = piece[1:] if self.begins[i] else piece
                 inside = WORD_MARK in rest or (not rest and not self.begins[i])
                 self.content.append(None if inside else rest.encode())
-                prior[i] = 0.0 if inside else prior[i]
-        self.prior = prior / prior.sum()
+                scores[i] = -np.inf if inside or score < NO_PIECE else score
+        self.log_p = weigh(scores, stands_in)
 
     def __reduce__(self):
         return pieces_of, (self.model,)
@@ -87,18 +93,30 @@ def pieces_of(model: bytes) -> Pieces:
     return Pieces(model)
 
 
-def probabilities(counts: np.ndarray, pieces: Pieces, strength: float = 1000.0) -> np.ndarray:
-    """Natural logarithms: counts smoothed by the prior, which weighs as much as `strength` pieces; -inf for what is no piece of a text."""
-    with np.errstate(divide="ignore"):
-        return np.log((counts + strength * pieces.prior) / (counts.sum() + strength))
+#: Scores below this mark pieces that a vocabulary file keeps but never uses.
+NO_PIECE = -1e8
+RANK_SHIFT, BYTE_WEIGHT = 10.0, 1e-6
+
+
+def weigh(scores: np.ndarray, stands_in: np.ndarray) -> np.ndarray:
+    """Natural logarithms of probabilities that sum to 1, from a file's scores (-inf: no piece); see Pieces."""
+    scored = np.isfinite(scores)
+    own = scores[scored]
+    ranks = bool(len(own)) and bool((own == np.round(own)).all()) and bool((own <= 0).all())
+    out = np.full(len(scores), -np.inf)
+    out[scored] = -np.log(RANK_SHIFT - own) if ranks else own
+    out[scored] += np.log1p(-BYTE_WEIGHT * stands_in.sum()) - np.logaddexp.reduce(out[scored]) if len(own) else 0.0
+    out[stands_in] = np.log(BYTE_WEIGHT)
+    return out
 
 
 class Lattice:
-    """Scores words under given log probabilities of the pieces."""
+    """Scores words under the log probabilities of the pieces."""
 
     BITS = 20
 
-    def __init__(self, pieces: Pieces, log_p: np.ndarray):
+    def __init__(self, pieces: Pieces):
+        log_p = pieces.log_p
         self.inner: dict[bytes, list[float]] = {}
         self.first: dict[bytes, list[float]] = {}
         for i, content in enumerate(pieces.content):
@@ -180,6 +198,22 @@ def held_out_ids(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids], bool)
 
 
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["target", "kind", "slice", "packed"])
+
+
+def _packed_ids(ids: list) -> list[np.ndarray]:
+    """Which ids are missing, the lengths of the others' text forms, and these in one buffer."""
+    texts = [b"" if i is None else str(i).encode() for i in ids]
+    return [np.array([i is None for i in ids], bool), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8)]
+
+
+def _unpacked_ids(missing: np.ndarray, lengths: np.ndarray, raw: np.ndarray) -> list[str | None]:
+    text, ends = raw.tobytes(), np.cumsum(lengths)
+    return [None if gone else text[b - n : b].decode() for gone, n, b in zip(missing, lengths, ends, strict=True)]
+
+
 def _spread(count: int, held_out: Callable[[list], np.ndarray]):
     """Each slice's documents as indices into its distinct words, and these words to their owners."""
 
@@ -199,15 +233,16 @@ def _spread(count: int, held_out: Callable[[list], np.ndarray]):
             place[order] = np.arange(len(order))
             edges = np.searchsorted(owner[order], np.arange(count + 1))
             home = (5 * part + step) % count  # a few slices a task: evenly dealt
-            label = np.array([part, step, home], np.int64)
-            rows = [(home, DOCS, K.pack(label, np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]), out, np.diff(bounds), place[inverse], edges))]
+            piece = part << 32 | step
+            label = np.array([piece, home], np.int64)
+            rows = [(home, DOCS, K.pack(*_packed_ids(ids), out, np.diff(bounds), place[inverse], edges))]
             rows.append((int((~out).sum()), TRAINED, b""))
             begin, size = starts[first][order], (ends - starts)[first][order]
             for k in np.flatnonzero(np.diff(edges)):
                 a, b = edges[k], edges[k + 1]
                 text = data[np.repeat(begin[a:b] - np.concatenate([[0], np.cumsum(size[a : b - 1])]), size[a:b]) + np.arange(size[a:b].sum())]
                 rows.append((int(k), WORDS, K.pack(label, np.array([k]), size[a:b].astype(np.int32), trained[order][a:b].astype(np.int32), text)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["target", "kind", "packed"])
+            yield _rows([(target, kind, piece, packed) for target, kind, packed in rows])
             step += 1
 
     return run
@@ -231,33 +266,16 @@ def _own(batches):
     total = np.bincount(inverse, weights=count, minlength=len(prints)).astype(np.int64)
     own_size = size[first]
     text = data[np.repeat(starts[first] - np.concatenate([[0], np.cumsum(own_size[:-1])]), own_size) + np.arange(own_size.sum())]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([0], pa.int32()), pa.array([VOCABULARY], pa.int32()), pa.array([K.pack(np.concatenate(labels), inverse.astype(np.int32), own_size.astype(np.int32), total, text)], pa.binary())], names=["target", "kind", "packed"]
-    )
-
+    yield _rows([(0, VOCABULARY, 0, K.pack(np.concatenate(labels), inverse.astype(np.int32), own_size.astype(np.int32), total, text))])
 
-def _count_pieces(pieces: Pieces):
-    """Of the training tokens: how often each piece occurs when the vocabulary's own segmentation splits the words; then tokens and distinct tokens."""
 
-    def count(batches):
-        total = np.zeros(pieces.size + 2, np.int64)
-        for (packed,) in K.rows_of(batches, "packed"):
-            _, _, size, counted, text = K.unpack(packed)
-            ends = np.cumsum(size)
-            raw = text.tobytes()
-            known = np.flatnonzero(counted)
-            total[-2] += counted.sum()
-            total[-1] += len(known)
-            for first in range(0, len(known), 50_000):
-                own = known[first : first + 50_000]
-                words = [raw[ends[k] - size[k] : ends[k]].decode("utf-8", "replace") for k in own]
-                split = pieces.processor.encode(words, num_threads=1)
-                lengths = np.fromiter(map(len, split), np.int64, len(split))
-                flat = np.fromiter((i for ids in split for i in ids), np.int64, int(lengths.sum()))
-                total[: pieces.size] += np.bincount(flat, weights=np.repeat(counted[own], lengths), minlength=pieces.size).astype(np.int64)
-        return total
-
-    return count
+def _count_tokens(batches) -> np.ndarray:
+    """Training tokens and distinct ones among the owners' words."""
+    total = np.zeros(2, np.int64)
+    for (packed,) in K.rows_of(batches, "packed"):
+        counted = K.unpack(packed)[3]
+        total += counted.sum(), (counted > 0).sum()
+    return total
 
 
 def _answer(lattice_of: Callable[[], Lattice], count: int):
@@ -278,45 +296,38 @@ def _answer(lattice_of: Callable[[], Lattice], count: int):
                 scores[first:last] = lattice.many(text[base : ends[last - 1]], ends[first:last] - size[first:last] - base, size[first:last])
                 first = last
             at, out = 0, []
-            for part, step, home, owner, n in labels.reshape(-1, 5):
+            for piece, home, owner, n in labels.reshape(-1, 4):
                 own = inverse[at : at + n]
                 at += n
-                out.append((int(home), K.pack(np.array([part, step, owner]), counted[own], scores[own])))
+                out.append((int(home), SCORED, int(piece), K.pack(np.array([owner]), counted[own], scores[own])))
                 if len(out) >= 256:
-                    yield _scored(out)
+                    yield _rows(out)
                     out = []
             if out:
-                yield _scored(out)
+                yield _rows(out)
 
     return run
 
 
-def _scored(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int32()), pa.array([SCORED] * len(out), pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["target", "kind", "packed"])
-
-
-OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+OUT = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _finish(tokens: int, distinct: int, ends: int, end_log: float):
-    """Documents and answers meet."""
+    """Documents and answers meet; rows come in order of (slice, kind), so that one slice is held at a time."""
     names = [x.split()[0] for x in OUT.split(", ")]
     floor = tokens + 0.1 * (distinct + 1)
 
     def run(batches):
-        docs, answers = [], {}
-        for kind, packed in K.rows_of(batches, "kind", "packed"):
-            if kind == DOCS:
-                docs.append(packed)
-            else:
-                label, counted, scores = K.unpack(packed)
-                answers.setdefault((int(label[0]), int(label[1])), []).append((int(label[2]), counted, scores))
-        for packed in docs:
-            label, ids, missing, out, sizes, places, edges = K.unpack(packed)
+        for _, held in K.grouped(batches, ["slice"], ["kind", "packed"]):
+            docs = [packed for kind, packed in held if kind == DOCS]
+            missing, lengths, raw, out, sizes, places, edges = K.unpack(docs[0])
+            ids = _unpacked_ids(missing, lengths, raw)
             n = int(edges[-1])
             counted, scores = np.zeros(n, np.int64), np.zeros(n)
-            for owner, c, s in answers.pop((int(label[0]), int(label[1])), []):
-                counted[edges[owner] : edges[owner + 1]], scores[edges[owner] : edges[owner + 1]] = c, s
+            for kind, packed in held:
+                if kind == SCORED:
+                    (owner,), c, s = K.unpack(packed)
+                    counted[edges[owner] : edges[owner + 1]], scores[edges[owner] : edges[owner + 1]] = c, s
             base = np.log10((counted + 0.1) / floor)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             full = sizes > 0
@@ -330,7 +341,7 @@ def _finish(tokens: int, distinct: int, ends: int, end_log: float):
             known = total((counted > 0).astype(float)).astype(np.int64) + (ends > 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, mask=missing), pa.array(out), pa.array(sizes + 1), pa.array(known), pa.array(np.full(len(ids), tokens)),
+                    pa.array(ids, pa.string()), pa.array(out), pa.array(sizes + 1), pa.array(known), pa.array(np.full(len(ids), tokens)),
                     pa.array(total(base) + np.log10((ends + 0.1) / floor)), pa.array((total(scores) + end_log) / np.log(10)),
                 ],
                 names=names,
@@ -340,16 +351,15 @@ def _finish(tokens: int, distinct: int, ends: int, end_log: float):
 
 
 def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", held_out: Callable[[list], np.ndarray] = held_out_ids) -> DataFrame:
-    """One row a document: OUT. score is the log10 probability of the text, base_score that under smoothed word counts; both learn from the documents not held out."""
-    docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    """One row a document: OUT, with the id's own type. score is the log10 probability of the text, base_score that under smoothed word counts, which learn from the documents not held out."""
+    docs = pick(docs, doc_id=id_col, text=text_col)
     count, pieces = partitions(docs.sparkSession), Pieces.read(vocabulary_path)
     spread = checkpoint(docs.transform(arrow, _spread(count, held_out), ROW))
     ends = spread.where(f"kind = {TRAINED}").agg(F.coalesce(F.sum("target"), F.lit(0))).first()[0]
     owned = checkpoint(K.deal(spread.where(f"kind = {WORDS}"), count=count).select("packed").transform(arrow, _own, ROW))
-    totals = K.sum_counters(owned.select("packed"), _count_pieces(pieces), pieces.size + 2)
-    counts, tokens, distinct = totals[:-2].astype(float), int(totals[-2]) + ends, int(totals[-1]) + (ends > 0)
-    counts[pieces.end] += ends
-    log_p = probabilities(counts, pieces)
-    answers = owned.select("packed").transform(arrow, _answer(lambda: Lattice(pieces, log_p), count), ROW)
-    met = K.deal(answers.union(spread.where(f"kind = {DOCS}")), count=count)
-    return met.transform(arrow, _finish(tokens, distinct, ends, float(log_p[pieces.end])), OUT)
+    totals = K.sum_counters(owned.select("packed"), _count_tokens, 2, 1)
+    tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
+    answers = owned.select("packed").transform(arrow, _answer(lambda: Lattice(pieces), count), ROW)
+    met = K.deal(answers.union(spread.where(f"kind = {DOCS}")), count=count).sortWithinPartitions("slice", "kind")
+    scored = met.transform(arrow, _finish(tokens, distinct, ends, float(pieces.log_p[pieces.end])), OUT)
+    return scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

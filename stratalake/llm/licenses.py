@@ -1,17 +1,23 @@
 """Fuzzy search for licence notices in whole texts.
 
 A text is reduced to its words: A-Z lower-cased, every run of other ASCII bytes
-a single separator.  A notice of k allowed edits is split into k + 1 pieces; a
-place within k edits of the notice holds at least one piece unchanged
-(pigeonhole), so an exact search for the pieces finds every candidate.  The
-regex library's bounded-error matching then verifies each candidate on its
-neighbourhood and gives the edits.  Exact occurrences are the candidates with
-no edits, found through the same pieces.
+a single separator.  A place of a notice is as many words as it has, each within
+one edit of the notice's word where that has LONG_WORD letters or more, else
+equal to it, and with one edit for every EDIT_LETTERS letters of the notice in
+all: names such as "mit" are never stretched and short notices never blurred.
+
+A notice of k allowed edits is split into k + 1 pieces; a place within k edits
+of the notice holds at least one piece unchanged (pigeonhole), so an exact
+search for the pieces finds every candidate: the words that begin where the
+piece says the notice does, give or take the edits.  The regex library's
+bounded-error matching then verifies each candidate and counts its edits.
+Exact occurrences are the candidates with no edits, found through the same
+pieces.
 
 Defined results: a null or empty text has no words, no places and no labels;
-overlapping places of an exact phrase all count; places with edits are reported
-in neighbourhoods without an exact place of the same notice; repeated rows are
-scanned each on its own; other input columns are ignored.
+all places count, whether they overlap, stand side by side or have edits;
+repeated rows are scanned each on its own; an empty table gives an empty one;
+other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,42 +35,60 @@ from . import textkit as T
 from .cluster import arrow, pick
 
 
+LONG_WORD, EDIT_LETTERS = 6, 15
+#: Bytes that one edit moves what follows it by, at most.
+EDIT_BYTES = 4
+
+
 @dataclass(frozen=True)
 class Notice:
-    """Words of a notice, its label and the edits allowed; base notices also count exact places."""
+    """Words of a notice and its label; base notices also count exact places."""
 
     phrase: str
     label: str
-    edits: int = 1
     base: bool = False
 
+    @property
+    def edits(self) -> int:
+        return len(self.phrase) // EDIT_LETTERS
+
+    @property
+    def words(self) -> list[str]:
+        return self.phrase.split(" ")
+
     @property
     def pieces(self) -> list[bytes]:
         text, n = self.phrase.encode(), self.edits + 1
         cuts = [round(i * len(text) / n) for i in range(n + 1)]
         return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    @property
+    def pattern(self) -> str:
+        return " ".join(f"(?:{regex.escape(w)}){{e<=1}}" if self.edits and len(w) >= LONG_WORD else regex.escape(w) for w in self.words)
+
 
 # Wording of the notices looked for.
 NOTICES = (
-    Notice("mit license", "mit", 1, True),
-    Notice("apache license", "apache", 2, True),
-    Notice("general public license", "gpl", 2, True),
-    Notice("permission is hereby granted free of charge", "mit", 4),
-    Notice("licensed under the apache license version 2 0", "apache", 4),
-    Notice("this program is free software you can redistribute it", "gpl", 5),
-    Notice("lesser general public license", "lgpl", 2),
-    Notice("affero general public license", "agpl", 2),
-    Notice("mozilla public license", "mpl", 2),
-    Notice("redistribution and use in source and binary forms", "bsd", 4),
-    Notice("bsd license", "bsd", 1),
-    Notice("isc license", "isc", 1),
-    Notice("eclipse public license", "epl", 2),
-    Notice("boost software license", "boost", 2),
-    Notice("creative commons attribution", "cc-by", 2),
-    Notice("creative commons attribution noncommercial", "cc-by-nc", 3),
-    Notice("released into the public domain", "public-domain", 3),
-    Notice("all rights reserved", "all-rights-reserved", 1),
+    Notice("mit license", "mit", True),
+    Notice("apache license", "apache", True),
+    Notice("general public license", "gpl", True),
+    Notice("mit licence", "mit"),
+    Notice("apache licence", "apache"),
+    Notice("permission is hereby granted free of charge", "mit"),
+    Notice("licensed under the apache license version 2 0", "apache"),
+    Notice("this program is free software you can redistribute it", "gpl"),
+    Notice("lesser general public license", "lgpl"),
+    Notice("affero general public license", "agpl"),
+    Notice("mozilla public license", "mpl"),
+    Notice("redistribution and use in source and binary forms", "bsd"),
+    Notice("bsd license", "bsd"),
+    Notice("isc license", "isc"),
+    Notice("eclipse public license", "epl"),
+    Notice("boost software license", "boost"),
+    Notice("creative commons attribution", "cc-by"),
+    Notice("creative commons attribution noncommercial", "cc-by-nc"),
+    Notice("released into the public domain", "public-domain"),
+    Notice("all rights reserved", "all-rights-reserved"),
 )
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,phrase:string,word_start:long,word_end:long,edits:int>>"
@@ -95,19 +119,14 @@ class Scanner:
     patterns: list = field(init=False)
 
     def __post_init__(self):
-        self.patterns = [regex.compile(f"(?<= )(?:{regex.escape(n.phrase)}){{e<={n.edits}}}(?= )", regex.BESTMATCH) for n in self.notices]
+        self.patterns = [regex.compile(n.pattern, regex.BESTMATCH) for n in self.notices]
 
         @lru_cache(maxsize=4096)
-        def verified(which: int, window: bytes) -> tuple[tuple[int, int, int], ...]:
-            """Byte spans and edits of the places in the window; those with fewest edits first, none overlapping a better one."""
-            text = window.decode()
-            notice, found = self.notices[which], []
-            exact, at = f" {notice.phrase} ", -1
-            while (at := text.find(exact, at + 1)) >= 0:
-                found.append((at + 1, at + 1 + len(notice.phrase), 0))
-            spans = [] if found else [(m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.patterns[which].finditer(text)]
-            found += spans
-            return tuple((len(text[:a].encode()), len(text[:b].encode()), e) for a, b, e in found)
+        def verified(which: int, words: bytes) -> int:
+            """The edits that make the words the notice; -1 where they are too many."""
+            found = self.patterns[which].fullmatch(words.decode())
+            edits = sum(found.fuzzy_counts) if found else -1
+            return edits if edits <= self.notices[which].edits else -1
 
         self.verified = verified
 
@@ -118,47 +137,35 @@ class Scanner:
         self.notices = state["notices"]
         self.__post_init__()
 
-    def windows(self, which: int, buffer: bytes) -> Iterator[tuple[int, int]]:
-        """Neighbourhoods of the notice's exact pieces, merged where they meet and widened to whole words."""
-        notice, hits, done = self.notices[which], [], 0
+    def candidates(self, which: int, buffer: bytes, words_at: np.ndarray) -> np.ndarray:
+        """Indices of the words at which the notice may begin, by its exact pieces."""
+        notice, starts, done = self.notices[which], [], 0
         for piece in notice.pieces:
             at = buffer.find(piece)
             while at >= 0:
-                hits.append((at, done))
+                starts.append(at - done)
                 at = buffer.find(piece, at + 1)
             done += len(piece)
-        reach, last = len(notice.phrase.encode()), None
-        for at, before in sorted(hits):
-            first, end = at - before - 4 * notice.edits - 1, at - before + reach + 4 * notice.edits + 1
-            if last and first <= last[1]:
-                last = (last[0], max(last[1], end))
-            else:
-                if last:
-                    yield last
-                last = (first, end)
-        if last:
-            yield last
+        starts, reach = np.unique(np.array(starts, np.int64)), EDIT_BYTES * notice.edits
+        first, behind = np.searchsorted(words_at, starts - reach), np.searchsorted(words_at, starts + reach, "right")
+        return np.unique(np.concatenate([np.arange(a, b) for a, b in zip(first, behind, strict=True)])) if len(starts) else starts
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
         """For each row the values of SCHEMA."""
         buffer, words_at, bounds = normalise(data, offsets)
+        ends = np.append(words_at, len(buffer))
         places: list[list[tuple]] = [[] for _ in range(len(offsets) - 1)]
         for which, notice in enumerate(self.notices):
-            seen = set()
-            for a, b in self.windows(which, buffer):
-                a, b = max(0, a), min(len(buffer), b)
-                a = max(0, buffer.rfind(b" ", 0, a + 1))
-                b = buffer.find(b" ", max(b - 1, 0)) + 1 or len(buffer)
-                piece_at = a
-                for piece in buffer[a:b].split(b"\n"):
-                    for start, end, edits in self.verified(which, piece):
-                        first = int(np.searchsorted(words_at, piece_at + start, "right")) - 1
-                        behind = int(np.searchsorted(words_at, piece_at + end))
-                        if (first, behind) not in seen:
-                            seen.add((first, behind))
-                            row = int(np.searchsorted(bounds, first, "right")) - 1
-                            places[row].append((which, first - int(bounds[row]), behind - int(bounds[row]), edits))
-                    piece_at += len(piece) + 1
+            size = len(notice.words)
+            found = self.candidates(which, buffer, words_at)
+            rows = np.searchsorted(bounds, found, "right") - 1
+            for first, row in zip(found.tolist(), rows.tolist(), strict=True):
+                if first + size > bounds[row + 1]:
+                    continue
+                words = buffer[words_at[first] : ends[first + size]].rstrip(b" \n")
+                edits = self.verified(which, words) if len(words) <= len(notice.phrase) + EDIT_BYTES * notice.edits else -1
+                if edits >= 0:
+                    places[row].append((which, first - int(bounds[row]), first - int(bounds[row]) + size, edits))
         out = []
         for row, found in enumerate(places):
             found.sort(key=lambda m: (m[1], m[2], m[0]))

@@ -24,6 +24,27 @@ def license_words(text: str | None) -> tuple:
     return len(words), len(found), min(found)[0] if found else None, max(found)[0] if found else None, ",".join(sorted({name for _, name in found}))
 
 
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def license_windows(text: str | None, notices) -> list[tuple]:
+    """(phrase, first word, word behind, edits) of all windows within a notice's bounds: six letters for an edit in a word, fifteen for one in the phrase."""
+    words, out = NAME_WORD.findall(lower(text)), []
+    for notice in notices:
+        want = notice.phrase.split()
+        for i in range(len(words) - len(want) + 1):
+            apart = [distance(a, b) for a, b in zip(words[i : i + len(want)], want, strict=True)]
+            if all(d <= (len(w) >= 6) for d, w in zip(apart, want, strict=True)) and sum(apart) <= len(notice.phrase) // 15:
+                out.append((notice.phrase, i, i + len(want), sum(apart)))
+    return sorted(out)
+
+
 def quality_measures(text: str | None) -> tuple:
     text = text or ""
     words = WORD.findall(text)
