@@ -23,12 +23,12 @@ def ramp_terms(flat: int, ivar: int = 0, nfit: int = 0, elevation: bool = False,
     return [Term(n, ramps.value(n, F.col("col"), F.col("line"), F.col("elev") if elevation else None)) for n in names]
 
 
-def fit_ramps(rows: DataFrame, by: Sequence[str], flat: int, ivar: int = 0, nfit: int = 0, *, elevation: bool = False, pair: bool = False, value: str = "value", sigma: Column | None = None) -> DataFrame:
-    """One row a group with a column for each term of the ramp."""
+def fit_ramps(rows: DataFrame, by: Sequence[str], flat: int, ivar: int = 0, nfit: int = 0, *, elevation: bool = False, pair: bool = False, value: str = "value", sigma: Column | None = None, min_rows: int = 0) -> DataFrame:
+    """One row a group with a column for each term of the ramp; null where the group has no more than min_rows rows."""
     terms = ramp_terms(flat, ivar, nfit, elevation, pair)
     if not terms:
         return rows.select(*by).distinct()
-    found = solve.fit(rows, F.col(value), terms, by, sigma, cond=1e-7)
+    found = solve.fit(rows, F.col(value), terms, by, sigma, 1e-7, F.col("n") > min_rows)
     return found.select(*by, F.col("n").alias("n_rows"), *[F.col(f"m_{t.name}").alias(t.name) for t in terms])
 
 
@@ -61,12 +61,13 @@ def phase_elevation(rows: DataFrame, by: Sequence[str], value: str = "value", el
     return rows.groupBy(*by).agg(F.regr_slope(value, elevation).alias("slope"), F.regr_intercept(value, elevation).alias("offset"), F.regr_count(value, elevation).alias("n"))
 
 
-def model_correction(cells: DataFrame, mode: str, by: Sequence[str] = ("date",), *, value: str = "value", model: str = "model", bins: int = 500, min_n: int = 500) -> DataFrame:
+def model_correction(cells: DataFrame, mode: str, by: Sequence[str] = ("date",), *, value: str = "value", model: str = "model", min_rows: int = 0) -> DataFrame:
     """Observations less an atmospheric model and what the mode fits besides.
 
     cst: the difference's mean; lin: a plane of the difference; quad: a
     quadratic one; fit: slope and constant over the model; fit+quad: slope over
-    the model and a quadratic ramp together.
+    the model and a quadratic ramp together.  Groups of no more than min_rows
+    rows get nulls.
     """
     line, col = F.col("line").cast("double"), F.col("col").cast("double")
     one = Term("cst", F.lit(1.0))
@@ -74,7 +75,7 @@ def model_correction(cells: DataFrame, mode: str, by: Sequence[str] = ("date",),
     square = [Term("r2", col * col), Term("a2", line * line), Term("ra", col * line)]
     terms = {"cst": [one], "lin": [*plane, one], "quad": [*square, *plane, one], "fit": [Term("model", F.col(model)), one], "fit+quad": [Term("model", F.col(model)), *square, *plane, one]}[mode]
     target = F.col(value) if mode.startswith("fit") else F.col(value) - F.col(model)
-    fitted = solve.fit(cells.where(valid(value).isNotNull() & valid(model).isNotNull()), target, terms, list(by))
+    fitted = solve.fit(cells.where(valid(value).isNotNull() & valid(model).isNotNull()), target, terms, list(by), min_rows=F.col("n") > min_rows)
     joined = cells.join(fitted.drop("n", "rss"), list(by), "left")
     rest = F.col(value) - solve.evaluate(terms) - (F.lit(0.0) if mode.startswith("fit") else F.col(model))
     return joined.withColumn("corrected", rest).drop(*[c for t in terms for c in (f"m_{t.name}", f"s_{t.name}")])
@@ -86,19 +87,19 @@ def fit_binned_model(cells: DataFrame, value: str, model: str, bins: int = 500,
     return solve.fit(binned, F.col("median"), [Term("slope", F.col("x")), Term("offset", F.lit(1.0))], [], F.greatest(F.col("std"), F.lit(1e-6)))
 
 
-def weighted_model_ramp(pixels: DataFrame, by: Sequence[str], value: str = "phase", model: str = "model") -> DataFrame:
+def weighted_model_ramp(pixels: DataFrame, by: Sequence[str], value: str = "phase", model: str = "model", min_rows: int = 0) -> DataFrame:
     """Planar ramp of phase less model, the coherence taken as sigma: high coherence weighs less."""
     terms = [Term("r", F.col("col").cast("double")), Term("a", F.col("line").cast("double")), Term("cst", F.lit(1.0))]
-    return solve.fit(pixels, F.col(value) - F.col(model), terms, list(by), F.col("coh"))
+    return solve.fit(pixels, F.col(value) - F.col(model), terms, list(by), F.col("coh"), min_rows=F.col("n") > min_rows)
 
 
-def stratified_phase(gradients: DataFrame, degree: int, reference: float, by: Sequence[str] = (), *, value: str = "dphi", elevation: str = "elev") -> DataFrame:
+def stratified_phase(gradients: DataFrame, degree: int, reference: float, by: Sequence[str] = (), *, value: str = "dphi", elevation: str = "elev", min_rows: int = 0) -> DataFrame:
     """Phase gradients over powers of height above a reference, weighted by coherence; degree 0 is the mean and -1 the median."""
     if degree == -1:
         return gradients.groupBy(*by).agg(F.percentile(value, 0.5).alias("m_z0"))
     dz = F.col(elevation) - F.lit(reference)
     terms = [Term(f"z{k}", F.pow(dz, F.lit(float(k))) if k else F.lit(1.0)) for k in range(degree + 1)]
-    return solve.fit(gradients, F.col(value), terms, list(by), 1 / F.col("coh"))
+    return solve.fit(gradients, F.col(value), terms, list(by), 1 / F.col("coh"), min_rows=F.col("n") > min_rows)
 
 
 def stack_ramp(stack: DataFrame, value: str = "stack") -> DataFrame:

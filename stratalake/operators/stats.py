@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phase as P
+from ..functions.basis import Term
+from . import solve
 from .masks import valid, with_bounds
 
 
@@ -44,20 +46,41 @@ def extent(df: DataFrame, x: str) -> tuple[float, float]:
     return (low, high) if low is not None else (0.0, 0.0)
 
 
-def binned_trimmed(df: DataFrame, x: str, y: str, bins: int = 500, min_n: int = 200, low: float = 5, high: float = 95, clean: bool = False) -> DataFrame:
-    """Median and deviation of y in equal bins of x with more than min_n values, after trimming each bin to its percentiles.
+def binned_trimmed(
+    df: DataFrame, x: str, y: str, bins: int = 500, min_n: int = 200, low: float = 5, high: float = 95, clean: bool = False,
+    by: Sequence[str] = (), medians: Sequence[str] = (), sigma: str | None = None,
+) -> DataFrame:
+    """Median and deviation of y in equal bins of x with more than min_n values, of what lies strictly inside each bin's percentiles.
 
-    The last bin is left out, as with bins counted by their lower edges.  With
-    `clean`, the trimmed rows themselves with their bin's values beside them.
+    One row a bin and group: bin, x, median, std, kept and, for the columns in
+    `medians`, median_<column>.  Bins are numbered from 0; the last two are left
+    out and a bin's x is the centre of the bin above it, as both come from
+    counting the bins by their upper edges.  With `clean`, the trimmed rows
+    themselves, and their `sigma` times the deviation of their bin.
     """
-    first, last = extent(df, x)
-    if last <= first:
-        last = first + 1
-    placed = df.withColumn("bin", bin_index(F.col(x), first, last, bins)).where(valid(y).isNotNull() & F.col("bin").isNotNull() & (F.col("bin") < bins - 1))
-    counts = placed.groupBy("bin").agg(F.count("*").alias("n"), F.percentile(F.col(y), F.array(F.lit(low / 100), F.lit(high / 100))).alias("b")).where(F.col("n") > min_n)
-    trimmed = placed.join(counts, "bin").where((F.col(y) >= F.col("b")[0]) & (F.col(y) <= F.col("b")[1]))
-    out = trimmed.groupBy("bin").agg(F.avg(x).alias("x"), F.percentile(F.col(y), 0.5).alias("median"), F.stddev_pop(y).alias("std"), F.count("*").alias("kept"))
-    return trimmed.drop("n", "b").join(out.select("bin", "median", "std"), "bin") if clean else out
+    rows = df.where(valid(y).isNotNull() & valid(x).isNotNull())
+    if by:
+        ends = rows.groupBy(*by).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
+        placed = rows.join(ends, list(by)).where("_high > _low")
+    else:
+        first, last = extent(rows, x)
+        placed = rows.withColumns({"_low": F.lit(first).cast("double"), "_high": F.lit(last).cast("double")}).where("_high > _low")
+    width = (F.col("_high") - F.col("_low")) / F.lit(bins)
+    placed = placed.withColumns({"bin": F.floor((F.col(x) - F.col("_low")) / width).cast("int"), "_width": width}).where(F.col("bin") < bins - 2)
+    keys = [*by, "bin"]
+    bounds = placed.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile(F.col(y), F.array(F.lit(low / 100), F.lit(high / 100))).alias("_b")).where(F.col("_n") > min_n)
+    trimmed = placed.join(bounds, keys).where((F.col(y) > F.col("_b")[0]) & (F.col(y) < F.col("_b")[1]))
+    centre = F.first(F.col("_low") + (F.col("bin") + 1.5) * F.col("_width")).alias("x")
+    out = trimmed.groupBy(*keys).agg(centre, F.percentile(F.col(y), 0.5).alias("median"), F.stddev_pop(y).alias("std"), F.count("*").alias("kept"), *[F.percentile(F.col(c), 0.5).alias(f"median_{c}") for c in medians])
+    if not clean:
+        return out
+    told = trimmed.drop("_n", "_b", "_low", "_high", "_width").join(out.select(*keys, "median", "std"), keys)
+    return told.withColumn(sigma, F.col(sigma) * F.col("std")) if sigma else told
+
+
+def sliding_median(df: DataFrame, x: str, y: str, bins: int = 200, min_n: int = 2000, by: Sequence[str] = ()) -> DataFrame:
+    """The curve of medians of y over x: binned_trimmed between the 10 and 90 percentiles."""
+    return binned_trimmed(df, x, y, bins, min_n, 10, 90, by=by)
 
 
 def rms_by(df: DataFrame, residual: str, by: Sequence[str]) -> DataFrame:
@@ -83,11 +106,26 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"c{i}") * 100).cast("int").alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 
 
-def phase_gradient(df: DataFrame, model: str, value: str, by: Sequence[str]) -> DataFrame:
-    """Per group the slope of phase over model, the correlation of rows inside the 0.5 to 99.5 percentiles, and by how many percent the correction lowers the deviation."""
-    kept = with_bounds(df, value, 0.5, 99.5, by).where(F.col(value).between(F.col("lo"), F.col("hi")))
-    std, rest = F.stddev_pop(value), F.stddev_pop(F.col(value) - F.col(model))
-    return kept.groupBy(*by).agg(F.regr_slope(value, model).alias("gradient"), F.corr(value, model).alias("corr"), std.alias("std"), (100 * F.try_divide(std - rest, std)).alias("std_reduction"))
+def phase_gradient(df: DataFrame, model: str, value: str, by: Sequence[str], bins: int = 200, min_n: int = 2000) -> DataFrame:
+    """Per group the line of the model over the phase, their correlation, and by how many percent the correction lowers the deviation.
+
+    Rows count that are strictly inside the 0.5 to 99.5 percentiles of both and
+    not 0 in either.  The line (gradient, offset) goes through the sliding
+    median but for its first point, each point weighted by its bin's deviation;
+    where fewer than two points are left, it is the plain regression of the
+    rows (by_medians false).
+    """
+    v, m = F.col(value), F.col(model)
+    bounded = with_bounds(with_bounds(df, value, 0.5, 99.5, by).withColumnsRenamed({"lo": "_v1", "hi": "_v2"}), model, 0.5, 99.5, by)
+    kept = bounded.where((v != 0) & (m != 0) & (v > F.col("_v1")) & (v < F.col("_v2")) & (m > F.col("lo")) & (m < F.col("hi")))
+    curve = sliding_median(kept.select(*by, value, model), value, model, bins, min_n, by)
+    later = curve.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("bin"))).where("_i > 1")
+    line = solve.fit(later, F.col("median"), [Term("slope", F.col("x")), Term("offset", F.lit(1.0))], list(by), F.col("std"), 1e-7, F.col("n") > 1)
+    std, rest = F.stddev_pop(value), F.stddev_pop(v - m)
+    plain = kept.groupBy(*by).agg(F.regr_slope(model, value).alias("_slope"), F.regr_intercept(model, value).alias("_offset"), F.corr(value, model).alias("corr"), std.alias("std"), (100 * F.try_divide(std - rest, std)).alias("std_reduction"))
+    both = plain.join(line.select(*by, "m_slope", "m_offset"), list(by), "left")
+    fitted = F.col("m_slope").isNotNull()
+    return both.select(*by, fitted.alias("by_medians"), F.when(fitted, F.col("m_slope")).otherwise(F.col("_slope")).alias("gradient"), F.when(fitted, F.col("m_offset")).otherwise(F.col("_offset")).alias("offset"), "corr", "std", "std_reduction")
 
 
 def zonal_mean(grid: DataFrame, box: Column, value: str, by: Sequence[str] = ()) -> DataFrame:

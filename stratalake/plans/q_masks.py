@@ -57,14 +57,14 @@ def _(t):
     return rounded(M.mask_pair(t.px.select("date1", "date2", "line", "col", "amp", "phase"), t.grid2, 0.5))
 
 
-@register("f08_clean_cube", "dates_px", """WITH b AS (SELECT date, quantile_cont(value, 2e-2) AS lo, quantile_cont(value, 98e-2) AS hi FROM dates_px WHERE frame='A' GROUP BY date),
-    c AS (SELECT date, line, col, elev, CASE WHEN value >= lo AND value <= hi AND rms <= 40 THEN value END AS v FROM dates_px JOIN b USING (date) WHERE frame='A'),
-    z AS (SELECT date, avg(v) AS m FROM c WHERE line < 5 GROUP BY date)
-    SELECT date, line, col, round(v-coalesce(m, 0)-elev*(date-1997)/1e2, 6) AS value FROM c LEFT JOIN z USING (date)""")
+@register("f08_clean_cube", "dates_px", """WITH b AS (SELECT frame, date, quantile_cont(value, 2e-2) AS lo, quantile_cont(value, 98e-2) AS hi FROM dates_px GROUP BY frame, date),
+    c AS (SELECT frame, date, line, col, elev, CASE WHEN value >= lo AND value <= hi AND rms <= 40 THEN value END AS v FROM dates_px JOIN b USING (frame, date)),
+    z AS (SELECT frame, date, avg(v) AS m FROM c WHERE line < 5 GROUP BY frame, date)
+    SELECT frame, date, line, col, round(v-coalesce(m, 0)-elev*(date-1997)/1e2, 6) AS value FROM c LEFT JOIN z USING (frame, date)""")
 def _(t):
-    rows = t.dates_px.where("frame = 'A'").select("date", "line", "col", "value", F.col("rms").alias("mask"), F.col("elev").alias("dem"), F.col("date").cast("double").alias("bperp"))
-    found = M.clean_cube(rows, percent=98, mask_below=40, zone=F.col("line") < 5, demerr=True, bperp_reference=1997.0)
-    return rounded(found.select("date", "line", "col", "value"))
+    rows = t.dates_px.select("frame", "date", "line", "col", "value", F.col("rms").alias("mask"), F.col("elev").alias("dem"), F.col("date").cast("double").alias("bperp"))
+    found = M.clean_cube(rows, percent=98, mask_below=40, zone=F.col("line") < 5, demerr=True, bperp_reference=1997.0, by=("frame", "date"))
+    return rounded(found.select("frame", "date", "line", "col", "value"))
 
 
 @register("f09_reference_in_time", "cube", """WITH r AS (SELECT pixel, max(disp) AS ref FROM cube WHERE date=199706 GROUP BY pixel)
@@ -221,15 +221,18 @@ def _(t):
     return rounded(A.remove_model(t.cube.select("pixel", "date", "dec", "disp"), t.coefs, _model_terms()).select("pixel", "date", "model", "disp"), digits=5)
 
 
-@register("r08_dense_model", "coefs", """SELECT pixel, k, round(dec, 6) AS t, round(reference+linear*(dec-1995)+seasonal_sin*sin(2*pi()*(dec-1995))+seasonal_cos*cos(2*pi()*(dec-1995)), 5) AS model
-    FROM (SELECT *, range::INT AS k, 1995+(8e0/99)*range AS dec FROM coefs, range(100) WHERE pixel % 20 = 0)""")
+# Every pixel on a day's step over eight years; what is compared sums a pixel's days up.
+@register("r08_dense_model", "coefs", """SELECT pixel, count(*) AS n, round(min(m), 5) AS lowest, round(max(m), 5) AS highest, round(avg(m), 5) AS mean, round(sum(m*k)/2920e0, 3) AS moment FROM (
+    SELECT pixel, range::INT AS k, reference+linear*(8e0/2919*range)+seasonal_sin*sin(2*pi()*(8e0/2919*range))+seasonal_cos*cos(2*pi()*(8e0/2919*range)) AS m FROM coefs, range(2920)) GROUP BY pixel""")
 def _(t):
     from ..functions import basis as B
 
     time = F.col("t")
     terms = {"reference": F.lit(1.0), "linear": B.linear(time, 1995.0), "seasonal_sin": B.harmonic(time, 1995.0, 1.0), "seasonal_cos": B.harmonic(time, 1995.0, 1.0, True)}
-    found = A.dense_model(t.coefs.where("pixel % 20 = 0"), terms, 1995.0, 8.0, 100).select("pixel", "k", "t", "model")
-    return rounded(rounded(found, "model", digits=5), "t")
+    days = A.dense_model(t.coefs, terms, 1995.0, 8.0, 2920)
+    m = F.col("model")
+    found = days.groupBy("pixel").agg(F.count("*").alias("n"), F.min(m).alias("lowest"), F.max(m).alias("highest"), F.avg(m).alias("mean"), (F.sum(m * F.col("k")) / F.lit(2920.0)).alias("moment"))
+    return rounded(rounded(found, "lowest", "highest", "mean", digits=5), "moment", digits=3)
 
 
 _SLOTS = {"r3": "1e-7", "r2": "1e-5", "r": "1e-3", "a3": "2e-7", "a2": "2e-5", "a": "2e-3", "ra2": "1e-8", "ra": "1e-5", "cst": "rms", "z": "1e-4", "z2": "1e-7", "az": "1e-6", "az2": "1e-11"}
@@ -279,12 +282,13 @@ def _(t):
     return rounded(A.cutfile_weight(t.grid.select("line", "col", F.col("value").alias("grad"), F.col("rms").alias("std"))).select("line", "col", "weight"))
 
 
-@register("r16_zenith_to_los", "dates_px", """WITH z AS (SELECT date, line, col, model/cos(radians(34e0))*-1256e-1 AS los FROM dates_px WHERE frame='A')
-    SELECT a.date::INT AS date1, b.date::INT AS date2, line, col, round(b.los-a.los, 6) AS los FROM z a JOIN z b USING (line, col) WHERE a.date=1996 AND b.date=1998""")
+@register("r16_zenith_to_los", "dates_px", """WITH z AS (SELECT frame, date, line, col, model/cos(radians(34e0))*-1256e-1 AS los FROM dates_px)
+    SELECT frame, a.date::INT AS date1, b.date::INT AS date2, line, col, round(b.los-a.los, 6) AS los FROM z a JOIN z b USING (frame, line, col) WHERE a.date < b.date""")
 def _(t):
-    delays = t.dates_px.where("frame = 'A'").select("date", "line", "col", F.col("model").alias("ztd"), F.lit(34.0).alias("inc"))
-    pairs = t.spark.createDataFrame([(1996, 1998)], "date1 int, date2 int")
-    return rounded(A.pair_difference(pairs, A.zenith_to_los(delays, -125.6), "los"))
+    delays = t.dates_px.select("frame", "date", "line", "col", F.col("model").alias("ztd"), F.lit(34.0).alias("inc"))
+    years = [r["date"] for r in t.dates_px.select("date").distinct().orderBy("date").collect()]  # one row a year
+    pairs = t.spark.createDataFrame([(a, b) for a in years for b in years if a < b], "date1 int, date2 int")
+    return rounded(A.pair_difference(pairs, A.zenith_to_los(delays, -125.6), "los", ("frame", "line", "col")))
 
 
 @register("r17_add_geoid", "grid grid2", "SELECT a.line, a.col, round(a.value+b.value, 6) AS value FROM grid a JOIN grid2 b ON a.line=b.line AND a.col=b.col")
@@ -292,14 +296,17 @@ def _(t):
     return rounded(A.combine(t.grid, t.grid2, "add", zero_missing=False))
 
 
-@register("r18_loop_bias", "dates_px", """WITH s AS (SELECT a.line, a.col, (b.value-a.value)*11e-1+(c.value-b.value)-(c.value-a.value) AS bias FROM dates_px a JOIN dates_px b USING (line, col, frame) JOIN dates_px c USING (line, col, frame)
-    WHERE frame='A' AND a.date=1996 AND b.date=1997 AND c.date=1998) SELECT 1 AS loop, line, col, round(bias-avg(bias) OVER (), 6) AS bias FROM s""")
+@register("r18_loop_bias", "dates_px", """WITH s AS (SELECT a.date-1995 AS loop, frame, line, col, (b.value-a.value)*CASE WHEN a.date=1996 THEN 11e-1 ELSE 1 END+(c.value-b.value)*CASE WHEN b.date=1996 THEN 11e-1 ELSE 1 END-(c.value-a.value) AS bias
+    FROM dates_px a JOIN dates_px b USING (line, col, frame) JOIN dates_px c USING (line, col, frame) WHERE b.date=a.date+1 AND c.date=a.date+2)
+    SELECT loop::INT AS loop, frame, line, col, round(bias-avg(bias) OVER (PARTITION BY frame, loop), 6) AS bias FROM s""")
 def _(t):
-    rows = t.dates_px.where("frame = 'A'").select("date", "line", "col", "value")
-    pairs = t.spark.createDataFrame([(1996, 1997), (1997, 1998), (1996, 1998)], "date1 int, date2 int")
-    cells = A.pair_difference(pairs, rows, "value").withColumn("phase", F.col("value") * F.when((F.col("date1") == 1996) & (F.col("date2") == 1997), 1.1).otherwise(1.0))
-    loops = t.spark.createDataFrame([(1, 1996, 1997, 1), (1, 1997, 1998, 1), (1, 1996, 1998, -1)], "loop int, date1 int, date2 int, sign int")
-    return rounded(A.loop_bias(cells.select("date1", "date2", "line", "col", "phase"), loops))
+    years = [r["date"] for r in t.dates_px.select("date").distinct().orderBy("date").collect()]  # one row a year
+    triples = [(a, b, c) for a, b, c in zip(years, years[1:], years[2:], strict=False)]
+    pairs = t.spark.createDataFrame(sorted({p for a, b, c in triples for p in ((a, b), (b, c), (a, c))}), "date1 int, date2 int")
+    cells = A.pair_difference(pairs, t.dates_px.select("frame", "date", "line", "col", "value"), "value", ("frame", "line", "col"))
+    cells = cells.withColumn("phase", F.col("value") * F.when((F.col("date1") == 1996) & (F.col("date2") == 1997), 1.1).otherwise(1.0))
+    loops = t.spark.createDataFrame([x for a, b, c in triples for x in ((a - 1995, a, b, 1), (a - 1995, b, c, 1), (a - 1995, a, c, -1))], "loop int, date1 int, date2 int, sign int")
+    return rounded(A.loop_bias(cells.select("frame", "date1", "date2", "line", "col", "phase"), loops, ("frame",)))
 
 
 @register("r19_rescale_components", "dates_px", """WITH v AS (SELECT frame, max(m)-min(m) AS span FROM (SELECT frame, date, avg(model) AS m FROM dates_px GROUP BY 1, 2) GROUP BY 1)

@@ -81,9 +81,9 @@ def _(t):
     return rounded(P.mean_baseline_per_pixel(t.px, t.nodes))
 
 
-@register("l13_weights_from_sigma", "pairs", "SELECT date1, date2, round(exp(-rms), 6) AS weight FROM pairs WHERE n > 5")
+@register("l13_weights_from_sigma", "pairs", "SELECT date1, date2, round(exp(-rms), 6) AS weight FROM pairs")
 def _(t):
-    sigmas = t.pairs.where("n > 5").select("date1", "date2", F.col("rms").alias("sigma"))
+    sigmas = t.pairs.select("date1", "date2", F.col("rms").alias("sigma"))
     return rounded(P.weights_from_sigma(t.pairs, sigmas).select("date1", "date2", "weight"))
 
 
@@ -104,9 +104,9 @@ def _(t):
 
 
 @register("l17_correction_weights", "px", """SELECT date1, date2, round((c+1-s/max(s) OVER ())/2, 6) AS weight FROM (
-    SELECT date1, date2, avg(coh) AS c, stddev_pop(phase) AS s FROM px GROUP BY date1, date2 HAVING count(*) > 2)""")
+    SELECT date1, date2, avg(coh) AS c, stddev_pop(phase) AS s FROM px GROUP BY date1, date2)""")
 def _(t):
-    stats = t.px.groupBy("date1", "date2").agg(F.avg("coh").alias("corr"), F.stddev_pop("phase").alias("std"), F.count("*").alias("n")).where("n > 2")
+    stats = t.px.groupBy("date1", "date2").agg(F.avg("coh").alias("corr"), F.stddev_pop("phase").alias("std"))
     return rounded(P.correction_weights(stats).select("date1", "date2", "weight"))
 
 

@@ -34,11 +34,15 @@ def _coefs(df, by, terms, digits=5):
     return rounded(df.select(*by, "n", *[f"m_{t.name}" for t in terms]), digits=digits)
 
 
-@register("v01_weighted_lsq", "cube", _fit_sql(["date"], "cube JOIN (SELECT date AS d2 FROM cube GROUP BY 1 HAVING count(*) > 10) ON date=d2", "disp", {"cst": "1e0", "r": "col", "a": "line"}, "1/(sigma*sigma)"))
+def _enough(by: list[str], terms, least: int, digits: int = 5) -> str:
+    """Columns of fits that are null where a group has no more than `least` rows."""
+    return ", ".join([*by, "n", *[f"CASE WHEN n > {least} THEN round(m_{n}, {digits}) END AS m_{n}" for n in terms]])
+
+
+@register("v01_weighted_lsq", "cube", f"WITH {gram_sql('cube', ['date'], 'disp', {'cst': '1e0', 'r': 'col', 'a': 'line'}, '1/(sigma*sigma)')} SELECT {_enough(['date'], ['cst', 'r', 'a'], 10)} FROM fitted")
 def _(t):
     terms = [Term("cst", F.lit(1.0)), Term("r", F.col("col")), Term("a", F.col("line"))]
-    many = t.cube.groupBy("date").agg(F.count("*").alias("k")).where("k > 10")
-    return _coefs(solve.fit(t.cube.join(many, "date", "left_semi"), F.col("disp"), terms, ["date"], F.col("sigma")), ["date"], terms)
+    return _coefs(solve.fit(t.cube, F.col("disp"), terms, ["date"], F.col("sigma"), min_rows=F.col("n") > 10), ["date"], terms)
 
 
 @register("v02_pixel_decomp", "cube", _fit_sql(["pixel"], "cube", "disp", SEASONAL, "1/(sigma*sigma)", digits=4, test=f"WHERE n > {DATES}/6e0"))
@@ -86,33 +90,50 @@ def _(t):
     return t.spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(x)], "i int, m double")
 
 
-def _ramp_sql(flat: int, ivar: int, nfit: int, by: list[str], source: str, y: str, where: str = "", weight: str = "1e0", pair: bool = False, elevation: bool = True) -> tuple[str, dict[str, str]]:
-    places = {"cst": "1e0", "r": "col", "r2": "col*col", "a": "line", "a2": "line*line", "a3": "line*line*line", "ra": "col*line", "ra2": "(col*line)*(col*line)", "z": "elev", "z2": "elev*elev", "az": "line*elev", "az2": "(line*elev)*(line*elev)"}
-    terms = {n: f"({places[n]})::DOUBLE" for n in R.names(flat, ivar, nfit, elevation, pair)}
-    return gram_sql(source, by, y, terms, weight, where), terms
-
-
-# Ramps of every order, each with its topographic form where the system stays small enough for the check in SQL.
-for _flat, _ivar, _nfit in [(0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 0, 0), (4, 1, 0), (5, 0, 0), (6, 0, 0), (7, 0, 0), (8, 0, 0), (9, 0, 0)]:
-    _elevation = _flat in (0, 2, 4)
-    _text, _names = _ramp_sql(_flat, _ivar, _nfit, ["frame"], "(SELECT frame, line % 10 AS line, col % 10 AS col, value, elev FROM dates_px WHERE date=1997)", "value", elevation=_elevation)
-
-    def _ramp(t, flat=_flat, ivar=_ivar, nfit=_nfit, elevation=_elevation):
-        rows = t.dates_px.where("date = 1997").withColumns({"line": F.col("line") % 10, "col": F.col("col") % 10})
-        fitted = correction.fit_ramps(rows, ["frame"], flat, ivar, nfit, elevation=elevation)
-        back = correction.remove_ramps(rows, fitted, ["frame"], elevation=elevation)
-        return rounded(back.groupBy("frame").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("value") ** 2)).alias("rms"), F.avg("ramp").alias("mean_ramp")), digits=4)
-
-    _places = " + ".join(f"m_{n}*({e})" for n, e in _names.items())
-    register(f"v07_ramp_{_flat}{_ivar}{_nfit}", "dates_px", f"""WITH {_text}, b AS (SELECT d.frame, value, {_places} AS ramp FROM (SELECT frame, line % 10 AS line, col % 10 AS col, value, elev FROM dates_px WHERE date=1997) d JOIN fitted f ON d.frame=f.frame)
-    SELECT frame, count(*) AS n, round(sqrt(avg((value-ramp)*(value-ramp))), 4) AS rms, round(avg(ramp), 4) AS mean_ramp FROM b GROUP BY frame""")(_ramp)
-
-
-@register("v07b_pair_ramp", "px", _fit_sql(["date1"], "px", "phase", {"r": "col::DOUBLE", "a": "line::DOUBLE", "cst": "1e0", "z": "elev"}, "1/(coh*coh)", "WHERE phase <> 0 AND date1 > 199700 AND date1 < 199800"))
-def _(t):
-    rows = t.px.where("phase <> 0 and date1 > 199700 and date1 < 199800")
-    terms = correction.ramp_terms(3, elevation=True, pair=True)
-    return _coefs(solve.fit(rows, F.col("phase"), terms, ["date1"], F.col("coh")), ["date1"], terms)
+# Powers of coordinates are scaled in the SQL, whose elimination doesn't pivot; that changes no ramp.
+_PLACES = {"cst": "1e0", "r": "(col/5e1)", "r2": "power(col/5e1, 2)", "a": "(line/1e2)", "a2": "power(line/1e2, 2)", "a3": "power(line/1e2, 3)", "ra": "(col*line/5e3)", "ra2": "power(col*line/5e3, 2)", "z": "(elev*1e0)", "z2": "power(elev, 2)", "az": "(line/1e2*elev)", "az2": "power(line/1e2*elev, 2)"}
+#: A group's ramp is fitted to more rows than this.
+_RAMP_ROWS = 40
+#: Elevation terms or none, ivar and nfit: with the order they make a design.
+_FORMS = [(False, 0, 0), (True, 0, 0), (True, 0, 1), (True, 1, 0), (True, 1, 1)]
+
+
+def _ramp_query(flat: int, by: list[str], source: str, y: str, pair: bool, weight: str = "1e0", where: str = "") -> str:
+    """All forms of an order: rows, deviation and mean of what the ramp takes, by group."""
+    keys, steps, parts = ", ".join(by), [], []
+    for k, (elevation, ivar, nfit) in enumerate(_FORMS):
+        names = R.names(flat, ivar, nfit, elevation, pair)
+        head = f"SELECT {elevation} AS elevation, {ivar} AS ivar, {nfit} AS nfit, {keys}, count(*) AS n"
+        if not names:
+            parts.append(f"{head}, round(sqrt(avg({y}*{y})), 4) AS rms, round(0e0, 4) AS mean_ramp FROM {source} {where} GROUP BY {keys}")
+            continue
+        steps.append(gram_sql(source, by, y, {n: _PLACES[n] for n in names}, weight, where, f"f{k}_"))
+        ramp = "(" + " + ".join(f"m_{n}*{_PLACES[n]}" for n in names) + ")"
+        enough = f"CASE WHEN any_value(n) > {_RAMP_ROWS} THEN round"
+        parts.append(f"{head}, {enough}(sqrt(avg(power({y}-{ramp}, 2))), 4) END AS rms, {enough}(avg({ramp}), 4) END AS mean_ramp FROM {source} JOIN f{k}_fitted USING ({keys}) {where} GROUP BY {keys}")
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(parts)}"
+
+
+def _ramps(rows, flat: int, by: list[str], pair: bool, value: str, sigma=None):
+    out = None
+    for elevation, ivar, nfit in _FORMS:
+        fitted = correction.fit_ramps(rows, by, flat, ivar, nfit, elevation=elevation, pair=pair, value=value, sigma=sigma, min_rows=_RAMP_ROWS)
+        known = fitted.where(f"n_rows > {_RAMP_ROWS}") if "n_rows" in fitted.columns else fitted
+        back = correction.remove_ramps(rows, fitted, by, elevation=elevation, value=value)
+        done = back.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col(value) ** 2)).alias("rms"), F.avg("ramp").alias("mean_ramp")).join(known.select(*by, F.lit(True).alias("known")), by, "left")
+        done = done.select(F.lit(elevation).alias("elevation"), F.lit(ivar).alias("ivar"), F.lit(nfit).alias("nfit"), *by, "n", *[F.when(F.col("known"), F.col(c)).alias(c) for c in ("rms", "mean_ramp")])
+        out = done if out is None else out.unionByName(done)
+    return rounded(out, digits=4)
+
+
+# Ramps of every order in all their forms, by frame and date and, fitted to pairs with their coherence, by first date.
+for _flat in R.ORDERS:
+    register(f"v07_ramp_{_flat}", "dates_px", _ramp_query(_flat, ["frame", "date"], "dates_px", "value", False))(lambda t, flat=_flat: _ramps(t.dates_px, flat, ["frame", "date"], False, "value"))
+
+for _flat in R.PAIR_ORDERS:
+    register(f"v07b_pair_ramp_{_flat}", "px", _ramp_query(_flat, ["date1"], "px", "phase", True, "1/(coh*coh)", "WHERE phase <> 0"))(
+        lambda t, flat=_flat: _ramps(t.px.where("phase <> 0"), flat, ["date1"], True, "phase", F.col("coh"))
+    )
 
 
 @register("v08_network_closure")
@@ -179,20 +200,14 @@ def _(t):
     return rounded(rounded(found, "offset", digits=4), "slope")
 
 
-for _mode, _fit in {
-    "cst": {"cst": "1e0"},
-    "lin": {"r": "col::DOUBLE", "a": "line::DOUBLE", "cst": "1e0"},
-    "fit": {"model": "model", "cst": "1e0"},
-    "fit+quad": {"model": "model", "r2": "(col*col)::DOUBLE", "a2": "(line*line)::DOUBLE", "ra": "(col*line)::DOUBLE", "r": "col::DOUBLE", "a": "line::DOUBLE", "cst": "1e0"},
-}.items():
+_MODEL_FORMS = {"cst": ["cst"], "lin": ["r", "a", "cst"], "quad": ["r2", "a2", "ra", "r", "a", "cst"], "fit": ["model", "cst"], "fit+quad": ["model", "r2", "a2", "ra", "r", "a", "cst"]}
+for _mode, _names in _MODEL_FORMS.items():
+    _fit = {n: (_PLACES | {"model": "model"})[n] for n in _names}
     _y = "value" if _mode.startswith("fit") else "(value-model)"
     _rest = " + ".join(f"m_{n}*({e})" for n, e in _fit.items())
-    register(f"v16_model_correction_{_mode.replace('+', '_')}", "dates_px", f"""WITH s AS (SELECT date, line % 10 AS line, col % 10 AS col, value, model, frame FROM dates_px WHERE frame='A' AND date < 2001), {gram_sql('s', ['date'], _y, _fit)}
-    SELECT s.date, count(*) AS n, round(stddev_pop({_y}-({_rest})), 4) AS std FROM s JOIN fitted USING (date) GROUP BY s.date""")(
-        lambda t, mode=_mode: rounded(
-            correction.model_correction(t.dates_px.where("frame = 'A' and date < 2001").withColumns({"line": F.col("line") % 10, "col": F.col("col") % 10}), mode).groupBy("date").agg(F.count("*").alias("n"), F.stddev_pop("corrected").alias("std")),
-            digits=4,
-        )
+    register(f"v16_model_correction_{_mode.replace('+', '_')}", "dates_px", f"""WITH {gram_sql('dates_px', ['frame', 'date'], _y, _fit)}
+    SELECT frame, date, count(*) AS n, round(stddev_pop({_y}-({_rest})), 4) AS std FROM dates_px JOIN fitted USING (frame, date) GROUP BY frame, date""")(
+        lambda t, mode=_mode: rounded(correction.model_correction(t.dates_px, mode, ["frame", "date"]).groupBy("frame", "date").agg(F.count("*").alias("n"), F.stddev_pop("corrected").alias("std")), digits=4)
     )
 
 
@@ -202,16 +217,15 @@ def _(t):
     return rounded(correction.fit_binned_model(rows, "phase", "model", 30, 5).drop("rss"), digits=4)
 
 
-@register("v17_weighted_model_ramp", "px", _fit_sql(["date1"], "px", "(phase-model)", {"r": "col::DOUBLE", "a": "line::DOUBLE", "cst": "1e0"}, "1/(coh*coh)", "WHERE date1 > 199700 AND date1 < 199800"))
+@register("v17_weighted_model_ramp", "px", f"WITH {gram_sql('px', ['date1'], '(phase-model)', {'r': 'col::DOUBLE', 'a': 'line::DOUBLE', 'cst': '1e0'}, '1/(coh*coh)')} SELECT {_enough(['date1'], ['r', 'a', 'cst'], 10)} FROM fitted")
 def _(t):
-    found = correction.weighted_model_ramp(t.px.where("date1 > 199700 and date1 < 199800"), ["date1"])
+    found = correction.weighted_model_ramp(t.px, ["date1"], min_rows=10)
     return _coefs(found, ["date1"], [Term("r", F.lit(0)), Term("a", F.lit(0)), Term("cst", F.lit(0))])
 
 
-@register("v18_stratified_phase", "px", _fit_sql(["date1"], "px", "phase", {"z0": "1e0", "z1": "(elev-950e0)"}, "coh*coh", "WHERE date1 > 199700 AND date1 < 199800"))
+@register("v18_stratified_phase", "px", f"WITH {gram_sql('px', ['date1'], 'phase', {'z0': '1e0', 'z1': '(elev-950e0)'}, 'coh*coh')} SELECT {_enough(['date1'], ['z0', 'z1'], 10)} FROM fitted")
 def _(t):
-    rows = t.px.where("date1 > 199700 and date1 < 199800")
-    return _coefs(correction.stratified_phase(rows, 1, 950.0, ["date1"], value="phase"), ["date1"], [Term("z0", F.lit(0)), Term("z1", F.lit(0))])
+    return _coefs(correction.stratified_phase(t.px, 1, 950.0, ["date1"], value="phase", min_rows=10), ["date1"], [Term("z0", F.lit(0)), Term("z1", F.lit(0))])
 
 
 @register("v19_profile_ramp", "grid", """WITH s AS (SELECT *, (col-50)*sin(radians(30e0))+(line-5)*cos(radians(30e0)) AS along, (col-50)*cos(radians(30e0))-(line-5)*sin(radians(30e0)) AS across FROM grid),
@@ -316,11 +330,11 @@ def _export(t: Tables, name: str) -> str:
     return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-@register("k01_cells_round_trip", "grid", "SELECT CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, round(value, 6) AS value FROM grid WHERE line >= 2 AND line < 7")
+@register("k01_cells_round_trip", "grid", "SELECT CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, round(value, 6) AS value FROM grid")
 def _(t):
     path = _export(t, "cells")
     sinks.write_cells(t.grid.select("line", "col", "value"), path, 5)
-    return rounded(raster.read_window(t.spark.read.parquet(path).drop("line_block"), 2, 5))
+    return rounded(t.spark.read.parquet(path).drop("line_block"))
 
 
 @register("k05_window_update", "grid", "SELECT CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, round(CASE WHEN line >= 5 AND line < 10 THEN -value ELSE value END, 6) AS value FROM grid")
@@ -340,10 +354,11 @@ def _(t):
     return rounded(read)
 
 
-@register("k07_stack_dates", "dates_px", "SELECT date::INT AS date, line, col, round(avg(value), 6) AS value FROM dates_px WHERE date IN (1996, 1997) GROUP BY 1, 2, 3")
+@register("k07_stack_dates", "dates_px", "SELECT date::INT AS date, line, col, round(avg(value), 6) AS value FROM dates_px GROUP BY 1, 2, 3")
 def _(t):
     mean = t.dates_px.groupBy("date", "line", "col").agg(F.avg("value").alias("value"))
-    maps = [(d, mean.where(F.col("date") == d).drop("date")) for d in (1996, 1997)]
+    dates = [r["date"] for r in t.dates_px.select("date").distinct().orderBy("date").collect()]  # one row a date
+    maps = [(d, mean.where(F.col("date") == d).drop("date")) for d in dates]
     return rounded(sinks.stack_dates(maps).select("date", "line", "col", "value"))
 
 
@@ -375,15 +390,15 @@ def _(t):
     return rounded(t.obs.select("pixel", "idate", null_where(F.col("disp"), 9990, 9999).alias("disp")))
 
 
-@register("j01_pair_pipeline", "px", f"""WITH b AS (SELECT date1, date2, quantile_cont(phase, 5e-2) AS lo, quantile_cont(phase, 95e-2) AS hi, count(*) AS k FROM px WHERE date1 > 199700 AND date1 < 199706 GROUP BY 1, 2 HAVING count(*) > 6),
-    e AS (SELECT px.* FROM px JOIN b USING (date1, date2) WHERE phase <> 0 AND phase > lo AND phase < hi), {gram_sql('e', ['date1'], 'phase', {'cst': '1e0', 'z': 'elev'})}
-    SELECT date1, date2, line, col, round(phase-(m_cst+m_z*elev), 4) AS phase FROM px JOIN b USING (date1, date2) JOIN fitted USING (date1)""")
+@register("j01_pair_pipeline", "px", f"""WITH b AS (SELECT date1, date2, quantile_cont(phase, 5e-2) AS lo, quantile_cont(phase, 95e-2) AS hi FROM px GROUP BY 1, 2),
+    e AS (SELECT px.* FROM px JOIN b USING (date1, date2) WHERE phase <> 0 AND phase > lo AND phase < hi), {gram_sql('e', ['date1'], 'phase', {'cst': '1e0', 'z': '(elev/1e3)'})}
+    SELECT date1, date2, line, col, CASE WHEN n > 20 THEN round(phase-(m_cst+m_z*elev/1e3), 4) END AS phase FROM px LEFT JOIN fitted USING (date1)""")
 def _(t):
-    many = t.px.where("date1 > 199700 and date1 < 199706").groupBy("date1", "date2").agg(F.count("*").alias("k")).where("k > 6")
-    cells = t.px.join(many, ["date1", "date2"], "left_semi")
-    rows = M.with_bounds(cells, "phase", 5, 95, ("date1", "date2")).where("phase <> 0 and phase > lo and phase < hi")
-    fitted = correction.fit_ramps(rows, ["date1"], 0, elevation=True, pair=True, value="phase")
-    done = correction.remove_ramps(cells, fitted, ["date1"], elevation=True, value="phase")
+    rows = M.with_bounds(t.px, "phase", 5, 95, ("date1", "date2")).where("phase <> 0 and phase > lo and phase < hi")
+    fitted = correction.fit_ramps(rows, ["date1"], 0, elevation=True, pair=True, value="phase", min_rows=20)
+    done = correction.remove_ramps(t.px, fitted, ["date1"], elevation=True, value="phase")
+    known = fitted.where("n_rows > 20").select("date1", F.lit(True).alias("known"))
+    done = done.join(known, "date1", "left").withColumn("phase", F.when(F.col("known"), F.col("phase")))
     return rounded(done.select("date1", "date2", "line", "col", "phase"), digits=4)
 
 

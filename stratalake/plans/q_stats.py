@@ -10,7 +10,7 @@ from ..operators import masks as M
 from ..operators import spatial as S
 from ..operators import stats as A
 from ..operators import stencil as N
-from .registry import register, rounded
+from .registry import gram_sql, register, rounded
 
 
 @register("a01_summary", "cube", """SELECT date, round(avg(disp), 5) AS mean, round(stddev_pop(disp), 5) AS std, round(median(disp), 5) AS median, round(quantile_cont(disp, 2e-2), 5) AS p2,
@@ -30,24 +30,35 @@ def _(t):
     return rounded(rounded(found, "var", digits=4), digits=5)
 
 
-_BINS = """WITH e AS (SELECT min(elev) AS lo, max(elev) AS hi FROM r), p AS (SELECT *, CAST(floor((elev-lo)/((hi-lo)/{bins})) AS INT) AS bin FROM r, e WHERE elev >= lo AND elev < hi),
-    q AS (SELECT bin, count(*) AS n, quantile_cont(v, {low}) AS a, quantile_cont(v, {high}) AS b FROM p WHERE bin < {bins}-1 GROUP BY bin HAVING count(*) > {n})"""
+def _binned(low: str, high: str, bins: int, n: int, source: str, by: str = "", more: str = "") -> str:
+    """Common table expressions of the medians in bins of x, from `source` with x, y and the group columns: p, q and binned."""
+    keys = f"{by}, " if by else ""
+    joined = f"JOIN e USING ({by})" if by else ", e"
+    return f"""r AS ({source}), e AS (SELECT {keys}min(x) AS low, max(x) AS high FROM r {f'GROUP BY {by}' if by else ''}),
+    p AS (SELECT r.*, CAST(floor((x-low)/((high-low)/{bins})) AS INT) AS bin, low, (high-low)/{bins} AS width FROM r {joined} WHERE high > low),
+    q AS (SELECT {keys}bin, quantile_cont(y, {low}) AS a, quantile_cont(y, {high}) AS b FROM p WHERE bin < {bins}-2 GROUP BY {keys}bin HAVING count(*) > {n}),
+    kept AS (SELECT * FROM p JOIN q USING ({keys}bin) WHERE y > a AND y < b),
+    binned AS (SELECT {keys}bin, any_value(low+(bin+15e-1)*width) AS x, median(y) AS median, stddev_pop(y) AS std, count(*) AS kept{more} FROM kept GROUP BY {keys}bin)"""
 
 
-def _binned(low, high, bins, n):
-    text = _BINS.format(low=low, high=high, bins=bins, n=n)
-    return text.replace("WITH e", "WITH r AS (SELECT elev, disp AS v FROM cube JOIN dem USING (pixel)), e", 1) + """ SELECT bin, round(avg(elev), 5) AS x, round(median(v), 5) AS median, round(stddev_pop(v), 5) AS std, count(*) AS kept
-    FROM p JOIN q USING (bin) WHERE v >= a AND v <= b GROUP BY bin"""
+_CUBE_DEM = "SELECT elev AS x, disp AS y, line, col, pixel, date, sigma FROM cube JOIN dem USING (pixel)"
 
 
-@register("a03_binned_median", "cube dem", _binned("5e-2", "95e-2", 50, 20))
+@register("a03_binned_median", "cube dem", "WITH " + _binned("5e-2", "95e-2", 50, 20, _CUBE_DEM, more=", median(line) AS median_line, median(col) AS median_col") +
+          " SELECT bin, round(x, 5) AS x, round(median, 5) AS median, round(std, 5) AS std, kept, round(median_line, 5) AS median_line, round(median_col, 5) AS median_col FROM binned")
 def _(t):
-    return rounded(A.binned_trimmed(t.cube.join(t.dem, "pixel"), "elev", "disp", 50, 20), digits=5)
+    return rounded(A.binned_trimmed(t.cube.join(t.dem, "pixel"), "elev", "disp", 50, 20, medians=("line", "col")), digits=5)
 
 
-@register("a04_sliding_median", "cube dem", _binned("1e-1", "9e-1", 20, 50))
+@register("a03b_cleaned_rows", "cube dem", "WITH " + _binned("5e-2", "95e-2", 50, 20, _CUBE_DEM) + " SELECT pixel, date, bin, round(y, 5) AS disp, round(sigma*std, 5) AS sigma FROM kept JOIN binned USING (bin)")
 def _(t):
-    return rounded(A.binned_trimmed(t.cube.join(t.dem, "pixel"), "elev", "disp", 20, 50, 10, 90), digits=5)
+    rows = A.binned_trimmed(t.cube.join(t.dem, "pixel"), "elev", "disp", 50, 20, clean=True, sigma="sigma")
+    return rounded(rows.select("pixel", "date", "bin", "disp", "sigma"), digits=5)
+
+
+@register("a04_sliding_median", "cube dem", "WITH " + _binned("1e-1", "9e-1", 20, 50, _CUBE_DEM) + " SELECT bin, round(x, 5) AS x, round(median, 5) AS median, round(std, 5) AS std, kept FROM binned")
+def _(t):
+    return rounded(A.sliding_median(t.cube.join(t.dem, "pixel"), "elev", "disp", 20, 50), digits=5)
 
 
 @register("a05_rms_per_date", "cube", "SELECT date, round(sqrt(avg((disp-50)*(disp-50))), 5) AS rms, round(avg((disp-50)*(disp-50)), 4) AS mean_square FROM cube GROUP BY date")
@@ -61,10 +72,9 @@ def _(t):
     return rounded(A.rms_per_pixel(t.cube.withColumn("r", F.col("disp") - 50), "r", 83), digits=5)
 
 
-@register("a07_explained_variance", "cube", "SELECT date, round(1e2*(1-var_pop(disp-9*sigma)/var_pop(disp)), 5) AS explained FROM cube GROUP BY date HAVING count(*) > 3")
+@register("a07_explained_variance", "cube", "SELECT date, CASE WHEN count(*) > 1 THEN round(1e2*(1-var_pop(disp-9*sigma)/var_pop(disp)), 5) END AS explained FROM cube GROUP BY date")
 def _(t):
-    counts = t.cube.withColumn("n", F.count("*").over(Window.partitionBy("date"))).where("n > 3").withColumn("model", 9 * F.col("sigma"))
-    return rounded(A.explained_variance(counts, "disp", "model", ["date"]), digits=5)
+    return rounded(A.explained_variance(t.cube.withColumn("model", 9 * F.col("sigma")), "disp", "model", ["date"]), digits=5)
 
 
 @register("a08_correlations", "coefs", " UNION ALL ".join(
@@ -73,12 +83,26 @@ def _(t):
     return A.correlations(t.coefs, ["reference", "linear", "seasonal_sin"])
 
 
-@register("a09_phase_gradient", "dates_px", """WITH b AS (SELECT date, quantile_cont(value, 5e-3) AS lo, quantile_cont(value, 995e-3) AS hi FROM dates_px GROUP BY date), k AS (SELECT d.* FROM dates_px d JOIN b USING (date) WHERE value BETWEEN lo AND hi)
-    SELECT date, round(regr_slope(value, model), 5) AS gradient, round(corr(value, model), 6) AS corr, round(stddev_pop(value), 5) AS std,
-    round(1e2*(stddev_pop(value)-stddev_pop(value-model))/stddev_pop(value), 5) AS std_reduction FROM k GROUP BY date""")
+_TRIMMED = """SELECT d.date, d.value AS x, d.model AS y FROM dates_px d JOIN (SELECT date, quantile_cont(value, 5e-3) AS v1, quantile_cont(value, 995e-3) AS v2, quantile_cont(model, 5e-3) AS m1, quantile_cont(model, 995e-3) AS m2 FROM dates_px GROUP BY date) b USING (date)
+    WHERE value <> 0 AND model <> 0 AND value > v1 AND value < v2 AND model > m1 AND model < m2"""
+
+
+def _gradient_of_medians(bins: int, n: int) -> str:
+    return f"""WITH {_binned('1e-1', '9e-1', bins, n, _TRIMMED, 'date')},
+    s AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY bin) AS i FROM binned), {gram_sql('s', ['date'], 'median', {'slope': 'x', 'offset': '1e0'}, '1/(std*std)', 'WHERE i > 1')},
+    k AS (SELECT date, regr_slope(y, x) AS slope, regr_intercept(y, x) AS off, corr(y, x) AS corr, stddev_pop(x) AS std, stddev_pop(x-y) AS rest FROM r GROUP BY date)
+    SELECT k.date, fitted.n IS NOT NULL AND fitted.n > 1 AS by_medians, round(CASE WHEN fitted.n > 1 THEN m_slope ELSE slope END, 5) AS gradient, round(CASE WHEN fitted.n > 1 THEN m_offset ELSE off END, 4) AS "offset",
+    round(corr, 6) AS corr, round(std, 5) AS std, round(1e2*(std-rest)/std, 5) AS std_reduction FROM k LEFT JOIN fitted ON k.date=fitted.date"""
+
+
+@register("a09_phase_gradient", "dates_px", _gradient_of_medians(10, 15))
+def _(t):
+    return rounded(rounded(rounded(A.phase_gradient(t.dates_px, "model", "value", ["date"], 10, 15), "corr"), "gradient", "std", "std_reduction", digits=5), "offset", digits=4)
+
+
+@register("a09b_plain_gradient", "dates_px", _gradient_of_medians(200, 1000000))
 def _(t):
-    found = A.phase_gradient(t.dates_px, "model", "value", ["date"])
-    return rounded(rounded(found, "corr"), "gradient", "std", "std_reduction", digits=5)
+    return rounded(rounded(rounded(A.phase_gradient(t.dates_px, "model", "value", ["date"], 200, 1000000), "corr"), "gradient", "std", "std_reduction", digits=5), "offset", digits=4)
 
 
 @register("a10_zonal_mean", "points", "SELECT round(avg(value), 6) AS mean FROM points WHERE lon > 1 AND lon < 3 AND lat > 5e-1 AND lat < 2")
@@ -91,10 +115,9 @@ def _(t):
     return rounded(A.stack_pairs(t.px))
 
 
-@register("a12_amplitude_stack", "px", "SELECT line, col, round(avg(amp), 6) AS mean, round(1/nullif(stddev_pop(amp), 0), 6) AS inverse_std FROM px WHERE amp <> 0 GROUP BY line, col HAVING count(DISTINCT amp) > 1")
+@register("a12_amplitude_stack", "px", "SELECT line, col, round(avg(amp), 6) AS mean, CASE WHEN count(DISTINCT amp) > 1 THEN round(1/stddev_pop(amp), 6) END AS inverse_std FROM px WHERE amp <> 0 GROUP BY line, col")
 def _(t):
-    many = t.px.groupBy("line", "col").agg(F.countDistinct("amp").alias("k")).where("k > 1")
-    return rounded(A.stack_amplitude(t.px.join(many, ["line", "col"], "left_semi"), ["line", "col"], "amp"))
+    return rounded(A.stack_amplitude(t.px, ["line", "col"], "amp"))
 
 
 @register("a13_multilook", "grid", "SELECT CAST(floor(line/4) AS BIGINT) AS line, CAST(floor(col/5) AS BIGINT) AS col, round(avg(value), 6) AS value FROM grid GROUP BY 1, 2")
@@ -238,9 +261,9 @@ def _gradient_sql(dx: float, dy: float) -> str:
     return f"WITH g AS (SELECT line, col, value, {part('col', 'line', dx)}, {part('line', 'col', dy)} FROM dem_grid)"
 
 
-@register("g07_slope_aspect", "dem_grid", _gradient_sql(20, 30) + " SELECT line, col, round(sqrt(d_col*d_col+d_line*d_line), 6) AS slope, round(degrees(atan2(d_line, -d_col)), 5) AS aspect FROM g WHERE d_line <> 0")
+@register("g07_slope_aspect", "dem_grid", _gradient_sql(20, 30) + " SELECT line, col, round(sqrt(d_col*d_col+d_line*d_line), 6) AS slope, round(degrees(atan2(d_line, -d_col)), 5) AS aspect FROM g")
 def _(t):
-    found = N.slope_aspect(t.dem_grid.select("line", "col", "value"), "value", 20.0, 30.0).where("d_line <> 0")
+    found = N.slope_aspect(t.dem_grid.select("line", "col", "value"), "value", 20.0, 30.0)
     return rounded(rounded(found.select("line", "col", "slope", "aspect"), "aspect", digits=5), "slope")
 
 
@@ -265,7 +288,7 @@ def _(t):
     z AS (SELECT station, CASE WHEN min(d) <= 2 THEN 2 WHEN min(d) <= 4 THEN 4 WHEN min(d) <= 6 THEN 6 ELSE 8 END AS size FROM d GROUP BY station)
     SELECT station, size::INT AS size, round(avg(value), 6) AS mean, count(*) AS n FROM d JOIN z USING (station) WHERE d <= size GROUP BY station, size""")
 def _(t):
-    return rounded(S.growing_lookup(t.stations, t.grid.where("n > 14"), (2, 4, 6, 8)))
+    return rounded(S.growing_lookup(t.stations, t.grid.withColumn("value", F.when(F.col("n") > 14, F.col("value"))), (2, 4, 6, 8)))
 
 
 @register("g11_geo_to_cell", "points dem_grid", """WITH l AS (SELECT line, col, col*125e-3 AS lon, line*61e-3 AS lat FROM dem_grid), d AS (
@@ -341,11 +364,11 @@ def _(t):
     return rounded(S.window_median_difference(t.cube, points, 1, (2, 10)))
 
 
-@register("g22_interpolate", "nodes", """WITH s AS (SELECT dec AS t, bperp AS v FROM nodes WHERE date % 3 = 0), a AS (SELECT 1995+range*75e-3 AS t FROM range(90)),
+@register("g22_interpolate", "nodes", """WITH s AS (SELECT dec AS t, bperp AS v FROM nodes), a AS (SELECT 1995+range*75e-3 AS t FROM range(90)),
     b AS (SELECT a.t, (SELECT max(s.t) FROM s WHERE s.t <= a.t) AS t0, (SELECT min(s.t) FROM s WHERE s.t >= a.t) AS t1 FROM a)
     SELECT round(b.t, 6) AS t, round(CASE WHEN t0 IS NULL THEN y.v WHEN t1 IS NULL OR t1=t0 THEN x.v ELSE x.v+(y.v-x.v)*(b.t-t0)/(t1-t0) END, 4) AS value FROM b LEFT JOIN s x ON x.t=t0 LEFT JOIN s y ON y.t=t1""")
 def _(t):
-    samples = t.nodes.where("date % 3 = 0").select(F.col("dec").alias("t"), F.col("bperp").alias("value"))
+    samples = t.nodes.select(F.col("dec").alias("t"), F.col("bperp").alias("value"))
     axis = t.spark.range(90).select((1995 + F.col("id") * F.lit(0.075)).alias("t"))
     return rounded(rounded(S.interpolate_onto(axis, samples), "value", digits=4), "t")
 
