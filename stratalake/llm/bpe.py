@@ -1,19 +1,23 @@
 """Byte-pair encoding and decoding with a pair occurrence index.
 
-The distinct words of a slice of rows are laid out as one linked sequence of
-symbols.  An index maps every pair that is a merge to all its positions in the
-slice; ranks are taken in ascending order, all positions of a rank merge at
-once, and only the pairs beside them are looked up anew and put into the lists
-of their ranks.  A pair that a merge brings about has a higher rank than the
-merge, so that one pass in ascending order is exact; `Vocabulary` checks this.
+The distinct words of a partition are laid out as linked sequences of symbols,
+those that a slice of its rows brings along at a time, and kept with their ids
+(`Memo`), so that a word is indexed once a partition.  An index maps every pair
+that is a merge to all its positions; ranks are taken in ascending order, all
+positions of a rank merge at once, and only the pairs beside them are looked up
+anew and put into the lists of their ranks.  A pair that a merge brings about
+has a higher rank than the merge, so that one pass in ascending order is exact;
+`Vocabulary` checks this.
 
 Understands the public JSON format of word-level BPE vocabularies: NFC, white
 space collapsed, lower case, a pattern that splits words, bytes as characters
 and a mark at the end of a word; special tokens are found in the raw text.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
-text; repeated rows are encoded each on its own; an empty table gives an empty
-one; other input columns are ignored.
+text; special tokens are found wherever they stand in a text; code points that
+newer Unicode versions than Python's assign are taken as the tokenizers library
+takes them (`Newer`); repeated rows are encoded each on its own; an empty table gives an
+empty one; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +48,32 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPECIAL_MARK = "\n"
 
 
+class Newer:
+    """Code points that Python's Unicode tables do not assign but newer versions do: what the tokenizers library makes of them."""
+
+    def __init__(self):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        everything = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+        newer = "".join(c for c in regex.findall(r"\P{Cn}", everything) if unicodedata.category(c) == "Cn")
+        named = "".join(regex.findall(r"[\p{L}\p{N}]", newer))
+        left = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str(named)
+        self.any = regex.compile(f"[{newer}]" if newer else r"(?!)")
+        #: Letters and digits to the regex library alone.
+        self.other = regex.compile(f"[{''.join(piece for piece, _ in left)}]" if left else r"(?!)")
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
+@functools.lru_cache(maxsize=1)
+def newer() -> Newer:
+    """One a worker process, made where a text first needs it."""
+    return Newer()
+
+
+#: Stands for such a code point where words are split: assigned, and no letter, digit or white space.
+OTHER = "\ue000"
+
+
 def stretches(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, from, to) for the stretches of equal values of a sorted array; none is negative."""
     edges = np.flatnonzero(np.diff(values, prepend=-1)).tolist()
@@ -93,6 +123,12 @@ class Vocabulary:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
+    def split(self, word: str) -> list[str]:
+        """The parts of a word, by the file's pattern."""
+        if word.isascii() or not newer().other.search(word):
+            return self.pattern.findall(word)
+        return [word[m.start() : m.end()] for m in self.pattern.finditer(newer().other.sub(OTHER, word))]
+
     def _rows(self, own: np.ndarray, other: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """For each symbol that is `own` of some merges, the other parts in order and the ranks."""
         order = np.lexsort((other, own))
@@ -206,6 +242,29 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) + np.repeat(starts - total[:-1], lengths)
 
 
+#: Distinct words that a memo holds before it starts anew; bounds memory, never a result.
+MEMO_WORDS = 400_000
+
+
+class Memo:
+    """The words that a partition has shown so far, and their ids."""
+
+    def __init__(self):
+        self.places: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.bounds = np.zeros(1 << 14, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+        n, used = len(self.places), int(self.bounds[len(self.places)])
+        for name, need in (("ids", used + len(ids)), ("bounds", n + len(words) + 1)):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(need, 2 * len(held)) - len(held), held.dtype)]))
+        self.ids[used : used + len(ids)] = ids
+        self.bounds[n + 1 : n + len(words) + 1] = used + bounds[1:]
+        self.places.update(zip(words, range(n, n + len(words)), strict=True))
+
+
 class Encoder:
     def __init__(self, content: str):
         self.content = content
@@ -219,7 +278,7 @@ class Encoder:
     def words(self, text: str) -> list[str]:
         """The normalised text between white space; special tokens behind SPECIAL_MARK."""
         out = []
-        pieces = self.v.special_split.split(text) if self.v.special_split and "<" in text else [text]
+        pieces = self.v.special_split.split(text) if self.v.special_split else [text]
         for k, piece in enumerate(pieces):
             if k % 2:
                 out.append(SPECIAL_MARK + piece)
@@ -231,6 +290,8 @@ class Encoder:
     @staticmethod
     def normal(text: str) -> str:
         if not text.isascii():
+            if newer().any.search(text):
+                return newer().normalizer.normalize_str(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # character by character: no final sigma
         return text.lower()
 
@@ -238,8 +299,9 @@ class Encoder:
         """Whether splitting at any white space gives its words."""
         return not ODD_SPACE.search(text) and not any(s in text for s in self.v.specials)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and for each text where its ids begin (and the end)."""
+    def encode(self, texts: list[str], memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and for each text where its ids begin (and the end); words that the memo knows are not indexed again."""
+        memo = memo or Memo()
         if all(map(self.simple, texts)):
             lists = pc.utf8_split_whitespace(pa.array(list(map(self.normal, texts)), pa.large_string()))
             flat, bounds = lists.flatten(), np.asarray(lists.offsets, np.int64)
@@ -252,17 +314,24 @@ class Encoder:
             bounds = np.concatenate([[0], np.cumsum([len(w) for w in lists])]).astype(np.int64)
             flat = pa.array([w for ws in lists for w in ws], pa.large_string())
         coded = flat.dictionary_encode()
-        ids, id_bounds = self._encode_words(coded.dictionary.to_pylist())
-        which = np.asarray(coded.indices)
-        lengths = np.diff(id_bounds)[which]
+        distinct = coded.dictionary.to_pylist()
+        fresh = [w for w in distinct if w not in memo.places]
+        if len(memo.places) + len(fresh) > MEMO_WORDS:
+            memo.__init__()
+            fresh = distinct
+        if fresh:
+            memo.add(fresh, *self._encode_words(fresh))
+        place = np.fromiter(map(memo.places.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
+        first = memo.bounds[place]
+        lengths = memo.bounds[place + 1] - first
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return ids[ranges(id_bounds[:-1][which], lengths)], total[bounds]
+        return memo.ids[ranges(first, lengths)], total[bounds]
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and bounds of distinct words, by way of their distinct parts."""
         parts: dict[str, int] = {}
         counts, which = np.empty(len(words), np.int64), []
-        find = self.v.pattern.findall
+        find = self.v.split
         for k, word in enumerate(words):
             own = [word] if word.isalpha() or word[0] == SPECIAL_MARK else find(word)
             counts[k] = len(own)
@@ -310,9 +379,10 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     narrow = pick(docs, **{"doc_id": id_col, "text": text_col}, **{k: k for k in keep})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
         for batch, data, offsets in T.slices(batches, "text", SLICE_BYTES):
             texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:], strict=False)]
-            ids, bounds = encoder.encode(texts)
+            ids, bounds = encoder.encode(texts, memo)
             if as_array:
                 held = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             else:

@@ -6,15 +6,25 @@ whose side information announces no coded samples plays as silence, and all of
 its main data is ancillary data, which is where the payload goes: one to four
 units of 192 bytes, told by the frame's bit rate.
 
-Reading trusts only the bytes: it skips tags, resynchronises on frame headers
-(a header counts when its successor, or the end, stands where its length says),
-parses the VBR table, verifies every frame's CRC, takes the payload back and
-computes exact durations and seek offsets.
+Reading trusts only the bytes: it parses ID3v1 and ID3v2 tags (unsynchronised
+ones and extended headers too), resynchronises on frame headers (a header counts
+when its successor, or the end, stands where its length says; a free-format
+frame's length is told by its successor), parses Xing and VBRI tables, verifies
+every frame's CRC and the payload's, takes the payload back and gives exact
+durations and the seek offset of every frame.
+
+Defined results: a null or empty text is the empty one, whose payload is 192
+blanks; a null or empty stream has no frames, an empty payload and duration 0;
+equal texts give equal streams; bytes that no tag or frame holds are counted
+and skipped; repeated rows are converted each on its own; an empty table gives
+an empty one; other input columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -73,6 +83,9 @@ class Header:
 
     @property
     def length(self) -> int:
+        """Bytes; of a free-format frame 0, for its header doesn't tell."""
+        if not self.bitrate_index:
+            return 0
         kbit = BITRATES[3 if self.version == 3 else 2][self.bitrate_index]
         return SAMPLES[self.version] // 8 * kbit * 1000 // self.rate + self.padding
 
@@ -95,7 +108,7 @@ def parse_header(data: bytes, at: int) -> Header | None:
         return None
     version, layer = data[at + 1] >> 3 & 3, data[at + 1] >> 1 & 3
     index, rate = data[at + 2] >> 4, data[at + 2] >> 2 & 3
-    if version == 1 or layer != 1 or index in (0, 15) or rate == 3 or data[at + 3] & 3 == 2:
+    if version == 1 or layer != 1 or index == 15 or rate == 3 or data[at + 3] & 3 == 2:
         return None
     return Header(version, not data[at + 1] & 1, index, RATES[version][rate], data[at + 2] >> 1 & 1, data[at + 3] >> 6 == 3)
 
@@ -164,6 +177,12 @@ class Stream:
     skipped: int  # bytes that no tag or frame holds
     payload: bytes
 
+    @property
+    def intact(self) -> bool | None:
+        """Whether the payload is the one that the writer's tag names; None where no tag does."""
+        named = re.fullmatch(r"crc32=([0-9a-f]{8})", self.tags.get("TSSE", ""))
+        return int(named[1], 16) == zlib.crc32(self.payload) if named else None
+
     @property
     def duration(self) -> Fraction:
         """Seconds, exactly."""
@@ -179,15 +198,57 @@ def _tag(data: bytes) -> tuple[dict[str, str], int]:
     """Text frames of a leading ID3v2 tag, and where it ends."""
     if data[:3] != b"ID3" or len(data) < 10:
         return {}, 0
-    end = 10 + sum(b << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
-    found, at, version = {}, 10, data[3]
+    end = 10 + _number(data[6:10], 7)
+    version, flags = data[3], data[5]
+    found, at, behind = {}, 10, end + 10 * bool(version == 4 and flags & 0x10)  # a footer
+    if flags & 0x80 and version < 4:  # unsynchronised as a whole
+        data = data[:10] + data[10:end].replace(b"\xff\x00", b"\xff")
+        end = len(data)
+    if flags & 0x40:  # an extended header, which in version 4 counts itself
+        at += _number(data[10:14], 7) if version == 4 else 4 + _number(data[10:14], 8)
     while at + 10 <= min(end, len(data)) and data[at]:
-        size = sum(b << s for b, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0) if version == 4 else (24, 16, 8, 0), strict=True))
+        size = _number(data[at + 4 : at + 8], 7 if version == 4 else 8)
         name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : at + 10 + size]
         if name[0] == "T" and body:
             found[name] = body[1:].decode("utf-16" if body[0] == 1 else "utf-8" if body[0] == 3 else "latin-1", "replace").rstrip("\0")
         at += 10 + size
-    return found, end
+    return found, behind
+
+
+def _number(digits: bytes, bits: int) -> int:
+    """A big-endian number with so many bits a byte."""
+    return functools.reduce(lambda n, b: n << bits | b, digits, 0)
+
+
+#: Length of an ID3v1 tag, and its fields: name, first byte, length.
+ID3V1, ID3V1_FIELDS = 128, (("title", 3, 30), ("artist", 33, 30), ("album", 63, 30), ("year", 93, 4), ("comment", 97, 30))
+
+
+def _free_length(data: bytes, at: int) -> int:
+    """Of a free-format frame: how far the next header with the same fixed fields is, less the padding; 0 if there is none."""
+    first, place = parse_header(data, at), at + 4
+    while (place := data.find(data[at : at + 1], place)) >= 0:
+        other = parse_header(data, place)
+        if other and (other.version, other.bitrate_index, other.rate, other.protected) == (first.version, 0, first.rate, first.protected):
+            return place - at - first.padding
+        place += 1
+    return 0
+
+
+def _vbr(data: bytes, frame: int, header: Header) -> tuple[int | None, int | None, bytes] | None:
+    """(frames, bytes, seek table) of a first frame that holds a Xing, Info or VBRI table."""
+    start = frame + header.data_at
+    if data[start : start + 4] in (b"Xing", b"Info"):
+        flags, place, fields = _number(data[start + 4 : start + 8], 8), start + 8, []
+        for bit, size in ((1, 4), (2, 4), (4, 100)):
+            fields.append(data[place : place + size] if flags & bit else b"")
+            place += size if flags & bit else 0
+        return _number(fields[0], 8) if fields[0] else None, _number(fields[1], 8) if fields[1] else None, fields[2]
+    start = frame + 36
+    if data[start : start + 4] == b"VBRI":
+        entries, width = _number(data[start + 18 : start + 20], 8), _number(data[start + 22 : start + 24], 8)
+        return _number(data[start + 14 : start + 18], 8), _number(data[start + 10 : start + 14], 8), data[start + 26 : start + 26 + entries * width]
+    return None
 
 
 def _run_of_equal(data: np.ndarray, at: int, end: int, header: bytes, length: int) -> int:
@@ -208,22 +269,27 @@ def _run_of_equal(data: np.ndarray, at: int, end: int, header: bytes, length: in
 def decode(data: bytes) -> Stream:
     """Parse a stream of any layer III frames; the payload is what `encode` would have put there."""
     tags, at = _tag(data)
-    end = len(data)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
+    end, last = len(data), len(data) - ID3V1
     view = np.frombuffer(data, np.uint8)
     frames = samples = errors = skipped = rate = 0
     offsets, payload = [], []
-    vbr = None
+    vbr, free = None, 0
     while at < end:
+        if at == last and data[at : at + 3] == b"TAG":  # only behind the last frame; a payload may hold these bytes too
+            tags = {name: text for name, a, n in ID3V1_FIELDS if (text := data[at + a : at + a + n].split(b"\0")[0].decode("latin-1").rstrip())} | tags
+            break
         header = parse_header(data, at)
         step = header.length if header else 0
-        if not header or at + step > end or (at + step != end and not parse_header(data, at + step)):
+        if header and not header.bitrate_index:
+            free = free or _free_length(data, at)
+            step = free and free + header.padding
+        follows = header and step and (at + step == end or (at + step == last and data[last : last + 3] == b"TAG") or at + step + 4 <= end and parse_header(data, at + step))
+        if not follows:
             nearest = data.find(b"\xff", at + 1, end)
             nearest = end if nearest < 0 else nearest
             skipped, at = skipped + nearest - at, nearest
             continue
-        count = _run_of_equal(view, at, end, data[at : at + 4], step)
+        count = _run_of_equal(view, at, end, data[at : at + 4], step) if header.bitrate_index else 1
         block = view[at : at + count * step].reshape(count, step)
         if header.protected:
             want = block[:, 4].astype(np.uint16) << np.uint16(8) | block[:, 5]
@@ -231,15 +297,8 @@ def decode(data: bytes) -> Stream:
             errors += int((~good).sum())
         first = 0
         if vbr is None and not frames:
-            start = at + header.data_at
-            if data[start : start + 4] in (b"Xing", b"Info"):
-                flags = struct.unpack_from(">I", data, start + 4)[0]
-                place, fields = start + 8, []
-                for bit, size in ((1, 4), (2, 4), (4, 100)):
-                    fields.append(data[place : place + size] if flags & bit else b"")
-                    place += size if flags & bit else 0
-                vbr = (int.from_bytes(fields[0], "big") if fields[0] else None, int.from_bytes(fields[1], "big") if fields[1] else None, fields[2])
-                first = 1
+            vbr = _vbr(data, at, header)
+            first = int(vbr is not None)
         units = UNITS_OF_RATE.get(header.bitrate_index, 0) if header.version == 3 and header.mono and header.rate == 48000 else 0
         if units:
             payload.append(block[first:, header.data_at : header.data_at + units * UNIT].tobytes())
@@ -250,11 +309,14 @@ def decode(data: bytes) -> Stream:
     return Stream(tags, found[0], found[1], found[2], rate, frames, samples, np.concatenate(offsets) if offsets else np.zeros(0, np.int64), errors, skipped, b"".join(payload))
 
 
+PAYLOAD = {True: "ok", False: "differs", None: "unnamed"}
+
+
 def feature(stream: Stream, size: int) -> str:
     """What a stream's columns sum up to: frames, exact duration, errors, agreement with the VBR table, and a digest of the seek offsets."""
     seconds = stream.duration
     agrees = stream.vbr_frames == stream.frames and len(stream.vbr_seek) == 100
-    return f"frames={stream.frames};seconds={seconds.numerator}/{seconds.denominator};rate={stream.rate};crc_errors={stream.crc_errors};skipped={stream.skipped};vbr={'ok' if agrees else 'differs'};bytes={size};seek_crc32={zlib.crc32(stream.offsets.astype('<i8').tobytes()):08x}"
+    return f"frames={stream.frames};seconds={seconds.numerator}/{seconds.denominator};rate={stream.rate};crc_errors={stream.crc_errors};payload={PAYLOAD[stream.intact]};skipped={stream.skipped};vbr={'ok' if agrees else 'differs'};bytes={size};seek_crc32={zlib.crc32(stream.offsets.astype('<i8').tobytes()):08x}"
 
 
 def pad(text: bytes) -> bytes:
@@ -273,13 +335,13 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return narrow.transform(arrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-READ = "duration_s double, frames long, sample_rate int, crc_errors long, skipped_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "duration_s double, frames long, sample_rate int, crc_errors long, payload_intact boolean, skipped_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = (), offsets: bool = False) -> DataFrame:
-    """Parse a column of streams: durations, checks and digests, with `offsets` also the frames' places. A null stream is the empty one."""
+def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = (), offsets: bool = True) -> DataFrame:
+    """Parse a column of streams: durations, checks and digests and, with `offsets`, seek_offsets, the place of each frame. A null stream is the empty one."""
     narrow = pick(media, doc_id=id_col, media=media_col, **{k: k for k in keep})
-    kinds = [pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = [x.split()[0] for x in READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +350,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
             for a, b in zip(places, places[1:], strict=False):
                 raw = data[a:b].tobytes()
                 s = decode(raw)
-                rows.append((float(s.duration), s.frames, s.rate, s.crc_errors, s.skipped, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s, len(raw))))
+                rows.append((float(s.duration), s.frames, s.rate, s.crc_errors, s.intact, s.skipped, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s, len(raw))))
                 seeks.append(s.offsets if offsets else None)
             kept = [batch.column(batch.schema.get_field_index(k)) for k in ("doc_id", *keep)]
             more = [pa.array(seeks, pa.list_(pa.int64()))] if offsets else []

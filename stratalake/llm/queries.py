@@ -44,7 +44,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = mpeg.read_media(mpeg.to_media(table(spark, sf_dir, "documents")), keep=("n_bytes",))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "payload_intact", "seek_offsets")
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,6 +337,52 @@ def test_reading_resynchronises_and_checks():
     assert stream.seek(0) == stream.offsets[0] and stream.seek(stream.duration) == stream.offsets[-1]
 
 
+def test_a_flipped_payload_byte_is_noticed():
+    payload = mpeg.pad(os.urandom(5000))
+    media = bytearray(mpeg.encode(payload))
+    assert mpeg.decode(bytes(media)).intact is True and "payload=ok" in mpeg.feature(mpeg.decode(bytes(media)), len(media))
+    media[len(media) // 2] ^= 4
+    flipped = mpeg.decode(bytes(media))
+    assert flipped.intact is False and flipped.crc_errors == 0 and "payload=differs" in mpeg.feature(flipped, len(media))
+    assert mpeg.decode(b"").intact is None
+
+
+@pytest.mark.parametrize("units", [1, 2, 3, 4])
+def test_a_payload_may_hold_what_looks_like_a_tag(units):
+    for behind in range(90, 130):
+        raw = bytearray(b"x" * (units * 192))
+        raw[-behind : -behind + 3] = b"TAG"
+        stream = mpeg.decode(mpeg.encode(bytes(raw)))
+        assert stream.payload == bytes(raw) and stream.intact and stream.skipped == 0
+    # A real tag behind the last frame is read.
+    tagged = mpeg.decode(mpeg.encode(bytes(raw)) + b"TAG" + b"a title".ljust(30, b"\0") + b"somebody".ljust(30, b"\0") + b" " * 65)
+    assert tagged.payload == bytes(raw) and tagged.skipped == 0 and (tagged.tags["title"], tagged.tags["artist"]) == ("a title", "somebody")
+
+
+def test_tags_and_tables_of_other_writers():
+    media = mpeg.encode(mpeg.pad(b"abc" * 500))
+    music = media[mpeg._tag(media)[1] :]
+    field = b"TIT2" + bytes([0, 0, 0, 6]) + b"\0\0" + b"\0hello"
+    extended = bytes([0, 0, 0, 6]) + b"\0" * 6
+    tag = b"ID3\x03\x00\x40" + mpeg._synchsafe(len(extended + field)) + extended + field
+    assert mpeg._tag(tag) == ({"TIT2": "hello"}, len(tag)) and mpeg.decode(tag + music).skipped == 0
+    loud = b"TIT2" + bytes([0, 0, 0, 4]) + b"\0\0" + b"\0\xff\xe0z"
+    stuffed = loud.replace(b"\xff", b"\xff\x00")
+    assert mpeg._tag(b"ID3\x03\x00\x80" + mpeg._synchsafe(len(stuffed)) + stuffed)[0] == {"TIT2": "\xff\xe0z"}
+    # A VBRI table in a first frame of 480 bytes.
+    head = bytearray(480)
+    head[:4] = mpeg._header_bytes(2)
+    head[36:62] = b"VBRI" + b"\0" * 6 + (12345).to_bytes(4, "big") + (7).to_bytes(4, "big") + bytes([0, 2, 0, 1, 0, 2, 0, 1])
+    head[62:66] = b"\1\2\3\4"
+    rest = music[240:]
+    stream = mpeg.decode(bytes(head) + rest)
+    assert (stream.vbr_frames, stream.vbr_bytes, stream.vbr_seek) == (7, 12345, b"\1\2\3\4") and stream.payload == mpeg.pad(b"abc" * 500)
+    # Free format: frames of 333 bytes, whose headers don't tell their length.
+    frame = bytes([0xFF, 0xFB, 0x04, 0xC0]) + b"\0" * 329
+    free = mpeg.decode(frame * 5)
+    assert free.frames == 5 and free.offsets.tolist() == [0, 333, 666, 999, 1332] and free.skipped == 0 and free.duration == mpeg.Fraction(5 * 1152, 48000)
+
+
 def test_crc_is_that_of_the_standard():
     def slow(data):
         value = 0xFFFF
@@ -358,7 +404,7 @@ def test_media_columns(spark):
     for r in mpeg.read_media(mpeg.to_media(frame(spark, rows)), keep=("n_bytes",), offsets=True).collect():
         payload = mpeg.pad(texts[r["doc_id"]])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert len(r["seek_offsets"]) == r["frames"]
+        assert len(r["seek_offsets"]) == r["frames"] and r["payload_intact"] and r["duration_s"] == pytest.approx(r["frames"] * 0.024)
 
 
 # BPE.
@@ -390,6 +436,24 @@ def test_bpe_on_documents_and_special_tokens(coder, spark, sf_dir):
     same_tokens(coder, ["", " ", "a<|startoftext|><|endoftext|>b", "<|ENDOFTEXT|>", "aaaaaaaaaaaaaaaaaaaa abababab", "don't we'll"])
 
 
+def test_bpe_of_every_code_point(coder):
+    """Also those that newer Unicode versions assign: all of the first three planes, and some of the rest."""
+    for first in range(0x80, 0x110000, 0x2000):
+        step = 1 if first < 0x34000 else 97
+        points = [c for c in range(first, min(first + 0x2000, 0x110000), step) if not 0xD800 <= c < 0xE000]
+        same_tokens(coder, [f"a{chr(c)}1!{chr(c)}b" for c in points])
+
+
+def test_bpe_with_a_memo_that_starts_anew(coder, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 50)
+    ours, theirs = coder
+    memo = bpe.Memo()
+    for k in range(12):
+        texts = [prose(60, 40 + 10 * k) + " <|endoftext|> ünï", prose(200, 300)]
+        ids, bounds = ours.encode(texts, memo)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_forms(spark, coder):
     rows = awkward()
     text = {r["doc_id"]: r["ids"] for r in bpe.encode_texts(frame(spark, rows), VOCABULARY).collect()}
