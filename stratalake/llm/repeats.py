@@ -3,20 +3,27 @@
 Every byte covered by a string of `length` bytes that also starts earlier (in a
 document of smaller id, or earlier in the same one) is removed.
 
-Suffixes are put into buckets by a q-gram and the buckets are refined by the
-identifiers of later offsets, as in sorting suffixes by bucket pointers, but
-only as deep as `length` and only where something can repeat:
+Suffixes are put into buckets by a q-gram, and buckets are refined by sorting on
+the bucket identifiers of later offsets, as in sorting suffixes by bucket
+pointers, but only as deep as `length` and only where something can repeat:
 
 1. Of the q-grams in each string of `length` bytes the one with the smallest
    fingerprint is its anchor, the leftmost of several; equal strings have equal
-   anchors at equal places.  The anchor's fingerprint is the initial bucket.
-   About one position in forty is an anchor, and buckets are dealt to tasks.
+   anchors at equal places.  The anchor is the initial bucket.  About one
+   position in forty is an anchor, and buckets are dealt to tasks.  Where a task
+   has the same neighbourhood of an anchor more than once, only the earliest
+   goes on; the strings of the others are repeats already.
 2. A bucket with one member is finished.  For the others, the bytes around the
-   anchor, of all strings that it stands for, are fetched.
-3. In a bucket, suffixes get identifiers for their first `length`/2 bytes; the
-   refined bucket of a suffix is the pair of the identifiers at its start and
-   half of `length` later, each identifier being used for both.  Sorting
-   by that pair leaves equal strings together, the earliest first.
+   anchor, of all strings that it stands for, are fetched, and the bucket is
+   refined once by what stands beside the anchor: strings with most of their
+   bytes before it by these, the others by those behind it.  Refined buckets are
+   dealt anew, so a phrase that many texts share is not one task's work.
+3. There, bucket identifiers are ranks.  Every position begins with that of its
+   q-gram; each round sorts the positions of the buckets with several members by
+   their own identifier and the one a depth further on, which doubles the depth,
+   and the ranks that result are the identifiers that the next round looks up at
+   both places (`refine`).  At depth `length` a bucket holds equal strings, the
+   earliest first.
 
 Equal texts are one text from the first step on; a task sends equal
 neighbourhoods once.  So a passage that very many documents share meets as
@@ -71,13 +78,14 @@ def _slots(keys: np.ndarray) -> np.ndarray:
     return (T.mix(keys.view(np.uint64) ^ T.U64(0x9FB21C651E98DF25)) % T.U64(SLOTS)).astype(np.int64)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, bucket, first, strings): for each anchor the strings of `length` bytes, from `first` on, that it stands for."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(place, bucket, first, strings, around): for each anchor the strings of `length` bytes, from `first` on, that it stands for, and the fingerprint of them all."""
     n, width = len(data), length - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, np.zeros(0, np.uint64), none, none
-    grams = T.Fingerprints(data).grams(GRAM)
+        return none, np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64)
+    prints = T.Fingerprints(data)
+    grams = prints.grams(GRAM)
     ranked = grams & ~_PLACE | np.arange(len(grams), dtype=np.uint64)
     padded = np.full(-(-len(ranked) // width) * width, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(ranked)] = ranked
@@ -92,10 +100,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     np.add.at(valid, offsets[1:][full] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(valid[: n - length + 1]) > 0)
     if not len(starts):
-        return none, np.zeros(0, np.uint64), none, none
+        return none, np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64)
     place = (least[starts] & _PLACE).astype(np.int64)
     begins = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    return place[begins], grams[place[begins]], starts[begins], np.diff(np.append(begins, len(starts)))
+    first, strings = starts[begins], np.diff(np.append(begins, len(starts)))
+    return place[begins], grams[place[begins]], first, strings, prints.of(first, first + strings - 1 + length)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -109,6 +118,18 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield keys, missing, digests, shas, data, offsets
 
 
+def earliest(bucket, keys, digests, place, before, strings, around) -> tuple[np.ndarray, np.ndarray]:
+    """Of anchors with equal neighbourhoods: indices of the earliest ones, and of those that repeat them; of equal texts only one counts."""
+    order = np.lexsort((place, digests, keys, strings, around, bucket))
+    group = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (bucket, around, strings)], axis=0)])
+    which = np.cumsum(group) - 1
+    text = np.lexsort((np.arange(len(order)), place[order], digests[order], which))
+    same = [x[text][1:] == x[text][:-1] for x in (which, digests[order], place[order])]
+    distinct = np.ones(len(order), bool)
+    distinct[text[1:][np.all(same, axis=0)]] = False
+    return order[group], order[distinct & ~group]
+
+
 def _find_anchors(count: int, length: int):
     step = T.SLICE_BYTES
 
@@ -118,7 +139,13 @@ def _find_anchors(count: int, length: int):
         def sent():
             arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            return _dealt(ANCHORS, (arrays[0] % T.U64(count)).astype(np.int64), count, *arrays)
+            first, again = earliest(*arrays)
+            bucket, keys, digests, place, before, strings = (x[first] for x in arrays[:6])
+            yield _dealt(ANCHORS, (bucket % T.U64(count)).astype(np.int64), count, bucket, keys, digests, place, before, strings)
+            if len(again):
+                _, keys, digests, place, before, strings = (x[again] for x in arrays[:6])
+                columns = _merged_by_doc(keys, digests, place - before, place - before + strings - 1 + length)
+                yield _dealt(SPANS, _by_doc(columns[0], count), count, *columns)
 
         for keys, missing, digests, shas, data, offsets in _pieces(batches):
             raw = np.frombuffer(b"".join(shas), np.uint8)
@@ -134,17 +161,17 @@ def _find_anchors(count: int, length: int):
             else:  # one very long text, in pieces that overlap by a string less a byte
                 windows = [(a, data[a : a + step + length - 1], np.array([0, min(len(data) - a, step + length - 1)])) for a in range(0, len(data) - length + 1, step)]
             for base, part, bounds in windows:
-                place, bucket, begin, strings = anchors(part, bounds, length)
+                place, bucket, begin, strings, around = anchors(part, bounds, length)
                 row = np.searchsorted(offsets, place + base, "right") - 1
                 keep = lead[row]
-                place, bucket, begin, strings, row = (x[keep] for x in (place, bucket, begin, strings, row))
+                place, bucket, begin, strings, around, row = (x[keep] for x in (place, bucket, begin, strings, around, row))
                 if len(place):
                     own = place + base - offsets[row]
-                    held.append([bucket, keys[row], digests[row], own, (place - begin).astype(np.int32), strings.astype(np.int32)])
+                    held.append([bucket, keys[row], digests[row], own, (place - begin).astype(np.int32), strings.astype(np.int32), around])
             if sum(len(h[0]) for h in held) > SEND_ROWS:
-                yield sent()
+                yield from sent()
         if held:
-            yield sent()
+            yield from sent()
 
     return run
 
@@ -153,8 +180,8 @@ def _meet(count: int):
     def run(batches):
         held = []
         for kind, packed in K.rows_of(batches, "kind", "packed"):
-            if kind == NARROW:
-                yield _row(NARROW, [(0, packed)])
+            if kind != ANCHORS:
+                yield _row(kind, [(0, packed)])
             else:
                 held.append(K.unpack(packed))
         if not held:
@@ -172,7 +199,7 @@ def _meet(count: int):
         several = np.bincount(which[distinct])[which] > 1
         take = order[distinct & several]
         if len(take):
-            yield _dealt(REPEATED, _by_doc(keys[take], count), count, keys[take], digests[take], (place - before)[take], strings[take], bucket[distinct & several])
+            yield _dealt(REPEATED, _by_doc(keys[take], count), count, keys[take], digests[take], (place - before)[take], before[take], strings[take])
 
     return run
 
@@ -229,6 +256,15 @@ def _merged_by_doc(keys, digests, first, last) -> tuple[np.ndarray, ...]:
     return keys[at], digests[at], first[at], first[at] + (b - a)
 
 
+def sides(raw: bytes, first: int, before: int, strings: int, length: int) -> list[tuple[int, int, int]]:
+    """(first, strings, refined bucket) of an anchor's strings: those that hold `reach` bytes before the anchor, then the others, which hold as many behind it."""
+    reach, place = (length - GRAM) // 2, first + before
+    here = min(strings, max(0, before - reach + 1))
+    found = [(first, here, b"<", place - reach, place + GRAM)] if here else []
+    found += [(first + here, strings - here, b">", place, place + GRAM + reach)] if here < strings else []
+    return [(a, n, int.from_bytes(hashlib.blake2b(raw[x:y], digest_size=8, key=side).digest(), "big")) for a, n, side, x, y in found]
+
+
 def _cut(count: int, length: int):
     """Texts and their repeated anchors meet: the neighbourhoods, each once a task; the others are repeats already."""
 
@@ -238,9 +274,9 @@ def _cut(count: int, length: int):
             (repeated if kind == REPEATED else texts).append(packed)
         if not repeated or not texts:
             return
-        keys, digests, first, strings, bucket = (np.concatenate(x) for x in zip(*map(K.unpack, repeated), strict=True))
+        keys, digests, first, before, strings = (np.concatenate(x) for x in zip(*map(K.unpack, repeated), strict=True))
         order = np.lexsort((first, digests, keys))
-        keys, digests, first, strings, bucket = (x[order] for x in (keys, digests, first, strings, bucket))
+        keys, digests, first, before, strings = (x[order] for x in (keys, digests, first, before, strings))
         edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])]))
         where = {(int(keys[a]), int(digests[a])): (a, b) for a, b in zip(edge, [*edge[1:], len(keys)], strict=True)}
         known: set[tuple] = set()
@@ -275,15 +311,15 @@ def _cut(count: int, length: int):
             a, b = where[done]
             raw = data.tobytes()
             for i in range(a, b):
-                begin, more = int(first[i]), int(strings[i])
-                piece = raw[begin : begin + more + length - 1]
-                mark = (int(bucket[i]), hashlib.blake2b(piece, digest_size=16).digest(), more)
-                if mark in known:
-                    spans.append((key, digest, begin, begin + more + length - 1))
-                else:
-                    known.add(mark)
-                    fresh[len(fresh)] = (key, digest, begin, more, int(bucket[i]), piece)
-                    size += len(piece)
+                for begin, more, bucket in sides(raw, int(first[i]), int(before[i]), int(strings[i]), length):
+                    piece = raw[begin : begin + more + length - 1]
+                    mark = (bucket, hashlib.blake2b(piece, digest_size=16).digest(), more)
+                    if mark in known:
+                        spans.append((key, digest, begin, begin + more + length - 1))
+                    else:
+                        known.add(mark)
+                        fresh[len(fresh)] = (key, digest, begin, more, bucket, piece)
+                        size += len(piece)
             if size > SEND_BYTES:
                 yield sent()
                 size = 0
@@ -296,25 +332,60 @@ def _cut(count: int, length: int):
     return run
 
 
+def depths(length: int) -> list[tuple[int, int]]:
+    """(depth, step) of the rounds: buckets of `depth` bytes are refined by those `step` further on, down to `length`."""
+    out, depth = [], GRAM
+    while depth < length:
+        out.append((depth, min(depth, length - depth)))
+        depth += out[-1][1]
+    return out
+
+
+def _ranked(near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of pairs in order of (near, far), from 0, and which of them occur more than once."""
+    order = np.lexsort((far, near))
+    begins = np.concatenate([[True], (near[order][1:] != near[order][:-1]) | (far[order][1:] != far[order][:-1])]) if len(order) else np.zeros(0, bool)
+    rank = np.cumsum(begins) - 1
+    out = np.empty(len(order), np.int64)
+    out[order] = rank
+    return out, np.bincount(rank, minlength=1)[out] > 1 if len(order) else begins
+
+
 def refine(keys, digests, first, strings, data, at, length: int) -> tuple[np.ndarray, ...]:
-    """Slices in order of (key, digest, first) -> (slice index, first, last) of the strings that occur earlier."""
-    half = length // 2
-    grams = T.Fingerprints(data).grams(half)
-    total = np.concatenate([[0], np.cumsum(strings)])
-    which = np.repeat(np.arange(len(strings)), strings)
-    local = np.arange(total[-1]) - total[which]
-    place = at[which] + local
-    near, far = grams[place], grams[place + length - half]
-    refined = T.mix(near + T.U64(0xA0761D6478BD642F) * far)
-    order = np.argsort(refined, kind="stable")
-    r, p, q = refined[order], near[order], far[order]
-    same = np.concatenate([[False], (r[1:] == r[:-1]) & (p[1:] == p[:-1]) & (q[1:] == q[:-1])])
-    later = np.zeros(len(order), bool)
-    later[order] = same
-    begins = later & np.concatenate([[True], ~later[:-1] | (which[1:] != which[:-1])])
-    ends = later & np.concatenate([~later[1:] | (which[1:] != which[:-1]), [True]])
-    a, b = np.flatnonzero(begins), np.flatnonzero(ends)
-    return which[a], first[which[a]] + local[a], first[which[a]] + local[b] + length
+    """Slices in order of (key, digest, first) -> (slice index, first, last) of the strings that occur earlier.
+
+    `bucket` holds the identifier of every position at the depth reached, -1
+    where nothing of that depth begins or the bucket has one member; a string
+    that runs into such a position can't repeat.
+    """
+    sizes = strings + length - 1
+    ends = np.repeat(at + sizes, sizes)
+    place = np.arange(len(data))
+    bucket = np.full(len(data), -1, np.int64)
+    live = place[place + GRAM <= ends]
+    if not len(live):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = T.Fingerprints(data).grams(GRAM)[live]
+    rank, several = _ranked(grams, np.zeros(len(live), np.int8))
+    live = live[several]
+    bucket[live] = rank[several]
+    for depth, step in depths(length):
+        live = live[live + depth + step <= ends[live]]
+        live = live[bucket[live + step] >= 0]
+        rank, several = _ranked(bucket[live], bucket[live + step])
+        bucket = np.full(len(data), -1, np.int64)
+        live = live[several]
+        bucket[live] = rank[several]
+    # What is left are strings with equals; of each bucket the first stays.
+    order = np.lexsort((live, bucket[live]))
+    own = bucket[live[order]]
+    later = np.zeros(len(data) + 1, bool)
+    later[live[order][1:][own[1:] == own[:-1]]] = True
+    which = np.repeat(np.arange(len(strings)), sizes)
+    begins = later[:-1] & np.concatenate([[True], ~later[:-2] | (which[1:] != which[:-1])])
+    lasts = later[:-1] & np.concatenate([~later[1:-1] | (which[1:] != which[:-1]), [True]])
+    a, b = np.flatnonzero(begins), np.flatnonzero(lasts)
+    return which[a], first[which[a]] + a - at[which[a]], first[which[a]] + b - at[which[a]] + length
 
 
 def _refine(count: int, length: int):
@@ -390,10 +461,10 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             )
 
     narrow = found.where(f"kind = {NARROW}").select("packed").transform(arrow, unpack, "key long, missing boolean, n long, digest long, sha binary")
-    repeated = found.where(f"kind = {REPEATED}")
+    repeated, again = found.where(f"kind = {REPEATED}"), found.where(f"kind = {SPANS}")
     texts = docs.transform(arrow, _send_texts(count, _slots_of(repeated)), ROW)
     cut = K.deal(repeated.union(texts), count=count).transform(arrow, _cut(count, length), ROW)
-    spans = checkpoint(K.deal(cut, count=count).transform(arrow, _refine(count, length), ROW))
+    spans = checkpoint(K.deal(cut, count=count).transform(arrow, _refine(count, length), ROW).union(again))
     return narrow, spans
 
 
@@ -479,7 +550,8 @@ def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     heads = checkpoint(narrow.groupBy("sha").agg(F.min("key").alias("head")))
     copies = narrow.where(F.col("n") >= length).join(heads, "sha").where("key <> head")
     copies = copies.select("key", "digest", F.array(F.lit(0).cast("long")).alias("firsts"), F.array("n").alias("lasts")).distinct()
-    cuts = checkpoint(_gather_spans(spans, count).union(copies)).withColumnsRenamed({"key": "__key", "digest": "__digest", "firsts": "__firsts", "lasts": "__lasts"})
+    of_others = _gather_spans(spans, count).join(copies.select("key", "digest"), ["key", "digest"], "left_anti")
+    cuts = checkpoint(of_others.union(copies)).withColumnsRenamed({"key": "__key", "digest": "__digest", "firsts": "__firsts", "lasts": "__lasts"})
     text, key = docs[f"`{text_col}`"], F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(int(NO_ID)))
     digest = F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 16), 16, -10).cast("long")
     joined = docs.join(cuts, (key == F.col("__key")) & (digest == F.col("__digest")), "left")

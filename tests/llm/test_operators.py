@@ -602,6 +602,26 @@ def test_repeats_are_exact(spark, length):
     assert got == plain.without_repeats(rows, length)
 
 
+@pytest.mark.parametrize("length", [100, 60, 30])
+def test_refinement_by_rounds_against_all_strings(length):
+    """The rounds alone, on slices with periodic and shared parts: first and last of the strings that occur earlier."""
+    assert repeats.depths(100) == [(24, 24), (48, 48), (96, 4)]
+    gen = random.Random(length)
+    shared = [bytes(gen.choice(b"abcd") for _ in range(n)) for n in (35, 120, 260)] + [b"ab" * 150]
+    pieces = [b"".join(gen.choice([*shared, bytes(gen.choice(b"efgh") for _ in range(20))]) for _ in range(gen.randint(1, 4))).ljust(length, b"z") for _ in range(40)]
+    sizes = np.array([len(p) for p in pieces])
+    seen, want = set(), set()
+    for k, p in enumerate(pieces):
+        for i in range(len(p) - length + 1):
+            if p[i : i + length] in seen:
+                want.add((k, i))
+            seen.add(p[i : i + length])
+    keys = np.arange(len(pieces))
+    which, a, b = repeats.refine(keys, np.zeros(len(pieces), np.uint64), np.full(len(pieces), 7), sizes - length + 1, np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, length)
+    got = {(int(k), i - 7) for k, x, y in zip(which, a, b, strict=True) for i in range(int(x), int(y) - length + 1)}
+    assert got == want and len(want) > 100
+
+
 def test_repeats_on_documents(spark, sf_dir):
     rows = [r[:2] for r in sample(spark, sf_dir)]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(frame(spark, sample(spark, sf_dir))).collect()}
