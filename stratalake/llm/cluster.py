@@ -62,6 +62,31 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select([df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table lacks, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A key is hot that holds more than one in so many rows; there are fewer such keys than this, whatever the data.
+HOT_SHARE = 1000
+
+
+def hot_keys(counted: DataFrame, on: str, n: str) -> DataFrame:
+    """The hot ones of a table with a row a key and the number of rows that have it: fewer than HOT_SHARE."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return checkpoint(counted.where(F.col(n) * HOT_SHARE > total).select(on))
+
+
+def join_skewed(rows: DataFrame, keyed: DataFrame, on: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key: hot keys meet where the rows are, the others by a shuffle in which no key weighs much."""
+    few = F.broadcast(hot)
+    near = rows.join(few, on, "left_semi").join(F.broadcast(keyed.join(few, on, "left_semi")), on, how)
+    return near.unionByName(rows.join(few, on, "left_anti").join(keyed.join(few, on, "left_anti"), on, how))
+
+
 #: Edges of a component search for each task; small searches run in few tasks and leave few files.
 EDGES_PER_TASK = 20_000
 

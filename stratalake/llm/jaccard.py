@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as K
 from . import textkit as T
-from .cluster import arrow, checkpoint, connected_components, partitions, pick
+from .cluster import arrow, checkpoint, connected_components, free_name, hot_keys, join_skewed, partitions, pick
 
 COUNTERS = 1 << 22
 #: Rows, and n-grams, of a row block.
@@ -469,7 +469,8 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     near = found.where("digest is null").select("a", "b")
     linkable = sized.where("n > 0 and doc is not null")
     heads = checkpoint(linkable.groupBy("digest").agg(F.min("doc").alias("head"), F.count_distinct("doc").alias("copies")))
-    headed = checkpoint(linkable.join(heads, "digest"))
+    hot = hot_keys(heads, "digest", "copies")
+    headed = checkpoint(join_skewed(linkable, heads, "digest", hot))
     copies = headed.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
 
     groups = connected_components(near.union(copies))
@@ -503,7 +504,7 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
         told = heads.join(classes, F.col("head") == F.col("node"), "left").join(degrees, "digest", "left")
         told = told.select("digest", F.coalesce("class", "head").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         alone = sized.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-        out = linkable.join(told, "digest").select("doc", "n", "component_id", "n_links").union(alone)
+        out = join_skewed(linkable, checkpoint(told), "digest", hot).select("doc", "n", "component_id", "n_links").union(alone)
         return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")
     linked = headed.join(classes, F.col("head") == F.col("node"), "left").select("doc", "n", F.coalesce("class", "head").alias("component_id"))
     alone = sized.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
@@ -512,6 +513,6 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, without those that link to a smaller id; of each group the document with its smallest id stays."""
-    joined = _joined(docs, size, percent, id_col, text_col, counted=False)
-    gone = checkpoint(joined.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == F.col("__gone"), "left_anti")
+    joined, gone_col = _joined(docs, size, percent, id_col, text_col, counted=False), free_name(docs, "gone")
+    gone = checkpoint(joined.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_col)).distinct())
+    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == F.col(gone_col), "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .cluster import arrow, checkpoint, pick
+from .cluster import arrow, checkpoint, free_name, pick
 
 SYMBOLS = T.table(b"#*$%&|<>")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -195,31 +195,26 @@ SALT = 64
 
 
 def _with_hosts(rows: DataFrame, hosts: DataFrame, key: Column, how: str) -> DataFrame:
-    """rows joined with hosts (__host, ...) on the host's key; a host's rows go to SALT tasks where hosts are too many to broadcast."""
+    """rows joined with hosts on the host's key, the first column of hosts, which goes; a host's rows are dealt to SALT tasks where hosts are too many to broadcast."""
+    own = hosts.columns[0]
     if hosts.count() <= BROADCAST_HOSTS:
-        return rows.join(F.broadcast(hosts), key == F.col("__host"), how).drop("__host")
-    spread = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = rows.withColumn("__own_salt", F.floor(F.rand(11) * SALT).cast("int"))
-    return salted.join(spread, (key == F.col("__host")) & (F.col("__own_salt") == F.col("__salt")), how).drop("__host", "__salt", "__own_salt")
+        return rows.join(F.broadcast(hosts), key == F.col(own), how).drop(own)
+    salt, other = free_name(rows, "salt"), free_name(rows, "host_salt")
+    spread = hosts.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn(salt, F.floor(F.rand(11) * SALT).cast("int"))
+    return salted.join(spread, (key == F.col(own)) & (F.col(salt) == F.col(other)), how).drop(own, salt, other)
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row a document: id, host, MEASURES, base_failed, kept, host_rate (the shrunk rate of failing documents) and host_verdict."""
     narrow = pick(docs, doc_id=id_col, host=host_col, text=text_col)
     measured = checkpoint(text_measures(narrow).withColumn("host_key", host_key(F.col("host"))))
-    hosts = checkpoint(host_rates(measured, rules).select(F.col("host_key").alias("__host"), F.col("rate_any").alias("host_rate"), "host_verdict"))
+    hosts = checkpoint(host_rates(measured, rules).select(F.col("host_key").alias("judged_host"), F.col("rate_any").alias("host_rate"), "host_verdict"))
     judged = _with_hosts(measured, hosts, F.col("host_key"), "inner")
     gone = rules.base() | (F.col("host_verdict") == REJECTED) | ((F.col("host_verdict") == WATCHED) & rules.any())
     return judged.select("doc_id", "host", *MEASURES, rules.base().alias("base_failed"), (~gone).alias("kept"), "host_rate", "host_verdict")
 
 
-def _own(names: list[str], name: str) -> str:
-    """A column name that the caller's table lacks."""
-    while name in names:
-        name = f"_{name}"
-    return name
-
-
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of `docs`, with all their columns, that `judge` keeps; judged row by row, so no row is shuffled with its text.
 
@@ -229,8 +224,8 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", h
     names = docs.columns
     narrow = pick(docs, host=host_col, text=text_col)
     measured = text_measures(narrow).withColumn("host_key", host_key(F.col("host")))
-    verdict, text = _own(names, "host_verdict"), _own(names, "judged_text")
-    hosts = checkpoint(host_rates(measured, rules).select(F.col("host_key").alias("__host"), F.col("host_verdict").alias(verdict)))
+    verdict, text, own = (free_name(docs, n) for n in ("host_verdict", "judged_text", "judged_host"))
+    hosts = checkpoint(host_rates(measured, rules).select(F.col("host_key").alias(own), F.col("host_verdict").alias(verdict)))
     told = _with_hosts(docs.withColumn(text, docs[f"`{text_col}`"]), hosts.where(F.col(verdict) != TRUSTED), host_key(docs[f"`{host_col}`"]), "left")
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

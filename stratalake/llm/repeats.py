@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as K
 from . import textkit as T
-from .cluster import arrow, checkpoint, partitions, pick
+from .cluster import arrow, checkpoint, free_name, hot_keys, join_skewed, partitions, pick
 
 GRAM = 24
 NO_ID = np.iinfo(np.int64).max
@@ -501,6 +501,12 @@ def _rest(data: np.ndarray, firsts, lasts) -> tuple[bytes, int]:
     return data[keep].tobytes(), int((~keep).sum())
 
 
+def _with_heads(narrow: DataFrame) -> DataFrame:
+    """narrow with the smallest key of each text."""
+    heads = checkpoint(narrow.groupBy("sha").agg(F.min("key").alias("head"), F.count("*").alias("n_copies")))
+    return join_skewed(narrow, heads.drop("n_copies"), "sha", hot_keys(heads, "sha", "n_copies"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes)."""
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -527,8 +533,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     spread = spans.transform(arrow, _redeal(count), ROW).union(texts)
     results = K.deal(spread, count=count).transform(arrow, apply, "r_key long, r_digest long, n_removed long, n_spans long, kept_sha256 string")
-    heads = checkpoint(narrow.groupBy("sha").agg(F.min("key").alias("head")))
-    joined = narrow.join(heads, "sha").join(results, (F.col("key") == F.col("r_key")) & (F.col("digest") == F.col("r_digest")), "left")
+    joined = _with_heads(narrow).join(results, (F.col("key") == F.col("r_key")) & (F.col("digest") == F.col("r_digest")), "left")
     copy = (F.col("key") != F.col("head")) & (F.col("n") >= length)
     return joined.select(
         F.when(~F.col("missing"), F.col("key")).alias("doc_id"),
@@ -547,20 +552,21 @@ def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     """
     count = partitions(docs.sparkSession)
     narrow, spans = repeated_spans(pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), length)
-    heads = checkpoint(narrow.groupBy("sha").agg(F.min("key").alias("head")))
-    copies = narrow.where(F.col("n") >= length).join(heads, "sha").where("key <> head")
+    copies = _with_heads(narrow).where((F.col("n") >= length) & (F.col("key") != F.col("head")))
     copies = copies.select("key", "digest", F.array(F.lit(0).cast("long")).alias("firsts"), F.array("n").alias("lasts")).distinct()
     of_others = _gather_spans(spans, count).join(copies.select("key", "digest"), ["key", "digest"], "left_anti")
-    cuts = checkpoint(of_others.union(copies)).withColumnsRenamed({"key": "__key", "digest": "__digest", "firsts": "__firsts", "lasts": "__lasts"})
+    cuts = checkpoint(of_others.union(copies))
+    key_col, digest_col, firsts_col, lasts_col = (free_name(docs, n) for n in ("cut_key", "cut_digest", "cut_firsts", "cut_lasts"))
+    cuts = cuts.select(F.col("key").alias(key_col), F.col("digest").alias(digest_col), F.col("firsts").alias(firsts_col), F.col("lasts").alias(lasts_col))
     text, key = docs[f"`{text_col}`"], F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(int(NO_ID)))
     digest = F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 16), 16, -10).cast("long")
-    joined = docs.join(cuts, (key == F.col("__key")) & (digest == F.col("__digest")), "left")
+    joined = docs.join(cuts, (key == F.col(key_col)) & (digest == F.col(digest_col)), "left")
     names, at = docs.columns, docs.columns.index(text_col)
     chars = names.index(chars_col) if chars_col in names else None
 
     def apply(batches):
         for batch, data, offsets in T.slices(batches, text_col):
-            firsts, lasts = (batch.column(batch.schema.get_field_index(c)) for c in ("__firsts", "__lasts"))
+            firsts, lasts = (batch.column(batch.schema.get_field_index(c)) for c in (firsts_col, lasts_col))
             columns = [batch.column(i) for i in range(len(names))]
             hit = np.flatnonzero(np.asarray(firsts.is_valid()))
             if len(hit):

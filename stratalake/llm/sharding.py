@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from .cluster import checkpoint, partitions, pick
+from .cluster import checkpoint, hot_keys, join_skewed, partitions, pick
 
 BITS, ROUND = 20, 10
 #: Tables with a row a node are broadcast up to so many shards (and nodes); each row is under 100 bytes.
@@ -122,7 +122,7 @@ def shard_documents(
         narrow = narrow.join(ranked, F.col(d) == F.col("value"), "left").withColumn(d, as_number(F.col("rank"))).drop("value", "rank")
     if ranks:
         narrow = checkpoint(narrow)
-    groups = narrow.groupBy("key").agg(F.sum("size").alias("weight"), *[F.min(d).alias(d) for d in names])
+    groups = narrow.groupBy("key").agg(F.sum("size").alias("weight"), F.count("*").alias("n"), *[F.min(d).alias(d) for d in names])
     groups = checkpoint(groups.withColumn("tie", F.pmod(F.xxhash64("key"), F.lit(1 << BITS)).cast("long")))
     if shards is None:
         if not target_bytes:
@@ -130,7 +130,7 @@ def shard_documents(
         shards = max(1, -(-(groups.agg(F.sum("weight")).first()[0] or 0) // target_bytes))
     placed = place_groups(groups, names, shards)
     part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(SLOT_PARTS)).cast("int")
-    held = checkpoint(narrow.join(placed, "key").withColumn("part", part))
+    held = checkpoint(join_skewed(narrow, placed, "key", hot_keys(groups, "key", "n")).withColumn("part", part))
     counts = held.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -25,10 +25,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import checkpoint, partitions, pick
+from .cluster import checkpoint, hot_keys, join_skewed, partitions, pick
 
 #: Keys sampled by hash to place the borders of ranges; they steer the balance only, never a result.
 BORDER_KEYS = 1024
+#: Rules are broadcast up to so many, of under 300 bytes each; beyond that what a rule governs is salted.
+BROADCAST_RULES, SALT = 20_000, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,7 +48,7 @@ def reversed_host(host: Column) -> Column:
 
 
 def _borders(points: DataFrame, count: int) -> list[bytes]:
-    sampled = points.select("key").orderBy(F.xxhash64("key"), "key").limit(BORDER_KEYS).collect()
+    sampled = points.select("key").orderBy(F.xxhash64("key"), "key").limit(max(BORDER_KEYS, 4 * count)).collect()
     keys = sorted(bytes(r["key"]) for r in sampled)
     return sorted({keys[i * len(keys) // count] for i in range(1, count)}) if keys else []
 
@@ -92,6 +94,14 @@ def _depth(prefixes: DataFrame) -> int:
     return prefixes.select(F.length("prefix")).distinct().count()
 
 
+def _of_rules(found: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
+    """found with its rules beside it; one rule may govern a large part of all rows."""
+    if rules.count() <= BROADCAST_RULES:
+        return found.join(F.broadcast(rules), on)
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALT)).cast("int"))
+    return salted.join(rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*on, "salt"]).drop("salt")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row a page: page_id, host, path, rule (host and path of the one that holds, or null) and verdict.
 
@@ -108,7 +118,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     ranges = partitions(spark)
 
     seen = pick(pages, page_id=id_col, url=url_col).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    distinct = checkpoint(seen.where("host <> ''").select("host", "path").distinct())
+    place = F.struct("host", "path").alias("place")
+    counted = checkpoint(seen.where("host <> ''").groupBy(place).agg(F.count("*").alias("n")))
+    distinct = counted.select("place.*")
 
     hosts = rules.select(F.col("host_key").cast("binary").alias("prefix")).distinct()
     by_host = distinct.select(F.concat(reversed_host(F.col("host")), "path").cast("binary").alias("key"), "host", "path")
@@ -119,7 +131,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     found = sweep(by_path, paths, _depth(paths), ranges).select("host", "path", "host_key", F.explode("stack").alias("prefix"))
     # What is open at a key may belong to a rule host above or to a longer host; only rules of this host count.
     by_prefix = rules.select(F.col("host_key").cast("binary").alias("host_key"), F.concat("host_key", "path").cast("binary").alias("prefix"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
-    found = found.join(by_prefix, ["host_key", "prefix"]).where(F.startswith("path", "rule_path"))
+    found = _of_rules(found, by_prefix, ["host_key", "prefix"]).where(F.startswith("path", "rule_path"))
     best = found.groupBy("host", "path").agg(F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("best"))
-    judged = distinct.join(best, ["host", "path"], "left").select("host", "path", "best.rule", "best.verdict")
-    return seen.join(judged, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    judged = checkpoint(best.select(place, "best.rule", "best.verdict"))
+    told = join_skewed(seen.where("host <> ''").withColumn("place", place), judged, "place", hot_keys(counted, "place", "n"), "left")
+    hostless = seen.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    columns = ["page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")]
+    return told.select(*columns).unionAll(hostless.select(*columns))

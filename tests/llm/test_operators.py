@@ -42,7 +42,7 @@ def awkward() -> list[tuple]:
     """Nulls, empty and long texts, ties, repeated rows, copies and odd characters."""
     base, long = prose(120), prose(30_000, 5000)
     texts = [None, "", " \n\t", "a", "MIT License", base, base, changed(base, 1), changed(base, 2), changed(base, 40), long, long + " end", "é" * 90, "aaaa" * 200, "line one two three\n" * 60]
-    texts += ["\x1c<|endoftext|> Σ ünï", "Released under the Apache  Licence, v2.", "general public license " * 3, "word " * 70, prose(55), "日本語 テキスト 🙂", "\x0b\x0c mixed \r\n spaces \x85 here", "▁mark ▁▁", "x" * 1000]
+    texts += ["\x1c<|endoftext|> Σ ünï", "Released under the Apache  Licence, v2.", "general public license " * 3, "word " * 70, prose(55), "日本語 テキスト 🙂", "http://www.x.net/en/y?q", "\x0b\x0c mixed \r\n spaces \x85 here", "▁mark ▁▁", "x" * 1000]
     rows = [(i, t, "en", f"src{i % 4}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
     return rows + [rows[5], rows[7], rows[2]]
 
@@ -65,6 +65,7 @@ def sample(spark, sf_dir):
 
 
 OPERATORS = {
+    "urls": lambda df: urls.judge_urls(df, queries.URL_RULES, id_col="doc_id", url_col="text").withColumnRenamed("page_id", "doc_id"),
     "license": lambda df: licenses.scan_licenses(df).drop("matches"),
     "lattice": lambda df: lattice.score_documents(df, PIECES),
     "mixing": mixing.mix_sources,
@@ -91,7 +92,10 @@ def test_one_row_a_document_whatever_the_extra_columns(spark, name):
     df = frame(spark, awkward())
     want = rows_of(OPERATORS[name](df))
     assert len(want) == len(awkward())
-    if name != "sharding":  # its slots number rows as they come
+    if name == "sharding":  # its slots number rows as they come
+        want = rows_of(OPERATORS[name](df).drop("slot"))
+        assert rows_of(OPERATORS[name](clashing(df)).drop("slot")) == want
+    else:
         assert rows_of(OPERATORS[name](clashing(df))) == want
 
 
@@ -102,7 +106,7 @@ def test_nulls_everywhere(spark, name):
     assert out.count() == 5 and out.where("doc_id is null").count() == 3
 
 
-@pytest.mark.parametrize("name", ["license", "mpeg", "bpe", "jaccard", "repeats", "quality", "lattice"])
+@pytest.mark.parametrize("name", ["urls", "license", "mpeg", "bpe", "mixing", "jaccard", "repeats", "quality", "lattice"])
 def test_repeated_rows_get_equal_results(spark, name):
     by_id = collections.defaultdict(set)
     df = OPERATORS[name](frame(spark, [*awkward(), *awkward()]))
@@ -111,6 +115,40 @@ def test_repeated_rows_get_equal_results(spark, name):
     assert max(map(len, by_id.values())) == 1
 
 
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_on_awkward_tables(spark, stage):
+    """Nulls in any column, empty tables, repeated rows and extra columns that clash with the stages' own names."""
+    from pyspark.sql import functions as F
+
+    name, run = stage
+    last = stage == corpus_pipeline.STAGES[-1]
+    assert run(spark, frame(spark, []), "").collect() == []
+    rows = [*awkward(), (None, None, None, None, None), (None, prose(70), None, None, None)]
+    df = frame(spark, rows)
+    plainly = run(spark, df, "")
+    extra = df
+    for column in ("__text", "__host", "__gone", "__key", "__digest", "host_verdict", "judged_text", "row", "copies", "level", "component_id", "firsts", "gone"):
+        extra = extra.withColumn(column, F.lit("clash"))
+    clashed = run(spark, extra, "")
+    if not last:
+        assert plainly.columns == df.columns and clashed.columns == extra.columns
+    assert rows_of(clashed.select(*plainly.columns)) == rows_of(plainly)
+    assert all(r["doc_id"] is None or r["doc_id"] < 100 for r in plainly.collect())
+
+
+def test_hot_keys_meet_where_the_rows_are(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    counted = rows.groupBy("k").agg(F.count("*").alias("n"))
+    hot = cluster.hot_keys(counted, "k", "n")
+    assert [r["k"] for r in hot.collect()] == [0]
+    for how, kept in (("inner", "k % 2 = 0"), ("left", "k % 2 = 0"), ("left", "k > 0")):
+        keyed = counted.where(kept).select("k", (F.col("k") * 10).alias("w"))
+        got = cluster.join_skewed(rows, keyed, "k", hot, how)
+        assert rows_of(got) == rows_of(rows.join(keyed, "k", how))
+
+
 # URL rules.
 def test_url_rules_against_plain_matching(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/x", "block"), ("a.example.net", "/", "allow"), ("org", "/fr/", "allow"), ("org", "", "block"), ("b.org", "/fr/y/z", "block"), ("example.com", "/de/", "block")]
