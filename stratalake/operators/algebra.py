@@ -88,6 +88,13 @@ def zenith_to_los(delays: DataFrame, factor: float) -> DataFrame:
     return delays.withColumn("los", F.col("ztd") / F.cos(F.radians("inc")) * factor)
 
 
+def replace_amplitude(waves: DataFrame, amplitude: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """Complex cells (keys, re, im) with another raster's value as their amplitude; their phase stays, and 0 where they are 0."""
+    joined = waves.join(amplitude.select(*keys, F.col("value").alias("new")), list(keys))
+    size = P.amplitude(F.col("re"), F.col("im"))
+    return joined.select(*keys, *[F.coalesce(F.try_divide(F.col(c), size) * F.col("new"), F.lit(0.0)).alias(c) for c in ("re", "im")])
+
+
 def pair_difference(pairs: DataFrame, maps: DataFrame, value: str, keys: Sequence[str] = CELL) -> DataFrame:
     """Per pair and cell the second date's map less the first's."""
     first = maps.select(F.col("date").alias("date1"), *keys, F.col(value).alias("v1"))

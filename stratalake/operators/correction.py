@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ramps
+from ..functions import phase, ramps
 from ..functions.basis import Term
 from . import solve
 from .masks import valid, with_bounds
@@ -102,6 +102,23 @@ def stratified_phase(gradients: DataFrame, degree: int, reference: float, by: Se
     return solve.fit(gradients, F.col(value), terms, list(by), 1 / F.col("coh"), min_rows=F.col("n") > min_rows)
 
 
+def flatten_stratified(waves: DataFrame, gradients: DataFrame, degree: int, reference: float, by: Sequence[str], *, elevation: str = "elev", min_rows: int = 0) -> DataFrame:
+    """Complex cells (by, re, im, elevation) without the phase that follows height: `law` is taken from their phase and told beside them.
+
+    gradients (by, dphi, elevation, coh) of phase over height give a polynomial
+    of `degree` (`stratified_phase`); the law is its integral from the reference
+    height.  Groups of no more than min_rows gradients keep their phase.
+    """
+    fitted = stratified_phase(gradients, degree, reference, by, elevation=elevation, min_rows=min_rows)
+    joined = waves.join(fitted.select(*by, *[f"m_z{k}" for k in range(degree + 1)]), list(by), "left")
+    dz, law = F.col(elevation) - F.lit(reference), F.lit(0.0)
+    for k in range(degree + 1):
+        law = law + F.coalesce(F.col(f"m_z{k}"), F.lit(0.0)) * F.pow(dz, F.lit(float(k + 1))) / (k + 1)
+    told = joined.withColumn("law", law).drop(*[f"m_z{k}" for k in range(degree + 1)])
+    re, im = phase.rotate(F.col("re"), F.col("im"), -F.col("law"))
+    return told.withColumns({"re": re, "im": im})
+
+
 def stack_ramp(stack: DataFrame, value: str = "stack") -> DataFrame:
     """A quadratic ramp of the values inside the 20 to 80 percentiles, taken from all cells."""
     inside = with_bounds(stack, value, 20, 80).where(F.col(value).between(F.col("lo"), F.col("hi")))

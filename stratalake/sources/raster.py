@@ -1,8 +1,9 @@
-"""Binary rasters as tables: one row a cell, decoded from whole-file or record reads.
+"""Binary rasters as tables: one row a cell, decoded from records of a line each.
 
-Files come through Spark's binaryFile source, so any file system that Spark
-reads will do.  Large headerless grids are read as fixed-length records (one a
-line), which Spark splits over tasks.
+Any file system that Spark reads will do.  A single file is read as fixed-length
+records, which Hadoop's input format splits over tasks, so its size doesn't
+matter; a pattern or folder of many files is read file by file, each by one
+task (2 GB a file at most).
 """
 
 from __future__ import annotations
@@ -57,8 +58,21 @@ def read_text(spark: SparkSession, path: str) -> str:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]).decode("utf-8", "replace")
 
 
+def _single_file(spark: SparkSession, path: str) -> str | None:
+    """The file's full name, if the path names one file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where) or not system.getFileStatus(where).isFile():
+        return None
+    return system.getFileStatus(where).getPath().toString()
+
+
 def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """(file, line, content): fixed-length records in their order; a file is split where it is large."""
+    """(file, line, content): fixed-length records in their order."""
+    if name := _single_file(spark, path):
+        # The only use of an RDD: no DataFrame source splits a headerless file.
+        numbered = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (name, r[1], bytearray(r[0])))
+        return spark.createDataFrame(numbered, "file string, line long, content binary")
     files = spark.read.format("binaryFile").load(path).select("path", "content", "length")
     count = F.floor(F.col("length") / size).cast("int")
     return files.select(F.col("path").alias("file"), "content", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))).alias("line")).select(
@@ -127,6 +141,50 @@ def read_gamma(spark: SparkSession, path: str, cols: int, complex_values: bool =
     return _decode(_records(spark, path, 4 * cols), ">f4", {"value": (0, 1)})
 
 
+#: The numpy kinds of ENVI data type codes.
+ENVI_KINDS = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 6: "c8", 9: "c16", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
+
+
+def envi_fields(text: str) -> dict[str, str]:
+    """`key = value` lines of an ENVI header, keys in lower case."""
+    return {k.strip().lower(): v.strip() for line in text.splitlines() if "=" in line for k, v in [line.split("=", 1)]}
+
+
+def read_band(spark: SparkSession, path: str, band: int = 1, header_path: str | None = None, missing: float | None = None, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """One band (from 1) of a raster with an ENVI header beside it (`path`.hdr): bsq, bil or bip, any real type, either byte order.
+
+    Cells equal to `missing`, by default the header's data ignore value, are
+    null, as is NaN; window is (line begin, line end, col begin, col end), the
+    ends not included, and the cells keep the places they have in the raster.
+    """
+    h = envi_fields(read_text(spark, header_path or path + ".hdr"))
+    lines, cols, bands = int(h["lines"]), int(h["samples"]), int(h["bands"])
+    if int(h.get("header offset", 0)):
+        raise ValueError("a raster with a header inside its file")
+    kind = (">" if h.get("byte order", "0") == "1" else "<") + ENVI_KINDS[int(h["data type"])]
+    if not 1 <= band <= bands:
+        raise ValueError(f"band {band} of {bands}")
+    absent = missing if missing is not None else float(h["data ignore value"]) if "data ignore value" in h else None
+    interleave, width = h["interleave"].lower(), np.dtype(kind).itemsize
+    if interleave == "bsq":  # records of a line of one band, band after band
+        records = _records(spark, path, width * cols).where((F.col("line") >= lines * (band - 1)) & (F.col("line") < lines * band))
+        cells = _decode(records.withColumn("line", F.col("line") - lines * (band - 1)), kind, {"value": (0, 1)})
+    elif interleave == "bil":
+        cells = _decode(_records(spark, path, width * cols * bands), kind, {"value": (cols * (band - 1), 1)}, parts=bands)
+    else:
+        cells = _decode(_records(spark, path, width * cols * bands), kind, {"value": (band - 1, bands)})
+    if absent is not None:
+        cells = cells.withColumn("value", F.when(F.col("value") != F.lit(float(absent)), F.col("value")))
+    if window:
+        cells = cells.where((F.col("line") >= window[0]) & (F.col("line") < window[1]) & (F.col("col") >= window[2]) & (F.col("col") < window[3]))
+    return cells
+
+
+def read_marked(spark: SparkSession, path: str, text_path: str, lines_mark: str = "Y.*dim", cols_mark: str = "X.*dim") -> DataFrame:
+    """Headerless little-endian float32 grid, its shape from the marked lines of a text."""
+    return read_r4(spark, path, shape_from_marks(read_text(spark, text_path), lines_mark, cols_mark)[1])
+
+
 def read_window(raster: DataFrame, first_line: int, lines: int) -> DataFrame:
     """A block of lines of a stored table; a filter that parquet's statistics and partitions take up."""
     return raster.where((F.col("line") >= first_line) & (F.col("line") < first_line + lines))

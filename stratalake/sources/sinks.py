@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The data type codes of ENVI headers.
@@ -42,15 +45,71 @@ def binary_lines(df: DataFrame, cols: int, values: tuple[str, ...] = ("value",),
 
 
 def write_r4(df: DataFrame, path: str, cols: int, values: tuple[str, ...] = ("value",), missing: float = float("nan"), kind: str = "<f4") -> None:
-    """One headerless local file, line after line, from an iterator over the sorted lines: for export from the driver's machine."""
-    with open(path, "wb") as out:
+    """One headerless file on any file system that Spark writes, line after line.
+
+    The format is one file, so the sorted lines pass through the driver, a
+    partition at a time; `write_cells` is the sink that all tasks write.
+    """
+    with _created(df.sparkSession, path) as out:
         for row in binary_lines(df, cols, values, missing, kind).orderBy("line").toLocalIterator():
-            out.write(row["content"])
+            out.write(bytearray(row["content"]))
+
+
+@contextlib.contextmanager
+def _created(spark: SparkSession, path: str):
+    """A new file's stream, by Hadoop's file system of the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        yield out
+    finally:
+        out.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file: headers and shapes beside a raster."""
+    with _created(spark, path) as out:
+        out.write(bytearray(text.encode()))
+
+
+def write_raster(df: DataFrame, path: str, name: str, georeference: tuple[float, float, float, float], epsg: int = 4326, block_lines: int = 100) -> None:
+    """Cells by blocks of lines and, beside them, the georeference that they carry over from their source."""
+    write_cells(df, f"{path}/cells", block_lines)
+    metadata(df.sparkSession, name, georeference, epsg).coalesce(1).write.mode("overwrite").json(f"{path}/georeference")
+
+
+def read_raster(spark: SparkSession, path: str) -> DataFrame:
+    """What write_raster wrote: the cells with their centres' coordinates x and y."""
+    known = spark.read.schema("raster string, x0 double, dx double, y0 double, dy double, epsg int").json(f"{path}/georeference").first()
+    cells = spark.read.parquet(f"{path}/cells").drop("line_block")
+    return cells.withColumns({"x": F.lit(known["x0"]) + F.lit(known["dx"]) * (F.col("col") + 0.5), "y": F.lit(known["y0"]) + F.lit(known["dy"]) * (F.col("line") + 0.5)})
+
+
+def write_displacement(pair: DataFrame, path: str, wavelength: float, block_lines: int = 100) -> None:
+    """The phase band of a two-band raster as metres along the line of sight: phase times wavelength / (4 pi)."""
+    metres = pair.select("line", "col", (F.col("phase") * F.lit(wavelength / (4 * math.pi))).alias("value"))
+    write_cells(metres, path, block_lines)
+
+
+def write_cube(cube: DataFrame, path: str, block_lines: int = 100, block_cols: int = 100) -> None:
+    """A long cube by chunks of lines and columns, all dates of a chunk together, so that a solver's block is a few files."""
+    chunked = cube.withColumns({"line_block": F.floor(F.col("line") / block_lines), "col_block": F.floor(F.col("col") / block_cols)})
+    chunked.repartition("line_block", "col_block").write.mode("overwrite").partitionBy("line_block", "col_block").parquet(path)
+
+
+def read_chunk(spark: SparkSession, path: str, line_block: int | None = None, col_block: int | None = None) -> DataFrame:
+    """A cube's chunks, all or those of a block of lines or columns; only their files are opened."""
+    cube = spark.read.parquet(path)
+    for name, block in (("line_block", line_block), ("col_block", col_block)):
+        cube = cube if block is None else cube.where(F.col(name) == block)
+    return cube.drop("line_block", "col_block")
 
 
-def envi_header(lines: int, cols: int, bands: int, dtype: str, interleave: str = "bip", georeference: tuple[float, float, float, float] | None = None) -> str:
+def envi_header(lines: int, cols: int, bands: int, dtype: str, interleave: str = "bip", georeference: tuple[float, float, float, float] | None = None, missing: float | None = None) -> str:
     """Text of an ENVI header."""
     out = ["ENVI", f"samples = {cols}", f"lines = {lines}", f"bands = {bands}", "header offset = 0", "file type = ENVI Standard", f"data type = {ENVI_CODES[dtype]}", f"interleave = {interleave}", "byte order = 0"]
+    if missing is not None:
+        out.append(f"data ignore value = {missing}")
     if georeference:
         x0, dx, y0, dy = georeference
         out.append(f"map info = {{Geographic Lat/Lon, 1, 1, {x0}, {y0}, {abs(dx)}, {abs(dy)}, WGS-84}}")

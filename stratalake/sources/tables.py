@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +86,30 @@ class Processing:
         convert = (lambda v: v.lower() in ("yes", "true", "1")) if kind is bool else kind
         found = [convert(v) for v in self.values[key]]
         return found[0] if len(found) == 1 else found
+
+
+@dataclass(frozen=True)
+class TieSettings:
+    """What a tie of a map to stations is told: a plain record, where scripts of the field run their input file as code.
+
+    `bounds` are (west, east, south, north); `components` names what the stations give.
+    """
+
+    stations: str
+    maps: tuple[str, ...]
+    bounds: tuple[float, float, float, float] | None = None
+    components: tuple[str, ...] = ("east", "north", "up")
+    quadratic: bool = False
+
+    @classmethod
+    def read(cls, values: dict[str, object]) -> TieSettings:
+        """From a dict, such as parsed JSON; a name that is no setting is an error, a value may be a list or one item."""
+        known = {f.name for f in fields(cls)}
+        if wrong := sorted(set(values) - known):
+            raise ValueError(f"no such settings: {', '.join(wrong)}")
+        listed = lambda v: tuple(v) if isinstance(v, (list, tuple)) else (v,)
+        found = {k: listed(v) if k in ("maps", "bounds", "components") and v is not None else v for k, v in values.items()}
+        settings = cls(**found)
+        if settings.bounds is not None and len(settings.bounds) != 4:
+            raise ValueError("bounds are west, east, south, north")
+        return settings
