@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phase as P
 from ..functions import ramps
+from .masks import quantiles
 
 CELL = ["line", "col"]
 
@@ -73,7 +74,7 @@ def prepare_slc(pixels: DataFrame, mask_above: float, crop: Column, log: bool =
 
 def correlation_to_displacement(offsets: DataFrame, first: str, value: str, resolution: float) -> DataFrame:
     """Offsets less the median of the first image's, times the resolution."""
-    median = offsets.agg(F.percentile(F.col(first), 0.5)).first()[0]
+    (median,) = quantiles(offsets, first, (0.5,))
     return offsets.withColumn("displacement", (F.col(value) - F.lit(median)) * resolution)
 
 

@@ -6,31 +6,48 @@ dates by dates, are the driver's only work.  Maps are projections of the rows.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
 
+def _complete(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows of an array column have all values, these as a matrix); the longest rows set the width."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    size = int(lengths.max(initial=0))
+    whole = np.flatnonzero((lengths == size) & (size > 0))
+    flat = column.take(pa.array(whole)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    x = flat.reshape(len(whole), size)
+    finite = np.isfinite(x).all(axis=1)
+    return whole[finite], x[finite]
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The sum of a column of arrays, entry by entry; as many numbers as an array has come to the driver."""
+    rows = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    return np.array([r["v"] for r in rows])
+
+
 def moments(wide: DataFrame, value: str = "disp") -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, covariance and number of the complete rows of an array column."""
 
     def run(batches):
         total = None
         for batch in batches:
-            rows = [r for r in batch.column(0).to_pylist() if r is not None and all(v is not None and v == v for v in r)]
-            if rows:
-                x = np.array(rows, float)
+            _, x = _complete(batch.column(0))
+            if len(x):
                 part = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
 
-    parts = wide.select(F.col(value)).mapInArrow(run, "sums array<double>")
-    rows = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    flat = np.array([r["v"] for r in rows])
+    flat = _summed(wide.select(F.col(value)).mapInArrow(run, "sums array<double>"))
     if not len(flat):
         return np.zeros(0), np.zeros((0, 0)), 0
     n, size = int(flat[0]), int(round((-1 + np.sqrt(1 + 4 * (len(flat) - 1))) / 2))
@@ -53,10 +70,9 @@ def project(wide: DataFrame, mean: np.ndarray, vectors: np.ndarray, key: str = "
 
     def run(batches):
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            whole = [i for i, r in enumerate(rows) if r is not None and all(v is not None and v == v for v in r)]
-            if whole:
-                scores = (np.array([rows[i] for i in whole], float) - mean) @ vectors.T
+            whole, x = _complete(batch.column(1))
+            if len(whole):
+                scores = (x - mean) @ vectors.T
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(np.repeat(whole, size))), pa.array(np.tile(np.arange(size, dtype=np.int32), len(whole))), pa.array(scores.ravel())],
                     names=[key, "component", "value"],
@@ -82,7 +98,8 @@ def fast_ica(white: DataFrame, size: int, iterations: int = 200, tolerance: floa
     """Symmetric FastICA with the log-cosh contrast -> the unmixing rotation.
 
     white: rows array<double> of `size` whitened values.  Each iteration is one
-    job whose tasks send sums of size by size numbers.
+    job that sums size by size numbers.  Warns where the last iteration still
+    moved more than the tolerance.
     """
     w = _decorrelated(np.random.default_rng(seed).normal(size=(size, size)))
     for _ in range(iterations):
@@ -95,13 +112,15 @@ def fast_ica(white: DataFrame, size: int, iterations: int = 200, tolerance: floa
                 total += np.concatenate([(g.T @ x).ravel(), (1 - g**2).sum(axis=0), [len(x)]])
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
 
-        total = sum(np.array(r["sums"]) for r in white.mapInArrow(sums, "sums array<double>").collect())
+        total = _summed(white.mapInArrow(sums, "sums array<double>"))
         n = max(total[-1], 1.0)
         new = _decorrelated(total[: size * size].reshape(size, size) / n - (total[size * size : -1] / n)[:, None] * w)
         moved = np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1).max()
         w = new
         if moved < tolerance:
             break
+    else:
+        warnings.warn(f"independent components still moved by {moved:.2g} after {iterations} iterations", stacklevel=2)
     return w
 
 
@@ -117,8 +136,7 @@ def ica(wide: DataFrame, count: int, key: str = "pixel", value: str = "disp", se
 
     def whitened(batches):
         for batch in batches:
-            rows = [r for r in batch.column(0).to_pylist() if r is not None and all(v is not None and v == v for v in r)]
-            x = (np.array(rows, float).reshape(-1, len(mean)) - mean) @ whiten.T
+            x = (_complete(batch.column(0))[1].reshape(-1, len(mean)) - mean) @ whiten.T
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], names=["x"])
 
     white = checkpoint(wide.select(value).mapInArrow(whitened, "x array<double>"))

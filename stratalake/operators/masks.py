@@ -1,11 +1,13 @@
 """Masks, crops, referencing and cleaning.
 
-Percentile bounds are one aggregation over the map (or one for each group) and
-come back as a table of one row a group, which joins by broadcast.
+Percentile bounds of groups are one aggregation and come back as a table of one
+row a group; those of a whole map are found by histograms (`quantiles`), so that
+no task holds the map's values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def valid(column: str | Column) -> Column:
     """Null instead of NaN."""
     return F.nanvl(F.col(column) if isinstance(column, str) else column, F.lit(None).cast("double"))
@@ -55,17 +56,58 @@ def estimation_rows(
     return grid.where(test)
 
 
+#: Values that one task may sort for a percentile; more are narrowed down by histograms first.
+SORTED_VALUES = 1_000_000
+HISTOGRAM_BINS = 4096
+
+
+def _order_statistics(rows: DataFrame, ranks: list[int], low: float, high: float, before: int, held: int) -> dict[int, float]:
+    """Values at `ranks` (from 0) of the column v, which lies between low and high with `held` values, `before` of them all lower ones."""
+    if low == high:
+        return dict.fromkeys(ranks, low)
+    if held <= SORTED_VALUES:
+        shares = [(r - before) / max(held - 1, 1) for r in ranks]
+        found = rows.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).first()[0]
+        return dict(zip(ranks, found, strict=True))
+    width = (high - low) / HISTOGRAM_BINS
+    cell = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(HISTOGRAM_BINS - 1)) if width > 0 else F.when(F.col("v") > low, 1).otherwise(0)
+    out: dict[int, float] = {}
+    for r in rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("cell").collect():
+        if inside := [k for k in ranks if before <= k < before + r["n"]]:
+            own = rows.where((F.col("v") >= F.lit(r["low"])) & (F.col("v") <= F.lit(r["high"])))
+            out |= _order_statistics(own, inside, r["low"], r["high"], before, r["n"])
+        before += r["n"]
+    return out
+
+
+def quantiles(df: DataFrame, value: str | Column, shares: Sequence[float]) -> list[float | None]:
+    """Percentiles of all valid values, interpolated linearly; None for each where there are none.
+
+    Histograms narrow the values down to those around each percentile, by equal
+    bins between the least and greatest value of what is left.
+    """
+    rows = df.select(valid(value).cast("double").alias("v")).where("v is not null")
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    at = [s * (n - 1) for s in shares]
+    ranks = sorted({int(k) for a in at for k in (math.floor(a), math.ceil(a))})
+    found = _order_statistics(rows, ranks, low, high, 0, n)
+    return [found[math.floor(a)] + (found[math.ceil(a)] - found[math.floor(a)]) * (a - math.floor(a)) for a in at]
+
+
 def percentile_bounds(df: DataFrame, value: str, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
     """lo and hi of the valid values, interpolated linearly, per group or over all."""
+    if not by:
+        return df.sparkSession.createDataFrame([tuple(quantiles(df, value, (low / 100, high / 100)))], "lo double, hi double")
     at = F.percentile(valid(value), F.array(F.lit(low / 100), F.lit(high / 100)))
     return df.groupBy(*by).agg(at.alias("b")).select(*by, F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
 
 
 def with_bounds(df: DataFrame, value: str, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
-    bounds = percentile_bounds(df, value, low, high, by)
     if by:
-        return df.join(bounds, list(by))
-    lo, hi = bounds.first() or (None, None)  # one row over the whole map
+        return df.join(percentile_bounds(df, value, low, high, by), list(by))
+    lo, hi = quantiles(df, value, (low / 100, high / 100))
     return df.withColumn("lo", F.lit(lo).cast("double")).withColumn("hi", F.lit(hi).cast("double"))
 
 
@@ -208,8 +250,7 @@ def clean_seasonal(coefs: DataFrame, *, max_sigma_percent: float, min_elev: floa
 
 def component_quality(cells_: DataFrame) -> DataFrame:
     """Components with a sigma above its 98th percentile, more than 3 times the value, or a value outside the 0.2 to 99.8 percentiles become null."""
-    s98 = cells_.agg(F.percentile(valid("sigma"), 0.98)).first()[0]
-    lo, hi = percentile_bounds(cells_, "value", 0.2, 99.8).first()
+    (s98,), (lo, hi) = quantiles(cells_, "sigma", (0.98,)), quantiles(cells_, "value", (0.002, 0.998))
     s, d = F.col("sigma"), F.col("value")
     bad = (s > F.lit(s98)) | F.coalesce(F.try_divide(s, F.abs(d)) > 3, s > 0) | (d < F.lit(lo)) | (d > F.lit(hi))
     return cells_.withColumn("value", F.when(~F.coalesce(bad, F.lit(False)), d))

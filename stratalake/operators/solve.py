@@ -93,6 +93,31 @@ def fit(df: DataFrame, y: Column, terms: Sequence[Term], by: Sequence[str], sigm
     return sums.mapInArrow(run, f"{keys + ', ' if by else ''}n long, {doubles}, rss double")
 
 
+def fit_truncated(df: DataFrame, y: Column, terms: Sequence[Term], by: Sequence[str], cond: float, sigma: Column | None = None) -> DataFrame:
+    """Per group: n and m_<term>, the least-squares solution without the singular values of the design that are below `cond`, an absolute limit.
+
+    Singular values come as roots of the normal matrix' eigenvalues, so a limit
+    below 1e-7 of the largest one can't be told from rounding.
+    """
+    m, names = len(terms), [t.name for t in terms]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {name: i for i, name in enumerate(batch.schema.names)}
+            if not batch.num_rows:
+                continue
+            w = _square(_list(batch.column(at["weighted"]), (m + 1) * (m + 2) // 2), m + 1)
+            values, vectors = np.linalg.eigh(w[:, :m, :m])
+            keep = (values >= cond**2) & (values > 1e-14 * values[:, -1:])
+            inverted = np.where(keep, 1 / np.where(keep, values, 1), 0)
+            x = np.einsum("gik,gk,gjk,gj->gi", vectors, inverted, vectors, w[:, :m, m])
+            yield pa.RecordBatch.from_arrays([batch.column(at[k]) for k in by] + [batch.column(at["n"])] + [pa.array(x[:, i].copy()) for i in range(m)], names=[*by, "n", *[f"m_{k}" for k in names]])
+
+    sums = gram(df, y, terms, by, sigma)
+    keys = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in by)
+    return sums.mapInArrow(run, f"{keys + ', ' if by else ''}n long, " + ", ".join(f"`m_{k}` double" for k in names))
+
+
 def evaluate(terms: Sequence[Term], prefix: str = "m_") -> Column:
     """The fitted model at a row that has the coefficients beside it."""
     total = F.lit(0.0)
@@ -110,10 +135,3 @@ def fit_all(df: DataFrame, y: Column, terms: Sequence[Term], sigma: Column | Non
     """One fit over all rows, as a dict of a row: a few numbers for the driver."""
     row = fit(df, y, terms, [], sigma, cond).first()
     return row.asDict() if row else {"n": 0} | {f"m_{t.name}": None for t in terms}
-
-
-def truncated_solve(a: np.ndarray, b: np.ndarray, cond: float) -> np.ndarray:
-    """Least squares with the singular values below an absolute limit cut off."""
-    u, s, v = np.linalg.svd(a, full_matrices=False)
-    keep = s >= cond
-    return v[keep].T @ ((u[:, keep].T @ b) / s[keep])

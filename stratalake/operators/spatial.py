@@ -5,12 +5,14 @@ Range conditions become equality on integer cells, so a lookup is a hash join.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .masks import valid
 
 
@@ -24,24 +26,40 @@ def window_lookup(points: DataFrame, grid: DataFrame, half: int, *, key: str = "
     return found.groupBy(key).agg(F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("n"))
 
 
+#: Windows are tried in steps in which the widest grows by this factor.
+GROWTH = 4
+
+
 def growing_lookup(points: DataFrame, grid: DataFrame, sizes: Sequence[int], *, key: str = "station", value: str = "value") -> DataFrame:
     """The mean in the smallest of the square windows that holds a valid cell.
 
-    Each cell is met once, at its distance from the point; a window is all
-    distances up to its size, so growing is a running sum over sizes.
+    Points meet the cells of the few tiles around them, and only points whose
+    windows were empty so far look further, over larger tiles; a window is all
+    distances up to its size.
     """
-    most = max(sizes)
-    near = F.sequence(F.lit(-most), F.lit(most))
-    reach = points.select(key, F.col("line").alias("l0"), F.col("col").alias("c0"), F.explode(F.transform(near, lambda d: F.col("line") + d)).alias("line"), "col")
-    reach = reach.select(key, "l0", "c0", "line", F.explode(F.transform(near, lambda d: F.col("col") + d)).alias("col"))
-    found = reach.join(grid.where(valid(value).isNotNull()).select("line", "col", value), ["line", "col"])
-    distance = F.greatest(F.abs(F.col("line") - F.col("l0")), F.abs(F.col("col") - F.col("c0")))
-    size = F.lit(None).cast("int")
-    for s in sorted(sizes, reverse=True):
-        size = F.when(distance <= s, s).otherwise(size)
-    sums = found.groupBy(key, size.alias("size")).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
-    first = F.min(F.struct("size", (F.col("total") / F.col("n")).alias("mean"), "n"))
-    return sums.groupBy(key).agg(first.alias("f")).select(key, "f.size", "f.mean", "f.n")
+    sizes, cells = sorted(sizes), grid.where(valid(value).isNotNull()).select("line", "col", value)
+    pending, found, tried = points.select(key, F.col("line").alias("l0"), F.col("col").alias("c0")), None, 0
+    while tried < len(sizes):
+        upto = max(tried + 1, bisect.bisect_right(sizes, GROWTH * sizes[tried]))
+        step, tried = sizes[tried:upto], upto
+        tile = lambda c, w=step[-1] + 1: F.floor(F.col(c) / w)
+        near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
+        reach = pending.select(key, "l0", "c0", near).select(key, "l0", "c0", (tile("l0") + F.col("d.i")).alias("tl"), (tile("c0") + F.col("d.j")).alias("tc"))
+        met = reach.join(cells.withColumns({"tl": tile("line"), "tc": tile("col")}), ["tl", "tc"])
+        distance = F.greatest(F.abs(F.col("line") - F.col("l0")), F.abs(F.col("col") - F.col("c0")))
+        size = F.lit(None).cast("int")
+        for w in reversed(step):
+            size = F.when(distance <= w, w).otherwise(size)
+        sums = met.withColumn("size", size).where("size is not null").groupBy(key, "size").agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+        # The smallest window that holds a cell; an earlier step found none, so what is inside it is all it has.
+        first = F.min(F.struct("size", (F.col("total") / F.col("n")).alias("mean"), "n"))
+        done = checkpoint(sums.groupBy(key).agg(first.alias("f")).select(key, "f.size", "f.mean", "f.n"))
+        found = done if found is None else found.unionByName(done)
+        if tried < len(sizes):
+            pending = checkpoint(pending.join(done.select(key), key, "left_anti"))
+            if not pending.limit(1).count():
+                break
+    return found
 
 
 def geo_to_cell(points: DataFrame, lookup: DataFrame, epsilon: float, steps: int = 10, key: str = "station") -> DataFrame:
@@ -122,12 +140,29 @@ def window_median_difference(cube: DataFrame, points: DataFrame, half: int, refe
 
 
 def interpolate_onto(axis: DataFrame, samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Linear interpolation of samples (t, value) at the times of `axis` (t): the neighbours on both sides by one sorted window; held constant beyond the ends."""
+    """Linear interpolation of samples (t, value) at the times of `axis` (t): the neighbours on both sides by a sorted window; held constant beyond the ends.
+
+    Without keys the times are sorted in ranges, each in a task of its own; what
+    lies beside a range comes from a table of one row a range.
+    """
     both = samples.select(*by, "t", F.col("value").alias("v"), F.lit(0).alias("wanted")).unionByName(axis.select(*by, "t", F.lit(None).cast("double").alias("v"), F.lit(1).alias("wanted")))
+    keys = list(by)
+    if not by:
+        both = checkpoint(both.repartitionByRange("t").withColumn("range", F.spark_partition_id()))
+        known = F.when(F.col("wanted") == 0, F.struct("t", "v"))
+        ends = both.groupBy("range").agg(F.min(known).alias("least"), F.max(known).alias("most"))
+        order = Window.orderBy("range")  # a row a range
+        before = F.last("most", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.first("least", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+        both = both.join(F.broadcast(ends.select("range", before.alias("before"), after.alias("after"))), "range")
+        keys = ["range"]
     known = F.when(F.col("wanted") == 0, F.struct("t", "v"))
-    back = Window.partitionBy(*by).orderBy("t", "wanted").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*by).orderBy("t", F.desc("wanted")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    held = both.withColumn("a", F.last(known, True).over(back)).withColumn("b", F.first(known, True).over(ahead)).where("wanted = 1")
+    back = Window.partitionBy(*keys).orderBy("t", "wanted").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(*keys).orderBy("t", F.desc("wanted")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    a, b = F.last(known, True).over(back), F.first(known, True).over(ahead)
+    if not by:
+        a, b = F.coalesce(a, F.col("before")), F.coalesce(b, F.col("after"))
+    held = both.withColumn("a", a).withColumn("b", b).where("wanted = 1")
     a, b = F.col("a"), F.col("b")
     value = F.when(a.isNull(), b["v"]).when(b.isNull() | (b["t"] == a["t"]), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("t") - a["t"]) / (b["t"] - a["t"]))
     return held.select(*by, "t", value.alias("value"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import phase as P
 from ..functions.basis import Term
 from . import solve
-from .masks import valid, with_bounds
+from .masks import quantiles, valid, with_bounds
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -26,8 +26,9 @@ def describe(grid: DataFrame, value: str = "value", zoom: Column | None = None)
     v = valid(value)
 
     def of(df: DataFrame, name: str) -> DataFrame:
+        median = F.lit(quantiles(df, value, (0.5,))[0]).cast("double")
         return df.agg(
-            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"), F.percentile(v, 0.5).alias("median"),
+            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"), median.alias("median"),
             F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"), (100.0 * F.count(v) / F.count("*")).alias("valid_percent"),
         ).select(F.lit(name).alias("part"), "*")
 

@@ -80,14 +80,13 @@ def _(t):
     return rounded(found.select("pixel", "m_linear", "s_linear", "s_reference"), digits=5)
 
 
-@register("v06_truncated_svd")
+@register("v06_truncated_svd", "cube", "SELECT pixel, count(*) AS n, round(regr_intercept(disp, dec-1995e0), 4) AS m_cst, round(regr_slope(disp, dec)/5, 4) AS m_x, round(2*regr_slope(disp, dec)/5, 4) AS m_x2 FROM cube GROUP BY pixel HAVING count(*) > 14")
 def _(t):
-    import numpy as np
-
-    rows = t.nodes.orderBy("date").select("dec", "bperp").collect()  # one row a date
-    a = np.array([[1.0, r["dec"] - T0, (r["dec"] - T0) * 2] for r in rows])
-    x = solve.truncated_solve(a, np.array([r["bperp"] for r in rows]), 1e-8)
-    return t.spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(x)], "i int, m double")
+    # The third term doubles the second: the cut leaves the shortest of the solutions, in which they share the slope by 1 to 2.
+    x = F.col("dec") - F.lit(T0)
+    terms = [Term("cst", F.lit(1.0)), Term("x", x), Term("x2", 2 * x)]
+    found = solve.fit_truncated(t.cube, F.col("disp"), terms, ["pixel"], 1e-4)
+    return rounded(found.where("n > 14").select("pixel", "n", "m_cst", "m_x", "m_x2"), digits=4)
 
 
 # Powers of coordinates are scaled in the SQL, whose elimination doesn't pivot; that changes no ramp.
@@ -139,7 +138,7 @@ for _flat in R.PAIR_ORDERS:
 @register("v08_network_closure")
 def _(t):
     weighted = t.pairs.withColumn("bt", (F.col("date2") - F.col("date1")) / 100)
-    p80 = t.pairs.agg(F.percentile("rms", 0.8)).first()[0]
+    (p80,) = M.quantiles(t.pairs, "rms", (0.8,))
     sigma = network.pair_weights(bt_years=F.col("bt"), length=F.col("n").cast("double"), lines=10, rms=F.col("rms"), rms_p80=p80)
     return rounded(network.invert(weighted, "phase", sigma), digits=5)
 
@@ -276,7 +275,7 @@ def _(t):
 
 @register("v25_ica")
 def _(t):
-    maps, _ = factor.ica(t.vectors, 4, iterations=40)
+    maps, _ = factor.ica(t.vectors, 4)
     return rounded(maps, digits=3)
 
 
@@ -292,6 +291,13 @@ def _(t):
     return rounded(done.weights, digits=5)
 
 
+@register("v27b_alternating_series")
+def _(t):
+    done = iterate.alternate(t.cube.select("pixel", "line", "col", "date", "dec", "disp"), _terms(), DATES, 2, 3)
+    cells = done.cells.groupBy("pixel").agg(F.avg("flat").alias("flat"), F.avg("model").alias("model"), F.count("*").alias("n_cells"))
+    return rounded(done.coefficients.select("pixel", "n", "m_reference", "m_linear", "s_linear").join(cells, "pixel"), digits=4)
+
+
 @register("v28_group_residual", "cube", f"WITH {gram_sql('cube', ['pixel'], 'disp', LINEAR)} SELECT date, round(sqrt(avg(power(disp-(m_reference+m_linear*(dec-1995e0)), 2))), 5) AS rms FROM cube JOIN fitted USING (pixel) WHERE n > {DATES}/6e0 GROUP BY date")
 def _(t):
     terms = _terms()

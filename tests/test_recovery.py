@@ -99,6 +99,71 @@ def test_network_gives_dates_back(spark):
     assert {d: p for d, (_, p) in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
 
 
+@pytest.mark.parametrize(("sign", "pin", "non_negative"), [((-1, 1), True, False), ((-1, 1), False, False), ((1, 1), False, True)])
+def test_large_networks_are_solved_where_their_entries_are(spark, monkeypatch, sign, pin, non_negative):
+    """The same network by the driver's matrix and by iterations, with two parts, repeated pairs and weights."""
+    rng = np.random.default_rng(11)
+    edges = [(int(a), int(b)) for a in range(40) for b in rng.choice(40, 4) if a < b] + [(100, 101), (101, 102), (100, 101)]
+    df = spark.createDataFrame([(a, b, float(rng.normal()), float(rng.uniform(0.5, 2))) for a, b in edges], "date1 int, date2 int, v double, s double")
+    solved = []
+    for limit in (1500, 0):
+        monkeypatch.setattr(network, "DENSE_DATES", limit)
+        solved.append({r["date"]: (r["value"], r["part"]) for r in network.invert(df, "v", F.col("s"), sign, pin, non_negative).collect()})
+    assert {d: p for d, (_, p) in solved[0].items()} == {d: p for d, (_, p) in solved[1].items()}
+    assert max(abs(solved[0][d][0] - solved[1][d][0]) for d in solved[0]) < 1e-6
+    empty = network.invert(spark.createDataFrame([], "date1 int, date2 int, v double"), "v")
+    assert empty.columns == ["date", "value", "part"] and empty.count() == 0
+
+
+@pytest.mark.parametrize("values", [list(range(1000)), [5.0] * 50, [0.0] * 30 + [1e9], [None, float("nan"), 3.0], []])
+def test_quantiles_of_a_whole_map(spark, monkeypatch, values):
+    monkeypatch.setattr(masks, "SORTED_VALUES", 3)
+    monkeypatch.setattr(masks, "HISTOGRAM_BINS", 8)
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "value double").repartition(3)
+    good = [float(v) for v in values if v is not None and v == v]
+    for shares in ((0.02, 0.5, 0.98), (0.0, 1.0), (0.333,)):
+        got = masks.quantiles(df, "value", shares)
+        assert got == (pytest.approx([float(np.quantile(good, s)) for s in shares], rel=1e-12) if good else [None] * len(shares))
+
+
+def test_growing_windows_look_further_only_where_they_must(spark):
+    rng = np.random.default_rng(4)
+    cells = [(int(i), int(j), float(rng.normal()), ) for i, j in {tuple(x) for x in rng.integers(0, 400, (60, 2)).tolist()}] + [(5, 5, None)]
+    points = [(k, int(i), int(j)) for k, (i, j) in enumerate(rng.integers(-20, 420, (40, 2)).tolist())] + [(99, 5000, 5000)]
+    sizes = [2, 4, 6, 8, 20, 50, 100, 198]
+    got = {r["station"]: (r["size"], r["mean"], r["n"]) for r in spatial.growing_lookup(spark.createDataFrame(points, "station int, line int, col int"), spark.createDataFrame(cells, "line int, col int, value double"), sizes).collect()}
+    want = {}
+    for k, i, j in points:
+        held = [(max(abs(a - i), abs(b - j)), v) for a, b, v in cells if v is not None]
+        for s in sizes:
+            if inside := [v for d, v in held if d <= s]:
+                want[k] = (s, pytest.approx(sum(inside) / len(inside)), len(inside))
+                break
+    assert got == want and {s for s, _, _ in got.values()} > {20, 50} and 99 not in got
+
+
+def test_interpolation_over_ranges(spark):
+    rng = np.random.default_rng(6)
+    t, v = np.sort(rng.uniform(0, 100, 300)), rng.normal(size=300)
+    axis = np.concatenate([rng.uniform(-20, 120, 500), t[:40]])
+    got = spatial.interpolate_onto(spark.createDataFrame([(float(x),) for x in axis], "t double").repartition(5), spark.createDataFrame(list(zip(t.tolist(), v.tolist(), strict=True)), "t double, value double").repartition(3))
+    rows = sorted((r["t"], r["value"]) for r in got.collect())
+    assert [x for x, _ in rows] == sorted(axis.tolist()) and [y for _, y in rows] == pytest.approx(np.interp(np.sort(axis), t, v).tolist(), abs=1e-9)
+
+
+def test_truncated_solution_is_that_of_the_singular_values(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 3)) @ np.diag([5.0, 1.0, 0.01])
+    y = rng.normal(size=30)
+    df = spark.createDataFrame([(1, *map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "k int, a double, b double, c double, y double")
+    terms = [Term(n, F.col(n)) for n in "abc"]
+    for cond in (1e-6, 0.5, 10.0, 1e3):
+        row = solve.fit_truncated(df, F.col("y"), terms, ["k"], cond).first()
+        u, s, v = np.linalg.svd(x, full_matrices=False)
+        keep = s >= cond
+        assert [row[f"m_{n}"] for n in "abc"] == pytest.approx((v[keep].T @ ((u[:, keep].T @ y) / s[keep])).tolist(), abs=1e-8)
+
+
 def test_variance_split_is_not_negative(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(i, j, float(rng.normal())) for i in range(6) for j in range(i + 1, 6)], "date1 int, date2 int, v double")
