@@ -2,7 +2,12 @@
 
 STAGES lists the stages in order; each takes (spark, docs, sf_dir) and returns
 the rows for the next one, with the columns of documents, but for the last,
-which returns token ids.
+which returns token ids.  Defined results are those of the operators: a null or
+empty text is rejected by the first stage and passes the others as the empty
+text; rows without an id are never merged or cut as copies of each other; of
+ties the smallest id counts; repeated rows are kept or go together, but for the
+join, of which one row an id stays as often as it is there; empty tables stay
+empty; extra columns stay as they are.
 """
 
 from __future__ import annotations

@@ -7,9 +7,12 @@ the lattice of pieces, where single bytes stand in for whatever no piece covers.
 A text is its words, each begun by the word mark, and one end.  Training
 documents give the counts of the base score.
 
-Words travel once per slice of the corpus: a slice sends its distinct words to
-the tasks that own them, which count and score each word of the corpus once and
-send counts and scores back to the slice's documents.
+A task's documents are read as a unit: its distinct words, numbered, with their
+counts, and the documents as lists of these numbers.  The words of all units
+meet sorted by fingerprint, so each is counted and scored once a corpus, and
+counts and scores go back to the units that have it: a row a word and unit, both
+ways, whatever the number of tasks.  No task holds more than a unit or, sorted, a
+word at a time.
 
 Defined results: a null or empty text is its end alone; a null id is held out
 (its text form is empty); repeated rows are scored, and learned from, each on
@@ -35,8 +38,12 @@ from . import textkit as T
 from .cluster import arrow, checkpoint, partitions, pick
 
 SLICE_BYTES = 4 << 20
-ROW = "target int, kind int, slice long, packed binary"
-DOCS, WORDS, TRAINED, VOCABULARY, SCORED = range(5)
+SPREAD = "unit long, kind int, print long, word binary, id int, n long, packed binary"
+ANSWER = "unit long, kind int, id int, n long, score double"
+#: In a unit, words come before documents.
+WORDS, SCORED, DOCS, TRAINED, DISTINCT = range(5)
+#: Distinct words after which a task begins another unit, and rows that are scored or sent at a time.
+UNIT_WORDS, SCORE_ROWS = 1 << 20, 1 << 17
 WORD_MARK = "▁"
 #: Words of more bytes are scored one by one.
 LONG_WORD = 128
@@ -198,11 +205,6 @@ def held_out_ids(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids], bool)
 
 
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["target", "kind", "slice", "packed"])
-
-
 def _packed_ids(ids: list) -> list[np.ndarray]:
     """Which ids are missing, the lengths of the others' text forms, and these in one buffer."""
     texts = [b"" if i is None else str(i).encode() for i in ids]
@@ -214,11 +216,61 @@ def _unpacked_ids(missing: np.ndarray, lengths: np.ndarray, raw: np.ndarray) ->
     return [None if gone else text[b - n : b].decode() for gone, n, b in zip(missing, lengths, ends, strict=True)]
 
 
-def _spread(count: int, held_out: Callable[[list], np.ndarray]):
-    """Each slice's documents as indices into its distinct words, and these words to their owners."""
+class _Unit:
+    """The distinct words of a task's documents, numbered in the order in which they come."""
+
+    def __init__(self):
+        self.prints, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # in order of the fingerprints
+        self.counts = np.zeros(0, np.int64)
+        self.words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, prints: np.ndarray, counts: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers of words with these distinct fingerprints in order, counts added."""
+        at = np.minimum(np.searchsorted(self.prints, prints), max(len(self.prints) - 1, 0))
+        known = self.prints[at] == prints if len(self.prints) else np.zeros(len(prints), bool)
+        ids = np.empty(len(prints), np.int32)
+        ids[known] = self.ids[at[known]]
+        new = np.flatnonzero(~known)
+        ids[new] = np.arange(len(self.counts), len(self.counts) + len(new))
+        text = data[_ranges(starts[new], sizes[new])]
+        self.words.append((prints[new], sizes[new], text))
+        self.prints, self.ids = np.concatenate([self.prints, prints[new]]), np.concatenate([self.ids, ids[new]])
+        order = np.argsort(self.prints, kind="stable")
+        self.prints, self.ids = self.prints[order], self.ids[order]
+        self.counts = np.concatenate([self.counts, np.zeros(len(new), np.int64)])
+        self.counts[ids] += counts
+        return ids
+
+    def rows(self, unit: int):
+        first = 0
+        for prints, sizes, text in self.words:
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for a in range(0, len(prints), SCORE_ROWS):
+                b = min(len(prints), a + SCORE_ROWS)
+                words = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends[a : b + 1] - ends[a]).astype(np.int32).tobytes()), pa.py_buffer(text[ends[a] : ends[b]].tobytes())])
+                ids = np.arange(first + a, first + b, dtype=np.int32)
+                yield _batch(SPREAD, b - a, unit=np.full(b - a, unit), kind=np.full(b - a, WORDS, np.int32), print=prints[a:b].view(np.int64), word=words, id=ids, n=self.counts[ids])
+            first += len(prints)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All of starts[i], starts[i]+1, ... (sizes[i] of them), one after the other."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    return np.arange(total[-1]) + np.repeat(starts - total[:-1], sizes)
+
+
+def _batch(schema: str, rows: int, **columns) -> pa.RecordBatch:
+    """Columns in the schema's order, null where none is given."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[k]) if n in columns else pa.nulls(rows, kinds[k]) for n, k in fields], names=[n for n, _ in fields])
+
+
+def _spread(held_out: Callable[[list], np.ndarray]):
+    """Documents as numbers of their unit's words, and these words."""
 
     def run(batches):
-        part, step = TaskContext.get().partitionId(), 0
+        part, number, unit = TaskContext.get().partitionId(), 0, _Unit()
         for batch, data, offsets in T.slices(batches, "text", SLICE_BYTES):
             ids = batch.column(0).to_pylist()
             out = held_out(ids)
@@ -227,84 +279,58 @@ def _spread(count: int, held_out: Callable[[list], np.ndarray]):
             bounds = T.row_bounds(starts, offsets)
             prints, first, inverse = np.unique(T.word_fingerprints(data, starts, ends), return_index=True, return_inverse=True)
             trained = np.bincount(inverse, weights=np.repeat(~out, np.diff(bounds)), minlength=len(prints)).astype(np.int64)
-            owner = (prints % T.U64(count)).astype(np.int64)
-            order = np.argsort(owner, kind="stable")
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order))
-            edges = np.searchsorted(owner[order], np.arange(count + 1))
-            home = (5 * part + step) % count  # a few slices a task: evenly dealt
-            piece = part << 32 | step
-            label = np.array([piece, home], np.int64)
-            rows = [(home, DOCS, K.pack(*_packed_ids(ids), out, np.diff(bounds), place[inverse], edges))]
-            rows.append((int((~out).sum()), TRAINED, b""))
-            begin, size = starts[first][order], (ends - starts)[first][order]
-            for k in np.flatnonzero(np.diff(edges)):
-                a, b = edges[k], edges[k + 1]
-                text = data[np.repeat(begin[a:b] - np.concatenate([[0], np.cumsum(size[a : b - 1])]), size[a:b]) + np.arange(size[a:b].sum())]
-                rows.append((int(k), WORDS, K.pack(label, np.array([k]), size[a:b].astype(np.int32), trained[order][a:b].astype(np.int32), text)))
-            yield _rows([(target, kind, piece, packed) for target, kind, packed in rows])
-            step += 1
+            numbers = unit.add(prints, trained, data, starts[first], (ends - starts)[first])
+            name = part << 24 | number
+            yield _batch(SPREAD, 2, unit=[name, name], kind=[DOCS, TRAINED], n=[None, int((~out).sum())], packed=[K.pack(*_packed_ids(ids), out, np.diff(bounds), numbers[inverse]), None])
+            if len(unit.counts) > UNIT_WORDS:
+                yield from unit.rows(name)
+                number, unit = number + 1, _Unit()
+        yield from unit.rows(part << 24 | number)
 
     return run
 
 
-def _own(batches):
-    """All of a task's words: each once, with its count, and who asked for which."""
-    labels, sizes, counts, texts = [], [], [], []
-    for (packed,) in K.rows_of(batches, "packed"):
-        label, owner, size, count, text = K.unpack(packed)
-        labels.append(np.concatenate([label, owner, [len(size)]]))
-        sizes.append(size)
-        counts.append(count)
-        texts.append(text)
-    if not sizes:
-        return
-    size, count, data = np.concatenate(sizes).astype(np.int64), np.concatenate(counts), np.concatenate(texts)
-    ends = np.cumsum(size)
-    starts = ends - size
-    prints, first, inverse = np.unique(T.word_fingerprints(data, starts, ends), return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=count, minlength=len(prints)).astype(np.int64)
-    own_size = size[first]
-    text = data[np.repeat(starts[first] - np.concatenate([[0], np.cumsum(own_size[:-1])]), own_size) + np.arange(own_size.sum())]
-    yield _rows([(0, VOCABULARY, 0, K.pack(np.concatenate(labels), inverse.astype(np.int32), own_size.astype(np.int32), total, text))])
-
-
-def _count_tokens(batches) -> np.ndarray:
-    """Training tokens and distinct ones among the owners' words."""
-    total = np.zeros(2, np.int64)
-    for (packed,) in K.rows_of(batches, "packed"):
-        counted = K.unpack(packed)[3]
-        total += counted.sum(), (counted > 0).sum()
-    return total
-
-
-def _answer(lattice_of: Callable[[], Lattice], count: int):
-    """Counts and scores of an owner's words, to each slice that asked."""
+def _score(lattice_of: Callable[[], Lattice]):
+    """Rows of words (print, word, unit, id, n) in order of their fingerprints: each word's count and score, to every unit that has it; at last the number of distinct training words."""
 
     def run(batches):
-        lattice = None
-        for (packed,) in K.rows_of(batches, "packed"):
-            lattice = lattice or lattice_of()
-            labels, inverse, size, counted, text = K.unpack(packed)
-            size = size.astype(np.int64)
-            scores = np.empty(len(size))
-            ends = np.cumsum(size)
-            first = 0
-            while first < len(size):
-                base = ends[first] - size[first]
-                last = max(first + 1, int(np.searchsorted(ends, base + T.SLICE_BYTES // 2, "right")))
-                scores[first:last] = lattice.many(text[base : ends[last - 1]], ends[first:last] - size[first:last] - base, size[first:last])
-                first = last
-            at, out = 0, []
-            for piece, home, owner, n in labels.reshape(-1, 4):
-                own = inverse[at : at + n]
-                at += n
-                out.append((int(home), SCORED, int(piece), K.pack(np.array([owner]), counted[own], scores[own])))
-                if len(out) >= 256:
-                    yield _rows(out)
-                    out = []
-            if out:
-                yield _rows(out)
+        lattice, distinct, held, rows = lattice_of(), 0, [], 0
+
+        def told(table: pa.Table, last: bool):
+            """Batches for all whole words, and the rows of the last one, of which more may come."""
+            nonlocal distinct
+            table = table.combine_chunks()
+            prints = table["print"].to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+            end = len(prints) if last else int(begins[-1])
+            begins = begins[begins < end]
+            if not len(begins):
+                return [], table
+            counts = table["n"].to_numpy()[:end]
+            total = np.add.reduceat(counts, begins)
+            distinct += int((total > 0).sum())
+            words = table["word"].chunk(0).take(pa.array(begins))
+            data, offsets = T.column(pa.RecordBatch.from_arrays([words], names=["word"]), "word")
+            scores, first = np.empty(len(begins)), 0
+            while first < len(begins):
+                behind = max(first + 1, int(np.searchsorted(offsets, offsets[first] + T.SLICE_BYTES // 2, "right")) - 1)
+                behind = min(behind, len(begins))
+                scores[first:behind] = lattice.many(data[offsets[first] : offsets[behind]], offsets[first:behind] - offsets[first], np.diff(offsets[first : behind + 1]))
+                first = behind
+            repeats = np.diff(np.append(begins, end))
+            return [_batch(ANSWER, end, unit=table["unit"].to_numpy()[:end], kind=np.full(end, SCORED, np.int32), id=table["id"].to_numpy()[:end], n=np.repeat(total, repeats), score=np.repeat(scores, repeats))], table.slice(end)
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= SCORE_ROWS:
+                out, rest = told(pa.Table.from_batches(held), False)
+                yield from out
+                held, rows = rest.to_batches(), 0
+        if held and sum(b.num_rows for b in held):
+            out, _ = told(pa.Table.from_batches(held), True)
+            yield from out
+        yield _batch(ANSWER, 1, kind=[DISTINCT], n=[distinct])
 
     return run
 
@@ -313,22 +339,33 @@ OUT = "doc_id string, held_out boolean, n_tokens long, n_known long, train_token
 
 
 def _finish(tokens: int, distinct: int, ends: int, end_log: float):
-    """Documents and answers meet; rows come in order of (slice, kind), so that one slice is held at a time."""
+    """Documents and answers meet; rows come in order of (unit, kind), so that one unit's words are held at a time."""
     names = [x.split()[0] for x in OUT.split(", ")]
     floor = tokens + 0.1 * (distinct + 1)
 
+    def slices(batches):
+        """(which words are known, base scores, scores, packed) of each slice of documents."""
+        unit, answers, values = None, [], None
+        for batch in batches:
+            units, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            edges = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]]))
+            for a, b in zip(edges, [*edges[1:], len(units)], strict=True):
+                if units[a] != unit:
+                    unit, answers, values = units[a], [], None
+                behind = a + int(np.searchsorted(kinds[a:b], DOCS))
+                if behind > a:
+                    answers.append([np.asarray(batch.column(c).slice(a, behind - a)) for c in (2, 3, 4)])
+                for row in range(behind, b):
+                    if values is None:
+                        ids, counted, scores = (np.concatenate(y) for y in zip(*answers, strict=True)) if answers else (np.zeros(0, np.int64),) * 3
+                        order = np.argsort(ids)
+                        values, answers = ((counted > 0).astype(float)[order], np.log10((counted + 0.1) / floor)[order], scores[order]), []
+                    yield *values, batch.column(5)[row].as_py()
+
     def run(batches):
-        for _, held in K.grouped(batches, ["slice"], ["kind", "packed"]):
-            docs = [packed for kind, packed in held if kind == DOCS]
-            missing, lengths, raw, out, sizes, places, edges = K.unpack(docs[0])
+        for known, base, scores, packed in slices(batches):
+            missing, lengths, raw, out, sizes, places = K.unpack(packed)
             ids = _unpacked_ids(missing, lengths, raw)
-            n = int(edges[-1])
-            counted, scores = np.zeros(n, np.int64), np.zeros(n)
-            for kind, packed in held:
-                if kind == SCORED:
-                    (owner,), c, s = K.unpack(packed)
-                    counted[edges[owner] : edges[owner + 1]], scores[edges[owner] : edges[owner + 1]] = c, s
-            base = np.log10((counted + 0.1) / floor)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             full = sizes > 0
 
@@ -338,10 +375,9 @@ def _finish(tokens: int, distinct: int, ends: int, end_log: float):
                     sums[full] = np.add.reduceat(values[places], bounds[:-1][full])
                 return sums
 
-            known = total((counted > 0).astype(float)).astype(np.int64) + (ends > 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.string()), pa.array(out), pa.array(sizes + 1), pa.array(known), pa.array(np.full(len(ids), tokens)),
+                    pa.array(ids, pa.string()), pa.array(out), pa.array(sizes + 1), pa.array(total(known).astype(np.int64) + (ends > 0)), pa.array(np.full(len(ids), tokens)),
                     pa.array(total(base) + np.log10((ends + 0.1) / floor)), pa.array((total(scores) + end_log) / np.log(10)),
                 ],
                 names=names,
@@ -354,12 +390,16 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     """One row a document: OUT, with the id's own type. score is the log10 probability of the text, base_score that under smoothed word counts, which learn from the documents not held out."""
     docs = pick(docs, doc_id=id_col, text=text_col)
     count, pieces = partitions(docs.sparkSession), Pieces.read(vocabulary_path)
-    spread = checkpoint(docs.transform(arrow, _spread(count, held_out), ROW))
-    ends = spread.where(f"kind = {TRAINED}").agg(F.coalesce(F.sum("target"), F.lit(0))).first()[0]
-    owned = checkpoint(K.deal(spread.where(f"kind = {WORDS}"), count=count).select("packed").transform(arrow, _own, ROW))
-    totals = K.sum_counters(owned.select("packed"), _count_tokens, 2, 1)
-    tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
-    answers = owned.select("packed").transform(arrow, _answer(lambda: Lattice(pieces), count), ROW)
-    met = K.deal(answers.union(spread.where(f"kind = {DOCS}")), count=count).sortWithinPartitions("slice", "kind")
-    scored = met.transform(arrow, _finish(tokens, distinct, ends, float(pieces.log_p[pieces.end])), OUT)
+    spread = checkpoint(docs.transform(arrow, _spread(held_out), SPREAD))
+    words = spread.where(f"kind = {WORDS}").select("print", "word", "unit", "id", "n")
+    ends, tokens = spread.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in (TRAINED, WORDS)]).first()
+    sorted_words = words.repartition(count, "print").sortWithinPartitions("print")
+    answers = checkpoint(sorted_words.transform(arrow, _score(lambda: Lattice(pieces)), ANSWER))
+    distinct = answers.where(f"kind = {DISTINCT}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + (ends > 0)
+    told = answers.where(f"kind = {SCORED}").withColumn("packed", F.lit(None).cast("binary"))
+    held = spread.where(f"kind = {DOCS}").select("unit", "kind", *[F.lit(None).cast(k).alias(n) for n, k in (("id", "int"), ("n", "long"), ("score", "double"))], "packed")
+    # Units by the number of their task, so that they are dealt evenly.
+    target = F.pmod(F.shiftright("unit", 24) + F.col("unit").bitwiseAND((1 << 24) - 1), F.lit(count)).cast("int")
+    met = K.deal(told.unionByName(held).withColumn("target", target), count=count).drop("target").sortWithinPartitions("unit", "kind")
+    scored = met.transform(arrow, _finish(tokens + ends, distinct, ends, float(pieces.log_p[pieces.end])), OUT)
     return scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

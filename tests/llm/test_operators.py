@@ -305,6 +305,44 @@ def test_lattice_scores_of_whole_documents(spark, sf_dir):
         assert r["score"] == pytest.approx(want, rel=1e-9), r["doc_id"]
 
 
+def test_words_of_units_meet_in_any_batches(monkeypatch):
+    """Words of several units, sent and scored a few rows at a time, one of them in every unit."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lattice, "SCORE_ROWS", 7)
+    gen, rows, want = random.Random(2), [], collections.Counter()
+    held = {}
+    for unit in range(5):
+        table = lattice._Unit()
+        for _ in range(3):
+            words = sorted({"the", *(f"w{gen.randrange(30)}" for _ in range(12))})
+            raw = "".join(words).encode()
+            sizes = np.array([len(w) for w in words])
+            starts = np.cumsum(sizes) - sizes
+            data = np.frombuffer(raw, np.uint8)
+            prints = lattice.T.word_fingerprints(data, starts, starts + sizes)
+            order = np.argsort(prints)
+            counts = np.array([gen.randrange(3) for _ in words])
+            ids = table.add(prints[order], counts[order], data, starts[order], sizes[order])
+            for k, i in zip(order, ids, strict=True):
+                want[words[k]] += int(counts[k])
+                assert held.setdefault((unit, int(i)), words[k]) == words[k]
+        for batch in table.rows(unit):
+            assert batch.num_rows <= 7
+            rows += [r for r in batch.to_pylist() if r["kind"] == lattice.WORDS]
+    rows.sort(key=lambda r: r["print"])
+    columns = {c: [r[c] for r in rows] for c in ("print", "word", "unit", "id", "n")}
+    whole = pa.RecordBatch.from_pydict(columns, pa.schema([("print", pa.int64()), ("word", pa.binary()), ("unit", pa.int64()), ("id", pa.int32()), ("n", pa.int64())]))
+    model = lattice.Lattice(lattice.Pieces.read(PIECES))
+    out = [r for b in lattice._score(lambda: model)(whole.slice(a, 3) for a in range(0, len(rows), 3)) for r in b.to_pylist()]
+    scored = [r for r in out if r["kind"] == lattice.SCORED]
+    assert {(r["unit"], r["id"]) for r in scored} == set(held) and len(scored) == len(rows)
+    for r in scored:
+        word = held[r["unit"], r["id"]]
+        assert r["n"] == want[word] and r["score"] == pytest.approx(model.one(word.encode()), rel=1e-12)
+    assert [r["n"] for r in out if r["kind"] == lattice.DISTINCT] == [sum(n > 0 for n in want.values())]
+
+
 def test_scores_of_a_unigram_vocabulary_are_logarithms():
     scores, none = np.array([-1.5, -2.25, -np.inf, -3.0]), np.zeros(4, bool)
     out = lattice.weigh(scores, none)
@@ -604,6 +642,45 @@ def test_ranks_of_strings(spark):
     assert {r["value"]: r["rank"] for r in got} == {v: k for k, v in enumerate(sorted(values, key=str.encode))} and len(got) == len(values)
 
 
+@pytest.mark.parametrize(("shards", "ties"), [(8, False), (5, False), (8, True), (3, True)])
+def test_cuts_are_the_weighted_medians_of_the_widest_axis(spark, shards, ties):
+    """Every group's shard against a plain recursion over sorted codes."""
+    gen = random.Random(shards + ties)
+    rows = [(bytes([k // 256, k % 256]), gen.randint(1, 2000), gen.randrange(1 << 20), float(gen.choice([1, 2, 3]) if ties else gen.random() * 100), gen.gauss(0, 1) if not ties else 7.0) for k in range(700)]
+    rows += [(b"heavy", 150_000, 5, 2.0, 0.0)]
+    names = ["x", "y"]
+    spans = [max(r[3 + i] for r in rows) - min(r[3 + i] for r in rows) for i in range(2)]
+    want = {}
+
+    def split(held, node, leaves):
+        if leaves == 1 or not held:
+            want.update({r[0]: node for r in held})
+            return
+        low, high = ([f(r[3 + i] for r in held) for i in range(2)] for f in (min, max))
+        widths = [(high[i] - low[i]) / spans[i] if spans[i] else 0.0 for i in range(2)]
+        axis = widths.index(max(widths))
+        top = (1 << 20) - 1
+        code = lambda r: ((math.floor((r[3 + axis] - low[axis]) / (high[axis] - low[axis]) * top) if high[axis] > low[axis] else 0) << 20) + r[2]
+        left = leaves // 2
+        share = sum(r[1] for r in held) * left / leaves
+        by_code = collections.Counter()
+        for r in held:
+            by_code[code(r)] += r[1]
+        upto = 0
+        for c in sorted(by_code):
+            upto += by_code[c]
+            if upto >= share:
+                last = c if upto - share <= share - (upto - by_code[c]) else c - 1
+                break
+        split([r for r in held if code(r) <= last], node, left)
+        split([r for r in held if code(r) > last], node + left, leaves - left)
+
+    split(rows, 0, shards)
+    groups = spark.createDataFrame(rows, "key binary, weight long, tie long, x double, y double").repartition(3)
+    got = {bytes(r["key"]): r["shard"] for r in sharding.place_groups(groups, names, shards).collect()}
+    assert got == want and set(want.values()) == set(range(shards))
+
+
 def test_one_group_with_most_bytes_stays_whole(spark):
     rows = [(i, "same text " * 50, None, None, None) for i in range(200)] + [(1000 + i, prose(20), None, None, None) for i in range(100)]
     got = sharding.shard_documents(frame(spark, rows), shards=8).collect()
