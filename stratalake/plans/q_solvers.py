@@ -12,6 +12,7 @@ from ..operators import constrained, correction, factor, iterate, network, solve
 from ..operators import masks as M
 from ..operators import stats as A
 from ..sources import raster, sinks
+from .q_stats import binned_sql
 from .registry import gram_sql, register, rounded
 from .tables import Tables
 
@@ -135,7 +136,22 @@ for _flat in R.PAIR_ORDERS:
     )
 
 
-@register("v08_network_closure")
+def _network_sql(weight: str, value: str, sign: int, rounds: int, result: str) -> str:
+    """A network's dates by damped rounds of one equation a date, from 0: sign -1 for differences, 1 for sums without negative values."""
+    step = f"x + ({{b}} - ({{d}}*x {'+' if sign > 0 else '-'} {{o}}))/(2*{{d}})"
+    step = step.format(b="b", d="d", o="o")
+    return f"""WITH RECURSIVE p AS (SELECT date1, date2, {weight} AS w, {value} AS v FROM pairs), e AS MATERIALIZED (SELECT date1 AS i, date2 AS j, w, {sign}*w*v AS wv FROM p UNION ALL SELECT date2, date1, w, w*v FROM p),
+    g AS MATERIALIZED (SELECT i, sum(w) AS d, sum(wv) AS b FROM e GROUP BY i),
+    it AS (SELECT 0 AS k, i, 0e0 AS x FROM g UNION ALL SELECT k, i, {'greatest(0, ' + step + ')' if sign > 0 else step} FROM (
+        SELECT it.k+1 AS k, g.i, any_value(g.b) AS b, any_value(g.d) AS d, sum(e.w*it.x) AS o, max(CASE WHEN it.i=g.i THEN it.x END) AS x FROM it JOIN (SELECT * FROM e UNION ALL SELECT i, i, 0e0, 0e0 FROM g) e ON e.j=it.i JOIN g ON g.i=e.i WHERE it.k < {rounds} GROUP BY it.k, g.i)),
+    z AS (SELECT i AS date, x FROM it WHERE k={rounds}) {result}"""
+
+
+_PINNED = "SELECT date, round(x-(SELECT arg_min(x, date) FROM z), 5) AS value, (SELECT min(date) FROM z) AS part FROM z"
+_SIGMA = "1/exp(-((date2-date1)/1e2)/2)"
+
+
+@register("v08_network_closure", "pairs", _network_sql(f"1/power({_SIGMA}+1/(n/1e1)+1/(exp(-rms/(SELECT quantile_cont(rms, 8e-1) FROM pairs))+1e-2), 2)", "phase", -1, 400, _PINNED))
 def _(t):
     weighted = t.pairs.withColumn("bt", (F.col("date2") - F.col("date1")) / 100)
     (p80,) = M.quantiles(t.pairs, "rms", (0.8,))
@@ -155,12 +171,12 @@ def _(t):
     return rounded(last.select("date", (F.col("value") - F.lit(first)).alias("value")), digits=4)
 
 
-@register("v10_variance_split")
+@register("v10_variance_split", "pairs", _network_sql("1e0", "rms*rms", 1, 400, "SELECT date, round(x, 6) AS value, (SELECT min(date) FROM z) AS part FROM z"))
 def _(t):
     return rounded(network.invert(t.pairs.withColumn("v", F.col("rms") * F.col("rms")), "v", sign=(1, 1), pin=False, non_negative=True), digits=6)
 
 
-@register("v11_component_network")
+@register("v11_component_network", "pairs", _network_sql(f"1/power({_SIGMA}, 2)", "phase", -1, 400, _PINNED))
 def _(t):
     sigma = network.pair_weights(bt_years=(F.col("date2") - F.col("date1")) / 100)
     return rounded(network.invert(t.pairs, "phase", sigma), digits=5)
@@ -210,10 +226,12 @@ for _mode, _names in _MODEL_FORMS.items():
     )
 
 
-@register("v16b_binned_model_fit")
+@register("v16b_binned_model_fit", "dates_px", f"""WITH {binned_sql('1e-1', '9e-1', 31, 5, 'SELECT model AS x, value AS y FROM dates_px')}, s AS (SELECT x, median, greatest(std, 1e-6) AS std FROM binned),
+    {gram_sql('s', [], 'median', {'slope': 'x', 'offset': '1e0'}, '1/(std*std)')}, o AS (SELECT sum(power(median-(m_slope*x+m_offset), 2)) AS rss, sum(x) AS sx, sum(x*x) AS sxx, count(*) AS k FROM s, fitted)
+    SELECT n, round(m_slope, 4) AS m_slope, round(m_offset, 4) AS m_offset, round(sqrt(rss/(k-2)*k/(k*sxx-sx*sx)), 4) AS s_slope, round(sqrt(rss/(k-2)*sxx/(k*sxx-sx*sx)), 4) AS s_offset FROM fitted, o""")
 def _(t):
     rows = t.dates_px.select(F.col("value").alias("phase"), "model")
-    return rounded(correction.fit_binned_model(rows, "phase", "model", 30, 5).drop("rss"), digits=4)
+    return rounded(correction.fit_binned_model(rows, "phase", "model", 31, 5).drop("rss"), digits=4)
 
 
 @register("v17_weighted_model_ramp", "px", f"WITH {gram_sql('px', ['date1'], '(phase-model)', {'r': 'col::DOUBLE', 'a': 'line::DOUBLE', 'cst': '1e0'}, '1/(coh*coh)')} SELECT {_enough(['date1'], ['r', 'a', 'cst'], 10)} FROM fitted")
@@ -273,6 +291,23 @@ def _(t):
     return rounded(maps.join(shares, "component"), digits=4)
 
 
+# With as many components as dates a series is its mean and the sum of all its components, and the squares agree.
+@register("v24b_all_components", "vectors", """WITH l AS (SELECT pixel, unnest(disp)::DOUBLE AS v, unnest(range(len(disp))) AS i FROM vectors), m AS (SELECT i, avg(v) AS m FROM l GROUP BY i)
+    SELECT pixel, round(sum((v-m)*(v-m)), 4) AS square, count(*) AS n FROM l JOIN m USING (i) GROUP BY pixel""")
+def _(t):
+    size = len(t.vectors.select("disp").first()[0])
+    maps, _ = factor.pca(t.vectors, size)
+    return rounded(maps.groupBy("pixel").agg(F.sum(F.col("value") ** 2).alias("square"), F.count("*").alias("n")), digits=4)
+
+
+@register("v26b_full_reconstruction", "vectors", """WITH l AS (SELECT pixel, unnest(disp)::DOUBLE AS v, unnest(range(len(disp)))::INT AS idx FROM vectors), m AS (SELECT idx, avg(v) AS m FROM l GROUP BY idx)
+    SELECT pixel, idx, round(v-m, 4) AS model FROM l JOIN m USING (idx)""")
+def _(t):
+    size = len(t.vectors.select("disp").first()[0])
+    maps, vectors = factor.pca(t.vectors, size)
+    return rounded(factor.reconstruct(maps, vectors.drop("explained"), list(range(size))), digits=4)
+
+
 @register("v25_ica")
 def _(t):
     maps, _ = factor.ica(t.vectors, 4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def _(t):
     return rounded(rounded(found, "var", digits=4), digits=5)
 
 
-def _binned(low: str, high: str, bins: int, n: int, source: str, by: str = "", more: str = "") -> str:
+def binned_sql(low: str, high: str, bins: int, n: int, source: str, by: str = "", more: str = "") -> str:
     """Common table expressions of the medians in bins of x, from `source` with x, y and the group columns: p, q and binned."""
     keys = f"{by}, " if by else ""
     joined = f"JOIN e USING ({by})" if by else ", e"
@@ -44,19 +46,19 @@ def _binned(low: str, high: str, bins: int, n: int, source: str, by: str = "", m
 _CUBE_DEM = "SELECT elev AS x, disp AS y, line, col, pixel, date, sigma FROM cube JOIN dem USING (pixel)"
 
 
-@register("a03_binned_median", "cube dem", "WITH " + _binned("5e-2", "95e-2", 50, 20, _CUBE_DEM, more=", median(line) AS median_line, median(col) AS median_col") +
+@register("a03_binned_median", "cube dem", "WITH " + binned_sql("5e-2", "95e-2", 50, 20, _CUBE_DEM, more=", median(line) AS median_line, median(col) AS median_col") +
           " SELECT bin, round(x, 5) AS x, round(median, 5) AS median, round(std, 5) AS std, kept, round(median_line, 5) AS median_line, round(median_col, 5) AS median_col FROM binned")
 def _(t):
     return rounded(A.binned_trimmed(t.cube.join(t.dem, "pixel"), "elev", "disp", 50, 20, medians=("line", "col")), digits=5)
 
 
-@register("a03b_cleaned_rows", "cube dem", "WITH " + _binned("5e-2", "95e-2", 50, 20, _CUBE_DEM) + " SELECT pixel, date, bin, round(y, 5) AS disp, round(sigma*std, 5) AS sigma FROM kept JOIN binned USING (bin)")
+@register("a03b_cleaned_rows", "cube dem", "WITH " + binned_sql("5e-2", "95e-2", 50, 20, _CUBE_DEM) + " SELECT pixel, date, bin, round(y, 5) AS disp, round(sigma*std, 5) AS sigma FROM kept JOIN binned USING (bin)")
 def _(t):
     rows = A.binned_trimmed(t.cube.join(t.dem, "pixel"), "elev", "disp", 50, 20, clean=True, sigma="sigma")
     return rounded(rows.select("pixel", "date", "bin", "disp", "sigma"), digits=5)
 
 
-@register("a04_sliding_median", "cube dem", "WITH " + _binned("1e-1", "9e-1", 20, 50, _CUBE_DEM) + " SELECT bin, round(x, 5) AS x, round(median, 5) AS median, round(std, 5) AS std, kept FROM binned")
+@register("a04_sliding_median", "cube dem", "WITH " + binned_sql("1e-1", "9e-1", 20, 50, _CUBE_DEM) + " SELECT bin, round(x, 5) AS x, round(median, 5) AS median, round(std, 5) AS std, kept FROM binned")
 def _(t):
     return rounded(A.sliding_median(t.cube.join(t.dem, "pixel"), "elev", "disp", 20, 50), digits=5)
 
@@ -88,7 +90,7 @@ _TRIMMED = """SELECT d.date, d.value AS x, d.model AS y FROM dates_px d JOIN (SE
 
 
 def _gradient_of_medians(bins: int, n: int) -> str:
-    return f"""WITH {_binned('1e-1', '9e-1', bins, n, _TRIMMED, 'date')},
+    return f"""WITH {binned_sql('1e-1', '9e-1', bins, n, _TRIMMED, 'date')},
     s AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY bin) AS i FROM binned), {gram_sql('s', ['date'], 'median', {'slope': 'x', 'offset': '1e0'}, '1/(std*std)', 'WHERE i > 1')},
     k AS (SELECT date, regr_slope(y, x) AS slope, regr_intercept(y, x) AS off, corr(y, x) AS corr, stddev_pop(x) AS std, stddev_pop(x-y) AS rest FROM r GROUP BY date)
     SELECT k.date, fitted.n IS NOT NULL AND fitted.n > 1 AS by_medians, round(CASE WHEN fitted.n > 1 THEN m_slope ELSE slope END, 5) AS gradient, round(CASE WHEN fitted.n > 1 THEN m_offset ELSE off END, 4) AS "offset",
@@ -168,7 +170,16 @@ def _(t):
     return rounded(rounded(A.variogram(t.grid, "value", 7.0, 10), "gamma", digits=4), digits=5)
 
 
-@register("a20b_spherical_model")
+# For each of 200 ranges the two-parameter fit and the one without a nugget, of those without negative parts the nearest.
+@register("a20b_spherical_model", "grid", """WITH p AS (SELECT line::DOUBLE AS x, col::DOUBLE AS y, value AS v FROM grid),
+    d AS (SELECT sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS h, (a.v-b.v)*(a.v-b.v)/2 AS g FROM p a JOIN p b ON b.x BETWEEN a.x-7 AND a.x+7 AND b.y BETWEEN a.y-7 AND a.y+7 AND (a.x < b.x OR (a.x = b.x AND a.y < b.y))),
+    l AS (SELECT avg(h) AS h, avg(g) AS g, count(*)::DOUBLE AS w FROM d WHERE h < 7 GROUP BY CAST(floor(h/7e-1) AS INT)), e AS (SELECT min(h) AS lo, 15e-1*max(h) AS hi FROM l),
+    r AS (SELECT lo+(hi-lo)*range/199e0 AS reach FROM e, range(200)),
+    s AS (SELECT reach, g, w, 15e-1*least(h/reach, 1)-5e-1*power(least(h/reach, 1), 3) AS s FROM l, r),
+    n AS (SELECT reach, sum(w) AS w, sum(w*s) AS ws, sum(w*s*s) AS wss, sum(w*g) AS wg, sum(w*s*g) AS wsg, sum(w*g*g) AS wgg FROM s GROUP BY reach),
+    f AS (SELECT reach, (wss*wg-ws*wsg)/(w*wss-ws*ws) AS a, (w*wsg-ws*wg)/(w*wss-ws*ws) AS b, w, ws, wss, wg, wsg, wgg FROM n UNION ALL SELECT reach, 0, wsg/wss, w, ws, wss, wg, wsg, wgg FROM n),
+    c AS (SELECT reach, a, b, wgg-2*a*wg-2*b*wsg+a*a*w+2*a*b*ws+b*b*wss AS cost FROM f WHERE a >= 0 AND b >= 0)
+    SELECT round(arg_min(a, cost), 4) AS nugget, round(arg_min(b, cost), 4) AS sill, round(arg_min(reach, cost), 4) AS "range" FROM c""")
 def _(t):
     nugget, sill, reach = A.fit_spherical(A.variogram(t.grid, "value", 7.0, 10))
     return t.spark.createDataFrame([(round(nugget, 4), round(sill, 4), round(reach, 4))], "nugget double, sill double, range double")
@@ -350,7 +361,21 @@ def _(t):
     return rounded(found.select("block_line", "block_col", F.size("cells").cast("long").alias("n"), F.col("cells")[0].alias("first")))
 
 
-@register("g20_utm")
+def _utm_sql(zone: int, lon: str, lat: str) -> str:
+    n = G.WGS84_F / (2 - G.WGS84_F)
+    radius = G.WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    a = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    scale = f"{G.UTM_SCALE * radius!r}::DOUBLE"
+    east = "+".join(f"{x!r}::DOUBLE*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, x in enumerate(a, 1))
+    north = "+".join(f"{x!r}::DOUBLE*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, x in enumerate(a, 1))
+    return f"""WITH p AS (SELECT point, radians({lat}) AS phi, radians({lon}-{6 * zone - 183}) AS lam FROM points),
+    t AS (SELECT *, sinh(atanh(sin(phi))-{e!r}::DOUBLE*atanh({e!r}::DOUBLE*sin(phi))) AS t FROM p),
+    x AS (SELECT point, atan2(t, cos(lam)) AS xi, asinh(sin(lam)/sqrt(t*t+cos(lam)*cos(lam))) AS eta FROM t)
+    SELECT point, round({G.UTM_EAST}+{scale}*(eta+{east}), 3) AS east, round({scale}*(xi+{north}), 3) AS north FROM x"""
+
+
+@register("g20_utm", "points", _utm_sql(46, "(lon+87)", "(lat+27)"))
 def _(t):
     east, north = G.utm(F.col("lon") + 87, F.col("lat") + 27, 46)
     return rounded(t.points.select("point", east.alias("east"), north.alias("north")), digits=3)

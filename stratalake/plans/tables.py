@@ -76,4 +76,6 @@ def oracle(views: tuple[str, ...], sql: str) -> str:
     named = {b: b for b in BASE}
     sql = re.sub(r"(?<=[\s,(])round\(", "0e0+round(", sql)  # no negative zeros
     parts = [f"{v} AS ({VIEWS[v].format(**named)})" for v in views]
+    if sql.lstrip().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join([*parts, sql.lstrip()[15:]])}"
     return (f"WITH {', '.join(parts)} {sql}" if not sql.lstrip().upper().startswith("WITH ") else f"WITH {', '.join(parts)}, {sql.lstrip()[5:]}") if parts else sql
