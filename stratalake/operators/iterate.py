@@ -27,7 +27,8 @@ def alternate(cube: DataFrame, terms: list[Term], dates: int, rounds: int, flat:
     Every round: the ramp of each date's residual to the last model goes, each
     pixel is fitted with the dates' weights, and a date's weight becomes the
     root mean square of its residuals (the true mean over all pixels).  `save`
-    cuts the plan between rounds, by default with a checkpoint.
+    cuts the plan, by default with a checkpoint: of the cells once a round, and
+    of the tables of a row a date or pixel.
     """
     save = save or checkpoint
     cells = cube.withColumn("model", F.lit(0.0)).withColumn("flat", F.col("disp"))
@@ -36,9 +37,9 @@ def alternate(cube: DataFrame, terms: list[Term], dates: int, rounds: int, flat:
     for _ in range(rounds):
         residual = cells.withColumn("value", F.col("disp") - F.coalesce("model", F.lit(0.0)))
         test = F.col("value").isNotNull() & (estimation if estimation is not None else F.lit(True))
-        ramp = correction.fit_ramps(residual.where(test), ["date"], flat)
+        ramp = save(correction.fit_ramps(residual.where(test), ["date"], flat))
         flattened = correction.remove_ramps(residual, ramp, ["date"]).withColumn("flat", F.col("disp") - F.col("ramp")).drop("ramp", "value", "model")
-        weighted = save(flattened.drop("sigma").join(weights, "date"))
+        weighted = flattened.drop("sigma").join(weights, "date")  # one row a date on the right of each join: cheaper made twice than written
         coefficients = save(solve.fit_pixels(weighted, F.col("flat"), terms, dates, sigma=F.col("sigma")))
         model = weighted.join(coefficients.drop("n", "rss"), "pixel").withColumn("model", solve.evaluate(terms))
         cells = save(model.drop(*[c for t in terms for c in (f"m_{t.name}", f"s_{t.name}")], "sigma"))
