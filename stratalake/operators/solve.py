@@ -50,7 +50,11 @@ def solve_batch(weighted: np.ndarray, plain: np.ndarray, n: np.ndarray, m: int,
         return np.einsum("gik,gk,gjk->gij", vectors, inverted, vectors) / scale[:, :, None] / scale[:, None, :]
 
     w, p = _square(weighted, m + 1), _square(plain, m + 1)
-    x = np.einsum("gij,gj->gi", inverse(w[:, :m, :m]), w[:, :m, m])
+    normal, right = w[:, :m, :m], w[:, :m, m]
+    inverted = inverse(normal)
+    x = np.einsum("gij,gj->gi", inverted, right)
+    for _ in range(2):  # refined: what is left of the equations is solved again
+        x = x + np.einsum("gij,gj->gi", inverted, right - np.einsum("gij,gj->gi", normal, x))
     a, b, yy = p[:, :m, :m], p[:, :m, m], p[:, m, m]
     rss = np.maximum(yy - 2 * np.einsum("gi,gi->g", x, b) + np.einsum("gi,gij,gj->g", x, a, x), 0)
     spare = n - m

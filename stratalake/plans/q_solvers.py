@@ -91,7 +91,9 @@ def _(t):
 
 
 # Powers of coordinates are scaled in the SQL, whose elimination doesn't pivot; that changes no ramp.
-_PLACES = {"cst": "1e0", "r": "(col/5e1)", "r2": "power(col/5e1, 2)", "a": "(line/1e2)", "a2": "power(line/1e2, 2)", "a3": "power(line/1e2, 3)", "ra": "(col*line/5e3)", "ra2": "power(col*line/5e3, 2)", "z": "(elev*1e0)", "z2": "power(elev, 2)", "az": "(line/1e2*elev)", "az2": "power(line/1e2*elev, 2)"}
+_PLACES = {"cst": "1e0", "r": "(col/5e1)", "r2": "power(col/5e1, 2)", "a": "(line/1e2)", "a2": "power(line/1e2, 2)", "a3": "power(line/1e2, 3)", "ra": "(col*line/5e3)", "ra2": "power(col*line/5e3, 2)"}
+#: Heights in the SQL are in units of these.
+_HEIGHT = {"dates_px": "1e0", "px": "1e3"}
 #: A group's ramp is fitted to more rows than this.
 _RAMP_ROWS = 40
 #: Elevation terms or none, ivar and nfit: with the order they make a design.
@@ -105,12 +107,16 @@ def _ramp_query(flat: int, by: list[str], source: str, y: str, pair: bool, weigh
         names = R.names(flat, ivar, nfit, elevation, pair)
         head = f"SELECT {elevation} AS elevation, {ivar} AS ivar, {nfit} AS nfit, {keys}, count(*) AS n"
         if not names:
-            parts.append(f"{head}, round(sqrt(avg({y}*{y})), 4) AS rms, round(0e0, 4) AS mean_ramp FROM {source} {where} GROUP BY {keys}")
+            parts.append(f"{head}, round(sqrt(avg({y}*{y})), {3 if pair else 4}) AS rms, round(0e0, 4) AS mean_ramp FROM {source} {where} GROUP BY {keys}")
             continue
-        steps.append(gram_sql(source, by, y, {n: _PLACES[n] for n in names}, weight, where, f"f{k}_"))
-        ramp = "(" + " + ".join(f"m_{n}*{_PLACES[n]}" for n in names) + ")"
-        enough = f"CASE WHEN any_value(n) > {_RAMP_ROWS} THEN round"
-        parts.append(f"{head}, {enough}(sqrt(avg(power({y}-{ramp}, 2))), 4) END AS rms, {enough}(avg({ramp}), 4) END AS mean_ramp FROM {source} JOIN f{k}_fitted USING ({keys}) {where} GROUP BY {keys}")
+        z = f"(elev/{_HEIGHT[source]})"
+        if "az2" not in names and ("a" in names or "az" not in names):  # then moving the heights' origin changes no ramp either
+            z = f"({z}-1e0)"
+        places = _PLACES | {"z": z, "z2": f"power({z}, 2)", "az": f"(line/1e2*{z})", "az2": f"power(line/1e2*{z}, 2)"}
+        steps.append(gram_sql(source, by, y, {n: places[n] for n in names}, weight, where, f"f{k}_"))
+        ramp = "(" + " + ".join(f"m_{n}*{places[n]}" for n in names) + ")"
+        enough, digits = f"CASE WHEN any_value(n) > {_RAMP_ROWS} THEN round", 3 if pair else 4
+        parts.append(f"{head}, {enough}(sqrt(avg(power({y}-{ramp}, 2))), {digits}) END AS rms, {enough}(avg({ramp}), {digits}) END AS mean_ramp FROM {source} JOIN f{k}_fitted USING ({keys}) {where} GROUP BY {keys}")
     return f"WITH {', '.join(steps)} {' UNION ALL '.join(parts)}"
 
 
@@ -123,7 +129,7 @@ def _ramps(rows, flat: int, by: list[str], pair: bool, value: str, sigma=None):
         done = back.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col(value) ** 2)).alias("rms"), F.avg("ramp").alias("mean_ramp")).join(known.select(*by, F.lit(True).alias("known")), by, "left")
         done = done.select(F.lit(elevation).alias("elevation"), F.lit(ivar).alias("ivar"), F.lit(nfit).alias("nfit"), *by, "n", *[F.when(F.col("known"), F.col(c)).alias(c) for c in ("rms", "mean_ramp")])
         out = done if out is None else out.unionByName(done)
-    return rounded(out, digits=4)
+    return rounded(out, digits=3 if pair else 4)
 
 
 # Ramps of every order in all their forms, by frame and date and, fitted to pairs with their coherence, by first date.
