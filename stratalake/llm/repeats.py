@@ -341,10 +341,11 @@ def depths(length: int) -> list[tuple[int, int]]:
     return out
 
 
-def _ranked(near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of pairs in order of (near, far), from 0, and which of them occur more than once."""
-    order = np.lexsort((far, near))
-    begins = np.concatenate([[True], (near[order][1:] != near[order][:-1]) | (far[order][1:] != far[order][:-1])]) if len(order) else np.zeros(0, bool)
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of keys in their order, from 0, and which of them occur more than once."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begins = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(order) else np.zeros(0, bool)
     rank = np.cumsum(begins) - 1
     out = np.empty(len(order), np.int64)
     out[order] = rank
@@ -366,18 +367,18 @@ def refine(keys, digests, first, strings, data, at, length: int) -> tuple[np.nda
     if not len(live):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = T.Fingerprints(data).grams(GRAM)[live]
-    rank, several = _ranked(grams, np.zeros(len(live), np.int8))
+    rank, several = _ranked(grams)
     live = live[several]
     bucket[live] = rank[several]
     for depth, step in depths(length):
         live = live[live + depth + step <= ends[live]]
         live = live[bucket[live + step] >= 0]
-        rank, several = _ranked(bucket[live], bucket[live + step])
+        rank, several = _ranked(bucket[live] * len(data) + bucket[live + step])  # ranks are below len(data)
         bucket = np.full(len(data), -1, np.int64)
         live = live[several]
         bucket[live] = rank[several]
     # What is left are strings with equals; of each bucket the first stays.
-    order = np.lexsort((live, bucket[live]))
+    order = np.argsort(bucket[live] * len(data) + live)
     own = bucket[live[order]]
     later = np.zeros(len(data) + 1, bool)
     later[live[order][1:][own[1:] == own[:-1]]] = True
