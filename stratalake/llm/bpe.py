@@ -58,9 +58,9 @@ class Newer:
         newer = "".join(c for c in regex.findall(r"\P{Cn}", everything) if unicodedata.category(c) == "Cn")
         named = "".join(regex.findall(r"[\p{L}\p{N}]", newer))
         left = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str(named)
-        self.any = regex.compile(f"[{newer}]" if newer else r"(?!)")
+        self.any = frozenset(newer)
         #: Letters and digits to the regex library alone.
-        self.other = regex.compile(f"[{''.join(piece for piece, _ in left)}]" if left else r"(?!)")
+        self.other = frozenset("".join(piece for piece, _ in left))
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
@@ -125,9 +125,10 @@ class Vocabulary:
 
     def split(self, word: str) -> list[str]:
         """The parts of a word, by the file's pattern."""
-        if word.isascii() or not newer().other.search(word):
+        if word.isascii() or newer().other.isdisjoint(word):
             return self.pattern.findall(word)
-        return [word[m.start() : m.end()] for m in self.pattern.finditer(newer().other.sub(OTHER, word))]
+        masked = "".join(OTHER if c in newer().other else c for c in word)
+        return [word[m.start() : m.end()] for m in self.pattern.finditer(masked)]
 
     def _rows(self, own: np.ndarray, other: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """For each symbol that is `own` of some merges, the other parts in order and the ranks."""
@@ -290,7 +291,7 @@ class Encoder:
     @staticmethod
     def normal(text: str) -> str:
         if not text.isascii():
-            if newer().any.search(text):
+            if not newer().any.isdisjoint(text):
                 return newer().normalizer.normalize_str(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # character by character: no final sigma
         return text.lower()
