@@ -41,7 +41,7 @@ SLICE_BYTES = 4 << 20
 SPREAD = "unit long, kind int, print long, word binary, id int, n long, packed binary"
 ANSWER = "unit long, kind int, id int, n long, score double"
 #: In a unit, words come before documents.
-WORDS, SCORED, DOCS, TRAINED, DISTINCT = range(5)
+WORDS, SCORED, DOCS, TRAINED = range(4)
 #: Distinct words after which a task begins another unit, and rows that are scored or sent at a time.
 UNIT_WORDS, SCORE_ROWS = 1 << 20, 1 << 17
 WORD_MARK = "▁"
@@ -291,14 +291,13 @@ def _spread(held_out: Callable[[list], np.ndarray]):
 
 
 def _score(lattice_of: Callable[[], Lattice]):
-    """Rows of words (print, word, unit, id, n) in order of their fingerprints: each word's count and score, to every unit that has it; at last the number of distinct training words."""
+    """Rows of words (print, word, unit, id, n) in order of their fingerprints: each word's count and score, to every unit that has it."""
 
     def run(batches):
-        lattice, distinct, held, rows = lattice_of(), 0, [], 0
+        lattice, held, rows = lattice_of(), [], 0
 
         def told(table: pa.Table, last: bool):
             """Batches for all whole words, and the rows of the last one, of which more may come."""
-            nonlocal distinct
             table = table.combine_chunks()
             prints = table["print"].to_numpy()
             begins = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
@@ -308,7 +307,6 @@ def _score(lattice_of: Callable[[], Lattice]):
                 return [], table
             counts = table["n"].to_numpy()[:end]
             total = np.add.reduceat(counts, begins)
-            distinct += int((total > 0).sum())
             words = table["word"].chunk(0).take(pa.array(begins))
             data, offsets = T.column(pa.RecordBatch.from_arrays([words], names=["word"]), "word")
             scores, first = np.empty(len(begins)), 0
@@ -330,7 +328,6 @@ def _score(lattice_of: Callable[[], Lattice]):
         if held and sum(b.num_rows for b in held):
             out, _ = told(pa.Table.from_batches(held), True)
             yield from out
-        yield _batch(ANSWER, 1, kind=[DISTINCT], n=[distinct])
 
     return run
 
@@ -394,9 +391,9 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     words = spread.where(f"kind = {WORDS}").select("print", "word", "unit", "id", "n")
     ends, tokens = spread.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in (TRAINED, WORDS)]).first()
     sorted_words = words.repartition(count, "print").sortWithinPartitions("print")
-    answers = checkpoint(sorted_words.transform(arrow, _score(lambda: Lattice(pieces)), ANSWER))
-    distinct = answers.where(f"kind = {DISTINCT}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + (ends > 0)
-    told = answers.where(f"kind = {SCORED}").withColumn("packed", F.lit(None).cast("binary"))
+    answers = sorted_words.transform(arrow, _score(lambda: Lattice(pieces)), ANSWER)
+    distinct = words.where("n > 0").select("print").distinct().count() + (ends > 0)  # counted by itself, so that answers needn't be written
+    told = answers.withColumn("packed", F.lit(None).cast("binary"))
     held = spread.where(f"kind = {DOCS}").select("unit", "kind", *[F.lit(None).cast(k).alias(n) for n, k in (("id", "int"), ("n", "long"), ("score", "double"))], "packed")
     # Units by the number of their task, so that they are dealt evenly.
     target = F.pmod(F.shiftright("unit", 24) + F.col("unit").bitwiseAND((1 << 24) - 1), F.lit(count)).cast("int")
