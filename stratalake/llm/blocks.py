@@ -63,6 +63,15 @@ def sum_counters(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.n
     The size is fixed by the caller, whatever the number of rows: every task
     sends size counters at most, and the driver gets that many.
     """
+    return _combined(df, count, size, pieces, np.int64, np.add)
+
+
+def join_bits(df: DataFrame, mark: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, pieces: int = 16) -> np.ndarray:
+    """The bits that are set in any task's array of `size` bytes, which `mark` makes."""
+    return _combined(df, mark, size, pieces, np.uint8, np.bitwise_or)
+
+
+def _combined(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, pieces: int, kind: type, both: np.ufunc) -> np.ndarray:
     step = -(-size // pieces)
 
     def partial(batches):
@@ -75,15 +84,15 @@ def sum_counters(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.n
         sums: dict[int, np.ndarray] = {}
         for k, packed in rows_of(batches, "target", "packed"):
             (part,) = unpack(packed)
-            sums[k] = part + sums[k] if k in sums else part.astype(np.int64)
+            sums[k] = both(part, sums[k]) if k in sums else part.astype(kind)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(s) for s in sums.values()], pa.binary())], names=["target", "packed"])
 
     parts = deal(df.transform(arrow, partial, "target int, packed binary"), count=pieces).transform(arrow, add, "target int, packed binary").collect()
-    out = np.zeros(size, np.int64)
+    out = np.zeros(size, kind)
     for k, packed in parts:
         (part,) = unpack(bytes(packed))
-        out[k * step : k * step + len(part)] += part
+        out[k * step : k * step + len(part)] = part
     return out
 
 

@@ -19,8 +19,13 @@ Row blocks then get the product itself.  Rows that shared fingerprints, directly
 or over others, form a component; a component's rows meet in blocks of bounded
 size, overlaps are accumulated from the columns' postings, and pairs outside
 the size bounds, or already connected, are passed over.  A component larger
-than a block first meets its leaders; only what these leave apart meets in
-pairs of blocks.  All linked documents end up connected; nothing is capped.
+than a block is mostly a chain of rows that share a passage and link with
+nothing, and grows faster than the table.  So its rows first meet as sketches,
+a bit a column, in blocks of similar sizes: bits that differ bound the columns
+that differ from below, and only rows that may link stay together.  What is
+then still larger than a block meets its leaders; only what these leave apart
+meets in pairs of blocks.  All linked documents end up connected; nothing is
+capped.
 That is enough for classes alone (`keep_one`).  Where links are counted
 (`join_documents`), all blocks of a component meet in pairs and every pair of
 rows within the size bounds is looked at; copies count by their number and are
@@ -35,6 +40,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +50,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as K
 from . import textkit as T
-from .cluster import arrow, checkpoint, connected_components, free_name, hot_keys, join_skewed, partitions, pick
+from .cluster import arrow, checkpoint, connected_components, free_name, hot_keys, join_skewed, partitions, pick, release
 
 COUNTERS = 1 << 22
 #: Rows, and n-grams, of a row block.
@@ -52,8 +58,10 @@ BLOCK_ROWS, BLOCK_GRAMS = 256, 400_000
 LEADERS = 4
 #: Row blocks of the product that counts links hold so many times as many rows, since all of a component meet.
 COUNT_BLOCKS = 4
-#: Slots of the table that tells whose sets are needed; more documents make more false hits, not wrong ones.
-MEMBER_SLOTS = 1 << 20
+#: Rows, and bytes, of a block of sketches.
+SKETCH_ROWS, SKETCH_BYTES = 2048, 4 << 20
+#: Bits a member, at least, of the table that tells whose sets are needed, and the sizes it has at least and at most; false hits cost work, not rightness.
+MEMBER_BITS, FEWEST_BITS, MOST_BITS = 16, 1 << 20, 1 << 26
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,20 +294,59 @@ def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["target", "kind", "packed"])
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (T.mix(ids.astype(np.int64).view(np.uint64)) % T.U64(MEMBER_SLOTS)).astype(np.int64)
+def _slots(ids: np.ndarray, size: int) -> np.ndarray:
+    return (T.mix(ids.astype(np.int64).view(np.uint64)) % T.U64(size)).astype(np.int64)
 
 
-def _member_slots(members: DataFrame) -> np.ndarray:
-    """Which slots hold a member."""
+def _member_bits(members: DataFrame) -> np.ndarray:
+    """Packed bits, in number a power of two that follows the members: which slots hold one."""
+    size = min(max(FEWEST_BITS, 1 << (MEMBER_BITS * members.count()).bit_length()), MOST_BITS)
 
-    def count(batches):
-        total = np.zeros(MEMBER_SLOTS, np.int32)
+    def mark(batches):
+        bits = np.zeros(size >> 3, np.uint8)
         for batch in batches:
-            total[_slots(np.asarray(batch.column(0)))] = 1
-        return total
+            at = _slots(np.asarray(batch.column(0)), size)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        return bits
+
+    return K.join_bits(members.select("doc"), mark, size >> 3)
+
+
+def _is_member(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _slots(ids, len(bits) << 3)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """A bit for each of as many slots as there are columns or more, a power of two: whether an odd number of columns fall in it.
 
-    return K.sum_counters(members.select("doc"), count, MEMBER_SLOTS) > 0
+    A slot whose bits differ holds a column that only one of two rows has.  The
+    first half xor the second is the sketch of half the slots.
+    """
+    slots = 1 << max(6, int(len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & T.U64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1).view(np.uint64)
+
+
+def may_link(sizes: np.ndarray, sketches: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links by position that connect all rows whose sketches differ no more than those of linked rows can.
+
+    Rows link when they differ in (100 - percent) / (100 + percent) of the sum
+    of their sizes at most.  sides: rows of two sides meet only those of the
+    other one; rows of one side all meet.
+    """
+    width = min(len(x) for x in sketches)
+    bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in sketches])
+    both = sides.min() != sides.max()
+    root, links = np.arange(len(sizes)), []
+    for i in np.flatnonzero(sides == 0) if both else range(1, len(sizes)):
+        near = (sizes * 100 >= percent * sizes[i]) & (sizes[i] * 100 >= percent * sizes) & (root != root[i])
+        near = np.flatnonzero(near & (sides == 1) if both else near[:i])
+        differ = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        for j in near[differ * (100 + percent) <= (100 - percent) * (sizes[near] + sizes[i])]:
+            if root[i] != root[j]:
+                links.append((int(j), int(i)))
+                root[root == root[j]] = root[i]
+    return links
 
 
 def link_rows(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
@@ -421,14 +468,63 @@ def _block(column: str, count: str) -> F.Column:
     return F.pmod(F.xxhash64(column), F.col(count)).cast("int")
 
 
-def _product(members: DataFrame, percent: int) -> DataFrame:
-    """members: component, doc, n, grams -> links (a, b) that connect all linked documents."""
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Rows of components of two rows or more, with their component's number of blocks and their own one."""
     shape = members.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("columns"))
     shape = shape.where("rows > 1").select("component", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("columns") / BLOCK_GRAMS)).alias("blocks"))
-    members = checkpoint(members.join(shape, "component").withColumn("block", _block("doc", "blocks")))
+    return checkpoint(members.join(shape, "component").withColumn("block", _block("doc", "blocks")))
+
+
+def _possible(members: DataFrame, percent: int) -> DataFrame:
+    """members: component, doc, n, grams -> (a, b) that connect, within components, all rows whose sketches let them link."""
+
+    def sketched(batches):
+        for batch in batches:
+            found = [sketch(K.unpack(x)[0]) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in found], pa.binary())], names=["component", "doc", "n", "bits"])
+
+    rows = members.select("component", "doc", "n", "grams").transform(arrow, sketched, "component long, doc long, n long, bits binary")
+    # Linked rows are of one step of sizes or of two that follow each other; a hair less than the ratio keeps rounding out of it.
+    ratio = max(1e-3, math.log(100 / percent) * (1 + 1e-9))
+    rows = checkpoint(rows.withColumn("step", F.floor(F.log("n") / ratio).cast("int")))
+    shape = rows.groupBy("component", "step").agg(F.greatest(F.ceil(F.count("*") / SKETCH_ROWS), F.ceil(F.sum(F.length("bits")) / SKETCH_BYTES)).cast("int").alias("blocks"))
+    around = shape.join(shape.select("component", (F.col("step") - 1).alias("step"), F.col("blocks").alias("above")), ["component", "step"], "left")
+    around = around.join(shape.select("component", (F.col("step") + 1).alias("step"), F.col("blocks").alias("below")), ["component", "step"], "left")
+    met = rows.join(around, ["component", "step"]).withColumn("block", _block("doc", "blocks"))
+
+    def key(step, a, b, side):
+        return F.struct(*(x.cast("int").alias(n) for n, x in (("low", step), ("block_a", a), ("block_b", b), ("side", side))))
+
+    def each(count, where):  # nothing where there are no such blocks
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), where)).otherwise(F.array().cast("array<struct<low:int,block_a:int,block_b:int,side:int>>"))
+
+    step, block = F.col("step"), F.col("block")
+    own = each("blocks", lambda o: key(step * 2, F.least(block, o), F.greatest(block, o), F.when(block > o, 1).otherwise(0)))
+    above = each("above", lambda o: key(step * 2 + 1, block, o, F.lit(0)))
+    below = each("below", lambda o: key(step * 2 - 1, o, block, F.lit(1)))
+    met = met.select("component", "doc", "n", "bits", F.explode(F.concat(own, above, below)).alias("at")).select("component", "at.low", "at.block_a", "at.block_b", "at.side", "doc", "n", "bits")
+
+    def run(batches):
+        for _, held in K.grouped(batches, keys, ("doc", "n", "side", "bits")):
+            docs, sizes, sides, bits = zip(*held, strict=True)
+            links = may_link(np.array(sizes), [np.frombuffer(x, np.uint64) for x in bits], np.array(sides), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([docs[a] for a, _ in links], pa.int64()), pa.array([docs[b] for _, b in links], pa.int64())], names=["a", "b"])
+
+    keys = ["component", "low", "block_a", "block_b"]
+    return met.repartition(partitions(met.sparkSession), *keys).sortWithinPartitions(*keys).transform(arrow, run, "a long, b long")
 
-    small = members.where("blocks = 1").select("component", F.lit(0).alias("block_a"), F.lit(0).alias("block_b"), "doc", F.lit(1).alias("side"), "grams")
-    large = members.where("blocks > 1")
+
+def _product(members: DataFrame, percent: int) -> DataFrame:
+    """members: component, doc, n, grams -> links (a, b) that connect all linked documents."""
+    members = _in_blocks(members)
+    release(members.sparkSession)
+    small, large = members.where("blocks = 1"), members.where("blocks > 1")
+    if large.limit(1).count():
+        parts = connected_components(_possible(large, percent)).withColumnRenamed("node", "doc")
+        parted = _in_blocks(large.drop("component", "blocks", "block").join(parts, "doc").select("component", "doc", "n", "grams"))
+        small, large = small.unionByName(parted.where("blocks = 1")), parted.where("blocks > 1")
+
+    small = small.select("component", F.lit(0).alias("block_a"), F.lit(0).alias("block_b"), "doc", F.lit(1).alias("side"), "grams")
     own = large.select("component", "block", F.lit(0).alias("block_b"), "doc", F.lit(1).alias("side"), "grams")
     heads = large.groupBy("component", "blocks").agg(F.min_by("doc", F.xxhash64("doc", F.lit(0))).alias("h0"), *[F.min_by("doc", F.xxhash64("doc", F.lit(i))).alias(f"h{i}") for i in range(1, LEADERS)])
     heads = heads.select("component", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(LEADERS)]))).alias("doc"))
@@ -465,6 +561,7 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     narrow = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     bits = frequent_grams(narrow.select("text"), size)
     found = checkpoint(_candidates(narrow, size, percent, bits))
+    release(docs.sparkSession)
     sized = found.where("digest is not null").select(F.col("a").alias("doc"), F.col("b").alias("n"), "digest")
     near = found.where("digest is null").select("a", "b")
     linkable = sized.where("n > 0 and doc is not null")
@@ -476,13 +573,13 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     groups = connected_components(near.union(copies))
     own = heads.select(F.col("head").alias("doc"), "digest", "copies")
     members = checkpoint(groups.withColumnRenamed("node", "doc").join(own, "doc").select("doc", "component", "digest", "copies"))
-    wanted = _member_slots(members)
+    wanted = _member_bits(members)
 
     def sets(batches):
         for batch in batches:
             ids = batch.column(0)
             hit = np.flatnonzero(np.asarray(ids.is_valid()))
-            batch = batch.take(pa.array(hit[wanted[_slots(np.asarray(ids.fill_null(0))[hit])]]))
+            batch = batch.take(pa.array(hit[_is_member(wanted, np.asarray(ids.fill_null(0))[hit])]))
             for part, data, offsets in T.slices(iter([batch]), "text"):
                 grams, bounds = gram_sets(data, offsets, size)
                 own_sets = [grams[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]

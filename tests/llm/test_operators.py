@@ -591,6 +591,44 @@ def test_keep_one_of_each_class(spark):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(frame(spark, rows)).collect()) == sorted({c for _, c in classes.values()})
 
 
+def test_component_of_unlinked_rows_is_not_multiplied(spark, monkeypatch):
+    """Rows that only share fingerprints in a chain: what the product moves follows the rows, not the blocks times the rows."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(jaccard, "SKETCH_ROWS", 8)
+    moved, links, fixed = [], jaccard._links, np.random.default_rng(5)
+    monkeypatch.setattr(jaccard, "_links", lambda rows, percent: moved.append(rows.count()) or links(rows, percent))
+    sets = [np.unique(fixed.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in fixed.integers(20, 60, 120)]
+    sets += [s[len(s) // 5 :] for s in sets[:30]]  # four fifths of the columns: just linked
+    rows = [(0, i, len(s), jaccard.K.pack(s)) for i, s in enumerate(sets)]
+    got = jaccard._product(spark.createDataFrame(rows, "component long, doc long, n long, grams binary"), 80)
+    assert {tuple(sorted((r["a"], r["b"]))) for r in got.collect()} == {(i, 120 + i) for i in range(30)}
+    assert sum(moved) <= 4 * len(rows)
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90, 100])
+def test_sketches_part_no_linked_rows(percent):
+    fixed, parted = np.random.default_rng(9), 0
+    for _ in range(1500):
+        base = np.unique(fixed.integers(0, 1 << 63, fixed.integers(1, 300)).astype(np.uint64))
+        less, more = fixed.integers(0, len(base) // 3 + 1, 2)
+        other = np.union1d(base[less:], fixed.integers(0, 1 << 63, more).astype(np.uint64))
+        both = len(np.intersect1d(base, other))
+        linked = 100 * both >= percent * (len(base) + len(other) - both)
+        sizes, sketches = np.array([len(base), len(other)]), [jaccard.sketch(base), jaccard.sketch(other)]
+        for sides in ([0, 0], [1, 1], [0, 1]):
+            may = bool(jaccard.may_link(sizes, sketches, np.array(sides), percent))
+            assert may or not linked
+        parted += not may
+    assert parted > 100
+
+
+def test_table_of_members_grows_with_them(spark):
+    """One of fixed size takes in nearly every document of a large table, and so the sets of all."""
+    bits = jaccard._member_bits(spark.range(0, 600_000, 2).selectExpr("id as doc"))
+    assert jaccard._is_member(bits, np.arange(0, 600_000, 2)).all()
+    assert jaccard._is_member(bits, np.arange(1, 600_000, 2)).mean() < 0.1
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(5, 5), (300, 299)]
     got = {r["node"]: r["component"] for r in cluster.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
