@@ -7,6 +7,12 @@ the lattice of pieces, where single bytes stand in for whatever no piece covers.
 A text is its words, each begun by the word mark, and one end.  Training
 documents give the counts of the base score.
 
+A vocabulary's scores know nothing of the corpus.  With `learn`, the pieces' own
+probabilities and, by LEARNED, their shares of the training documents' pieces,
+as the vocabulary's library splits these, weigh the lattice; and the lattice is what a token's probability falls back to: each distinct token of the
+training documents leaves DISCOUNT of its count, and all that is left is dealt
+out by the lattice, over any text there is.  Probabilities sum to 1 at most.
+
 A task's documents are read as a unit: its distinct words, numbered, with their
 counts, and the documents as lists of these numbers.  The words of all units
 meet sorted by fingerprint, so each is counted and scored once a corpus, and
@@ -47,6 +53,10 @@ UNIT_WORDS, SCORE_ROWS = 1 << 20, 1 << 17
 WORD_MARK = "▁"
 #: Words of more bytes are scored one by one.
 LONG_WORD = 128
+#: What every distinct token of the training documents gives of its count to the lattice.
+DISCOUNT = 0.5
+#: Weight of what training documents tell of the pieces, beside the vocabulary's own scores.
+LEARNED = 0.9
 
 
 class Pieces:
@@ -65,7 +75,7 @@ class Pieces:
         self.model = model
         p = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = p.get_piece_size()
-        self.end = p.eos_id()
+        self.processor, self.end = p, p.eos_id()
         self.content: list[bytes | None] = []
         self.begins = np.zeros(n, bool)
         scores, stands_in = np.full(n, -np.inf), np.zeros(n, bool)
@@ -117,13 +127,38 @@ def weigh(scores: np.ndarray, stands_in: np.ndarray) -> np.ndarray:
     return out
 
 
+def _count_pieces(pieces: Pieces):
+    """Of rows (word, n): how often each piece occurs when the vocabulary's library splits the words."""
+
+    def count(batches):
+        total = np.zeros(len(pieces.content), np.int64)
+        for batch in batches:
+            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
+            split = pieces.processor.encode(words, num_threads=1)
+            lengths = np.fromiter(map(len, split), np.int64, len(split))
+            flat = np.fromiter((i for ids in split for i in ids), np.int64, int(lengths.sum()))
+            np.add.at(total, flat, np.repeat(np.asarray(batch.column(1)), lengths))
+        return total
+
+    return count
+
+
+def learned_pieces(pieces: Pieces, counts: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the pieces' own probabilities and their shares of the counts, mixed; the former alone where nothing was counted."""
+    used = np.where(np.isfinite(pieces.log_p), counts, 0)
+    if not used.any():
+        return pieces.log_p
+    with np.errstate(divide="ignore"):
+        return np.log((1 - LEARNED) * np.exp(pieces.log_p) + LEARNED * used / used.sum())
+
+
 class Lattice:
-    """Scores words under the log probabilities of the pieces."""
+    """Scores words under the log probabilities of the pieces, by default their own."""
 
     BITS = 20
 
-    def __init__(self, pieces: Pieces):
-        log_p = pieces.log_p
+    def __init__(self, pieces: Pieces, log_p: np.ndarray | None = None):
+        log_p = pieces.log_p if log_p is None else log_p
         self.inner: dict[bytes, list[float]] = {}
         self.first: dict[bytes, list[float]] = {}
         for i, content in enumerate(pieces.content):
@@ -335,10 +370,21 @@ def _score(lattice_of: Callable[[], Lattice]):
 OUT = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _finish(tokens: int, distinct: int, ends: int, end_log: float):
+def _learned(counted: np.ndarray, scores: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
+    """Natural logarithms of the tokens' probabilities: what DISCOUNT leaves of each count in training, and the lattice's probability as a share of all that it took."""
+    if not tokens:
+        return scores
+    with np.errstate(divide="ignore"):
+        own = np.log(np.maximum(counted - DISCOUNT, 0.0) / tokens)
+    return np.logaddexp(own, scores + np.log(DISCOUNT * distinct / tokens))
+
+
+def _finish(tokens: int, distinct: int, ends: int, end_log: float, learn: bool):
     """Documents and answers meet; rows come in order of (unit, kind), so that one unit's words are held at a time."""
     names = [x.split()[0] for x in OUT.split(", ")]
     floor = tokens + 0.1 * (distinct + 1)
+    if learn:
+        end_log = float(_learned(np.array([ends]), np.array([end_log]), tokens, distinct)[0])
 
     def slices(batches):
         """(which words are known, base scores, scores, packed) of each slice of documents."""
@@ -356,7 +402,8 @@ def _finish(tokens: int, distinct: int, ends: int, end_log: float):
                     if values is None:
                         ids, counted, scores = (np.concatenate(y) for y in zip(*answers, strict=True)) if answers else (np.zeros(0, np.int64),) * 3
                         order = np.argsort(ids)
-                        values, answers = ((counted > 0).astype(float)[order], np.log10((counted + 0.1) / floor)[order], scores[order]), []
+                        scores = _learned(counted, scores, tokens, distinct) if learn else scores
+                    values, answers = ((counted > 0).astype(float)[order], np.log10((counted + 0.1) / floor)[order], scores[order]), []
                     yield *values, batch.column(5)[row].as_py()
 
     def run(batches):
@@ -383,20 +430,25 @@ def _finish(tokens: int, distinct: int, ends: int, end_log: float):
     return run
 
 
-def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", held_out: Callable[[list], np.ndarray] = held_out_ids) -> DataFrame:
-    """One row a document: OUT, with the id's own type. score is the log10 probability of the text, base_score that under smoothed word counts, which learn from the documents not held out."""
+def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", held_out: Callable[[list], np.ndarray] = held_out_ids, learn: bool = False) -> DataFrame:
+    """One row a document: OUT, with the id's own type. score is the log10 probability of the text, base_score that under smoothed word counts, which learn from the documents not held out; with `learn`, so does the score."""
     docs = pick(docs, doc_id=id_col, text=text_col)
     count, pieces = partitions(docs.sparkSession), Pieces.read(vocabulary_path)
     spread = checkpoint(docs.transform(arrow, _spread(held_out), SPREAD))
     words = spread.where(f"kind = {WORDS}").select("print", "word", "unit", "id", "n")
     ends, tokens = spread.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in (TRAINED, WORDS)]).first()
+    log_p = pieces.log_p
+    if learn:
+        counts = K.sum_counters(words.where("n > 0").select("word", "n"), _count_pieces(pieces), len(log_p))
+        counts[pieces.end] += ends
+        log_p = learned_pieces(pieces, counts)
     sorted_words = words.repartition(count, "print").sortWithinPartitions("print")
-    answers = sorted_words.transform(arrow, _score(lambda: Lattice(pieces)), ANSWER)
+    answers = sorted_words.transform(arrow, _score(lambda: Lattice(pieces, log_p)), ANSWER)
     distinct = words.where("n > 0").select("print").distinct().count() + (ends > 0)  # counted by itself, so that answers needn't be written
     told = answers.withColumn("packed", F.lit(None).cast("binary"))
     held = spread.where(f"kind = {DOCS}").select("unit", "kind", *[F.lit(None).cast(k).alias(n) for n, k in (("id", "int"), ("n", "long"), ("score", "double"))], "packed")
     # Units by the number of their task, so that they are dealt evenly.
     target = F.pmod(F.shiftright("unit", 24) + F.col("unit").bitwiseAND((1 << 24) - 1), F.lit(count)).cast("int")
     met = K.deal(told.unionByName(held).withColumn("target", target), count=count).drop("target").sortWithinPartitions("unit", "kind")
-    scored = met.transform(arrow, _finish(tokens + ends, distinct, ends, float(pieces.log_p[pieces.end])), OUT)
+    scored = met.transform(arrow, _finish(tokens + ends, distinct, ends, float(log_p[pieces.end]), learn), OUT)
     return scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

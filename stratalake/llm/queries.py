@@ -35,7 +35,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.score_documents(table(spark, sf_dir, "documents"), vocabulary_path(PIECE_FILE))
+    return lattice.score_documents(table(spark, sf_dir, "documents"), vocabulary_path(PIECE_FILE), learn=True)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,6 +355,35 @@ def test_lattice_prefers_words_of_the_vocabulary(spark):
     assert got[1] > got[2] + 0.3
 
 
+def test_query_scores_learn_from_training_documents(spark, sf_dir):
+    """Held-out documents score near their base score; every score is the lattice's and the training counts' together."""
+    rows = {r["doc_id"]: r for r in queries.op3_lattice_score(spark, sf_dir).collect()}
+    held = [r for r in rows.values() if r["held_out"]]
+    assert held and all(r["score"] is not None and math.isfinite(r["score"]) for r in rows.values())
+    assert sum(r["score"] for r in held) > 1.35 * sum(r["base_score"] for r in held)
+    texts = {r["doc_id"]: plain.WORD.findall(plain.lower(r["text"] or "")) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    counts = collections.Counter(w for k, words in texts.items() if not rows[k]["held_out"] for w in [*words, None])
+    pieces, total = lattice.Pieces.read(PIECES), sum(counts.values())
+    shares = np.zeros(len(pieces.content))
+    for token, n in counts.items():
+        for i in [pieces.end] if token is None else pieces.processor.encode(token):
+            shares[i] += n
+    shares[~np.isfinite(pieces.log_p)] = 0
+    with np.errstate(divide="ignore"):
+        log_p = np.log(0.1 * np.exp(pieces.log_p) + 0.9 * shares / shares.sum())
+    assert np.exp(log_p).sum() == pytest.approx(1)
+    model = lattice.Lattice(pieces, log_p)
+
+    @functools.cache
+    def log10(token):
+        alone = log_p[pieces.end] if token is None else model.one(token.encode())
+        return math.log10((max(counts[token] - 0.5, 0.0) + 0.5 * len(counts) * math.exp(alone)) / total)
+
+    for k in sorted(rows)[:60]:
+        if all(len(w) < 40 for w in texts[k]):
+            assert rows[k]["score"] == pytest.approx(sum(map(log10, [*texts[k], None])), rel=1e-9), k
+
+
 # Mixing.
 def test_mix_targets_and_copies(spark, sf_dir):
     rows = sample(spark, sf_dir)
