@@ -381,7 +381,7 @@ def _export(t: Tables, name: str) -> str:
 def _(t):
     path = _export(t, "cells")
     sinks.write_cells(t.grid.select("line", "col", "value"), path, 5)
-    return rounded(t.spark.read.parquet(path).drop("line_block"))
+    return rounded(sinks.read_cells(t.spark, path))
 
 
 @register("k05_window_update", "grid", "SELECT CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, round(CASE WHEN line >= 5 AND line < 10 THEN -value ELSE value END, 6) AS value FROM grid")
@@ -390,7 +390,7 @@ def _(t):
     cells = t.grid.select("line", "col", "value")
     sinks.write_cells(cells, path, 5)
     sinks.update_window(cells.where("line >= 5 and line < 10").withColumn("value", -F.col("value")), path, 5)
-    return rounded(t.spark.read.parquet(path).drop("line_block"))
+    return rounded(sinks.read_cells(t.spark, path))
 
 
 @register("k06_text_round_trip", "pairs", "SELECT date1, date2, round(rms, 6) AS rms FROM pairs")

@@ -7,22 +7,55 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 # The data type codes of ENVI headers.
 ENVI_CODES = {"uint8": 1, "int16": 2, "int32": 3, "float32": 4, "float64": 5, "complex64": 6, "complex128": 9, "uint16": 12, "uint32": 13, "int64": 14, "uint64": 15}
 
 
+#: Neighbouring blocks of lines that share a folder. A folder a block would cost as much for a few cells as for many.
+FOLDER_BLOCKS = 100
+
+
+def _blocked(df: DataFrame, block_lines: int) -> DataFrame:
+    block = F.floor(F.col("line") / block_lines)
+    return df.withColumns({"line_block": block, "line_group": F.floor(block / FOLDER_BLOCKS)})
+
+
+def _by_folders(blocked: DataFrame, *blocks: str) -> DataFrameWriter:
+    """A writer of a folder a group of blocks, these in order in its files. A group's rows meet before, so that its files are as many as its size asks for and not as many as there are tasks."""
+    return blocked.hint("rebalance", "line_group").sortWithinPartitions("line_group", *blocks).write.mode("overwrite").partitionBy("line_group")
+
+
 def write_cells(df: DataFrame, path: str, block_lines: int = 100) -> None:
-    """Parquet by blocks of lines, so that a window read opens only its blocks."""
-    df.withColumn("line_block", F.floor(F.col("line") / block_lines)).write.mode("overwrite").partitionBy("line_block").parquet(path)
+    """Parquet by blocks of lines, in order, so that a window read opens only its folders and decodes only its pages."""
+    _by_folders(_blocked(df, block_lines), "line_block").parquet(path)
+
+
+def _of_block(stored: DataFrame, line_block: int | None) -> DataFrame:
+    if line_block is None:
+        return stored
+    return stored.where((F.col("line_group") == line_block // FOLDER_BLOCKS) & (F.col("line_block") == line_block))
+
+
+def read_cells(spark: SparkSession, path: str, line_block: int | None = None) -> DataFrame:
+    """What write_cells wrote, all or one block of lines."""
+    return _of_block(spark.read.parquet(path), line_block).drop("line_block", "line_group")
 
 
 def update_window(df: DataFrame, path: str, block_lines: int = 100) -> None:
-    """Replace the blocks that the rows belong to; the others stay."""
-    writer = df.withColumn("line_block", F.floor(F.col("line") / block_lines)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("line_block").parquet(path)
+    """Replace the blocks that the rows belong to; the others stay, and only folders of replaced blocks are written again."""
+    spark, new = df.sparkSession, checkpoint(_blocked(df, block_lines))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = new
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        groups = [r[0] for r in new.select("line_group").distinct().collect()]  # one number a folder
+        held = spark.read.parquet(path).where(F.col("line_group").isin(groups)).join(new.select("line_block").distinct(), "line_block", "left_anti")
+        out = new.unionByName(held.select(*[F.col(c).cast(new.schema[c].dataType) for c in new.columns]))
+    _by_folders(out, "line_block").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def binary_lines(df: DataFrame, cols: int, values: tuple[str, ...] = ("value",), missing: float = float("nan"), kind: str = "<f4") -> DataFrame:
@@ -81,7 +114,7 @@ def write_raster(df: DataFrame, path: str, name: str, georeference: tuple[float,
 def read_raster(spark: SparkSession, path: str) -> DataFrame:
     """What write_raster wrote: the cells with their centres' coordinates x and y."""
     known = spark.read.schema("raster string, x0 double, dx double, y0 double, dy double, epsg int").json(f"{path}/georeference").first()
-    cells = spark.read.parquet(f"{path}/cells").drop("line_block")
+    cells = read_cells(spark, f"{path}/cells")
     return cells.withColumns({"x": F.lit(known["x0"]) + F.lit(known["dx"]) * (F.col("col") + 0.5), "y": F.lit(known["y0"]) + F.lit(known["dy"]) * (F.col("line") + 0.5)})
 
 
@@ -92,17 +125,16 @@ def write_displacement(pair: DataFrame, path: str, wavelength: float, block_line
 
 
 def write_cube(cube: DataFrame, path: str, block_lines: int = 100, block_cols: int = 100) -> None:
-    """A long cube by chunks of lines and columns, all dates of a chunk together, so that a solver's block is a few files."""
-    chunked = cube.withColumns({"line_block": F.floor(F.col("line") / block_lines), "col_block": F.floor(F.col("col") / block_cols)})
-    chunked.repartition("line_block", "col_block").write.mode("overwrite").partitionBy("line_block", "col_block").parquet(path)
+    """A long cube by chunks of lines and columns, all dates of a chunk together and chunks in order, so that a solver's block is a few pages of a few files."""
+    _by_folders(_blocked(cube, block_lines).withColumn("col_block", F.floor(F.col("col") / block_cols)), "line_block", "col_block").parquet(path)
 
 
 def read_chunk(spark: SparkSession, path: str, line_block: int | None = None, col_block: int | None = None) -> DataFrame:
-    """A cube's chunks, all or those of a block of lines or columns; only their files are opened."""
-    cube = spark.read.parquet(path)
-    for name, block in (("line_block", line_block), ("col_block", col_block)):
-        cube = cube if block is None else cube.where(F.col(name) == block)
-    return cube.drop("line_block", "col_block")
+    """A cube's chunks, all or those of a block of lines or columns; of a block of lines only its folder is opened."""
+    cube = _of_block(spark.read.parquet(path), line_block)
+    if col_block is not None:
+        cube = cube.where(F.col("col_block") == col_block)
+    return cube.drop("line_block", "col_block", "line_group")
 
 
 def envi_header(lines: int, cols: int, bands: int, dtype: str, interleave: str = "bip", georeference: tuple[float, float, float, float] | None = None, missing: float | None = None) -> str:

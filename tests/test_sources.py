@@ -85,6 +85,31 @@ def test_windows_as_a_stream(spark, tmp_path):
     assert {tuple(r) for r in spark.table("cov").collect()} == batch and len(batch) == 3
 
 
+def files(path):
+    return {str(f.relative_to(path)): f.read_bytes() for f in path.rglob("part-*.parquet")}
+
+
+def test_cells_and_chunks_are_a_file_a_group_of_blocks(spark, tmp_path):
+    """As many files as groups of blocks, whatever the number of tasks; an update leaves other blocks and other folders alone."""
+    grid = spark.range(0, 4000, 1, 16).select((F.col("id") % 1000).alias("line"), F.floor(F.col("id") / 1000).alias("col"), F.col("id").cast("double").alias("value")).repartition(16)
+    sinks.write_cells(grid, str(tmp_path / "cells"), 5)
+    before, all_cells = files(tmp_path / "cells"), cells(grid, "value")
+    assert len(before) == 2 and cells(sinks.read_cells(spark, str(tmp_path / "cells")), "value") == all_cells
+    assert cells(sinks.read_cells(spark, str(tmp_path / "cells"), 150), "value") == {k: v for k, v in all_cells.items() if k[0] // 5 == 150}
+    window = grid.where("line >= 505 and line < 508").withColumn("value", -F.col("value"))
+    sinks.update_window(window, str(tmp_path / "cells"), 5)
+    want = {k: v for k, v in all_cells.items() if k[0] // 5 != 101} | cells(window, "value")
+    assert cells(sinks.read_cells(spark, str(tmp_path / "cells")), "value") == want
+    after = files(tmp_path / "cells")
+    assert len(after) == 2 and len(set(before.items()) & set(after.items())) == 1
+    sinks.update_window(window, str(tmp_path / "new"), 5)
+    assert cells(sinks.read_cells(spark, str(tmp_path / "new")), "value") == cells(window, "value")
+    sinks.write_cube(grid, str(tmp_path / "cube"), 2, 2)
+    assert len(files(tmp_path / "cube")) == 5
+    assert cells(sinks.read_chunk(spark, str(tmp_path / "cube"), 301, 1), "value") == {k: v for k, v in all_cells.items() if k[0] // 2 == 301 and k[1] >= 2}
+    assert cells(sinks.read_chunk(spark, str(tmp_path / "cube"), col_block=0), "value") == {k: v for k, v in all_cells.items() if k[1] < 2}
+
+
 def test_malformed_shapes():
     with pytest.raises(KeyError):
         raster.shape_from_rsc("WIDTH 3\n")
