@@ -1,7 +1,7 @@
 """Bounded and constrained decompositions of series: Arrow kernels over groups of whole pixels.
 
 A pixel's series is one array row, so a batch holds many pixels and nothing
-else of the table.  Bounds are solved by an active-set method, whose result is
+else of the table, and these are solved together.  Bounds are solved by an active-set method, whose result is
 the optimum; the phase constraint by Gauss-Newton over the remaining variables.
 """
 
@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +110,99 @@ def constrained_series(a: np.ndarray, b: np.ndarray, sigma: np.ndarray, kinds: S
     return x
 
 
+def _solve(a: np.ndarray, b: np.ndarray, rcond: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    """Least-norm solutions of many small systems; columns that `keep` leaves out get 0. rcond counts from the largest singular value."""
+    used = a if keep is None else a * keep[:, None, :]
+    x = np.einsum("gij,gj->gi", np.linalg.pinv(used, rcond=rcond), b)
+    return x if keep is None else np.where(keep, x, 0.0)
+
+
+def same_phase_many(a: np.ndarray, b: np.ndarray, x: np.ndarray, seasonal: tuple[int, int], increase: tuple[int, int], iterations: int = 100) -> np.ndarray:
+    """same_phase of many small systems at once, each with a damping and an end of its own."""
+    m = a.shape[2]
+    others = [i for i in range(m) if i not in increase]
+    (s, c), (p, q) = seasonal, increase
+    at_s, at_c = others.index(s), others.index(c)
+    norm = x[:, s] ** 2 + x[:, c] ** 2
+    ratio = np.where(norm > 0, (x[:, p] * x[:, s] + x[:, q] * x[:, c]) / np.where(norm > 0, norm, 1.0), 0.0)
+    z = np.column_stack([x[:, others], ratio])
+
+    def full(z):
+        out = np.zeros((len(z), m))
+        out[:, others] = z[:, :-1]
+        out[:, p], out[:, q] = z[:, -1] * z[:, at_s], z[:, -1] * z[:, at_c]
+        return out
+
+    rest = lambda z, at: b[at] - np.einsum("gij,gj->gi", a[at], full(z))
+    at = np.arange(len(a))
+    cost = (rest(z, at) ** 2).sum(axis=1)
+    damp = np.full(len(a), 1e-6)
+    for _ in range(iterations):
+        if not len(at):
+            break
+        zz, aa = z[at], a[at]
+        jac = np.concatenate([aa[:, :, others], (aa[:, :, p] * zz[:, None, at_s] + aa[:, :, q] * zz[:, None, at_c])[:, :, None]], axis=2)
+        jac[:, :, at_s] += aa[:, :, p] * zz[:, None, -1]
+        jac[:, :, at_c] += aa[:, :, q] * zz[:, None, -1]
+        normal = np.einsum("gri,grj->gij", jac, jac)
+        diagonal = np.einsum("gii->gi", normal)
+        damped = normal + (damp[at, None] * (diagonal + 1e-12))[:, :, None] * np.eye(m - 1)
+        pull = np.einsum("gri,gr->gi", jac, rest(zz, at))
+        try:
+            step = np.linalg.solve(damped, pull[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:  # one of them is singular in spite of its damping
+            step = np.einsum("gij,gj->gi", np.linalg.pinv(damped, rcond=np.finfo(float).eps * (m - 1), hermitian=True), pull)
+        trial = (rest(zz + step, at) ** 2).sum(axis=1)
+        better = trial <= cost[at]
+        done = better & (cost[at] - trial <= 1e-12 * np.maximum(cost[at], 1e-30))
+        z[at[better]] += step[better]
+        cost[at[better]] = trial[better]
+        damp[at] = np.where(better, np.maximum(damp[at] / 10, 1e-12), damp[at] * 10)
+        at = at[~done & (damp[at] <= 1e8)]
+    return full(z)
+
+
+def constrained_many(a: np.ndarray, b: np.ndarray, sigma: np.ndarray, counts: np.ndarray, kinds: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """constrained_series of many series at once, and the coefficients' sigmas (NaN without spare rows); rows beyond a series' count are 0, their sigma 1.
+
+    A series' rows go as the triangle of their decomposition, which has the same
+    sums of squares in no more rows than columns.
+    """
+    m = len(kinds)
+    triangle = np.linalg.qr(np.concatenate([a / sigma[:, :, None], (b / sigma)[:, :, None]], axis=2), mode="r")
+    aw, bw = triangle[:, :, :m], triangle[:, :, m]
+    rcond = np.finfo(float).eps * np.maximum(counts, m)
+    free = _solve(aw, bw, rcond)
+    low, high = np.full(free.shape, -np.inf), np.full(free.shape, np.inf)
+    steps, posts, season, increase = ([i for i, k in enumerate(kinds) if k == name] for name in ("step", "post", "seasonal", "increase"))
+    x = free.copy()
+    if posts:
+        keep = np.ones(free.shape, bool)
+        keep[:, posts] = False
+        plain = _solve(aw, bw, rcond, keep)
+        for i in steps:
+            low[:, i], high[:, i] = np.minimum(0.0, plain[:, i]), np.maximum(0.0, plain[:, i])
+        for k, i in enumerate(posts):
+            sign = plain[:, steps[k]] if k < len(steps) else np.zeros(len(free))
+            low[:, i] = np.where(sign > 0, 0.0, low[:, i])
+            high[:, i] = np.where(sign < 0, 0.0, high[:, i])
+        for k in np.flatnonzero(((free < low) | (free > high)).any(axis=1)):  # the others are inside their bounds, which is the optimum
+            own = slice(0, counts[k])
+            x[k] = bounded_lsq(a[k, own] / sigma[k, own, None], b[k, own] / sigma[k, own], low[k], high[k])
+    if len(season) == 2 and len(increase) == 2:
+        x = same_phase_many(aw, bw, x, tuple(season), tuple(increase))
+    inverse = np.linalg.pinv(np.einsum("gri,grj->gij", a, a))
+    rest = ((np.einsum("gri,gi->gr", a, x) - b) ** 2).sum(axis=1)
+    spare = counts - m
+    with np.errstate(invalid="ignore", divide="ignore"):
+        variance = np.where(spare > 0, rest / np.maximum(spare, 1), np.nan)
+        return x, np.sqrt(np.maximum(variance[:, None] * np.einsum("gii->gi", inverse), 0))
+
+
+#: Numbers of padded rows that are solved at a time.
+CHUNK_NUMBERS = 2_000_000
+
+
 def fit_constrained(obs: DataFrame, y: Column, terms: Sequence[Term], dates: int, key: str = "pixel", sigma: Column | None = None) -> DataFrame:
     """Per pixel n, m_<term> and s_<term>; pixels with no more than a sixth of the dates get nulls. One pixel's rows are one array, dates long at most."""
     row = F.array(y.cast("double"), (sigma if sigma is not None else F.lit(1.0)).cast("double"), *[t.value.cast("double") for t in terms])
@@ -118,20 +212,23 @@ def fit_constrained(obs: DataFrame, y: Column, terms: Sequence[Term], dates: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for flat in batch.column(1):
-                rows_ = np.array(flat.as_py(), float).reshape(-1, width)
-                m = s = [None] * len(names)
-                if len(rows_) > dates / 6:
-                    b, sig, a = rows_[:, 0], rows_[:, 1], rows_[:, 2:]
-                    x = constrained_series(a, b, sig, kinds)
-                    m = x.tolist()
-                    if len(b) > len(x):
-                        variance = float(((a @ x - b) ** 2).sum()) / (len(b) - len(x))
-                        s = np.sqrt(np.maximum(variance * np.diag(np.linalg.pinv(a.T @ a)), 0)).tolist()
-                out.append([len(rows_), *m, *s])
-            columns = list(zip(*out, strict=True)) if out else [[] for _ in range(1 + 2 * len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=[key, "n", *[f"m_{n}" for n in names], *[f"s_{n}" for n in names]])
+            lengths = np.asarray(pc.list_value_length(batch.column(1))) // width
+            ends, flat = np.cumsum(lengths), np.asarray(batch.column(1).flatten()).reshape(-1, width)
+            m = np.full((2, len(lengths), len(names)), np.nan)
+            fitted = np.flatnonzero(lengths > dates / 6)
+            fitted = fitted[np.argsort(lengths[fitted], kind="stable")]  # those of one length together
+            while len(fitted):
+                size = int(np.searchsorted(lengths[fitted], lengths[fitted[0]] + 8))
+                size = max(1, min(size, CHUNK_NUMBERS // (width * int(lengths[fitted[size - 1]]))))
+                own, fitted = fitted[:size], fitted[size:]
+                counts = lengths[own]
+                rows_ = np.zeros((len(own), int(counts.max()), width))
+                rows_[:, :, 1] = 1.0
+                held = np.arange(rows_.shape[1]) < counts[:, None]
+                rows_[held] = flat[np.repeat(ends[own] - counts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+                m[0, own], m[1, own] = constrained_many(rows_[:, :, 2:], rows_[:, :, 0], rows_[:, :, 1], counts, kinds)
+            columns = [pa.array(v.copy(), mask=np.isnan(v)) for part in m for v in part.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *columns], names=[key, "n", *[f"m_{n}" for n in names], *[f"s_{n}" for n in names]])
 
     doubles = ", ".join(f"`{p}_{n}` double" for p in "ms" for n in names)
     return series.mapInArrow(run, f"`{key}` {series.schema[key].dataType.simpleString()}, n long, {doubles}")

@@ -66,6 +66,38 @@ def test_phase_constraint_holds(spark):
         assert r["m_increase_sin"] == pytest.approx(0.6 * r["pixel"], abs=1e-4)
 
 
+@pytest.mark.parametrize("kinds", [["linear", "linear", "step", "post"], ["linear", "linear", "seasonal", "seasonal", "increase", "increase"], ["linear", "step", "seasonal", "seasonal", "increase", "increase", "post"]])
+def test_constrained_fits_of_many_series_are_those_of_each(spark, monkeypatch, kinds):
+    """Series of many lengths, some without a step's later dates, by few calls for all of them together."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for pixel in range(120):
+        n = int(rng.integers(3, 40))
+        a, b, sigma = rng.normal(size=(n, len(kinds))), 3 * rng.normal(size=n), rng.uniform(0.5, 2, n)
+        if pixel % 9 == 0:
+            a[:, kinds.index("step") if "step" in kinds else 0] = 0
+        rows += [(pixel, float(y), float(s), *map(float, x)) for y, s, x in zip(b, sigma, a, strict=True)]
+        if n > 4:
+            want[pixel] = (a, b, sigma)
+    names = [f"x{i}" for i in range(len(kinds))]
+    df = spark.createDataFrame(rows, "pixel int, y double, s double, " + ", ".join(f"{n} double" for n in names)).repartition(2)
+    terms = [Term(n, F.col(n), k) for n, k in zip(names, kinds, strict=True)]
+    got = {r["pixel"]: r for r in constrained.fit_constrained(df, F.col("y"), terms, 24, sigma=F.col("s")).collect()}
+    assert len(got) == 120 and {k for k, r in got.items() if r["m_x0"] is not None} == set(want)
+    for pixel, (a, b, sigma) in want.items():
+        order = np.lexsort(a.T[::-1])
+        x = np.array([got[pixel][f"m_{n}"] for n in names])
+        alone = constrained.constrained_series(a[order], b[order], sigma[order], kinds)
+        cost = lambda x, a=a, b=b, sigma=sigma: (((a @ x - b) / sigma) ** 2).sum()
+        assert cost(x) <= cost(alone) * (1 + 1e-6) + 1e-9
+        if len(b) > 2 * len(kinds):
+            assert x == pytest.approx(alone, abs=2e-3)
+    calls = []
+    monkeypatch.setattr(constrained, "same_phase", lambda *a: calls.append(1))
+    big = rng.normal(size=(500, 30, len(kinds)))
+    constrained.constrained_many(big, rng.normal(size=(500, 30)), np.ones((500, 30)), np.full(500, 30), kinds)
+    assert not calls
+
+
 def test_bounded_lsq_meets_the_optimality_conditions():
     rng = np.random.default_rng(0)
     for _ in range(50):
