@@ -13,6 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import checkpoint
 
 
 def valid(column: str | Column) -> Column:
@@ -80,34 +83,118 @@ def _order_statistics(rows: DataFrame, ranks: list[int], low: float, high: float
     return out
 
 
-def quantiles(df: DataFrame, value: str | Column, shares: Sequence[float]) -> list[float | None]:
+def quantiles(df: DataFrame, value: str | Column, shares: Sequence[float], stored: bool = False) -> list[float | None]:
     """Percentiles of all valid values, interpolated linearly; None for each where there are none.
 
     Histograms narrow the values down to those around each percentile, by equal
-    bins between the least and greatest value of what is left.
+    bins between the least and greatest value of what is left.  The values are
+    written first, since they are read several times and sums come in another
+    order each time; `stored` tells that df is already a table that stays as it is.
     """
     rows = df.select(valid(value).cast("double").alias("v")).where("v is not null")
+    rows = rows if stored else checkpoint(rows)
     n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
     if not n:
         return [None] * len(shares)
     at = [s * (n - 1) for s in shares]
     ranks = sorted({int(k) for a in at for k in (math.floor(a), math.ceil(a))})
     found = _order_statistics(rows, ranks, low, high, 0, n)
-    return [found[math.floor(a)] + (found[math.ceil(a)] - found[math.floor(a)]) * (a - math.floor(a)) for a in at]
+    return [_between(found, a) for a in at]
+
+
+def _between(found: dict[int, float], at: float) -> float:
+    low, high = found[math.floor(at)], found[math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
+
+
+#: Groups whose numbers go to every task beside the rows; a table of more is joined as Spark sees fit.
+FEW_GROUPS = 10_000
 
 
-def percentile_bounds(df: DataFrame, value: str, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
+def beside(table: DataFrame) -> DataFrame:
+    """A table of one row a group, evaluated once and, if it is small, sent to every task, so that large groups needn't meet in one."""
+    table = checkpoint(table)
+    return F.broadcast(table) if table.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else table
+
+
+def group_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str], min_n: int = 0, stored: bool = False) -> DataFrame:
+    """by, n and b, the percentiles of the valid values as `quantiles` has them, of each group with more than min_n of them.
+
+    Groups of more than SORTED_VALUES are narrowed down by histograms, all of
+    them in the same passes, so that no task holds a large group.
+    """
+    rows = df.select(*by, valid(value).cast("double").alias("v")).where("v is not null")
+    rows = rows if stored else checkpoint(rows)
+    sizes = checkpoint(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    same = lambda other: reduce(lambda a, b: a & b, [rows[k].eqNullSafe(other[k]) for k in by])
+    large = sizes.where((F.col("n") > SORTED_VALUES) & (F.col("n") > min_n)).collect()  # one row for more than SORTED_VALUES each
+    small = rows
+    if large or min_n:
+        wanted = sizes.where((F.col("n") > min_n) & (F.col("n") <= SORTED_VALUES)).select(*by)
+        wanted = F.broadcast(wanted) if wanted.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else wanted
+        small = rows.join(wanted, same(wanted), "left_semi")
+    found = small.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("b"))
+    if not large:
+        return found
+    known = _group_order_statistics(rows, by, large, shares)
+    out = [(*[r[k] for k in by], r["n"], [_between(known[i], s * (r["n"] - 1)) for s in shares]) for i, r in enumerate(large)]
+    return found.unionByName(rows.sparkSession.createDataFrame(out, found.schema))
+
+
+def _group_order_statistics(rows: DataFrame, by: Sequence[str], groups: list, shares: Sequence[float]) -> list[dict[int, float]]:
+    """For each of the groups (by, n, low, high) the values at the ranks that its percentiles need."""
+    spark, found = rows.sparkSession, [{} for _ in groups]
+    keys = [rows.schema[k] for k in by]
+    # What is left to search: group, ranks, least and greatest value, values before and within.
+    left = [(i, sorted({int(k) for s in shares for k in (math.floor(s * (r["n"] - 1)), math.ceil(s * (r["n"] - 1)))}), r["low"], r["high"], 0, r["n"]) for i, r in enumerate(groups)]
+
+    def placed(parts: list) -> DataFrame:
+        """The rows of the parts, which are numbered."""
+        schema = T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(f"_{f.name}", f.dataType) for f in keys], T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+        table = spark.createDataFrame([(j, *[groups[p[0]][k] for k in by], p[2], p[3]) for j, p in enumerate(parts)], schema)
+        test = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(table[f"_{k}"]) for k in by])
+        return rows.join(F.broadcast(table), test & (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).select("part", "low", "high", "v")
+
+    def wanted(parts: list) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(j, r - p[4]) for j, p in enumerate(parts) for r in p[1]], "part int, rank long"))
+
+    while left:
+        for i, ranks, low, high, _, _ in left:
+            if low == high:
+                found[i] |= dict.fromkeys(ranks, low)
+        left = [p for p in left if p[2] != p[3]]
+        few, many = [p for p in left if p[5] <= SORTED_VALUES], [p for p in left if p[5] > SORTED_VALUES]
+        if few:
+            held = placed(few).groupBy("part").agg(F.sort_array(F.collect_list("v")).alias("all"))
+            for r in held.join(wanted(few), "part").select("part", "rank", F.col("all")[F.col("rank").cast("int")].alias("v")).collect():
+                found[few[r["part"]][0]][r["rank"] + few[r["part"]][4]] = r["v"]
+        left = []
+        if many:
+            width = (F.col("high") - F.col("low")) / HISTOGRAM_BINS
+            cell = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(HISTOGRAM_BINS - 1))).otherwise((F.col("v") > F.col("low")).cast("long"))
+            cells = placed(many).groupBy("part", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            before = Window.partitionBy("part").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+            cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+            hit = cells.join(wanted(many), "part").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+            for r in hit.groupBy("part", "cell", "low", "high", "before", "n").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).collect():
+                own = many[r["part"]]
+                left.append((own[0], [k + own[4] for k in r["ranks"]], r["low"], r["high"], own[4] + r["before"], r["n"]))
+    return found
+
+
+def percentile_bounds(df: DataFrame, value: str, low: float, high: float, by: Sequence[str] = (), stored: bool = False) -> DataFrame:
     """lo and hi of the valid values, interpolated linearly, per group or over all."""
     if not by:
-        return df.sparkSession.createDataFrame([tuple(quantiles(df, value, (low / 100, high / 100)))], "lo double, hi double")
-    at = F.percentile(valid(value), F.array(F.lit(low / 100), F.lit(high / 100)))
-    return df.groupBy(*by).agg(at.alias("b")).select(*by, F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
+        return df.sparkSession.createDataFrame([tuple(quantiles(df, value, (low / 100, high / 100), stored))], "lo double, hi double")
+    found = group_quantiles(df, value, (low / 100, high / 100), by, stored=stored)
+    return found.select(*by, F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
 
 
-def with_bounds(df: DataFrame, value: str, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
+def with_bounds(df: DataFrame, value: str, low: float, high: float, by: Sequence[str] = (), stored: bool = False) -> DataFrame:
     if by:
-        return df.join(percentile_bounds(df, value, low, high, by), list(by))
-    lo, hi = quantiles(df, value, (low / 100, high / 100))
+        return df.join(beside(percentile_bounds(df, value, low, high, by, stored)), list(by))
+    df = df if stored else checkpoint(df)  # the bounds and what they are held against are of one evaluation
+    lo, hi = quantiles(df, value, (low / 100, high / 100), True)
     return df.withColumn("lo", F.lit(lo).cast("double")).withColumn("hi", F.lit(hi).cast("double"))
 
 
@@ -250,7 +337,8 @@ def clean_seasonal(coefs: DataFrame, *, max_sigma_percent: float, min_elev: floa
 
 def component_quality(cells_: DataFrame) -> DataFrame:
     """Components with a sigma above its 98th percentile, more than 3 times the value, or a value outside the 0.2 to 99.8 percentiles become null."""
-    (s98,), (lo, hi) = quantiles(cells_, "sigma", (0.98,)), quantiles(cells_, "value", (0.002, 0.998))
+    cells_ = checkpoint(cells_)
+    (s98,), (lo, hi) = quantiles(cells_, "sigma", (0.98,), True), quantiles(cells_, "value", (0.002, 0.998), True)
     s, d = F.col("sigma"), F.col("value")
     bad = (s > F.lit(s98)) | F.coalesce(F.try_divide(s, F.abs(d)) > 3, s > 0) | (d < F.lit(lo)) | (d > F.lit(hi))
     return cells_.withColumn("value", F.when(~F.coalesce(bad, F.lit(False)), d))

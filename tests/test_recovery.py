@@ -66,6 +66,35 @@ def test_phase_constraint_holds(spark):
         assert r["m_increase_sin"] == pytest.approx(0.6 * r["pixel"], abs=1e-4)
 
 
+def test_quantiles_of_rows_that_come_otherwise_each_time(spark, monkeypatch):
+    """Values are of one evaluation: sums come in another order each time, which a function of chance stands in for."""
+    monkeypatch.setattr(masks, "SORTED_VALUES", 50)
+    df = spark.range(4000, numPartitions=3).select((F.floor(F.col("id") / 60) + 1e-9 * F.udf(lambda i: __import__("random").random(), "double").asNondeterministic()("id")).alias("value"))
+    for _ in range(3):
+        assert masks.quantiles(df, "value", (0.1, 0.8)) == pytest.approx([6, 53], abs=1e-6)
+    cells = df.select(F.col("value").alias("sigma"), F.lit(1.0).alias("elev"), F.lit(1.0).alias("amp"), F.lit(0.5).alias("phi"))
+    got = masks.clean_seasonal(cells, max_sigma_percent=80, min_elev=0, min_amp=0, max_amp=2)
+    assert got.where("amp is not null").count() == 3200
+
+
+@pytest.mark.parametrize("by", [["k"], ["k", "j"]])
+def test_quantiles_of_large_groups(spark, monkeypatch, by):
+    """Groups above and below the limit, one of them named null, one of equal values, by histograms as by sorting."""
+    rng, held = np.random.default_rng(3), {}
+    for k, n, values in ((1, 900, rng.normal(size=900)), (2, 40, rng.normal(size=40)), (None, 700, np.exp(4 * rng.normal(size=700))), (4, 300, np.full(300, 2.5)), (5, 500, np.round(rng.normal(size=500), 1))):
+        held[k] = values
+    rows = [(k, "a", float(v)) for k, values in held.items() for v in values] + [(1, "a", float("nan")), (2, "a", None)]
+    df = spark.createDataFrame(rows, "k int, j string, value double").repartition(5)
+    shares = (0.005, 0.5, 0.98)
+    for limit in (1_000_000, 50, 3):
+        monkeypatch.setattr(masks, "SORTED_VALUES", limit)
+        got = masks.group_quantiles(df, "value", shares, by)
+        assert {r["k"]: r["n"] for r in got.collect()} == {k: len(v) for k, v in held.items()}
+        for r in got.collect():
+            assert r["b"] == pytest.approx(np.quantile(held[r["k"]], shares).tolist(), rel=1e-12)
+        assert {r["k"] for r in masks.group_quantiles(df, "value", shares, by, 600).collect()} == {1, None}
+
+
 @pytest.mark.parametrize("kinds", [["linear", "linear", "step", "post"], ["linear", "linear", "seasonal", "seasonal", "increase", "increase"], ["linear", "step", "seasonal", "seasonal", "increase", "increase", "post"]])
 def test_constrained_fits_of_many_series_are_those_of_each(spark, monkeypatch, kinds):
     """Series of many lengths, some without a step's later dates, by few calls for all of them together."""
