@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import phase as P
 from ..functions.basis import Term
+from ..session import checkpoint
 from . import solve
-from .masks import quantiles, valid, with_bounds
+from .masks import beside, group_quantiles, quantiles, valid, with_bounds
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -49,7 +50,7 @@ def extent(df: DataFrame, x: str) -> tuple[float, float]:
 
 def binned_trimmed(
     df: DataFrame, x: str, y: str, bins: int = 500, min_n: int = 200, low: float = 5, high: float = 95, clean: bool = False,
-    by: Sequence[str] = (), medians: Sequence[str] = (), sigma: str | None = None,
+    by: Sequence[str] = (), medians: Sequence[str] = (), sigma: str | None = None, stored: bool = False,
 ) -> DataFrame:
     """Median and deviation of y in equal bins of x with more than min_n values, of what lies strictly inside each bin's percentiles.
 
@@ -57,31 +58,34 @@ def binned_trimmed(
     `medians`, median_<column>.  Bins are numbered from 0; the last two are left
     out and a bin's x is the centre of the bin above it, as both come from
     counting the bins by their upper edges.  With `clean`, the trimmed rows
-    themselves, and their `sigma` times the deviation of their bin.
+    themselves, and their `sigma` times the deviation of their bin.  `stored`: as
+    in masks.quantiles.
     """
     rows = df.where(valid(y).isNotNull() & valid(x).isNotNull())
     if by:
         ends = rows.groupBy(*by).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
-        placed = rows.join(ends, list(by)).where("_high > _low")
+        placed = rows.join(beside(ends), list(by)).where("_high > _low")
     else:
         first, last = extent(rows, x)
         placed = rows.withColumns({"_low": F.lit(first).cast("double"), "_high": F.lit(last).cast("double")}).where("_high > _low")
     width = (F.col("_high") - F.col("_low")) / F.lit(bins)
     placed = placed.withColumns({"bin": F.floor((F.col(x) - F.col("_low")) / width).cast("int"), "_width": width}).where(F.col("bin") < bins - 2)
     keys = [*by, "bin"]
-    bounds = placed.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile(F.col(y), F.array(F.lit(low / 100), F.lit(high / 100))).alias("_b")).where(F.col("_n") > min_n)
-    trimmed = placed.join(bounds, keys).where((F.col(y) > F.col("_b")[0]) & (F.col(y) < F.col("_b")[1]))
+    bounds = group_quantiles(placed, y, (low / 100, high / 100), keys, min_n, stored).withColumnsRenamed({"n": "_n", "b": "_b"})
+    trimmed = placed.join(beside(bounds), keys).where((F.col(y) > F.col("_b")[0]) & (F.col(y) < F.col("_b")[1]))
     centre = F.first(F.col("_low") + (F.col("bin") + 1.5) * F.col("_width")).alias("x")
-    out = trimmed.groupBy(*keys).agg(centre, F.percentile(F.col(y), 0.5).alias("median"), F.stddev_pop(y).alias("std"), F.count("*").alias("kept"), *[F.percentile(F.col(c), 0.5).alias(f"median_{c}") for c in medians])
+    centred = group_quantiles(trimmed, y, (0.5,), keys, stored=stored).select(*keys, F.col("b")[0].alias("median"))
+    out = trimmed.groupBy(*keys).agg(centre, F.stddev_pop(y).alias("std"), F.count("*").alias("kept"), *[F.percentile(F.col(c), 0.5).alias(f"median_{c}") for c in medians])
+    out = out.join(centred, keys).select(*keys, "x", "median", "std", "kept", *[f"median_{c}" for c in medians])
     if not clean:
         return out
     told = trimmed.drop("_n", "_b", "_low", "_high", "_width").join(out.select(*keys, "median", "std"), keys)
     return told.withColumn(sigma, F.col(sigma) * F.col("std")) if sigma else told
 
 
-def sliding_median(df: DataFrame, x: str, y: str, bins: int = 200, min_n: int = 2000, by: Sequence[str] = ()) -> DataFrame:
+def sliding_median(df: DataFrame, x: str, y: str, bins: int = 200, min_n: int = 2000, by: Sequence[str] = (), stored: bool = False) -> DataFrame:
     """The curve of medians of y over x: binned_trimmed between the 10 and 90 percentiles."""
-    return binned_trimmed(df, x, y, bins, min_n, 10, 90, by=by)
+    return binned_trimmed(df, x, y, bins, min_n, 10, 90, by=by, stored=stored)
 
 
 def rms_by(df: DataFrame, residual: str, by: Sequence[str]) -> DataFrame:
@@ -117,9 +121,10 @@ def phase_gradient(df: DataFrame, model: str, value: str, by: Sequence[str], bin
     rows (by_medians false).
     """
     v, m = F.col(value), F.col(model)
-    bounded = with_bounds(with_bounds(df, value, 0.5, 99.5, by).withColumnsRenamed({"lo": "_v1", "hi": "_v2"}), model, 0.5, 99.5, by)
+    rows = checkpoint(df.select(*by, value, model))
+    bounded = with_bounds(with_bounds(rows, value, 0.5, 99.5, by, True).withColumnsRenamed({"lo": "_v1", "hi": "_v2"}), model, 0.5, 99.5, by, True)
     kept = bounded.where((v != 0) & (m != 0) & (v > F.col("_v1")) & (v < F.col("_v2")) & (m > F.col("lo")) & (m < F.col("hi")))
-    curve = sliding_median(kept.select(*by, value, model), value, model, bins, min_n, by)
+    curve = sliding_median(kept.select(*by, value, model), value, model, bins, min_n, by, True)
     later = curve.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("bin"))).where("_i > 1")
     line = solve.fit(later, F.col("median"), [Term("slope", F.col("x")), Term("offset", F.lit(1.0))], list(by), F.col("std"), 1e-7, F.col("n") > 1)
     std, rest = F.stddev_pop(value), F.stddev_pop(v - m)
