@@ -150,6 +150,23 @@ def ica(wide: DataFrame, count: int, key: str = "pixel", value: str = "disp", se
 
 
 def reconstruct(maps: DataFrame, vectors: DataFrame, chosen: list[int], key: str = "pixel") -> DataFrame:
-    """Series from some of the components: sums of map times vector."""
-    both = maps.where(F.col("component").isin(chosen)).join(vectors.select("component", "idx", F.col("value").alias("v")), "component")
-    return both.groupBy(key, "idx").agg(F.sum(F.col("value") * F.col("v")).alias("model"))
+    """Series from some of the components: sums of map times vector. A pixel's components meet as one row, and its dates are spread after that."""
+    held = vectors.where(F.col("component").isin(chosen)).groupBy("component", "idx").agg(F.sum("value").alias("v")).collect()  # components by dates
+    names, dates = sorted({r["component"] for r in held}), sorted({r["idx"] for r in held})
+    table = np.full((len(names), len(dates)), np.nan)
+    for r in held:
+        table[names.index(r["component"]), dates.index(r["idx"])] = r["v"]
+    known = np.isfinite(table)
+    scores = maps.where(F.col("component").isin(names)).groupBy(key).agg(F.array(*[F.sum(F.when(F.col("component") == c, F.col("value"))) for c in names] or [F.lit(None).cast("double")]).alias("scores"))
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows if names else 0, 2_000):
+                part = batch.slice(first, 2_000)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names))
+                told = np.isfinite(x)
+                row, at = np.nonzero(told.astype(int) @ known > 0)
+                model = (np.where(told, x, 0.0) @ np.where(known, table, 0.0))[row, at]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.array(dates, np.int32)[at]), pa.array(model)], names=[key, "idx", "model"])
+
+    return scores.mapInArrow(run, f"`{key}` {maps.schema[key].dataType.simpleString()}, idx int, model double")

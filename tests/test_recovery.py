@@ -15,7 +15,7 @@ from stratalake.functions import geometry as G
 from stratalake.functions import phase as P
 from stratalake.functions import ramps as R
 from stratalake.functions.basis import Term
-from stratalake.operators import constrained, correction, factor, iterate, masks, network, pairs, solve, spatial, stats, stencil, views
+from stratalake.operators import algebra, constrained, correction, factor, iterate, masks, network, pairs, solve, spatial, stats, stencil, views
 
 T0, DATES = 2007.0, [2007.0 + k / 12 for k in range(24)]
 
@@ -95,6 +95,68 @@ def test_quantiles_of_large_groups(spark, monkeypatch, by):
         assert {r["k"] for r in masks.group_quantiles(df, "value", shares, by, 600).collect()} == {1, None}
 
 
+def test_reconstruction_shuffles_rows_of_pixels_and_not_of_dates(spark):
+    rng = np.random.default_rng(8)
+    maps = [(p, c, float(rng.normal())) for p in range(300) for c in range(4) if (p, c) != (7, 0) and p != 9] + [(3, 1, 2.0)]
+    vectors = [(c, i, float(rng.normal())) for c in range(4) for i in range(64) if (c, i) != (2, 5)]
+    want = {}
+    for p, c, x in maps:
+        for c2, i, v in vectors:
+            if c == c2 and c in (0, 2):
+                want[p, i] = want.get((p, i), 0.0) + x * v
+    maps, vectors = spark.createDataFrame(maps, "pixel long, component int, value double"), spark.createDataFrame(vectors, "component int, idx int, value double")
+    out = factor.reconstruct(maps, vectors, [0, 2])
+    assert {(r["pixel"], r["idx"]): r["model"] for r in out.collect()} == pytest.approx(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "idx" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    assert factor.reconstruct(maps, vectors, []).count() == 0
+
+
+def test_source_of_percentiles_is_evaluated_once(spark):
+    """A stack's ramp and the offsets' median: the rows that they come from are counted as they are made."""
+    for job in (lambda df: correction.stack_ramp(df), lambda df: algebra.correlation_to_displacement(df, "stack", "value", 2.0)):
+        made = spark.sparkContext.accumulator(0)
+
+        def count(batches, made=made):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        rows = spark.range(200).select((F.col("id") % 20).alias("line"), F.floor(F.col("id") / 20).alias("col"), F.sin("id").alias("stack"), F.cos("id").alias("value"))
+        assert job(rows.mapInArrow(count, rows.schema)).count() == 200
+        assert made.value == 200
+
+
+def test_rescaled_maps_stay_where_they_are(spark):
+    """Components are few: their ranges go to the maps, whatever Spark makes of the sizes."""
+    maps = spark.range(1000).select((F.col("id") % 3).alias("component"), "id", F.lit(2.0).alias("value"))
+    vectors = spark.createDataFrame([(c, float(c * i)) for c in range(3) for i in range(5)], "component long, value double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = algebra.rescale_components(maps, vectors)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r["component"], r["value"]) for r in out.collect()} == {(c, 8.0 * c) for c in range(3)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_lookup_of_points_in_a_crowded_tile(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TILE_POINTS", 20)
+    rng = np.random.default_rng(4)
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 1.2, (300, 2)))]
+    lookup = [(i, j, j * 0.11, i * 0.07) for i in range(15) for j in range(12) if (i + j) % 3]
+    got = spatial.geo_to_cell(spark.createDataFrame(points, "station long, lon double, lat double"), spark.createDataFrame(lookup, "line long, col long, lon double, lat double"), 0.02, 5)
+    rows, want = {r["station"]: tuple(r[c] for c in ("line", "col", "step", "far")) for r in got.collect()}, {}
+    for k, x, y in points:
+        steps = [(max(1, math.ceil(max(abs(lon - x), abs(lat - y)) / 0.02)), i, j) for i, j, lon, lat in lookup]
+        first = min(s for s, _, _ in steps)
+        if first <= 5:
+            i, j = (np.array([s[n] for s in steps if s[0] == first]) for n in (1, 2))
+            want[k] = (np.median(i), np.median(j), first, bool(max(np.ptp(i), np.ptp(j)) > 5))
+    assert rows == want and len(rows) > 200
+
+
 @pytest.mark.parametrize("kinds", [["linear", "linear", "step", "post"], ["linear", "linear", "seasonal", "seasonal", "increase", "increase"], ["linear", "step", "seasonal", "seasonal", "increase", "increase", "post"]])
 def test_constrained_fits_of_many_series_are_those_of_each(spark, monkeypatch, kinds):
     """Series of many lengths, some without a step's later dates, by few calls for all of them together."""
