@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phase, ramps
 from ..functions.basis import Term
+from ..session import checkpoint
 from . import solve
 from .masks import valid, with_bounds
 from .stats import binned_trimmed
@@ -121,7 +122,8 @@ def flatten_stratified(waves: DataFrame, gradients: DataFrame, degree: int, refe
 
 def stack_ramp(stack: DataFrame, value: str = "stack") -> DataFrame:
     """A quadratic ramp of the values inside the 20 to 80 percentiles, taken from all cells."""
-    inside = with_bounds(stack, value, 20, 80).where(F.col(value).between(F.col("lo"), F.col("hi")))
+    stack = checkpoint(stack)
+    inside = with_bounds(stack, value, 20, 80, stored=True).where(F.col(value).between(F.col("lo"), F.col("hi")))
     line, col = F.col("line").cast("double"), F.col("col").cast("double")
     terms = [Term("r2", col * col), Term("a2", line * line), Term("ra", col * line), Term("r", col), Term("a", line), Term("cst", F.lit(1.0))]
     row = solve.fit_all(inside, F.col(value), terms)
