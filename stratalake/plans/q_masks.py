@@ -274,7 +274,7 @@ def _(t):
 
 @register("r14_displacement", "px", "SELECT date1, date2, line, col, round((coh-(SELECT quantile_cont(amp, 5e-1) FROM px))*12, 6) AS displacement FROM px")
 def _(t):
-    return rounded(A.correlation_to_displacement(t.px, "amp", "coh", 12.0).select("date1", "date2", "line", "col", "displacement"))
+    return rounded(A.correlation_to_displacement(t.px.select("date1", "date2", "line", "col", "amp", "coh"), "amp", "coh", 12.0).select("date1", "date2", "line", "col", "displacement"))
 
 
 @register("r15_cutfile_weight", "grid", "WITH m AS (SELECT max(value) AS mx FROM grid) SELECT line, col, round((value/mx*5e-1+1/(rms+1e-5)/20)*mx, 6) AS weight FROM grid, m")
