@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import phase as P
 from ..functions import ramps
-from .masks import quantiles
+from ..session import checkpoint
+from .masks import beside, quantiles
 
 CELL = ["line", "col"]
 
@@ -74,7 +75,8 @@ def prepare_slc(pixels: DataFrame, mask_above: float, crop: Column, log: bool =
 
 def correlation_to_displacement(offsets: DataFrame, first: str, value: str, resolution: float) -> DataFrame:
     """Offsets less the median of the first image's, times the resolution."""
-    (median,) = quantiles(offsets, first, (0.5,))
+    offsets = checkpoint(offsets)
+    (median,) = quantiles(offsets, first, (0.5,), True)
     return offsets.withColumn("displacement", (F.col(value) - F.lit(median)) * resolution)
 
 
@@ -117,4 +119,4 @@ def loop_bias(pixels: DataFrame, loops: DataFrame, by: Sequence[str] = ()) -> Da
 def rescale_components(maps: DataFrame, vectors: DataFrame) -> DataFrame:
     """Component maps times the range of their time vector, and the vectors over it."""
     spans = vectors.groupBy("component").agg((F.max("value") - F.min("value")).alias("span"))
-    return maps.join(spans, "component").withColumn("value", F.col("value") * F.col("span")).drop("span")
+    return maps.join(beside(spans), "component").withColumn("value", F.col("value") * F.col("span")).drop("span")
